@@ -1,0 +1,33 @@
+"""Intermediate tables in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tideglass-")
+    return _LOCAL[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
