@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality, sharding, toplists, toxicity
+from . import decontaminate, jaccard, packing, quality, sharding, toplists, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,15 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
 
 
+def op5_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(_table(spark, sf_dir, "documents"), sharding.Topology.even(40))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -36,7 +46,7 @@ def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_nra_top_k, op4_toxicity_chain, op7_hash_tree_shards, op8_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
