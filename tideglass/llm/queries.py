@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, sharding, toplists, toxicity
+from . import decontaminate, jaccard, lattice, packing, quality, sharding, toplists, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toplists.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -46,7 +50,7 @@ def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
