@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, packing, quality, sharding, toplists, toxicity
+from . import decontaminate, jaccard, lattice, packing, quality, sharding, toplists, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,11 @@ def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality)}
+def op9_warc_two_level_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.write(_table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality, op9_warc_two_level_index)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -79,4 +83,12 @@ ORACLES = {
             WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_warc_two_level_index": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_page FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN last_page END AS refers_to
+        FROM m""",
 }
