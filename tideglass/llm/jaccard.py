@@ -166,9 +166,8 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid, root, links, found, stands)], ["a", "b", "links", "found", "stands"])
 
 
-def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links: one row per row of ``docs``. n_links counts the other rows of
-    similarity ``threshold`` or more; class_id is the smallest id that links lead to."""
+def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: int, longest: int, block: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, r1, r2, n_grams and, if it has n-grams, _root (its component), _class and _n."""
     count = trees * longest
     signed = materialise(_with_row_keys(docs).mapInArrow(lambda it: _signed(it, n, count), "doc_id long, r1 long, r2 long, h1 long, h2 long, n_grams long, sig binary"), "signed")
     classes = signed.filter("n_grams > 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("r1", "r2")).alias("_row"), F.first("sig").alias("sig"))
@@ -198,8 +197,24 @@ def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: f
     links = verified.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("_links"))
     roots = connected_components(verified.select("a", "b"))
     named = roots.join(classes.select(F.col("cid").alias("node"), "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("class_id"))
-    of = roots.join(named, "root").select(F.col("node").alias("cid"), "class_id")
+    of = roots.join(named, "root").select(F.col("node").alias("cid"), "root", "class_id")
     known = classes.select("h1", "h2", "cid", "copies", "least_id").join(of, "cid", "left").join(links, "cid", "left")
-    known = known.select("h1", "h2", F.coalesce("class_id", "least_id").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"))
-    return signed.select("doc_id", "h1", "h2", "n_grams").join(known, ["h1", "h2"], "left").select(
-        "doc_id", F.when(F.col("n_grams") > 0, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n_grams") > 0, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    known = known.select("h1", "h2", F.coalesce("root", "cid").alias("_root"), F.coalesce("class_id", "least_id").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"))
+    return signed.drop("sig").join(known, ["h1", "h2"], "left")
+
+
+def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links: one row per row of ``docs``. n_links counts the other rows of
+    similarity ``threshold`` or more; class_id is the smallest id that links lead to."""
+    rows, worded = _classed(docs, n, threshold, target, trees, longest, block), F.col("n_grams") > 0
+    return rows.select("doc_id", F.when(worded, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """The row of smallest id of each component, all columns kept, and all rows without words; rows equal
+    in id and text count as one."""
+    rows = _classed(docs, n, threshold, target, trees, longest, block)
+    best = rows.filter("n_grams > 0").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("_best")).select("_best.r1", "_best.r2")
+    kept = materialise(best.unionByName(rows.filter("n_grams = 0").select("r1", "r2").distinct()).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")), "kept")
+    keyed = docs.withColumns({"_r1": F.xxhash64("doc_id", "text"), "_r2": F.xxhash64("text", F.lit(7), "doc_id")})
+    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).drop("_r1", "_r2")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, packing, quality, sharding, toplists, toxicity, warc
+from . import decontaminate, jaccard, lattice, packing, quality, secrets, sharding, toplists, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,18 @@ def op9_warc_two_level_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.write(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing, op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality, op9_warc_two_level_index)}
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path=F.col("source"))
+    return found.select("doc_id", "start", "end", F.crc32(F.encode("candidate", "UTF-8")).alias("candidate_crc32"), "probability", "is_secret")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing,
+        op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality, op9_warc_two_level_index, op10_secret_forest,
+    )
+}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
