@@ -73,7 +73,7 @@ def wealth_index(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The running product of 1 + value from 1, by sequence number; overlapping periods are marked."""
     order = Window.partitionBy(*keys).orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return periods.withColumns({"wealth": F.product(1 + F.col("value")).over(upto), "overlaps": F.coalesce(F.col("period_from") < F.lag("period_to").over(order), F.lit(False))})
+    return periods.withColumns({"wealth": F.product(1 + F.col("value")).over(upto), "is_overlap": F.coalesce(F.col("period_from") < F.lag("period_to").over(order), F.lit(False))})
 
 
 def drawdown_series(levels: DataFrame, keys: Sequence[str], *, at: str = "day", level: str = "nav") -> DataFrame:
