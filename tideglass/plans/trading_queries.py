@@ -424,3 +424,72 @@ def exact_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = {c: F.coalesce(F.round(c, 9), F.lit(0.0)).cast("decimal(38,9)").cast("string") for c in ("win_rate", "profit_factor", "top_trade_share")}
     members = _stats(spark, sf_dir).select(F.floor(F.col("wallet") / 10).alias("cohort"), F.col("wallet").cast("string").alias("wallet"), "n_cycles", *(v.alias(k) for k, v in text.items()))
     return cohort.exact_weights(members)
+
+
+# --- the whole plan, and streams -----------------------------------------------------------------------------
+
+
+def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .performance import performance
+
+    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").alias("id"), F.col("value").alias("nav"))
+    return performance(_fills(spark, sf_dir), points)
+
+
+_PERFORMANCE = f"""{_STATS},
+    dn AS (SELECT user_id AS wallet, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) FILTER (value > 0) AS nav FROM events GROUP BY ALL),
+    dg AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY wallet ORDER BY day) > 1 THEN 1 ELSE 0 END AS gap FROM dn WHERE nav > 0),
+    dw AS (SELECT wallet, day, nav FROM (SELECT *, sum(gap) OVER (PARTITION BY wallet ORDER BY day) AS gaps FROM dg) WHERE gaps = 0),
+    dp AS (SELECT * FROM (SELECT wallet, lag(day) OVER (PARTITION BY wallet ORDER BY day) AS f, day AS t, nav / lag(nav) OVER (PARTITION BY wallet ORDER BY day) - 1 AS value FROM dw) WHERE value IS NOT NULL),
+    dt AS (SELECT wallet, exp(sum(ln(1 + value))) - 1 AS total_return, max(t) - min(f) AS days, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, sqrt(sum(least(value, 0) * least(value, 0)) / count(*)) AS down FROM dp GROUP BY wallet),
+    dd AS (SELECT wallet, min(nav / peak - 1) AS max_drawdown FROM (SELECT *, max(nav) OVER (PARTITION BY wallet ORDER BY day) AS peak FROM dw) GROUP BY wallet),
+    ret AS (SELECT dd.wallet, total_return, CASE WHEN days >= 30 THEN pow(1 + total_return, 365.0 / days) - 1 END AS annualised_return, CASE WHEN n >= 30 THEN sd * sqrt(365) END AS volatility,
+        CASE WHEN n >= 30 AND sd > 0 THEN mean / sd * sqrt(365) END AS sharpe, CASE WHEN n >= 30 AND down > 0 THEN mean / down * sqrt(365) END AS sortino, max_drawdown FROM dd LEFT JOIN dt ON dt.wallet = dd.wallet),
+    cs AS (SELECT wallet, share FROM (SELECT wallet, coin, sum(abs(price * size)) / sum(sum(abs(price * size))) OVER (PARTITION BY wallet) AS share FROM o GROUP BY wallet, coin)),
+    ml AS (
+        SELECT wallet, 'trade' AS lane, metric, value FROM (SELECT wallet, win_rate, profit_factor, average_win, average_loss, top_trade_share, CAST(max_losing_streak AS DOUBLE) AS max_losing_streak FROM v) UNPIVOT INCLUDE NULLS (value FOR metric IN (win_rate, profit_factor, average_win, average_loss, top_trade_share, max_losing_streak))
+        UNION ALL SELECT wallet, 'return', metric, value FROM ret UNPIVOT INCLUDE NULLS (value FOR metric IN (total_return, annualised_return, volatility, sharpe, sortino, max_drawdown))
+        UNION ALL SELECT wallet, 'exposure', 'largest_share', max(share) FROM cs GROUP BY wallet UNION ALL SELECT wallet, 'exposure', 'hhi', sum(share * share) FROM cs GROUP BY wallet)"""
+
+
+@add("wallet:l lane:s metric:s value:r error_code:s", f"{WITH_CYCLES}, {_PERFORMANCE} SELECT *, CASE WHEN value IS NULL THEN CASE lane WHEN 'return' THEN 'INSUFFICIENT_HISTORY' ELSE 'METRIC_UNAVAILABLE' END END AS error_code FROM ml")
+def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _performance(spark, sf_dir)
+
+
+@add("wallet:l n_trade:l n_return:l n_exposure:l n_failed:l status:s", f"""{WITH_CYCLES}, {_PERFORMANCE}
+    SELECT wallet, count(value) FILTER (lane = 'trade') AS n_trade, count(value) FILTER (lane = 'return') AS n_return, count(value) FILTER (lane = 'exposure') AS n_exposure, count(*) - count(value) AS n_failed, 'SUCCEEDED' AS status FROM ml GROUP BY wallet""")
+def performance_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .performance import overview
+
+    return overview(_performance(spark, sf_dir))
+
+
+@add("coin:s bucket:t n_events:l notional:r", f"""WITH {FILLS}, fb AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM f)
+    SELECT coin, bucket, count(*) AS n_events, sum(price * size) AS notional FROM fb WHERE bucket + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY coin, bucket""")
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets that the stream's watermark has closed."""
+    from ..streaming import streams
+
+    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    fills_ = streams.as_fills(streams.deduplicated(events, ["event_id"]))
+    return streams.run_available(streams.bucket_stream(fills_, watermarked=True), "stream-buckets")
+
+
+@add("wallet:l coin:s id:l start_position:l is_late:b", f"WITH {FILLS} SELECT wallet, coin, id, start_position, FALSE AS is_late FROM f")
+def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return streams.run_available(streams.position_stream(streams.as_fills(events)), "stream-positions")
+
+
+@add("wallet:l session_start:t session_end:t n_events:l", f"""
+    WITH {FILLS}, g AS (SELECT wallet, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM f WINDOW w AS (PARTITION BY wallet ORDER BY ts)),
+    s AS (SELECT wallet, ts, sum(cut) OVER (PARTITION BY wallet ORDER BY ts) AS n FROM g)
+    SELECT wallet, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM s GROUP BY wallet, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return streams.run_available(streams.session_stream(streams.as_fills(events)), "stream-sessions")
