@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordStream, _powers, chunks, encode, mix
+from .words import WordStream, _powers, chunks, encode, mix, slices
 
 RATE = 0.15
 LIMIT = 32_000_000
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, items: DataFrame, *, rate: float = RATE, limit: int
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in batches:
+            for b in slices(batches):
                 ids, rows = b.column("doc_id"), []
                 for at, held in chunks(b.column("text").to_pylist()):
                     s = WordStream([encode(t) for t in held])
@@ -171,7 +171,7 @@ def clean(docs: DataFrame, items: DataFrame, *, rate: float = RATE, limit: int =
         shared = spark.sparkContext.broadcast(ItemIndex.build(part, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 keep = np.ones(b.num_rows, bool)
                 for at, held in chunks(b.column("text").to_pylist()):
                     s = WordStream([encode(t) for t in held])

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .groups import block_pairs, connected_components, local_roots, whole_groups
 from .scratch import materialise
-from .words import WordStream, chunks, encode, grams
+from .words import WordStream, chunks, encode, grams, slices
 
 TREES, LONGEST = 32, 7
 SKETCH = 128
 THRESHOLD, TARGET = 0.8, 0.9999
-BLOCK = 512
+#: Rows of a block where sketches (small) and where texts are compared.
+BLOCK, TEXT_BLOCK = 4096, 512
 
 
 def minima(flat: np.ndarray, offsets: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
@@ -61,7 +62,7 @@ def minima(flat: np.ndarray, offsets: np.ndarray, count: int, seed: int = 11) ->
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, count: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").to_pylist()
         h1, h2, size, sig = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [b""] * len(texts)
         for at, held in chunks(texts):
@@ -166,7 +167,7 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid, root, links, found, stands)], ["a", "b", "links", "found", "stands"])
 
 
-def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: int, longest: int, block: int) -> DataFrame:
+def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: int, longest: int, block: int, text_block: int) -> DataFrame:
     """Per row of ``docs``: doc_id, r1, r2, n_grams and, if it has n-grams, _root (its component), _class and _n."""
     count = trees * longest
     signed = materialise(_with_row_keys(docs).mapInArrow(lambda it: _signed(it, n, count), "doc_id long, r1 long, r2 long, h1 long, h2 long, n_grams long, sig binary"), "signed")
@@ -185,7 +186,7 @@ def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: in
         sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
         members = family.join(sizes, "root").join(classes.select("cid", "copies", "r1", "r2"), family["node"] == F.col("cid")).select(F.col("root").alias("family"), "_size", "cid", "copies", "r1", "r2")
         texts = _with_row_keys(docs).drop("doc_id").join(members, ["r1", "r2"]).dropDuplicates(["cid"])
-        pairs = block_pairs(texts.select("family", "_size", "cid", "copies", "text"), F.col("_size"), F.xxhash64("cid"), block // 2)
+        pairs = block_pairs(texts.select("family", "_size", "cid", "copies", "text"), F.col("_size"), F.xxhash64("cid"), text_block)
         pairs = pairs.repartition("family", "_bi", "_bj").sortWithinPartitions("family", "_bi", "_bj")
         depth_now = depth
         verified = materialise(pairs.mapInArrow(lambda it: _verified(it, n, threshold, depth_now, trees), "a long, b long, links long, found double, stands double"), "links")
@@ -203,17 +204,17 @@ def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: in
     return signed.drop("sig").join(known, ["h1", "h2"], "left")
 
 
-def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """doc_id, class_id, n_links: one row per row of ``docs``. n_links counts the other rows of
     similarity ``threshold`` or more; class_id is the smallest id that links lead to."""
-    rows, worded = _classed(docs, n, threshold, target, trees, longest, block), F.col("n_grams") > 0
+    rows, worded = _classed(docs, n, threshold, target, trees, longest, block, text_block), F.col("n_grams") > 0
     return rows.select("doc_id", F.when(worded, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
-def deduplicate(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+def deduplicate(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """The row of smallest id of each component, all columns kept, and all rows without words; rows equal
     in id and text count as one."""
-    rows = _classed(docs, n, threshold, target, trees, longest, block)
+    rows = _classed(docs, n, threshold, target, trees, longest, block, text_block)
     best = rows.filter("n_grams > 0").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("_best")).select("_best.r1", "_best.r2")
     kept = materialise(best.unionByName(rows.filter("n_grams = 0").select("r1", "r2").distinct()).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")), "kept")
     keyed = docs.withColumns({"_r1": F.xxhash64("doc_id", "text"), "_r2": F.xxhash64("text", F.lit(7), "doc_id")})

@@ -9,7 +9,7 @@ of its words' marginal probabilities, each the forward recursion's last value, a
 
 Pieces never cross a word's leading mark, so a word's likelihood is the same in all texts: words are
 counted once over the corpus, the lattice runs once per distinct word, and texts are scored by adding
-up. The ``head`` most frequent words are broadcast, a fixed number; all other words are joined.
+up. The most frequent words, ``head`` at most, are broadcast; all other words are joined.
 
 Tokens are runs of bytes other than white space of the text with A-Z lower-cased, then one end.
 
@@ -27,12 +27,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
 from .training import remainder
-from .words import _powers, mix
+from .words import _powers, mix, slices
 
 MARK = "▁"
 HEAD = 200_000
@@ -166,7 +166,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iter
         n = c + np.array([rest[w] for w in words], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(n)], ["word", "c", "n"])
 
-    for b in batches:
+    for b in slices(batches):
         for text, learn in zip(b.column("text").to_pylist(), b.column("learn").to_pylist(), strict=True):
             (train if learn else rest).update(tokens(text))
             if len(train) + len(rest) > most:
@@ -189,6 +189,22 @@ def _decoded(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[
         yield table, [w.decode("utf-8") for w in table.column("word").to_pylist()]
 
 
+def _frequency_class() -> Column:
+    """Sixteen classes for each doubling of a word's count."""
+    return F.floor(F.log2("n") * 16)
+
+
+def _head_class(types: DataFrame, head: int) -> int:
+    """The least frequency class from which on there are at most ``head`` words; one row per class is collected."""
+    at, room = 2**31, head
+    for r in types.groupBy(_frequency_class().alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        at = r["k"]
+    return at
+
+
 def score(docs: DataFrame, vocabulary_file: str, *, folds: int = 7, held_out: int = 2, head: int = HEAD, rounds: int = EM_ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -232,13 +248,13 @@ def score(docs: DataFrame, vocabulary_file: str, *, folds: int = 7, held_out: in
             yield from table.append_column("ll", values).to_batches()
 
     known = materialise(types.mapInArrow(likelihoods, "word binary, c long, n long, ll double"), "scored-words")
-    top = known.orderBy(F.desc("n"), "word").limit(head).select("word", "c", "ll").toArrow()
+    top = known.filter(_frequency_class() >= _head_class(known, head)).select("word", "c", "ll").toArrow()
     common = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("ll").to_numpy()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, ll = common.value
         place, logc = dict(zip(words, range(len(words)), strict=True)).get, np.log10(c + 1.0)
-        for b in batches:
+        for b in slices(batches):
             rows, tail_words, tail_counts, sizes = [], [], [], [0]
             for text in b.column("text").to_pylist():
                 have = tokens(text)

@@ -23,7 +23,7 @@ class FeatureSpec:
 def features(texts: Sequence[str | None], spec: FeatureSpec) -> tuple[np.ndarray, np.ndarray]:
     """The distinct feature numbers of each text, ascending, and their offsets."""
     out, sizes = [], []
-    for _, held in chunks(texts, 1 << 19):
+    for _, held in chunks(texts, 1 << 17):
         raw = [(t or "").encode("utf-8", "replace") for t in held]
         low = [(t or "").lower().encode("utf-8", "replace") for t in held]
         streams: dict[str, WordStream] = {}

@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import slices
+
 WINDOW = 2048
 #: A remainder is cut so that small parts level what large ones leave uneven.
 SHARES = (0.9, 0.07, 0.03)
 GROUP = 1_000_000
 END_ID = 1
-_CACHE = 400_000
+_CACHE = 600_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -89,27 +91,70 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 #: str.split also cuts at these four; the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Where a letter may join a mark, or a special token may stand, capitals are left to the tokenizer.
+_AS_WRITTEN = re.compile("[\u0300-\u036f]|<\\|")
+_MARKS = ".,;:!?*&%$#|()"
 
 
 class Encoder:
-    """Ids of a tokenizers file, with white-space separated parts looked up where they were seen before:
-    the tokenizer drops white space and never joins across it."""
+    """Ids of a lower-casing tokenizers file whose pre-tokenizer takes runs of letters, and of other signs, apart
+    and drops white space. Parts between white space are looked up where they were seen before; new runs of
+    letters are encoded many at a time and told apart by the ids that end words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer, self._seen = Tokenizer.from_file(path), {}
+        vocab = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+
+    @staticmethod
+    def _parts(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not _AS_WRITTEN.search(text):
+            text = text.encode("utf-8", "replace").lower().decode()
+        if _ODD_SPACE.search(text):
+            return _SPACE.split(text.strip(" \t\n\r\x0b\x0c"))
+        return text.split()
+
+    def _learn(self, new: set[str]) -> None:
+        seen, letters, others, joined = self._seen, set(), set(), []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                letters.add(core)
+                if len(core) < len(w):
+                    others.add(w[len(core) :])
+                    joined.append((w, core, w[len(core) :]))
+            else:
+                others.add(w)
+        todo = [w for w in letters if w not in seen]
+        for at in range(0, len(todo), 4096):
+            part = todo[at : at + 4096]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, at_byte = ids.tobytes(), (ends * 4).tolist()
+                seen.update(zip(part, map(raw.__getitem__, map(slice, [0, *at_byte[:-1]], at_byte)), strict=True))
+            else:
+                others.update(part)
+        rest = [w for w in others if w not in seen]
+        for w, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            seen[w] = np.array(e.ids, "<u4").tobytes()
+        for w, core, mark in joined:
+            seen[w] = seen[core] + seen[mark]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_ODD_SPACE.search(t) and _SPACE.split(t.strip(" \t\n\r\x0b\x0c")) or t.split() if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self._seen})
+        split = [self._parts(t) for t in texts]
+        words = set().union(*split)
+        new = words.difference(self._seen)
         if len(self._seen) + len(new) > _CACHE:
-            self._seen = {}
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self._seen[w] = np.array(e.ids, "<u4").tobytes()
-        seen, end = self._seen, np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([seen[w] for w in words]) + end, "<u4") for words in split]
+            self._seen, new = {}, words
+        self._learn(new)
+        get, end = self._seen.__getitem__, np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(get, parts)) + end, "<u4") for parts in split]
 
 
 def cut(length: int, window: int, shares: tuple[float, ...]) -> list[tuple[int, int]]:
@@ -148,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, shares: tuple
         from pyspark import TaskContext
 
         encoder, first, held, tokens = Encoder(tokenizer), TaskContext.get().partitionId() << 40, [], 0
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for at in range(0, len(ids), 256):
                 for doc, row in zip(ids[at : at + 256], encoder.encode(texts.slice(at, 256).to_pylist()), strict=True):

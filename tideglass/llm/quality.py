@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .linear import FeatureSpec, FtrlModel, features, fit_ftrl
 from .training import fit_in_one_task, labelled_sample, remainder
+from .words import slices
 
 SPEC = FeatureSpec((("surface", 1), ("surface", 2), ("shape", 1), ("shape", 2), ("repeat", 2)))
 SAMPLE = 12_000
@@ -41,7 +42,7 @@ def score(docs: DataFrame, model: FtrlModel | None, *, spec: FeatureSpec = SPEC,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = shared.value.predict(*features(b.column("text").to_pylist(), spec))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(np.float64))], [*b.schema.names, out])
 

@@ -29,6 +29,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import slices
+
 LEAST = 12
 THRESHOLD = 0.5
 FINDINGS = 4000
@@ -192,7 +194,7 @@ def scan(docs: DataFrame, dictionary: str, *, path: Column | None = None, model:
     base = docs.select("doc_id", "text", F.coalesce(F.lit("") if path is None else path, F.lit("")).alias("path"), F.xxhash64("text").alias("r1"), F.xxhash64(F.lit(7), "text").alias("r2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = {k: [] for k in ("row", "start", "end", "candidate", "x")}
             paths = b.column("path")
             for i, text in enumerate(b.column("text").to_pylist()):

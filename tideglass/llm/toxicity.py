@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .linear import FeatureSpec, FtrlModel, features, fit_ftrl
 from .training import fit_in_one_task, labelled_sample
+from .words import slices
 
 SPEC = FeatureSpec((("word", 1), ("root", 1)))
 #: steps and sparsity suited to few telling words among very many
@@ -83,7 +84,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: Sequence[str], *, sp
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = shared.value.predict(*features(b.column("text").to_pylist(), spec))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, j]) for j in range(len(names)))], [*b.schema.names, *names])
 

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import FeatureSpec, features
+from .words import slices
+
+
+_RANGE = 1 << 40
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -28,8 +32,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: Sequence[str],
     usable = labels.filter(F.col("doc_id").isNotNull() & eligible)
     for c in columns:
         usable = usable.filter(F.col(c).isNotNull())
-    chosen = usable.groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in columns))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = usable.groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in columns)).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)))
+    share = 2 * bound / max(1, usable.count())
+    if share < 1:  # so that about 2 x bound rows are sorted, however many there are
+        chosen = chosen.filter(F.col("_h") < int(share * _RANGE))
+    chosen = chosen.orderBy("_h", "doc_id").limit(bound).drop("_h")
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
 
 
@@ -37,14 +44,14 @@ def fit_in_one_task(sample: DataFrame, columns: Sequence[str], spec: FeatureSpec
     """``fit(feature rows, labels)`` in one task over the bounded ``sample``; None if the sample is empty."""
 
     def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             idx, offsets = features(b.column("text").to_pylist(), spec)
             rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(idx, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in columns), rows], ["doc_id", *columns, "_f"])
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        return pd.DataFrame({"model": [pickle.dumps(fit([np.asarray(x, np.int64) for x in pdf["_f"]], pdf[list(columns)]))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(list(pdf.pop("_f")), pdf))]})
 
     hashed = sample.select("doc_id", *columns, "text").mapInArrow(as_features, "doc_id long, " + "".join(f"{c} int, " for c in columns) + "_f array<int>")
     got = hashed.groupBy(F.lit(0).alias("_all")).applyInPandas(train, "model binary").collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -27,7 +28,7 @@ SHAPE_BYTES = bytes(
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        row = np.full(max(n, 1 << 20), base, np.uint64)
+        row = np.full(max(n, 1 << 19), base, np.uint64)
         row[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(row)
     return have[:n]
@@ -94,7 +95,16 @@ def encode(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
-def chunks(texts: Sequence[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so a task never holds many texts as Python strings;
+    what Arrow has set aside is given back at the end, because workers live on."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def chunks(texts: Sequence[str | None], size: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
     """(index of the first text, texts) with about ``size`` characters each; a longer text stands alone."""
     at, held, chars = 0, [], 0
     for i, t in enumerate(texts):
