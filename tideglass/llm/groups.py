@@ -56,6 +56,16 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def star_edges(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for all but the least; ``root`` is what ``local_roots`` gives.
+    Groups that share most of their members thus share most of their edges."""
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    to = least[root]
+    moved = np.flatnonzero(to != node)
+    return node[moved], to[moved]
+
+
 def block_pairs(df: DataFrame, size: Column, spread: Column, block: int) -> DataFrame:
     """Adds _own, the block of a row of a group of ``size`` rows, and _bi <= _bj, the pairs of blocks in
     which it takes part: pairs of rows meet in just one pair of blocks, each of about 2 x ``block`` rows."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import block_pairs, connected_components, local_roots, whole_groups
+from .groups import block_pairs, connected_components, local_roots, star_edges, whole_groups
 from .scratch import materialise
 from .words import WordStream, chunks, encode, grams, slices
 
@@ -106,9 +106,8 @@ def _family_edges(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.
                 left.append(hit)
                 right.append(hit + d)
         a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-        root = local_roots(len(cid), a, b)
-        moved = np.flatnonzero(root != np.arange(len(cid)))
-        yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[root[moved]])], ["a", "b"])
+        a, b = star_edges(cid, local_roots(len(cid), a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def similarities(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +160,10 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth
                 linked &= own[lo:hi, None] != own[None, lo:hi]
             links[lo:hi] = linked @ copies[lo:hi]
             a, b = np.nonzero(np.triu(linked))
-            root[lo:hi] = cid[lo:hi][local_roots(hi - lo, a, b)]
+            local = local_roots(hi - lo, a, b)
+            least = cid[lo:hi].copy()
+            np.minimum.at(least, local, cid[lo:hi])
+            root[lo:hi] = least[local]
             np.add.at(found[lo:hi], a, 1)
             np.add.at(stands[lo:hi], a, 1 / met(shared[a, b] / union[a, b], depth, trees))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid, root, links, found, stands)], ["a", "b", "links", "found", "stands"])
