@@ -6,6 +6,7 @@ import numpy as np
 from helpers import awkward, documents, sentence
 
 from tideglass.llm import jaccard
+from tideglass.llm.groups import connected_components
 
 
 def brute(rows, n=5, threshold=0.8):
@@ -84,3 +85,23 @@ def test_minima_estimate_similarity():
     both = np.concatenate((flat[:8000], flat[1000:9000]))
     low = jaccard.minima(both, np.array([0, 8000, 16000]), 512)
     assert abs((low[0] == low[1]).mean() - 7 / 9) < 0.08
+
+
+def test_components_of_many_shapes(spark):
+    rng = random.Random(3)
+    path = [(i, i + 1) for i in range(200)]
+    zipper = [(1000 + i, 1002 + i) for i in range(100)] + [(1100, 1101)]
+    hub = [(5000, i) for i in range(4000, 4300)]
+    loose = [(9000 + rng.randrange(80), 9000 + rng.randrange(80)) for _ in range(50)]
+    edges = path + zipper + hub + loose + loose[:9] + [(7, 7), (12345, 12345), (None, 3), (3, None)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    while True:
+        was = dict(root)
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == was:
+            break
+    assert got == root
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

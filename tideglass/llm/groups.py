@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
@@ -75,21 +75,22 @@ def block_pairs(df: DataFrame, size: Column, spread: Column, block: int) -> Data
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of all nodes in ``edges``; root is the component's smallest node.
+    """(node, root) of all nodes that an edge joins to another one; root is the component's smallest node.
 
-    Min-label rounds with pointer jumping; each round's table is written to the shared folder. Only a
-    count of changed labels reaches the driver. Rows with a null end are ignored.
+    Edges lead from a node to a smaller one. Each round ties a node's smaller neighbours to the least of them, so
+    that stars which overlap collapse to about one edge a node, and then sends each edge on to its end's least
+    neighbour. It ends with one star per component. Each round's table is written to the shared folder; only
+    a mark of changes reaches the driver. Edges with a null end or equal ends are ignored.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    label = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("root")), "labels")
+    ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    pairs = materialise(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(64):
-        near = both.join(label.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        next_ = label.join(near, label["node"] == near["u"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("_was"))
-        jumped = next_.alias("x").join(next_.select(F.col("node").alias("_at"), F.col("root").alias("_further")).alias("y"), F.col("x.root") == F.col("y._at"))
-        new = materialise(jumped.select("node", F.least("root", "_further").alias("root"), "_was"), "labels")
-        moved = new.filter(F.col("root") != F.col("_was")).agg(F.count(F.lit(1))).first()[0]
-        label = new.select("node", "root")
-        if not moved:
-            return label
+        least = pairs.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("low")).withColumn("moved", F.col("v") > F.col("low"))
+        tied = F.explode(F.array(*(F.struct(F.col(end).alias("u"), F.col("low").alias("v"), "moved") for end in ("u", "v")))).alias("e")
+        pulled = materialise(least.select(tied).select("e.*").filter("u > v").groupBy("u", "v").agg(F.max("moved").alias("moved")), "pulled")
+        up = pulled.groupBy("u").agg(F.min("v").alias("up")).withColumnRenamed("u", "v")
+        sent = pulled.join(up, "v", "left").select("u", F.coalesce("up", "v").alias("v"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        pairs = materialise(sent, "sent")
+        if not pairs.agg(F.max("moved")).first()[0]:
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError("components did not settle in 64 rounds")
