@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,25 @@ from .relational_queries import FILLS
 REGISTRY = Registry()
 add = REGISTRY.add
 
+#: The drill queries lose each execution whose id this divides, so that positions jump; their SQL has the same clause.
+LOST = 97
+_LOSS = " WHERE id % 97 <> 0"
+
+
+def both(columns: str, sql: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers a drill query under its name, and as ``whole_`` with its name over every execution, with SQL that loses none."""
+
+    def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(spark, sf_dir, 0)
+
+        whole.__name__ = f"whole_{build.__name__}"
+        add(columns, sql.replace(_LOSS, ""))(whole)
+        return add(columns, sql)(build)
+
+    return register
+
+
 #: o: start positions moved by wallet % 3; k: trusted rows up to the first jump; g: legs; w: legs in order; r: the fold; c: cycles.
 TRUST = """
     o AS (SELECT * REPLACE (start_position + wallet % 3 AS start_position) FROM f WHERE id % 97 <> 0),
@@ -50,12 +71,12 @@ CYCLES = f"""{LEGS},
 WITH_CYCLES = f"WITH RECURSIVE {FILLS}, {CYCLES}"
 
 
-def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fills(spark, sf_dir, offset=True, drop_every=97)
+def _fills(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return fills(spark, sf_dir, offset=True, drop_every=lost)
 
 
-def _profits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.profit(cycles.cycles(_fills(spark, sf_dir)))
+def _profits(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.profit(cycles.cycles(_fills(spark, sf_dir, lost)))
 
 
 @add("wallet:l coin:s id:l start_position:l after:l", f"WITH {FILLS} SELECT wallet, coin, id, start_position, start_position + delta AS after FROM f")
@@ -63,34 +84,34 @@ def running_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).withColumn("after", F.col("start_position") + F.col("delta"))
 
 
-@add("wallet:l coin:s n_skipped:l n_trusted:l first_at:t trusted_from:t", f"WITH {FILLS}, {TRUST} SELECT wallet, coin, count(*) FILTER (NOT trusted) AS n_skipped, count(*) FILTER (trusted) AS n_trusted, min(ts) AS first_at, min(ts) FILTER (trusted) AS trusted_from FROM t GROUP BY ALL")
-def trusted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.prefix_report(_fills(spark, sf_dir))
+@both("wallet:l coin:s n_skipped:l n_trusted:l first_at:t trusted_from:t", f"WITH {FILLS}, {TRUST} SELECT wallet, coin, count(*) FILTER (NOT trusted) AS n_skipped, count(*) FILTER (trusted) AS n_trusted, min(ts) AS first_at, min(ts) FILTER (trusted) AS trusted_from FROM t GROUP BY ALL")
+def trusted_prefix(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.prefix_report(_fills(spark, sf_dir, lost))
 
 
-@add("wallet:l coin:s id:l leg:l role:s cycle:l size:l fee:r closed_pnl:l ends:b", f"WITH {FILLS}, {LEGS} SELECT * FROM g")
-def cycle_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.legs(_fills(spark, sf_dir))
+@both("wallet:l coin:s id:l leg:l role:s cycle:l size:l fee:r closed_pnl:l ends:b", f"WITH {FILLS}, {LEGS} SELECT * FROM g")
+def cycle_legs(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.legs(_fills(spark, sf_dir, lost))
 
 
-@add("wallet:l coin:s cycle:l cycle_id:s side:s state:s opened_at:t closed_at:t n_fills:l entry_quantity:l exit_quantity:l", f"{WITH_CYCLES} SELECT *, CASE WHEN closed_at IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS state FROM c")
-def cycle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.cycles(_fills(spark, sf_dir))
+@both("wallet:l coin:s cycle:l cycle_id:s side:s state:s opened_at:t closed_at:t n_fills:l entry_quantity:l exit_quantity:l", f"{WITH_CYCLES} SELECT *, CASE WHEN closed_at IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS state FROM c")
+def cycle_segments(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.cycles(_fills(spark, sf_dir, lost))
 
 
-@add("wallet:l coin:s cycle:l entry_price:d", f"{WITH_CYCLES} SELECT wallet, coin, cycle, entry_price FROM c")
-def cycle_entry_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.cycles(_fills(spark, sf_dir))
+@both("wallet:l coin:s cycle:l entry_price:d", f"{WITH_CYCLES} SELECT wallet, coin, cycle, entry_price FROM c")
+def cycle_entry_price(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.cycles(_fills(spark, sf_dir, lost))
 
 
-@add("wallet:l coin:s cycle:l fee:r official_pnl:l recomputed_pnl:r net_pnl:r closed_pnl_mismatch:b", f"{WITH_CYCLES} SELECT *, abs(official_pnl - recomputed_pnl) > 1e-9 AS closed_pnl_mismatch FROM p")
-def cycle_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profits(spark, sf_dir)
+@both("wallet:l coin:s cycle:l fee:r official_pnl:l recomputed_pnl:r net_pnl:r closed_pnl_mismatch:b", f"{WITH_CYCLES} SELECT *, abs(official_pnl - recomputed_pnl) > 1e-9 AS closed_pnl_mismatch FROM p")
+def cycle_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return _profits(spark, sf_dir, lost)
 
 
-@add("wallet:l n:l official_pnl:l fee:r net_pnl:r recomputed_pnl:r", f"{WITH_CYCLES} SELECT wallet, count(*) AS n, sum(official_pnl) AS official_pnl, sum(fee) AS fee, sum(net_pnl) AS net_pnl, sum(recomputed_pnl) AS recomputed_pnl FROM p GROUP BY wallet")
-def aggregate_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profits(spark, sf_dir).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in ("official_pnl", "fee", "net_pnl", "recomputed_pnl")))
+@both("wallet:l n:l official_pnl:l fee:r net_pnl:r recomputed_pnl:r", f"{WITH_CYCLES} SELECT wallet, count(*) AS n, sum(official_pnl) AS official_pnl, sum(fee) AS fee, sum(net_pnl) AS net_pnl, sum(recomputed_pnl) AS recomputed_pnl FROM p GROUP BY wallet")
+def aggregate_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return _profits(spark, sf_dir, lost).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in ("official_pnl", "fee", "net_pnl", "recomputed_pnl")))
 
 
 def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,16 +128,16 @@ _ALLOCATED = f"""{_FUNDING},
         FROM u LEFT JOIN c ON c.wallet = u.wallet AND c.coin = u.coin GROUP BY ALL)"""
 
 
-@add("funding_id:l wallet:l coin:s allocation:s cycle:l", f"""{WITH_CYCLES}, {_ALLOCATED}
+@both("funding_id:l wallet:l coin:s allocation:s cycle:l", f"""{WITH_CYCLES}, {_ALLOCATED}
     SELECT funding_id, wallet, coin, CASE WHEN at_edge THEN 'CYCLE_BOUNDARY_AMBIGUOUS' WHEN cycle IS NULL THEN 'NO_TRUSTED_CYCLE' ELSE 'ALLOCATED' END AS allocation, CASE WHEN NOT coalesce(at_edge, FALSE) THEN cycle END AS cycle FROM m""")
-def funding_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.allocate_funding(_funding(spark, sf_dir), cycles.cycles(_fills(spark, sf_dir)))
+def funding_interval_join(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return cycles.allocate_funding(_funding(spark, sf_dir), cycles.cycles(_fills(spark, sf_dir, lost)))
 
 
-@add("wallet:l coin:s cycle:l funding:r net_pnl:r", f"""{WITH_CYCLES}, {_ALLOCATED}, s AS (SELECT wallet, coin, cycle, sum(amount) AS funding FROM m WHERE NOT coalesce(at_edge, FALSE) AND cycle IS NOT NULL GROUP BY ALL)
+@both("wallet:l coin:s cycle:l funding:r net_pnl:r", f"""{WITH_CYCLES}, {_ALLOCATED}, s AS (SELECT wallet, coin, cycle, sum(amount) AS funding FROM m WHERE NOT coalesce(at_edge, FALSE) AND cycle IS NOT NULL GROUP BY ALL)
     SELECT p.wallet, p.coin, p.cycle, coalesce(funding, 0) AS funding, net_pnl + coalesce(funding, 0) AS net_pnl FROM p LEFT JOIN s ON s.wallet = p.wallet AND s.coin = p.coin AND s.cycle = p.cycle""")
-def cycle_funding_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cycles.cycles(_fills(spark, sf_dir))
+def cycle_funding_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    own = cycles.cycles(_fills(spark, sf_dir, lost))
     return cycles.profit(own, cycles.allocate_funding(_funding(spark, sf_dir), own))
 
 
@@ -130,18 +151,18 @@ _STATS = f"""{_STREAK},
     v AS (SELECT x.*, y.max_losing_streak FROM x JOIN y ON x.wallet = y.wallet)"""
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.trade_stats(_profits(spark, sf_dir).filter("state = 'CLOSED'"), ["wallet"])
+def _stats(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return stats.trade_stats(_profits(spark, sf_dir, lost).filter("state = 'CLOSED'"), ["wallet"])
 
 
-@add("wallet:l n_cycles:l n_wins:l n_losses:l n_even:l win_rate:r average_win:r average_loss:r profit_factor:r top_trade_share:r total_pnl:r max_losing_streak:l", f"{WITH_CYCLES}, {_STATS} SELECT * FROM v")
-def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir)
+@both("wallet:l n_cycles:l n_wins:l n_losses:l n_even:l win_rate:r average_win:r average_loss:r profit_factor:r top_trade_share:r total_pnl:r max_losing_streak:l", f"{WITH_CYCLES}, {_STATS} SELECT * FROM v")
+def trade_stats(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return _stats(spark, sf_dir, lost)
 
 
-@add("wallet:l max_losing_streak:l", f"{WITH_CYCLES}, {_STREAK} SELECT * FROM y")
-def losing_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.losing_streak(_profits(spark, sf_dir).filter("state = 'CLOSED'"), ["wallet"])
+@both("wallet:l max_losing_streak:l", f"{WITH_CYCLES}, {_STREAK} SELECT * FROM y")
+def losing_streak(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return stats.losing_streak(_profits(spark, sf_dir, lost).filter("state = 'CLOSED'"), ["wallet"])
 
 
 @add("wallet:l coin:s id:l ordinal:l event_type:s direction:s quantity:l position_before:l position_after:l notional:r", f"""
@@ -254,7 +275,7 @@ def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("m.measure", "m.value").agg(F.count(F.lit(1)).alias("n")).select("measure", "value", "n")
 
 
-@add("wallet:l state:s reasons:s rank:l", f"""{WITH_CYCLES}, {_STATS},
+@both("wallet:l state:s reasons:s rank:l", f"""{WITH_CYCLES}, {_STATS},
     s0 AS (SELECT wallet, wallet % 13 <> 0 AS has_run, wallet % 7 <> 0 AS evaluable, n_cycles, win_rate, profit_factor, top_trade_share AS top_share, average_win, average_loss, max_losing_streak AS streak, wallet % 30 - 2 AS age FROM v),
     s1 AS (SELECT *, win_rate IS NULL OR profit_factor IS NULL OR top_share IS NULL OR average_win IS NULL OR average_loss IS NULL AS missing FROM s0),
     s2 AS (SELECT *, CASE WHEN NOT has_run THEN 'NO_PERFORMANCE_RUN' ELSE concat_ws(',', CASE WHEN NOT evaluable THEN 'TRADE_HISTORY_NOT_EVALUABLE' END, CASE WHEN n_cycles < 6 THEN 'TOO_FEW_COMPLETED_TRADES' END, CASE WHEN missing THEN 'REQUIRED_METRIC_MISSING' END,
@@ -263,9 +284,9 @@ def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s3 AS (SELECT *, CASE WHEN rv <> '' THEN 'REVIEW' WHEN ex <> '' THEN 'EXCLUDED' ELSE 'QUALIFIED' END AS st FROM s2),
     s4 AS (SELECT *, CASE WHEN st = 'QUALIFIED' THEN row_number() OVER (PARTITION BY st ORDER BY win_rate DESC, n_cycles DESC, profit_factor DESC, top_share, wallet) END AS rk FROM s3)
     SELECT wallet, CASE WHEN rk <= 20 THEN 'SELECTED' ELSE st END AS state, CASE WHEN rv <> '' THEN rv ELSE ex END AS reasons, CASE WHEN rk <= 20 THEN rk END AS rank FROM s4""")
-def selection_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selection_v2(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
     w = F.col("wallet")
-    runs = _stats(spark, sf_dir).select("wallet", (w % 13 != 0).alias("has_run"), (w % 7 != 0).alias("evaluable"), "n_cycles", "win_rate", "profit_factor", F.col("top_trade_share").alias("top_share"), "average_win", "average_loss", F.col("max_losing_streak").alias("losing_streak"), (w % 30 - 2).alias("age_hours"))
+    runs = _stats(spark, sf_dir, lost).select("wallet", (w % 13 != 0).alias("has_run"), (w % 7 != 0).alias("evaluable"), "n_cycles", "win_rate", "profit_factor", F.col("top_trade_share").alias("top_share"), "average_win", "average_loss", F.col("max_losing_streak").alias("losing_streak"), (w % 30 - 2).alias("age_hours"))
     return selection.select_by_trades(runs, selection.TradePolicy(most=20, least_cycles=6, least_win_rate=0.4, least_profit_factor=0.5, most_top_share=0.8))
 
 
@@ -420,20 +441,20 @@ def causal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("cohort:l wallet:s raw_weight:s weight:s")
 def exact_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohorts of ten wallets, with decimal arithmetic."""
+    """Cohorts of ten wallets over every execution, with decimal arithmetic."""
     text = {c: F.coalesce(F.round(c, 9), F.lit(0.0)).cast("decimal(38,9)").cast("string") for c in ("win_rate", "profit_factor", "top_trade_share")}
-    members = _stats(spark, sf_dir).select(F.floor(F.col("wallet") / 10).alias("cohort"), F.col("wallet").cast("string").alias("wallet"), "n_cycles", *(v.alias(k) for k, v in text.items()))
+    members = _stats(spark, sf_dir, 0).select(F.floor(F.col("wallet") / 10).alias("cohort"), F.col("wallet").cast("string").alias("wallet"), "n_cycles", *(v.alias(k) for k, v in text.items()))
     return cohort.exact_weights(members)
 
 
 # --- the whole plan, and streams -----------------------------------------------------------------------------
 
 
-def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _performance(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
     from .performance import performance
 
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").alias("id"), F.col("value").alias("nav"))
-    return performance(_fills(spark, sf_dir), points)
+    return performance(_fills(spark, sf_dir, lost), points)
 
 
 _PERFORMANCE = f"""{_STATS},
@@ -452,17 +473,17 @@ _PERFORMANCE = f"""{_STATS},
         UNION ALL SELECT wallet, 'exposure', 'largest_share', max(share) FROM cs GROUP BY wallet UNION ALL SELECT wallet, 'exposure', 'hhi', sum(share * share) FROM cs GROUP BY wallet)"""
 
 
-@add("wallet:l lane:s metric:s value:r error_code:s", f"{WITH_CYCLES}, {_PERFORMANCE} SELECT *, CASE WHEN value IS NULL THEN CASE lane WHEN 'return' THEN 'INSUFFICIENT_HISTORY' ELSE 'METRIC_UNAVAILABLE' END END AS error_code FROM ml")
-def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _performance(spark, sf_dir)
+@both("wallet:l lane:s metric:s value:r error_code:s", f"{WITH_CYCLES}, {_PERFORMANCE} SELECT *, CASE WHEN value IS NULL THEN CASE lane WHEN 'return' THEN 'INSUFFICIENT_HISTORY' ELSE 'METRIC_UNAVAILABLE' END END AS error_code FROM ml")
+def performance_metrics(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+    return _performance(spark, sf_dir, lost)
 
 
-@add("wallet:l n_trade:l n_return:l n_exposure:l n_failed:l status:s", f"""{WITH_CYCLES}, {_PERFORMANCE}
+@both("wallet:l n_trade:l n_return:l n_exposure:l n_failed:l status:s", f"""{WITH_CYCLES}, {_PERFORMANCE}
     SELECT wallet, count(value) FILTER (lane = 'trade') AS n_trade, count(value) FILTER (lane = 'return') AS n_return, count(value) FILTER (lane = 'exposure') AS n_exposure, count(*) - count(value) AS n_failed, 'SUCCEEDED' AS status FROM ml GROUP BY wallet""")
-def performance_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+def performance_overview(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
     from .performance import overview
 
-    return overview(_performance(spark, sf_dir))
+    return overview(_performance(spark, sf_dir, lost))
 
 
 @add("coin:s bucket:t n_events:l notional:r", f"""WITH {FILLS}, fb AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM f)
