@@ -28,3 +28,15 @@ def test_long_history_is_followed_to_its_end(spark, tmp_path):
     n = whole.n_cycles
     quality = (whole.win_rate + whole.profit_factor / (whole.profit_factor + 1)) / 2
     assert abs(float(exact.raw_weight) - quality * n / (n + 30) * (1 - whole.top_trade_share)) < 1e-5
+
+
+def test_every_wallet_is_in_a_cohort(spark, tmp_path):
+    d = events(spark, tmp_path, [(3 * (i % 9 + 1), "view", (i // 9) * 5 % 6) for i in range(360)])
+    q = trading_queries.REGISTRY.queries
+    weights = q["whole_wallet_weight_lr"](spark, d).collect()
+    assert {r.wallet for r in weights} == {3 * i for i in range(1, 10)}
+    for c in {r.cohort for r in weights}:
+        assert sum(r.weight_units for r in weights if r.cohort == c) == 1_000_000_000
+    rows = q["whole_wallet_contribution"](spark, d).collect()
+    assert {r.wallet for r in rows if r.n_buy + r.n_sell} == {r.wallet for r in weights}
+    assert {r.cohort for r in q["whole_signal_strength"](spark, d).collect()} == {0, 1, 2}

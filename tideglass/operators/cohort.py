@@ -42,6 +42,7 @@ def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKE
     """Per coin, bucket and cohort member: its weight split over buying and selling.
 
     A member counts once per bucket, half on each side if it did both; members without events count with 0.
+    Other columns of ``weights``, such as its cohort, are kept.
     """
     buying = (F.col("direction") == "LONG") == F.col("event_type").isin("POSITION_OPEN", "POSITION_INCREASE")
     per = events.groupBy("coin", bucket_start(F.col("ts"), minutes).alias("bucket"), "wallet").agg(F.count_if(buying).alias("n_buy"), F.count_if(~buying).alias("n_sell"))
@@ -52,10 +53,10 @@ def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKE
     return rows.withColumns({"buy": F.col("weight") * buy, "sell": F.col("weight") * sell})
 
 
-def signals(contributions: DataFrame, *, anchor: int = 2, digits: int = 9) -> DataFrame:
-    """Strengths, net, mass, agreement, breadth and confidence of each coin and bucket."""
+def signals(contributions: DataFrame, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
+    """Strengths, net, mass, agreement, breadth and confidence of each bucket on its basis."""
     took = (F.col("n_buy") + F.col("n_sell")) > 0
-    s = contributions.groupBy("coin", "bucket").agg(F.sum("buy").alias("buy_strength"), F.sum("sell").alias("sell_strength"), F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
+    s = contributions.groupBy(*basis, "bucket").agg(F.sum("buy").alias("buy_strength"), F.sum("sell").alias("sell_strength"), F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
     s = s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "mass": F.col("buy_strength") + F.col("sell_strength")})
     agreement = F.when(F.col("mass") == 0, 0.0).otherwise(F.greatest("buy_strength", "sell_strength") / F.col("mass"))
     s = s.withColumns({"agreement": agreement, "breadth": F.col("n_wallets") / (F.col("n_wallets") + anchor)})

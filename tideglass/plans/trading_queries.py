@@ -270,11 +270,72 @@ def direction_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("measure:s value:r n:l", f"""{WITH_CYCLES}, {_STATS}, {_WEIGHTED}, {_CONTRIB}
     SELECT measure, value, count(*) AS n FROM (SELECT 'net_signal' AS measure, round(net_signal, 1) AS value FROM sg UNION ALL SELECT 'mass', round(mass, 1) FROM sg UNION ALL SELECT 'n_wallets', n_wallets FROM sg) GROUP BY ALL""")
 def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir)
+    return _distribution(_signals(spark, sf_dir))
+
+
+# --- the cohort queries over every wallet: cohorts of ten, each with its own weights and signals -----------------
+
+_BASIS = ("cohort", "coin")
+_COHORTS = f"""{WITH_CYCLES.replace(_LOSS, "")}, {_STATS},
+    mem AS (SELECT wallet // 10 AS cohort, wallet, (n_wins / n_cycles + coalesce(profit_factor, 0) / (coalesce(profit_factor, 0) + 1)) / 2 * (n_cycles / (n_cycles + 30)) * (1 - coalesce(top_trade_share, 1)) AS raw FROM v),
+    un AS (SELECT *, CASE WHEN sum(raw) OVER h > 0 THEN raw / sum(raw) OVER h ELSE 1 / count(*) OVER h END * 1000000000 AS x FROM mem WINDOW h AS (PARTITION BY cohort)),
+    fl AS (SELECT *, floor(x) AS fx FROM un),
+    wt AS (SELECT cohort, wallet, raw, CAST(fx + CASE WHEN row_number() OVER (PARTITION BY cohort ORDER BY round(x - fx, 6) DESC, wallet) <= 1000000000 - sum(fx) OVER (PARTITION BY cohort) THEN 1 ELSE 0 END AS BIGINT) AS weight_units FROM fl),
+    wg AS (SELECT *, weight_units / 1000000000 AS weight FROM wt)"""
+_COHORT_SIGNALS = f"{_COHORTS}, {_CONTRIB.replace('wg.wallet,', 'wg.cohort, wg.wallet,').replace('SELECT coin, bucket, round(', 'SELECT cohort, coin, bucket, round(')}"
+
+
+def _cohort_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0.0)
+    raw = cohort.raw_weight(F.col("win_rate"), F.coalesce("profit_factor", zero), F.col("n_cycles"), F.coalesce("top_trade_share", F.lit(1.0)))
+    members = _stats(spark, sf_dir, 0).withColumns({"raw": raw, "cohort": F.floor(F.col("wallet") / 10)})
+    return cohort.normalised_weights(members, cohort=("cohort",))
+
+
+def _cohort_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.contributions(_cohort_weights(spark, sf_dir).select("cohort", "wallet", "weight"), cycles.transitions(fills(spark, sf_dir)))
+
+
+def _cohort_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.signals(_cohort_contributions(spark, sf_dir), basis=_BASIS)
+
+
+@add("cohort:l wallet:l raw:r weight_units:l", f"{_COHORTS} SELECT * FROM wg")
+def whole_wallet_weight_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cohort_weights(spark, sf_dir)
+
+
+@add("cohort:l coin:s bucket:t wallet:l n_buy:l n_sell:l buy:r sell:r", f"{_COHORT_SIGNALS} SELECT * FROM cn")
+def whole_wallet_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cohort_contributions(spark, sf_dir)
+
+
+@add("cohort:l coin:s bucket:t buy_strength:r sell_strength:r net_signal:r n_wallets:l n_mixed:l confidence:r state:s", f"""{_COHORT_SIGNALS}
+    SELECT *, mass * CASE WHEN mass = 0 THEN 0 ELSE greatest(buy_strength, sell_strength) / mass END * (n_wallets / (n_wallets + 2)) AS confidence, CASE WHEN mass = 0 THEN 'NO_SIGNAL' ELSE 'VALID' END AS state FROM sg""")
+def whole_signal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cohort_signals(spark, sf_dir)
+
+
+@add("cohort:l coin:s bucket:t event_type:s reason:s delta:r", f"""{_COHORT_SIGNALS},
+    dc AS (SELECT b.cohort, b.coin, b.bucket, a.net_signal AS x, b.net_signal AS y FROM sg b JOIN sg a ON a.cohort = b.cohort AND a.coin = b.coin AND a.bucket + INTERVAL 15 MINUTE = b.bucket),
+    lb AS (SELECT *, CASE WHEN x < 0 AND y > 0 THEN 'BULLISH_REVERSAL' WHEN x > 0 AND y < 0 THEN 'BEARISH_REVERSAL' WHEN x > 0 AND y > x THEN 'BUY_ACCELERATING' WHEN x > 0 AND y < x THEN 'BUY_WEAKENING'
+        WHEN x < 0 AND y < x THEN 'SELL_ACCELERATING' WHEN x < 0 AND y > x THEN 'SELL_WEAKENING' ELSE 'NONE' END AS event_type FROM dc)
+    SELECT cohort, coin, bucket, event_type, CASE WHEN event_type <> 'NONE' THEN 'EXACT_NET_TRANSITION' WHEN x = 0 AND y > 0 THEN 'DIRECTION_EMERGED_BUY' WHEN x = 0 AND y < 0 THEN 'DIRECTION_EMERGED_SELL' ELSE 'UNCHANGED_NET' END AS reason, y - x AS delta FROM lb""")
+def whole_direction_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.direction_changes(_cohort_signals(spark, sf_dir), basis=_BASIS)
+
+
+def _distribution(s: DataFrame) -> DataFrame:
     rows = s.select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in (("net_signal", F.round("net_signal", 1)), ("mass", F.round("mass", 1)), ("n_wallets", F.col("n_wallets").cast("double")))))).alias("m"))
     return rows.groupBy("m.measure", "m.value").agg(F.count(F.lit(1)).alias("n")).select("measure", "value", "n")
 
 
+@add("measure:s value:r n:l", f"""{_COHORT_SIGNALS}
+    SELECT measure, value, count(*) AS n FROM (SELECT 'net_signal' AS measure, round(net_signal, 1) AS value FROM sg UNION ALL SELECT 'mass', round(mass, 1) FROM sg UNION ALL SELECT 'n_wallets', n_wallets FROM sg) GROUP BY ALL""")
+def whole_signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distribution(_cohort_signals(spark, sf_dir))
+
+
 @both("wallet:l state:s reasons:s rank:l", f"""{WITH_CYCLES}, {_STATS},
     s0 AS (SELECT wallet, wallet % 13 <> 0 AS has_run, wallet % 7 <> 0 AS evaluable, n_cycles, win_rate, profit_factor, top_trade_share AS top_share, average_win, average_loss, max_losing_streak AS streak, wallet % 30 - 2 AS age FROM v),
     s1 AS (SELECT *, win_rate IS NULL OR profit_factor IS NULL OR top_share IS NULL OR average_win IS NULL OR average_loss IS NULL AS missing FROM s0),
