@@ -3,7 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
-from tideglass.plans import trading_queries
+from tideglass.plans import audit_queries, relational_queries, trading_queries
 
 T0 = datetime(2024, 1, 1)
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -40,3 +40,14 @@ def test_every_wallet_is_in_a_cohort(spark, tmp_path):
     rows = q["whole_wallet_contribution"](spark, d).collect()
     assert {r.wallet for r in rows if r.n_buy + r.n_sell} == {r.wallet for r in weights}
     assert {r.cohort for r in q["whole_signal_strength"](spark, d).collect()} == {0, 1, 2}
+
+
+def test_required_hours_and_buckets_come_from_the_table(spark, tmp_path):
+    d = events(spark, tmp_path, [(i % 30, ("view", "error")[i % 2], i) for i in range(60)])
+    hours = relational_queries.REGISTRY.queries["whole_landing_plan"](spark, d).collect()
+    assert len(hours) == 7 and sum(r.n_objects for r in hours) == 60
+    assert relational_queries.REGISTRY.queries["whole_missing_hours_anti"](spark, d).count() == 0
+    assert relational_queries.REGISTRY.queries["whole_union_buckets"](spark, d).count() == len({(i % 2, 7 * i // 15) for i in range(60)})
+    closed = trading_queries.REGISTRY.queries["whole_bucket_fail_closed"](spark, d).collect()
+    assert (min(r.bucket for r in closed), max(r.bucket for r in closed)) == (T0, T0 + timedelta(minutes=405))
+    assert {r.wallet for r in audit_queries.REGISTRY.queries["whole_bucket_readiness"](spark, d).collect()} == set(range(30))

@@ -90,16 +90,17 @@ def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, lates
     """Issues per coin, bucket and member that keep a bucket from being computed.
 
     ``buckets``: coin, bucket_end; ``progress``: wallet, coin, done_to, observed_to, has_gap; ``latest``: wallet,
-    coin, last_at, the newest event. The cohort is at most 200 members, so each bucket meets a bounded set.
+    coin, last_at, the newest event. A cohort is at most 200 members; a ``cohort`` column of ``members`` is kept.
     """
-    if members.limit(201).count() > 200:
+    cohort = [c for c in members.columns if c == "cohort"]
+    if members.groupBy(*cohort).count().filter("count > 200").limit(1).count():
         raise ValueError("a cohort has at most 200 members")
-    rows = buckets.crossJoin(F.broadcast(members.select("wallet"))).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
+    rows = buckets.crossJoin(F.broadcast(members.select(*cohort, "wallet"))).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
     found = F.array_compact(F.array(
         F.when(F.coalesce("has_gap", F.lit(False)), "SOURCE_GAP"), F.when(F.coalesce(F.col("observed_to") < F.col("bucket_end"), F.lit(True)), "SOURCE_NOT_OBSERVED"),
         F.when(F.col("done_to").isNull(), "MISSING_BOUNDARY").when(F.col("last_at") > F.col("done_to"), "NORMALIZATION_LAG"),
     ))
-    return rows.select("coin", "bucket_end", "wallet", F.explode(found).alias("issue"))
+    return rows.select(*cohort, "coin", "bucket_end", "wallet", F.explode(found).alias("issue"))
 
 
 def calculation_range(facts: Sequence[DataFrame], fallback: DataFrame) -> DataFrame:

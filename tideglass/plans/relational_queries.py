@@ -166,6 +166,41 @@ def missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing(need, have, ["hour"])
 
 
+# --- the three above over the whole table, whose first and last event bound the hours ----------------------------
+
+_HOURS = "need AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM events)"
+
+
+def _hours(e: DataFrame) -> DataFrame:
+    ends = e.agg(*(F.date_trunc("hour", f("ts")).cast("timestamp_ntz").alias(n) for n, f in (("lo", F.min), ("hi", F.max))))
+    return ends.select(F.explode(F.expr("sequence(lo, hi, interval 1 hour)")).alias("hour"))
+
+
+@add("coin:s bucket:t", "SELECT event_type AS coin, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM events WHERE event_type IN ('purchase', 'signup') UNION SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) FROM events WHERE event_type NOT IN ('purchase', 'signup')")
+def whole_union_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of deals and those of all other events."""
+    e = table(spark, sf_dir, "events").withColumn("bucket", S.bucket_start(F.col("ts"))).withColumnRenamed("event_type", "coin")
+    deals = F.col("coin").isin("purchase", "signup")
+    return e.filter(deals).select("coin", "bucket").union(e.filter(~deals).select("coin", "bucket")).distinct()
+
+
+@add("hour:t state:s n_objects:l", f"""
+    WITH {_HOURS}, have AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1)
+    SELECT hour, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'SELECTED' END AS state, coalesce(n, 0) AS n_objects FROM need LEFT JOIN have USING (hour)""")
+def whole_landing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import landing_plan as plan
+
+    e = table(spark, sf_dir, "events")
+    return plan(e.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.lit(1).alias("bytes")), _hours(e))
+
+
+@add("hour:t", f"WITH {_HOURS} SELECT hour FROM need WHERE hour NOT IN (SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'error')")
+def whole_missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    have = e.filter("event_type = 'error'").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
+    return R.missing(_hours(e), have, ["hour"])
+
+
 @add("c_custkey:l c_name:s", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def semi_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))

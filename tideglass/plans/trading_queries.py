@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import semantic
+from ..functions.scalar import bucket_start, semantic
 from ..operators import cohort, cycles, returns, selection, stats
 from ..sources.tables import fills, table
 from .registry import Registry
@@ -202,15 +202,33 @@ def bucket_semantics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFram
         CASE WHEN issues IS NULL THEN coalesce(n_wallets, 0) END AS n_wallets, CASE WHEN issues IS NULL THEN coalesce(notional, 0) END AS notional
     FROM need LEFT JOIN tot ON tot.coin = need.coin AND tot.bucket = need.bucket LEFT JOIN iss ON iss.coin = need.coin AND iss.bucket = need.bucket""")
 def bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = cycles.transitions(fills(spark, sf_dir))
-    from ..functions.scalar import bucket_start
+    need = table(spark, sf_dir, "events").select(F.col("event_type").alias("coin")).distinct().select("coin", F.explode(F.expr("sequence(timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-08', interval 15 minutes)")).alias("bucket"))
+    return _fail_closed(spark, sf_dir, need)
 
+
+def _fail_closed(spark: SparkSession, sf_dir: str, need: DataFrame) -> DataFrame:
+    events = cycles.transitions(fills(spark, sf_dir))
     at = events.withColumn("bucket", bucket_start(F.col("ts")))
     issues = at.filter("notional > 1200").select("coin", "bucket", F.lit("LARGE_EVENT").alias("issue")).union(at.filter("id % 13 = 0").select("coin", "bucket", F.lit("SOURCE_GAP")))
-    need = table(spark, sf_dir, "events").select(F.col("event_type").alias("coin")).distinct().select("coin", F.explode(F.expr("sequence(timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-08', interval 15 minutes)")).alias("bucket"))
     return cohort.fail_closed(need, cohort.bucket_totals(events), issues)
 
 
+@add("coin:s bucket:t state:s issues:s n_events:l n_wallets:l notional:r", f"""
+    WITH {FILLS}, {_EVENTS}, ends AS (SELECT time_bucket(INTERVAL 15 MINUTE, min(ts)) AS lo, time_bucket(INTERVAL 15 MINUTE, max(ts)) AS hi FROM events),
+    need AS (SELECT coin, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS bucket FROM (SELECT DISTINCT event_type AS coin FROM events) CROSS JOIN ends),
+    tot AS (SELECT coin, bucket, count(*) AS n_events, count(DISTINCT wallet) AS n_wallets, sum(notional) AS notional FROM eb GROUP BY ALL),
+    iss AS (SELECT coin, bucket, array_to_string(list_sort(list(DISTINCT issue)), ',') AS issues FROM (SELECT coin, bucket, 'LARGE_EVENT' AS issue FROM eb WHERE notional > 1200 UNION ALL SELECT coin, bucket, 'SOURCE_GAP' FROM eb WHERE id % 13 = 0) GROUP BY ALL)
+    SELECT need.coin, need.bucket, CASE WHEN issues IS NOT NULL THEN 'BLOCKED' WHEN n_events IS NULL THEN 'EMPTY' ELSE 'VALID' END AS state, coalesce(issues, '') AS issues, CASE WHEN issues IS NULL THEN coalesce(n_events, 0) END AS n_events,
+        CASE WHEN issues IS NULL THEN coalesce(n_wallets, 0) END AS n_wallets, CASE WHEN issues IS NULL THEN coalesce(notional, 0) END AS notional
+    FROM need LEFT JOIN tot ON tot.coin = need.coin AND tot.bucket = need.bucket LEFT JOIN iss ON iss.coin = need.coin AND iss.bucket = need.bucket""")
+def whole_bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bucket from the first event to the last."""
+    e = table(spark, sf_dir, "events")
+    ends = e.agg(bucket_start(F.min("ts")).alias("lo"), bucket_start(F.max("ts")).alias("hi"))
+    need = e.select(F.col("event_type").alias("coin")).distinct().crossJoin(ends).select("coin", F.explode(F.expr("sequence(lo, hi, interval 15 minutes)")).alias("bucket"))
+    return _fail_closed(spark, sf_dir, need)
+
+
 _WEIGHTED = """
     mem AS (SELECT wallet, (n_wins / n_cycles + coalesce(profit_factor, 0) / (coalesce(profit_factor, 0) + 1)) / 2 * (n_cycles / (n_cycles + 30)) * (1 - coalesce(top_trade_share, 1)) AS raw FROM v WHERE wallet <= 20),
     un AS (SELECT *, raw / sum(raw) OVER () * 1000000000 AS x FROM mem),
