@@ -1,8 +1,11 @@
 """Queries that must cover their whole table, on small tables made for it."""
 
+import itertools
 import json
+import random
 from datetime import datetime, timedelta
 
+from tideglass.operators import cohort
 from tideglass.plans import audit_queries, relational_queries, trading_queries
 
 T0 = datetime(2024, 1, 1)
@@ -51,3 +54,49 @@ def test_required_hours_and_buckets_come_from_the_table(spark, tmp_path):
     closed = trading_queries.REGISTRY.queries["whole_bucket_fail_closed"](spark, d).collect()
     assert (min(r.bucket for r in closed), max(r.bucket for r in closed)) == (T0, T0 + timedelta(minutes=405))
     assert {r.wallet for r in audit_queries.REGISTRY.queries["whole_bucket_readiness"](spark, d).collect()} == set(range(30))
+
+
+def chain_by_force(begin, start, after):
+    found = []
+    for order in itertools.permutations(range(len(start))):
+        at = begin
+        for i in order:
+            if start[i] != at:
+                break
+            at = after[i]
+        else:
+            found.append(list(order))
+    return (found[0], None) if len(found) == 1 else (None, "ORDERING_AMBIGUOUS" if found else "IMPOSSIBLE_TRANSITION")
+
+
+def test_only_chain_against_all_orders():
+    rng = random.Random(7)
+    seen = set()
+    for _ in range(3000):
+        at, start, after = rng.randint(-1, 1), [], []
+        begin = at
+        for _ in range(rng.randint(1, 6)):
+            to = at + rng.choice([-2, -1, 1, 2, 3])
+            start.append(at), after.append(to)
+            at = to if rng.random() < 0.95 else to + 1
+        both = list(zip(start, after, strict=True))
+        rng.shuffle(both)
+        start, after = [b[0] for b in both], [b[1] for b in both]
+        got = cohort.only_chain(begin, start, after)
+        assert got == chain_by_force(begin, start, after)
+        seen.add(got[1])
+    assert seen == {None, "ORDERING_AMBIGUOUS", "IMPOSSIBLE_TRANSITION"}
+
+
+def order_of(spark, rows):
+    df = spark.createDataFrame([(1, "BTC", i, T0 + timedelta(hours=h), s, d) for i, (h, s, d) in enumerate(rows)], "wallet long, coin string, id long, ts timestamp_ntz, start_position long, delta long")
+    return {r.id: (r.place, r.issue) for r in cohort.causal_order(df).collect()}
+
+
+def test_causal_order_of_large_and_equal_groups(spark):
+    assert order_of(spark, [(0, i, 1) for i in reversed(range(1500))]) == {1499 - i: (i, None) for i in range(1500)}
+    equal = [(0, 0, 1), (0, 1, -1), (0, 0, 1)]
+    assert {v for v in order_of(spark, equal).values()} == {(None, "ORDERING_AMBIGUOUS")}
+    # a group that ends where it began, one that goes on from it, a gap, and what follows the gap
+    got = order_of(spark, [(0, 1, -1), (0, 0, 1), (1, 0, 2), (2, 3, 1), (3, 4, 1)])
+    assert got == {0: (1, None), 1: (0, None), 2: (0, None), 3: (None, "IMPOSSIBLE_TRANSITION"), 4: (None, "IMPOSSIBLE_TRANSITION")}

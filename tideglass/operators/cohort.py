@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Sequence
 from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 import pandas as pd
@@ -130,51 +131,73 @@ def exact_weights(members: DataFrame, cohort: str = "cohort") -> DataFrame:
     return members.groupBy(cohort).applyInPandas(kernel, f"{cohort} {kind}, wallet string, raw_weight string, weight string")
 
 
+def only_chain(begin: float, start: Sequence[float], after: Sequence[float]) -> tuple[list[int] | None, str | None]:
+    """The one order in which executions lead on from ``begin``, each used once, or why there is none.
+
+    An order is an Euler path over positions, found in linear time. Another exists exactly if a position is met
+    three times, or if the stretches between the two meetings of two positions cross.
+    """
+    out: dict[float, list[int]] = {}
+    for i in reversed(range(len(start))):
+        out.setdefault(start[i], []).append(i)
+    stack: list[tuple[float, int]] = [(begin, -1)]
+    path = []
+    while stack:
+        at, edge = stack[-1]
+        if out.get(at):
+            i = out[at].pop()
+            stack.append((after[i], i))
+        else:
+            path.append(edge)
+            stack.pop()
+    path = path[-2::-1]
+    met = [begin, *(after[i] for i in path)]
+    if len(path) != len(start) or any(start[i] != at for i, at in zip(path, met, strict=False)):
+        return None, "IMPOSSIBLE_TRANSITION"
+    times = Counter(met)
+    if max(times.values()) > 2:
+        return None, "ORDERING_AMBIGUOUS"
+    opened: list[float] = []
+    for at in met:
+        if times[at] == 2 and opened and opened[-1] == at:
+            opened.pop()
+        elif times[at] == 2:
+            opened.append(at)
+    return (None, "ORDERING_AMBIGUOUS") if opened else (path, None)
+
+
 def causal_order(fills: DataFrame) -> DataFrame:
     """Executions of one (wallet, coin, instant) in the one order in which each starts where the last ended.
 
-    The position carries over from group to group of a (wallet, coin), so a task takes one such key, in
-    time order. Adds ``place`` and ``issue``: ORDERING_AMBIGUOUS if several orders fit, IMPOSSIBLE_TRANSITION
-    if none does; the key's later groups are then left without a place.
+    Where a group ends follows from its positions alone, being started from once less than arrived at, so what
+    it begins with is known from windows over one row per group and a task takes one group at a time. Adds
+    ``place`` and ``issue``: ORDERING_AMBIGUOUS if several orders fit, IMPOSSIBLE_TRANSITION if none does; the
+    key's later groups are then left without a place.
     """
-    schema = "wallet long, coin string, id long, ts timestamp_ntz, place int, issue string"
-
-    def chains(at: float, left: tuple[int, ...], start: list[float], after: list[float], budget: list[int]) -> Iterator[list[int]]:
-        if not left:
-            yield []
-            return
-        tried = set()
-        for i in left:
-            budget[0] -= 1
-            if budget[0] < 0:
-                return
-            if start[i] == at and (start[i], after[i]) not in tried:
-                tried.add((start[i], after[i]))
-                for rest in chains(after[i], tuple(j for j in left if j != i), start, after, budget):
-                    yield [i, *rest]
+    key, group = ["wallet", "coin"], ["wallet", "coin", "ts"]
+    rows = fills.select(*group, "id", "start_position", (F.col("start_position") + F.col("delta")).alias("_after"))
+    ends = rows.select(*group, F.explode(F.array(F.struct(F.col("start_position").alias("p"), F.lit(1).alias("n")), F.struct(F.col("_after").alias("p"), F.lit(-1).alias("n")))).alias("_e")).select(*group, "_e.*")
+    net = ends.groupBy(*group, "p").agg(F.sum("n").alias("_net"), F.count_if(F.col("n") > 0).alias("_starts"))
+    own = F.col("_starts") > 0
+    groups = net.groupBy(*group).agg(F.sum("_starts").alias("_n"), F.max(own & (F.col("p") == 0)).alias("_flat"), F.min(F.when(own, F.col("p"))).alias("_least"), F.min(F.when(F.col("_net") < 0, F.col("p"))).alias("_last"))
+    order = Window.partitionBy(*key).orderBy("ts")
+    groups = groups.withColumn("_first", F.row_number().over(order) == 1)
+    begin = F.when(F.col("_flat"), F.col("_least") * 0).when(F.col("_n") == 1, F.col("_least"))
+    end = F.coalesce("_last", F.when(F.col("_first"), begin))
+    groups = groups.withColumn("_end", end).withColumn("_begin", F.when(F.col("_first"), begin).otherwise(F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.join(groups.select(*group, "_n", "_begin"), group)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"]).reset_index(drop=True)
-        place, issue, at, lost = [None] * len(pdf), [None] * len(pdf), None, None
-        start, after = pdf["start_position"].tolist(), (pdf["start_position"] + pdf["delta"]).tolist()
-        for _, rows in pdf.groupby("ts", sort=True).indices.items():
-            rows = sorted(rows)
-            if lost is None:
-                begin = at if at is not None else 0.0 if any(start[i] == 0 for i in rows) else start[rows[0]] if len(rows) == 1 else None
-                found = []
-                if begin is not None:
-                    for chain in chains(begin, tuple(rows), start, after, [100_000]):
-                        found.append(chain)
-                        if len(found) > 1:
-                            break
-                if len(found) == 1:
-                    for n, i in enumerate(found[0]):
-                        place[i] = n
-                    at = after[found[0][-1]]
-                    continue
-                lost = "ORDERING_AMBIGUOUS" if found else "IMPOSSIBLE_TRANSITION"
-            for i in rows:
-                issue[i] = lost
+        pdf = pdf.sort_values("id")
+        begin = pdf["_begin"].iloc[0]
+        path, issue = (None, "IMPOSSIBLE_TRANSITION") if pd.isna(begin) else only_chain(begin, pdf["start_position"].tolist(), pdf["_after"].tolist())
+        place = [None] * len(pdf)
+        for n, i in enumerate(path or ()):
+            place[i] = n
         return pd.DataFrame({"wallet": pdf["wallet"], "coin": pdf["coin"], "id": pdf["id"], "ts": pdf["ts"], "place": pd.array(place, "Int32"), "issue": issue})
 
-    return fills.groupBy("wallet", "coin").applyInPandas(kernel, schema)
+    fits = F.coalesce(F.col("start_position") == F.col("_begin"), F.lit(False))
+    lone = rows.filter("_n = 1").select("wallet", "coin", "id", "ts", F.when(fits, 0).alias("place"), F.when(~fits, "IMPOSSIBLE_TRANSITION").alias("issue"))
+    several = rows.filter("_n > 1").groupBy(*group).applyInPandas(kernel, "wallet long, coin string, id long, ts timestamp_ntz, place int, issue string")
+    lost = F.first("issue", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return lone.union(several).withColumn("issue", lost).withColumn("place", F.when(F.col("issue").isNull(), F.col("place")))
