@@ -2,11 +2,13 @@
 
 import itertools
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
 from tideglass.operators import cohort
 from tideglass.plans import audit_queries, relational_queries, trading_queries
+from tideglass.streaming import streams
 
 T0 = datetime(2024, 1, 1)
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -100,3 +102,27 @@ def test_causal_order_of_large_and_equal_groups(spark):
     # a group that ends where it began, one that goes on from it, a gap, and what follows the gap
     got = order_of(spark, [(0, 1, -1), (0, 0, 1), (1, 0, 2), (2, 3, 1), (3, 4, 1)])
     assert got == {0: (1, None), 1: (0, None), 2: (0, None), 3: (None, "IMPOSSIBLE_TRANSITION"), 4: (None, "IMPOSSIBLE_TRANSITION")}
+
+
+NAMES = ("stream_buckets", "stream_positions", "stream_sessions")
+
+
+def test_streams_read_a_folder_and_recompute_late_rows(spark, tmp_path, monkeypatch):
+    rows = [(i // 5 % 3, "view", i) for i in range(90)]
+    folder = events(spark, tmp_path / "many", rows, files=5)
+    q = trading_queries.REGISTRY.queries
+    want = {n: sorted(map(tuple, q[n](spark, folder).collect())) for n in NAMES}
+    assert all(want.values()) and len(want["stream_positions"]) == 90
+    # the newest file arrives first, and each file is a batch of its own
+    late = tmp_path / "late"
+    for n, path in enumerate(sorted((tmp_path / "many/events.parquet").glob("part-*"), reverse=True)):
+        to = late / "events.parquet" / f"part-{n}.parquet"
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_bytes(path.read_bytes())
+        os.utime(to, (1_700_000_000 + n, 1_700_000_000 + n))
+    one = streams.event_stream
+    monkeypatch.setattr(streams, "event_stream", lambda *a: one(*a, files_per_batch=1))
+    stream = streams.event_stream(spark, f"{late}/events.parquet", spark.read.parquet(f"{late}/events.parquet").schema)
+    assert streams.run_available(streams.position_stream(streams.as_fills(stream)), "late").filter("is_late").count() > 0
+    for n in NAMES:
+        assert sorted(map(tuple, q[n](spark, str(late)).collect())) == want[n]

@@ -565,23 +565,34 @@ def performance_overview(spark: SparkSession, sf_dir: str, lost: int = LOST) ->
     return overview(_performance(spark, sf_dir, lost))
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events as a stream, whether one file or a folder of files, and as the batch that late rows are recomputed from."""
+    from ..streaming import streams
+
+    e = table(spark, sf_dir, "events")
+    # a pattern, since a stream takes a plain path for a folder
+    return streams.event_stream(spark, f"{sf_dir}/events.parque[t]", e.schema), e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @add("coin:s bucket:t n_events:l notional:r", f"""WITH {FILLS}, fb AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM f)
     SELECT coin, bucket, count(*) AS n_events, sum(price * size) AS notional FROM fb WHERE bucket + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY coin, bucket""")
 def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buckets that the stream's watermark has closed."""
     from ..streaming import streams
 
-    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    events, all_ = _landed(spark, sf_dir)
     fills_ = streams.as_fills(streams.deduplicated(events, ["event_id"]))
-    return streams.run_available(streams.bucket_stream(fills_, watermarked=True), "stream-buckets")
+    done = streams.run_available(streams.bucket_stream(fills_, watermarked=True), "stream-buckets")
+    return streams.late_buckets(done, streams.as_fills(all_.dropDuplicates(["event_id"])))
 
 
 @add("wallet:l coin:s id:l start_position:l is_late:b", f"WITH {FILLS} SELECT wallet, coin, id, start_position, FALSE AS is_late FROM f")
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import streams
 
-    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
-    return streams.run_available(streams.position_stream(streams.as_fills(events)), "stream-positions")
+    events, all_ = _landed(spark, sf_dir)
+    done = streams.run_available(streams.position_stream(streams.as_fills(events)), "stream-positions")
+    return streams.late_positions(done, streams.as_fills(all_))
 
 
 @add("wallet:l session_start:t session_end:t n_events:l", f"""
@@ -591,5 +602,6 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import streams
 
-    events = streams.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
-    return streams.run_available(streams.session_stream(streams.as_fills(events)), "stream-sessions")
+    events, all_ = _landed(spark, sf_dir)
+    done = streams.run_available(streams.session_stream(streams.as_fills(events)), "stream-sessions")
+    return streams.late_sessions(done, streams.as_fills(all_))

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..functions.scalar import signed_delta
 from ..scratch import scratch_path
@@ -49,27 +50,62 @@ def session_stream(fills: DataFrame, *, gap: str = "30 minutes", delay: str = DE
 
 
 def position_stream(fills: DataFrame) -> DataFrame:
-    """Each execution with its start position from keyed state (position, last time), or marked late.
+    """Each execution with its start position from keyed state (position, last time and id), or marked late.
 
-    State per (wallet, coin) is two values. Rows of a micro-batch are taken in (ts, id) order; a row older
-    than what its key has seen is marked late and leaves the state as it was: a batch job recomputes the
-    keys of late rows, since appended output cannot be taken back.
+    State per (wallet, coin) is three values. Rows of a micro-batch are taken in (ts, id) order; a row before
+    what its key has seen is marked late and leaves the state as it was: ``late_positions`` recomputes the
+    keys of late rows in batch, since appended output cannot be taken back.
     """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, last = state.get if state.exists else (0, -1)
+        position, last, last_id = state.get if state.exists else (0, -(2**63), -(2**63))
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
         starts, late = [], []
-        for ts, delta in zip(rows["ts"].astype("int64") // 1000, rows["delta"], strict=True):
-            late.append(ts < last)
+        for ts, id_, delta in zip(rows["ts"].astype("int64") // 1000, rows["id"], rows["delta"], strict=True):
+            late.append((ts, id_) < (last, last_id))
             starts.append(position)
-            if ts >= last:
-                position, last = position + int(delta), ts
-        state.update((int(position), int(last)))
+            if not late[-1]:
+                position, last, last_id = position + int(delta), ts, id_
+        state.update((int(position), int(last), int(last_id)))
         yield pd.DataFrame({"wallet": key[0], "coin": key[1], "id": rows["id"], "ts": rows["ts"], "start_position": starts, "delta": rows["delta"], "is_late": late})
 
     return fills.select("wallet", "coin", "id", "ts", "delta").groupBy("wallet", "coin").applyInPandasWithState(
-        step, "wallet long, coin string, id long, ts timestamp, start_position long, delta long, is_late boolean", "position long, last long", "append", GroupStateTimeout.NoTimeout)
+        step, "wallet long, coin string, id long, ts timestamp, start_position long, delta long, is_late boolean", "position long, last long, last_id long", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_late(streamed: DataFrame, exact: DataFrame, keys: Sequence[str], marks: Sequence[str]) -> DataFrame:
+    """The streamed rows, but of keys that lost late rows, so that ``marks`` differ, the rows of the batch ``exact``."""
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*marks))).alias(name))
+
+    late = marked(streamed, "_s").join(marked(exact, "_e"), list(keys), "full").filter(~F.col("_s").eqNullSafe(F.col("_e"))).select(*keys)
+    return streamed.join(late, list(keys), "left_anti").unionByName(exact.join(late, list(keys), "left_semi"))
+
+
+def _closed(rows: DataFrame, end: Column, fills: DataFrame, delay: str) -> DataFrame:
+    last = fills.agg(F.max("ts").alias("_max"))
+    return rows.crossJoin(F.broadcast(last)).filter(end <= F.col("_max") - F.expr(f"interval {delay}")).drop("_max")
+
+
+def late_buckets(streamed: DataFrame, fills: DataFrame, *, delay: str = DELAY, width: str = "15 minutes") -> DataFrame:
+    """Batch job after ``bucket_stream``: ``fills`` is all input; buckets that lost late rows are computed anew."""
+    exact = _closed(bucket_stream(fills, width=width, watermarked=True), F.col("bucket") + F.expr(f"interval {width}"), fills, delay)
+    return with_late(streamed, exact, ["coin", "bucket"], ["n_events"])
+
+
+def late_sessions(streamed: DataFrame, fills: DataFrame, *, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
+    """Batch job after ``session_stream``: wallets that lost late rows get their sessions anew."""
+    exact = _closed(session_stream(fills, gap=gap, delay=delay), F.col("session_end"), fills, delay)
+    return with_late(streamed, exact, ["wallet"], ["session_start", "session_end", "n_events"])
+
+
+def late_positions(streamed: DataFrame, fills: DataFrame) -> DataFrame:
+    """Batch job after ``position_stream``: keys with a row marked late get all their positions anew, none late."""
+    late = streamed.filter("is_late").select("wallet", "coin").distinct()
+    before = Window.partitionBy("wallet", "coin").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    own = fills.select("wallet", "coin", "id", "ts", "delta").join(late, ["wallet", "coin"], "left_semi")
+    exact = own.withColumns({"start_position": F.coalesce(F.sum("delta").over(before), F.lit(0)), "is_late": F.lit(False)})
+    return streamed.join(late, ["wallet", "coin"], "left_anti").unionByName(exact)
 
 
 def run_available(stream: DataFrame, label: str, *, folder: str | None = None) -> DataFrame:
