@@ -142,6 +142,11 @@ def met(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray |
     return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
+def first_depth(threshold: float, target: float, trees: int, longest: int) -> int:
+    """The longest prefix at which a lone pair at the threshold is met with probability ``target``, else 1."""
+    return next((d for d in range(longest, 1, -1) if met(threshold, d, trees) >= target), 1)
+
+
 def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth: int, trees: int) -> Iterator[pa.RecordBatch]:
     """Per class and pair of blocks: the copies it links to, a spanning edge, and found and expected links."""
     for table, starts in whole_groups(batches, ("family", "_bi", "_bj"), rows=256):
@@ -177,7 +182,7 @@ def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: in
     classes = materialise(classes.select("h1", "h2", "copies", "least_id", "_row.r1", "_row.r2", "sig", F.monotonically_increasing_id().alias("cid")), "classes")
     sketches = classes.select("cid", F.substring("sig", 1, 4 * SKETCH).alias("sketch"))
     cut = threshold - 5.5 * (threshold * (1 - threshold) / min(SKETCH, count)) ** 0.5
-    depth = longest
+    depth = first_depth(threshold, target, trees, longest)  # the recall of all links may rest on large families alone
     while True:
         labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (4 * longest) + 1, F.lit(4 * depth))))
         prefixes = classes.select("cid", F.explode(labels).alias("label"))
