@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,19 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this process, removed at its end,
+    if Spark runs in this process; on a cluster that is an error, since executors would not share the folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tideglass-")
+        folder = tempfile.mkdtemp(prefix="tideglass-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = f"file://{folder}"
     return _LOCAL[app]
 
 
