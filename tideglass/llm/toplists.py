@@ -1,12 +1,13 @@
 """Exact top-k search by no-random-access aggregation over sorted lists.
 
 Vectors are quantised to integers. For each dimension a block of candidates has one list sorted by
-that component; a query reads it from the top where its own component is positive and from the
-bottom where it is negative. After each round (the depth doubles) every candidate has a lower bound,
-the sum of what was read of it plus the least that unread entries can add, and an upper bound with
-the frontier values instead. A candidate is set aside once its upper bound is below the k-th lower
-bound; a query stops when only k candidates are left or the lists are read. The final scores of those
-left are then resolved in integers. Bounds are kept for many queries at once as matrix products.
+that component, made once; a query reads it from the top where its own component is positive and from the
+bottom where it is negative. Each round reads on in all lists until ``GROWTH`` times as many entries are read.
+Every candidate has a lower bound, the sum of what was read of it plus the least that unread entries can
+add, and an upper bound with the last read values instead. A candidate is set aside once its upper bound is below
+the k-th lower bound. A query stops when the candidates that may still qualify are at most one in ``RESOLVED``
+of the block (k at least), or when the lists are read; their final scores are then resolved in integers. The bounds
+of all queries that still read are kept together, as matrices.
 
 Queries are a stated set compared with all rows in blocks: candidates and queries are dealt into
 blocks of bounded size, each pair of blocks is one group of bounded size, and only k rows per query
@@ -14,7 +15,8 @@ and block are kept for the final merge.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows with a
 null id, take no part; a query is compared with vectors of its own length; rows with the query's id
-count as the query's own row; ties go to the smaller id; other columns of the input are ignored.
+count as the query's own row; ties go to the smaller id; rows that repeat an id are candidates each, and queries each,
+with ranks of their own; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 8192
-_OUT = "query_id long, vec_id long, score long"
+GROWTH = 4
+RESOLVED = 32
+_BATCH = 256
+_OUT = "query_id long, _n long, vec_id long, score long"
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -38,42 +43,73 @@ def quantised(vector: str, scale: int = 256) -> Column:
     return F.when(ok, F.transform(v, lambda x: F.floor(x.cast("double") * scale)))
 
 
+class Lists:
+    """The candidates of one block, one descending list per dimension: each candidate's place in it, and its values."""
+
+    def __init__(self, cand: np.ndarray, ids: np.ndarray):
+        self.ids, self.cand = ids, cand.astype(float)  # integers of far fewer than 53 bits
+        order = np.argsort(-cand, axis=0, kind="stable")
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(cand), dtype=np.int32)[:, None], axis=0)
+        self.value = np.take_along_axis(cand, order, axis=0).astype(np.float32)
+
+    def search(self, query: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the places and scores of its k best candidates."""
+        n, dims = self.cand.shape
+        most, least = self.value[0], self.value[-1]
+        up, down = np.maximum(query, 0).astype(np.float32), np.minimum(query, 0).astype(np.float32)
+        #: covers the rounding of the bounds, which are sums of 32-bit products
+        slack = 1 + 4 * dims * float(np.finfo(np.float32).eps) * (np.abs(query).sum(1) * float(np.abs(self.value).max(initial=0)))
+        over, under = (self.cand - least).astype(np.float32), (self.cand - most).astype(np.float32)
+        left: list[np.ndarray] = [np.zeros(0, np.int64)] * len(query)
+        active, alive = np.arange(len(query)), query_ids[:, None] != self.ids[None, :]
+        low = np.repeat((up @ least + down @ most)[:, None], n, axis=1)
+        done, depth = 0, min(n, max(4 * k, 64, n // 64))
+        while len(active) and depth < n:
+            u, d = up[active], down[active]
+            low += u @ (over * ((self.place >= done) & (self.place < depth))).T
+            low += d @ (under * ((self.place >= n - depth) & (self.place < n - done))).T
+            # what is unread counts with the last value read instead of the list's least
+            wide_up, wide_down = u * (self.value[depth - 1] - least), d * (self.value[n - depth] - most)
+            high = low + wide_up @ (self.place >= depth).T.astype(np.float32)
+            high += wide_down @ (self.place < n - depth).T.astype(np.float32)
+            if n > k:
+                known = np.where(query_ids[active][:, None] == self.ids[None, :], -np.inf, low)
+                alive &= high >= (np.partition(known, n - k, axis=1)[:, n - k] - slack[active])[:, None]
+            ends = alive.sum(1) <= max(k, n // RESOLVED)
+            for i in np.flatnonzero(ends):
+                left[active[i]] = np.flatnonzero(alive[i])
+            active, alive, low = active[~ends], alive[~ends], low[~ends]
+            done, depth = depth, depth * GROWTH
+        whole = dict(zip(active.tolist(), query[active].astype(float) @ self.cand.T, strict=True))
+        for i, row in zip(active, alive, strict=True):
+            left[i] = np.flatnonzero(row)
+        found = []
+        for i, places in enumerate(left):
+            score = whole[i][places] if i in whole else self.cand[places] @ query[i].astype(float)
+            if len(places) > k:  # ties at the k-th score stay
+                held = score >= np.partition(score, len(score) - k)[len(score) - k]
+                places, score = places[held], score[held]
+            best = np.lexsort((self.ids[places], -score))[:k]
+            found.append((places[best], score[best].astype(np.int64)))
+        return found
+
+
+def _numbered(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one block for each query: (place of the query, candidate id, score)."""
+    lists, numbers, ids, scores = Lists(cand, cand_ids), [], [], []
+    for at in range(0, len(query), _BATCH):
+        for i, (places, score) in enumerate(lists.search(query[at : at + _BATCH], query_ids[at : at + _BATCH], k), at):
+            numbers.append(np.full(len(places), i))
+            ids.append(cand_ids[places])
+            scores.append(score)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (numbers, ids, scores))
+
+
 def search_block(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query id, candidate id, score) of one block, by sorted lists read in rounds."""
-    n, dims = cand.shape
-    order = np.argsort(-cand, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, dims)), axis=0)
-    sorted_desc = np.take_along_axis(cand, order, axis=0).astype(float)
-    x = cand.astype(float)
-    up, down = np.maximum(query, 0).astype(float), np.minimum(query, 0).astype(float)
-    #: a non-zero score difference is at least 1; this covers the rounding of the float bounds
-    slack = 1e-9 * (1 + np.abs(query.astype(float)).max(initial=0) * np.abs(x).max(initial=0) * dims)
-    least = up @ sorted_desc[-1] + down @ sorted_desc[0]
-    own = query_ids[:, None] == cand_ids[None, :]
-    alive = ~own
-    depth = min(n, max(4 * k, 64))
-    while depth < n:
-        top, bottom = rank < depth, rank >= n - depth
-        read = up @ (x * top).T + down @ (x * bottom).T
-        low = read + least[:, None] - ((up * sorted_desc[-1]) @ top.T.astype(float) + (down * sorted_desc[0]) @ bottom.T.astype(float))
-        front_up, front_down = up * sorted_desc[depth - 1], down * sorted_desc[n - depth]
-        high = read + (front_up.sum(1) + front_down.sum(1))[:, None] - (front_up @ top.T.astype(float) + front_down @ bottom.T.astype(float))
-        low[own] = -np.inf
-        if n > k:
-            bar = np.partition(low, n - k, axis=1)[:, n - k]
-            alive &= high >= (bar - slack)[:, None]
-        if alive.sum(1).max(initial=0) <= k:
-            break
-        depth *= 4
-    found = []
-    for i in range(len(query)):
-        left = np.flatnonzero(alive[i])
-        if len(left):
-            score = cand[left] @ query[i]
-            best = np.lexsort((cand_ids[left], -score))[:k]
-            found.append((np.full(len(best), query_ids[i]), cand_ids[left][best], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    number, ids, scores = _numbered(cand, cand_ids, query, query_ids, k)
+    return query_ids[number], ids, scores
 
 
 def _numbers(n: int) -> Column:
@@ -87,20 +123,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q")).first()
     cand_blocks, query_blocks = max(1, math.ceil(total["n"] / block)), max(1, math.ceil(total["q"] / block))
     spread = F.xxhash64("vec_id", "_v")
-    cands = rows.select("_dim", F.pmod(spread, F.lit(cand_blocks)).alias("_cb"), F.explode(_numbers(query_blocks)).alias("_qb"), F.lit(False).alias("_q"), "vec_id", "_v")
-    asks = rows.filter("_q").select("_dim", F.explode(_numbers(cand_blocks)).alias("_cb"), F.pmod(spread, F.lit(query_blocks)).alias("_qb"), F.lit(True).alias("_q"), "vec_id", "_v")
+    rows = rows.withColumn("_n", F.monotonically_increasing_id())
+    cands = rows.select("_dim", F.pmod(spread, F.lit(cand_blocks)).alias("_cb"), F.explode(_numbers(query_blocks)).alias("_qb"), F.lit(False).alias("_q"), "_n", "vec_id", "_v")
+    asks = rows.filter("_q").select("_dim", F.explode(_numbers(cand_blocks)).alias("_cb"), F.pmod(spread, F.lit(query_blocks)).alias("_qb"), F.lit(True).alias("_q"), "_n", "vec_id", "_v")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = pdf["_q"].to_numpy(bool)
         if not asked.any() or asked.all():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        ids, vecs = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()).astype(np.int64)
-        q_ids, q_vecs, parts = ids[asked], vecs[asked], []
-        for at in range(0, len(q_ids), 256):
-            parts.append(search_block(vecs[~asked], ids[~asked], q_vecs[at : at + 256], q_ids[at : at + 256], k))
-        q, v, s = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            return pd.DataFrame({"query_id": [], "_n": [], "vec_id": [], "score": []}, dtype="int64")
+        ids, numbers, vecs = pdf["vec_id"].to_numpy(np.int64), pdf["_n"].to_numpy(np.int64)[asked], np.stack(pdf["_v"].to_numpy()).astype(np.int64)
+        i, v, s = _numbered(vecs[~asked], ids[~asked], vecs[asked], ids[asked], k)
+        return pd.DataFrame({"query_id": ids[asked][i], "_n": numbers[i], "vec_id": v, "score": s})
 
     best = cands.unionByName(asks).groupBy("_dim", "_cb", "_qb").applyInPandas(kernel, _OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "_n").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
