@@ -11,7 +11,8 @@ about that size, one pass over the documents each, so what is broadcast stays bo
 Defined cases: null and empty texts hold nothing; an item without words is found nowhere; an item too
 short for an edit must occur exactly; of several occurrences of an item in a text the one of least
 distance, then the first, is reported; repeated rows are reported each; items that repeat are reported
-by each id; other columns of the inputs are ignored.
+by each id; items and documents with a null id are matched like others and reported with that null; other columns of
+the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -72,19 +73,19 @@ def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
 
 @dataclass
 class ItemIndex:
-    ids: list[int]
+    ids: list[int | None]
     words: list[list[int]]
     edits: list[int]
     lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]], rate: float) -> ItemIndex:
+    def build(items: list[tuple[int | None, str | None]], rate: float) -> ItemIndex:
         stream = WordStream([encode(t) for _, t in items]) if items else None
         ids, words, edits = [], [], []
         found: dict[int, list[tuple[int, int, int]]] = {}
         for i, (item, _) in enumerate(items):
             h = stream.hashes[stream.offsets[i] : stream.offsets[i + 1]]
-            if not len(h) or item is None:
+            if not len(h):
                 continue
             e = int(rate * len(h))
             for start, length in pieces(len(h), e):
@@ -134,7 +135,7 @@ class ItemIndex:
         return out
 
 
-def _passes(items: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
+def _passes(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // limit))
     keyed = items.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("_part"))
