@@ -57,6 +57,10 @@ def features(texts: Sequence[str | None], spec: FeatureSpec) -> tuple[np.ndarray
     return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
+#: Passes over the rows, however many there are.
+EPOCHS = 6
+
+
 @dataclass
 class FtrlModel:
     """weights[f] for feature f, a bias, and the weights of dense extra inputs."""
@@ -75,10 +79,8 @@ class FtrlModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(idx, offsets, extra), -35, 35)))
 
 
-def fit_ftrl(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int, *, extra: np.ndarray | None = None, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.01, epochs: int | None = None, seed: int = 0) -> FtrlModel:
-    """Per-coordinate FTRL-proximal over the rows in a seeded random order; deterministic. By default
-    5 to 40 epochs, the more the fewer rows there are."""
-    epochs = epochs or max(5, min(40, 40_000 // max(1, len(rows))))
+def fit_ftrl(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int, *, extra: np.ndarray | None = None, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.01, epochs: int = EPOCHS, seed: int = 0) -> FtrlModel:
+    """Per-coordinate FTRL-proximal over the rows in a seeded random order, ``epochs`` times; deterministic."""
     dense = 0 if extra is None else extra.shape[1]
     size = (1 << bits) + 1 + dense
     z, n = np.zeros(size), np.zeros(size)

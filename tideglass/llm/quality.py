@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import FeatureSpec, FtrlModel, features, fit_ftrl
-from .training import fit_in_one_task, labelled_sample, remainder
+from .training import fit_each, hashed, labelled_sample, remainder
 from .words import slices
 
 SPEC = FeatureSpec((("surface", 1), ("surface", 2), ("shape", 1), ("shape", 2), ("repeat", 2)))
@@ -32,11 +32,14 @@ THRESHOLD = 0.3
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = FOLDS, sample: int = SAMPLE, spec: FeatureSpec = SPEC) -> FtrlModel | None:
     """A model of ``label`` from at most ``sample`` labelled rows outside fold 0."""
     rows = labelled_sample(docs, labels, [label], remainder("doc_id", folds) != 0, sample)
-    return fit_in_one_task(rows, [label], spec, lambda x, y: fit_ftrl(x, y[label].to_numpy(float), spec.bits))
+    fitted = fit_each(hashed(rows, [label], spec), 1, lambda _, x, y: fit_ftrl(x, y[label].to_numpy(float), spec.bits))
+    return fitted[0] if fitted else None
 
 
 def score(docs: DataFrame, model: FtrlModel | None, *, spec: FeatureSpec = SPEC, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the model's probability in column ``out``, which must be new."""
+    """All columns of ``docs`` and the model's probability in column ``out``; a name that ``docs`` has already is an error."""
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {out}")
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)

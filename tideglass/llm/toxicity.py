@@ -3,7 +3,8 @@
 The categories are predicted in order. Each is a logistic regression over hashed words
 and word beginnings; from the second on, the earlier categories' probabilities are further inputs. While
 fitting, those inputs are out-of-fold predictions: each row's come from a model that did not see it,
-so later models learn how far earlier ones can be trusted on new texts.
+so later models learn how far earlier ones can be trusted on new texts. The fits of one category, on all rows and on
+those outside each fold, do not need each other and run as tasks of their own.
 
 Defined cases: null and empty texts get the probability of the biases alone; without usable labels all
 probabilities are 0.5; repeated rows are scored each; other columns of the input are ignored.
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import materialise
 from .linear import FeatureSpec, FtrlModel, features, fit_ftrl
-from .training import fit_in_one_task, labelled_sample
+from .training import fit_each, hashed, labelled_sample
 from .words import slices
 
 SPEC = FeatureSpec((("word", 1), ("root", 1)))
@@ -50,29 +52,49 @@ def _inputs(probabilities: np.ndarray) -> np.ndarray | None:
     return probabilities - 0.5 if probabilities.shape[1] else None
 
 
-def fit_chain(rows: list[np.ndarray], labels: pd.DataFrame, categories: Sequence[str], bits: int, folds: int = FOLDS) -> Chain:
-    earlier, models = np.zeros((len(rows), 0)), []
-    fold = np.random.default_rng(5).permutation(len(rows)) % folds
+def fold_of(count: int, folds: int = FOLDS) -> np.ndarray:
+    """The fold of each of ``count`` rows, near equal and in a fixed random order."""
+    return np.random.default_rng(5).permutation(count) % folds
+
+
+def _fit(number: int, rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, bits: int, folds: int) -> tuple[FtrlModel, np.ndarray]:
+    """Fit ``number`` of a category: on all rows (0), or on those outside fold number - 1 with predictions for those in it."""
+    dense, fold = _inputs(earlier), fold_of(len(rows), folds)
+    seen = np.flatnonzero(fold != number - 1)
+    model = fit_ftrl([rows[i] for i in seen], y[seen], bits, extra=None if dense is None else dense[seen], **FTRL)
+    out = np.flatnonzero(fold == number - 1)
+    idx = np.concatenate([np.zeros(0, np.int64), *(rows[i] for i in out)]).astype(np.int64)
+    sizes = np.concatenate(([0], np.cumsum([len(rows[i]) for i in out], dtype=np.int64)))
+    return model, model.predict(idx, sizes, None if dense is None else dense[out]) if len(out) else np.zeros(0)
+
+
+def fit_chain(rows: DataFrame, categories: Sequence[str], bits: int, folds: int = FOLDS) -> Chain | None:
+    """``rows``: doc_id, the categories and _f, a bounded sample; the out-of-fold predictions, a number per row and
+    category, pass the driver."""
+    earlier, models = None, []
     for c in categories:
-        y, dense = labels[c].to_numpy(float), _inputs(earlier)
-        models.append(fit_ftrl(rows, y, bits, extra=dense, **FTRL))
-        held = np.zeros(len(rows))
+        known = earlier
+
+        def fit(number: int, x: list[np.ndarray], y: pd.DataFrame, c: str = c, known: np.ndarray | None = known) -> tuple[FtrlModel, np.ndarray]:
+            return _fit(number, x, y[c].to_numpy(float), np.zeros((len(x), 0)) if known is None else known, bits, folds)
+
+        fitted = fit_each(rows, 1 if c == categories[-1] else 1 + folds, fit)
+        if not fitted:
+            return None
+        models.append(fitted[0][0])
         if c != categories[-1]:
-            for f in range(folds):
-                seen, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                if not len(out):
-                    continue
-                part = fit_ftrl([rows[i] for i in seen], y[seen], bits, extra=None if dense is None else dense[seen], **FTRL)
-                idx, sizes = np.concatenate([rows[i] for i in out]), [len(rows[i]) for i in out]
-                held[out] = part.predict(idx.astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), None if dense is None else dense[out])
-        earlier = np.column_stack((earlier, held))
+            held = np.concatenate([f[1] for f in fitted[1:]])
+            order = np.argsort(fold_of(len(held), folds), kind="stable")  # rows by fold, as the parts come
+            column = np.empty(len(held))
+            column[order] = held
+            earlier = column[:, None] if earlier is None else np.column_stack((earlier, column))
     return Chain(tuple(categories), tuple(models))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample: int = SAMPLE, spec: FeatureSpec = SPEC) -> Chain | None:
     """A chain over the 0/1 columns ``categories`` of ``labels``, from at most ``sample`` labelled rows."""
     rows = labelled_sample(docs, labels, list(categories), F.lit(True), sample)
-    return fit_in_one_task(rows, list(categories), spec, lambda x, y: fit_chain(x, y, categories, spec.bits))
+    return fit_chain(materialise(hashed(rows, list(categories), spec), "features"), categories, spec.bits)
 
 
 def score(docs: DataFrame, chain: Chain | None, categories: Sequence[str], *, spec: FeatureSpec = SPEC) -> DataFrame:

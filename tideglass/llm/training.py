@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, as features, and models fitted on them in one task."""
+"""Bounded samples of labelled documents, as features, and models fitted on them, a task each."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .linear import FeatureSpec, features
 from .words import slices
 
-
 _RANGE = 1 << 40
 
 
@@ -27,21 +27,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: Sequence[str],
     """doc_id, text and the label columns of at most ``bound`` labelled documents, those of smallest id hash.
 
     Labels that are null make a row unusable; of several label rows of one id, and of several texts,
-    the least counts. At most ``bound`` ids are broadcast.
+    the least counts. Ids without a document do not count. At most ``bound`` ids are broadcast.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & eligible)
     for c in columns:
         usable = usable.filter(F.col(c).isNotNull())
-    chosen = usable.groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in columns)).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)))
-    share = 2 * bound / max(1, usable.count())
-    if share < 1:  # so that about 2 x bound rows are sorted, however many there are
-        chosen = chosen.filter(F.col("_h") < int(share * _RANGE))
-    chosen = chosen.orderBy("_h", "doc_id").limit(bound).drop("_h")
+    ids = usable.groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in columns)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = materialise(ids.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE))), "labelled-ids")
+    share = (2 * bound + 100) / max(1, ids.count())  # so that about 2 x bound rows are sorted, however many there are
+    chosen = ids.filter(F.col("_h") < int(min(1.0, share) * _RANGE)).orderBy("_h", "doc_id").limit(bound).drop("_h")
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
 
 
-def fit_in_one_task(sample: DataFrame, columns: Sequence[str], spec: FeatureSpec, fit: Callable[[list[np.ndarray], pd.DataFrame], object]) -> object | None:
-    """``fit(feature rows, labels)`` in one task over the bounded ``sample``; None if the sample is empty."""
+def hashed(sample: DataFrame, columns: Sequence[str], spec: FeatureSpec) -> DataFrame:
+    """doc_id, the label columns and _f, the feature numbers of each row of the bounded ``sample``."""
 
     def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -49,10 +48,18 @@ def fit_in_one_task(sample: DataFrame, columns: Sequence[str], spec: FeatureSpec
             rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(idx, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in columns), rows], ["doc_id", *columns, "_f"])
 
+    return sample.select("doc_id", *columns, "text").mapInArrow(as_features, "doc_id long, " + "".join(f"{c} int, " for c in columns) + "_f array<int>")
+
+
+def fit_each(rows: DataFrame, fits: int, fit: Callable[[int, list[np.ndarray], pd.DataFrame], object]) -> list[object]:
+    """``fit(number, feature rows, the other columns)`` for each number below ``fits``, each over all of the bounded
+    ``rows`` and in a group, hence a task, of its own; nothing if there are no rows."""
+
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["_fit"].iloc[0])
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        return pd.DataFrame({"model": [pickle.dumps(fit(list(pdf.pop("_f")), pdf))]})
+        return pd.DataFrame({"number": [number], "model": [pickle.dumps(fit(number, list(pdf.pop("_f")), pdf))]})
 
-    hashed = sample.select("doc_id", *columns, "text").mapInArrow(as_features, "doc_id long, " + "".join(f"{c} int, " for c in columns) + "_f array<int>")
-    got = hashed.groupBy(F.lit(0).alias("_all")).applyInPandas(train, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else None
+    dealt = rows.withColumn("_fit", F.explode(F.sequence(F.lit(0), F.lit(fits - 1)))).repartition(fits, "_fit")
+    got = dealt.groupBy("_fit").applyInPandas(train, "number int, model binary").collect()
+    return [pickle.loads(r["model"]) for r in sorted(got, key=lambda r: r["number"])]
