@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import decontaminate, jaccard, packing, quality, secrets
-from tideglass.llm.scratch import materialise
+from tideglass.llm.columns import fresh
+from tideglass.scratch import materialise
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,7 +23,8 @@ TOKENIZER = "word_bpe_49k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, out="_quality").filter(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    [score] = fresh(docs, "_quality")
+    return quality.score(docs, model, out=score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked, ``n_chars`` counted anew where a text changed."""
-    masked = secrets.redact(docs.withColumn("_was", F.length("text")), public_tokenizers.path(TOKENIZER), path=F.col("source"))
-    changed = F.length("text") != F.col("_was")
-    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_was")
+    [was] = fresh(docs, "_was")
+    masked = secrets.redact(docs.withColumn(was, F.length("text")), public_tokenizers.path(TOKENIZER), path=F.col("source"))
+    changed = F.length("text") != F.col(was)
+    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(was)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

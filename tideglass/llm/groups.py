@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from ..scratch import materialise
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -79,12 +79,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Edges lead from a node to a smaller one. Each round ties a node's smaller neighbours to the least of them, so
     that stars which overlap collapse to about one edge a node, and then sends each edge on to its end's least
-    neighbour. It ends with one star per component. Each round's table is written to the shared folder; only
-    a mark of changes reaches the driver. Edges with a null end or equal ends are ignored.
+    neighbour. It ends with one star per component: until then each round leads some edge to a smaller node, so there
+    is no limit of rounds (their number grows with the logarithm of a component's size). Each round's table is
+    written to the shared folder; only a mark of changes reaches the driver. Edges with a null end or equal ends
+    are ignored.
     """
     ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     pairs = materialise(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(64):
+    while True:
         least = pairs.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("low")).withColumn("moved", F.col("v") > F.col("low"))
         tied = F.explode(F.array(*(F.struct(F.col(end).alias("u"), F.col("low").alias("v"), "moved") for end in ("u", "v")))).alias("e")
         pulled = materialise(least.select(tied).select("e.*").filter("u > v").groupBy("u", "v").agg(F.max("moved").alias("moved")), "pulled")
@@ -93,4 +95,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         pairs = materialise(sent, "sent")
         if not pairs.agg(F.max("moved")).first()[0]:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    raise RuntimeError("components did not settle in 64 rounds")

@@ -2,42 +2,49 @@
 
 Words are those of ``words``; a text's set is its word 5-grams (a shorter text has one, of all its
 words). The forest has ``trees`` sorted prefix tries; a trie holds each set's minima under
-``longest`` hash functions, and sets that share a prefix are neighbours. The join starts with the
-longest prefixes and shortens them one function at a time until the recall reaches ``target``. The
+``longest`` hash functions in order, a node of it is the run of paths that share a prefix, and sets in one node
+are neighbours. The join starts with the longest prefixes that meet a lone pair at the threshold as often as
+``target`` and shortens them one function at a time until the recall reaches ``target``. The
 recall is estimated from verified links: a link of similarity s is met with probability
 1 - (1 - s^depth)^trees, so each found link stands for 1 / that many; without links the probability at
 the threshold counts.
 
-Steps: (1) minima per text, texts with equal words collapse to one class; (2) classes that share a
-prefix are compared by a sketch of their minima, in blocks of bounded size, and joined into families
-wherever the sketch may allow the threshold; (3) within families all pairs of classes are verified by
-exact Jaccard similarity of their 64-bit n-gram fingerprints, again in blocks. Only spanning edges and
-per-class counts leave a task, never lists of pairs, so large families cost rows in proportion to
-their members times blocks.
+Steps: (1) minima per text, texts with equal words collapse to one class; (2) classes in one node
+are compared by the low 16 bits of all their minima, in blocks of bounded size, and joined into families
+wherever these may allow the threshold; at a shorter prefix only classes under different children of the node
+are, since the others have met; (3) within families all pairs of classes are verified by
+exact Jaccard similarity of their 64-bit n-gram fingerprints, again in blocks; at a shorter prefix only
+families that have grown are. Only spanning edges and per-class counts leave a task, never lists of pairs. A
+family of n classes costs n x ceil(n / ``text_block``) rows with their texts.
 
 Defined cases: a text without words (null, empty, punctuation) has no n-grams, is similar to nothing and
 stands alone with 0 links; repeated rows are copies and link to each other; a class is named by its
-smallest non-null id; an empty table gives an empty result; other columns of the input are ignored.
+smallest non-null id; an empty table gives an empty result; other columns of the input, whatever their names,
+are ignored by ``join`` and kept by ``deduplicate``; of rows equal in id and text it keeps any one.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+from .columns import fresh
 from .groups import block_pairs, connected_components, local_roots, star_edges, whole_groups
-from .scratch import materialise
 from .words import WordStream, chunks, encode, grams, slices
 
 TREES, LONGEST = 32, 7
-SKETCH = 128
+#: Standard errors below the threshold at which two sketches still count as similar.
+MARGIN = 5.5
 THRESHOLD, TARGET = 0.8, 0.9999
 #: Rows of a block where sketches (small) and where texts are compared.
-BLOCK, TEXT_BLOCK = 4096, 512
+BLOCK, TEXT_BLOCK = 4096, 128
 
 
 def minima(flat: np.ndarray, offsets: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
@@ -77,7 +84,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, count: int) -> Iterator[p
                 out[at : at + len(held)] = (total[s.offsets[1:]] - total[s.offsets[:-1]] + lens.astype(np.uint64)).view(np.int64)
             size[at : at + len(held)] = np.diff(offsets)
             for i in range(len(held)):
-                sig[at + i] = low[i].tobytes()
+                sig[at + i] = low[i].astype("<u2").tobytes()
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "r1", "r2")), pa.array(h1), pa.array(h2), pa.array(size), pa.array(sig, pa.binary())], ["doc_id", "r1", "r2", "h1", "h2", "n_grams", "sig"])
 
 
@@ -87,19 +94,21 @@ def _with_row_keys(docs: DataFrame) -> DataFrame:
 
 
 def _family_edges(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) that span what the sketches join inside each group of one prefix and pair of blocks."""
+    """Edges (a, b) that span what the sketches join inside each node and pair of blocks; rows come by path, so a
+    node's children are runs, and two rows under one child have met before."""
     for table, starts in whole_groups(batches, ("label", "_bi", "_bj")):
         group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         cid = table.column("cid").to_numpy()
         own = table.column("_own").to_numpy()
         cross = (table.column("_bi").to_numpy() != table.column("_bj").to_numpy())
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1)
+        child = table.column("child").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(cid), -1)
         left, right = [], []
         i = np.arange(len(cid))
         for d in range(1, int(np.diff(starts).max())):
             i = i[: np.searchsorted(i, len(cid) - d)]
             i = i[group[i] == group[i + d]]
-            pair = i[~cross[i] | (own[i] != own[i + d])]
+            pair = i[(~cross[i] | (own[i] != own[i + d])) & (child[i] != child[i + d])]
             for at in range(0, len(pair), 1 << 15):
                 p = pair[at : at + (1 << 15)]
                 hit = p[(sketch[p] == sketch[p + d]).mean(1) >= cut]
@@ -147,13 +156,15 @@ def first_depth(threshold: float, target: float, trees: int, longest: int) -> in
     return next((d for d in range(longest, 1, -1) if met(threshold, d, trees) >= target), 1)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth: int, trees: int) -> Iterator[pa.RecordBatch]:
-    """Per class and pair of blocks: the copies it links to, a spanning edge, and found and expected links."""
+def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depths: int, trees: int) -> Iterator[pa.RecordBatch]:
+    """Per class and pair of blocks: the copies it links to, a spanning edge, the links found, and how many they stand
+    for at each prefix length from 1 to ``depths``."""
+    lengths = np.arange(1, depths + 1)
     for table, starts in whole_groups(batches, ("family", "_bi", "_bj"), rows=256):
         cid, copies, own = (table.column(c).to_numpy() for c in ("cid", "copies", "_own"))
         bi, bj = table.column("_bi").to_numpy(), table.column("_bj").to_numpy()
         root, links = cid.copy(), np.zeros(len(cid), np.int64)
-        found, stands = np.zeros(len(cid)), np.zeros(len(cid))
+        found, stands = np.zeros(len(cid)), np.zeros((len(cid), depths))
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
                 continue
@@ -170,59 +181,82 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth
             np.minimum.at(least, local, cid[lo:hi])
             root[lo:hi] = least[local]
             np.add.at(found[lo:hi], a, 1)
-            np.add.at(stands[lo:hi], a, 1 / met(shared[a, b] / union[a, b], depth, trees))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid, root, links, found, stands)], ["a", "b", "links", "found", "stands"])
+            likeness, number = np.unique(shared[a, b] / union[a, b], return_inverse=True)
+            np.add.at(stands[lo:hi], a, (1 / met(likeness[:, None], lengths, trees))[number])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (cid, root, links, found)), pa.array(list(stands), pa.list_(pa.float64()))], ["a", "b", "links", "found", "stands"])
 
 
-def _classed(docs: DataFrame, n: int, threshold: float, target: float, trees: int, longest: int, block: int, text_block: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, r1, r2, n_grams and, if it has n-grams, _root (its component), _class and _n."""
+@dataclass(frozen=True)
+class Found:
+    """rows: per row of the input doc_id, r1, r2, n_grams and, if it has n-grams, _root (its component), _class and _n;
+    depth: the shortest prefix searched; recall: the estimated share of links met there."""
+
+    rows: DataFrame
+    depth: int
+    recall: float
+
+
+def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> Found:
+    """The classes of ``docs``, and the recall that was reached; a warning tells if even prefixes of one function
+    leave it below ``target`` (more ``trees`` then help)."""
     count = trees * longest
     signed = materialise(_with_row_keys(docs).mapInArrow(lambda it: _signed(it, n, count), "doc_id long, r1 long, r2 long, h1 long, h2 long, n_grams long, sig binary"), "signed")
     classes = signed.filter("n_grams > 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("r1", "r2")).alias("_row"), F.first("sig").alias("sig"))
     classes = materialise(classes.select("h1", "h2", "copies", "least_id", "_row.r1", "_row.r2", "sig", F.monotonically_increasing_id().alias("cid")), "classes")
-    sketches = classes.select("cid", F.substring("sig", 1, 4 * SKETCH).alias("sketch"))
-    cut = threshold - 5.5 * (threshold * (1 - threshold) / min(SKETCH, count)) ** 0.5
-    depth = first_depth(threshold, target, trees, longest)  # the recall of all links may rest on large families alone
+    cut = threshold - MARGIN * (threshold * (1 - threshold) / count) ** 0.5
+    first = depth = first_depth(threshold, target, trees, longest)  # the recall of all links may rest on large families alone
+    family = known = verified = None
+
+    def node(t: Column, length: int) -> Column:
+        return F.xxhash64(t, F.substring(F.col("sig"), t * (2 * longest) + 1, F.lit(2 * length)))
+
     while True:
-        labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (4 * longest) + 1, F.lit(4 * depth))))
-        prefixes = classes.select("cid", F.explode(labels).alias("label"))
-        shared = prefixes.groupBy("label").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-        meet = block_pairs(prefixes.join(shared, "label").join(sketches, "cid"), F.col("_size"), F.xxhash64("cid"), block)
-        meet = meet.select("label", "_bi", "_bj", "_own", "cid", "sketch").repartition("label", "_bi", "_bj").sortWithinPartitions("label", "_bi", "_bj")
-        family = connected_components(meet.mapInArrow(lambda it: _family_edges(it, cut), "a long, b long"))
-        sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
-        members = family.join(sizes, "root").join(classes.select("cid", "copies", "r1", "r2"), family["node"] == F.col("cid")).select(F.col("root").alias("family"), "_size", "cid", "copies", "r1", "r2")
+        nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(node(t, depth).alias("label"), (F.col("cid") if family is None else node(t, depth + 1)).alias("child")))
+        paths = classes.select("cid", F.explode(nodes).alias("_p")).select("cid", "_p.*")
+        shared = paths.groupBy("label").agg(F.count(F.lit(1)).alias("_size"), F.min("child").alias("_a"), F.max("child").alias("_b")).filter("_a <> _b").drop("_a", "_b")
+        meet = block_pairs(paths.join(shared, "label").join(classes.select("cid", "sig"), "cid"), F.col("_size"), F.xxhash64("cid"), block)
+        meet = meet.select("label", "_bi", "_bj", "child", "_own", "cid", "sig").repartition("label", "_bi", "_bj").sortWithinPartitions("label", "_bi", "_bj", "child")
+        edges = meet.mapInArrow(lambda it: _family_edges(it, cut), "a long, b long")
+        family = connected_components(edges if family is None else edges.unionByName(family.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        sizes = materialise(family.groupBy("root").agg(F.count(F.lit(1)).alias("_size")), "family-sizes")
+        grown = sizes if known is None else sizes.join(known, ["root", "_size"], "left_anti")  # families only merge, and a root is the least member
+        members = family.join(grown, "root").join(classes.select("cid", "copies", "r1", "r2"), family["node"] == F.col("cid")).select(F.col("root").alias("family"), "_size", "cid", "copies", "r1", "r2")
         texts = _with_row_keys(docs).drop("doc_id").join(members, ["r1", "r2"]).dropDuplicates(["cid"])
         pairs = block_pairs(texts.select("family", "_size", "cid", "copies", "text"), F.col("_size"), F.xxhash64("cid"), text_block)
         pairs = pairs.repartition("family", "_bi", "_bj").sortWithinPartitions("family", "_bi", "_bj")
-        depth_now = depth
-        verified = materialise(pairs.mapInArrow(lambda it: _verified(it, n, threshold, depth_now, trees), "a long, b long, links long, found double, stands double"), "links")
-        sums = verified.agg(F.sum("found").alias("found"), F.sum("stands").alias("stands")).first()
+        new = pairs.mapInArrow(lambda it: _verified(it, n, threshold, first, trees), "a long, b long, links long, found double, stands array<double>")
+        if verified is not None:
+            new = new.unionByName(verified.join(family.join(grown, "root").select(F.col("node").alias("a")), "a", "left_anti"))
+        verified, known = materialise(new, "links"), sizes
+        sums = verified.agg(F.sum("found").alias("found"), F.sum(F.col("stands")[depth - 1]).alias("stands")).first()
         recall = sums["found"] / sums["stands"] if sums["found"] else float(met(threshold, depth, trees))
         if recall >= target or depth == 1:
             break
         depth -= 1
+    if recall < target:
+        warnings.warn(f"estimated recall {recall:.5f} is below {target} at prefixes of one function; more trees are needed", stacklevel=2)
     links = verified.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("_links"))
     roots = connected_components(verified.select("a", "b"))
     named = roots.join(classes.select(F.col("cid").alias("node"), "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("class_id"))
     of = roots.join(named, "root").select(F.col("node").alias("cid"), "root", "class_id")
-    known = classes.select("h1", "h2", "cid", "copies", "least_id").join(of, "cid", "left").join(links, "cid", "left")
-    known = known.select("h1", "h2", F.coalesce("root", "cid").alias("_root"), F.coalesce("class_id", "least_id").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"))
-    return signed.drop("sig").join(known, ["h1", "h2"], "left")
+    told = classes.select("h1", "h2", "cid", "copies", "least_id").join(of, "cid", "left").join(links, "cid", "left")
+    told = told.select("h1", "h2", F.coalesce("root", "cid").alias("_root"), F.coalesce("class_id", "least_id").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"))
+    return Found(signed.drop("sig").join(told, ["h1", "h2"], "left"), depth, recall)
 
 
 def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """doc_id, class_id, n_links: one row per row of ``docs``. n_links counts the other rows of
     similarity ``threshold`` or more; class_id is the smallest id that links lead to."""
-    rows, worded = _classed(docs, n, threshold, target, trees, longest, block, text_block), F.col("n_grams") > 0
+    rows, worded = search(docs, n=n, threshold=threshold, target=target, trees=trees, longest=longest, block=block, text_block=text_block).rows, F.col("n_grams") > 0
     return rows.select("doc_id", F.when(worded, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """The row of smallest id of each component, all columns kept, and all rows without words; rows equal
     in id and text count as one."""
-    rows = _classed(docs, n, threshold, target, trees, longest, block, text_block)
+    rows = search(docs, n=n, threshold=threshold, target=target, trees=trees, longest=longest, block=block, text_block=text_block).rows
+    r1, r2 = fresh(docs, "_r1", "_r2")
     best = rows.filter("n_grams > 0").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("_best")).select("_best.r1", "_best.r2")
-    kept = materialise(best.unionByName(rows.filter("n_grams = 0").select("r1", "r2").distinct()).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")), "kept")
-    keyed = docs.withColumns({"_r1": F.xxhash64("doc_id", "text"), "_r2": F.xxhash64("text", F.lit(7), "doc_id")})
-    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).drop("_r1", "_r2")
+    kept = materialise(best.unionByName(rows.filter("n_grams = 0").select("r1", "r2").distinct()).select(F.col("r1").alias(r1), F.col("r2").alias(r2)), "kept")
+    keyed = docs.withColumns({r1: F.xxhash64("doc_id", "text"), r2: F.xxhash64("text", F.lit(7), "doc_id")})
+    return keyed.join(kept, [r1, r2], "left_semi").dropDuplicates([r1, r2]).drop(r1, r2)

@@ -37,7 +37,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise, scratch_path
+from ..scratch import materialise, scratch_path
 
 LEAST = 1000
 BLOCK_LINES = 512
