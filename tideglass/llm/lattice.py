@@ -41,6 +41,7 @@ PRIOR_MASS = 2000.0
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _FILTER_BITS = 20
+_FEW = 8
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -110,13 +111,18 @@ class Lattice:
         spelled, number, byte_pieces = self._spelled(points)
         edges = self._edges(points)
         logs = {length: np.where(found >= 0, self.logp[found], -np.inf) for length, found in edges.items()}
+        scalar = rows < _FEW  # long words come one by one: numbers are then faster than short arrays
         alpha = np.zeros((n + 1, rows))
-        for j in range(1, n + 1):
+        for r in range(rows if scalar else 0):
+            alpha[:, r] = _forward(spelled[r], {length: lp[r] for length, lp in logs.items()})
+        for j in range(1, 1 if scalar else n + 1):
             ways = [alpha[j - 1] + spelled[:, j - 1]] + [alpha[j - length] + lp[:, j - length] for length, lp in logs.items() if length <= j]
             alpha[j] = _sum_logs(ways)
         if weights is not None:
             beta = np.zeros((n + 1, rows))
-            for i in range(n - 1, -1, -1):
+            for r in range(rows if scalar else 0):
+                beta[:, r] = _forward(spelled[r, ::-1], {length: lp[r, ::-1] for length, lp in logs.items()})[::-1]
+            for i in range(-1 if scalar else n - 1, -1, -1):
                 ways = [beta[i + 1] + spelled[:, i]] + [beta[i + length] + lp[:, i] for length, lp in logs.items() if i + length <= n]
                 beta[i] = _sum_logs(ways)
             whole = alpha[n][:, None]
@@ -131,6 +137,23 @@ class Lattice:
         return alpha[n]
 
 
+def _forward(spelled: np.ndarray, logs: dict[int, np.ndarray]) -> np.ndarray:
+    """The forward recursion over one word: log probability of all segmentations of each beginning."""
+    n = len(spelled)
+    ends, lengths, values = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *((np.flatnonzero(lp > -np.inf) + length, np.full(int((lp > -np.inf).sum()), length), lp[lp > -np.inf]) for length, lp in logs.items()), strict=True))
+    order = np.argsort(ends, kind="stable")
+    first = np.searchsorted(ends[order], np.arange(n + 2)).tolist()
+    lengths, values, single = lengths[order].astype(int).tolist(), values[order].tolist(), spelled.tolist()
+    alpha, exp, log = [0.0] * (n + 1), math.exp, math.log
+    for j in range(1, n + 1):
+        ways = [alpha[j - 1] + single[j - 1]]
+        for e in range(first[j], first[j + 1]):
+            ways.append(alpha[j - lengths[e]] + values[e])
+        top = max(ways)
+        alpha[j] = top + log(sum([exp(w - top) for w in ways])) if len(ways) > 1 else top
+    return np.array(alpha)
+
+
 def _sum_logs(ways: list[np.ndarray]) -> np.ndarray:
     if len(ways) == 1:
         return ways[0]
