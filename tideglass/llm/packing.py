@@ -1,15 +1,16 @@
 """Packing of documents into token sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids, its end id included, are cut into full windows and a remainder
-in a few uneven pieces.
+in a few uneven pieces. Pieces of less than a 256th of a window are put together, in order, to at least that.
 The pieces of a group of documents are then dealt to windows: each starts as a partial partition that
 holds one piece; the two partitions of largest imbalance are merged so that the heavy windows of one
 meet the light windows of the other, until one partition is left. If its heaviest window exceeds the
 capacity the window count rises by one and the differencing runs again.
 
-A group is what one task reads in a row up to about ``group`` ids, so no shuffle is needed, a task holds
-one group at a time, and a retried task makes the same sequences. Each group pads at most about a
-window.
+A group is what one task reads in a row up to about ``group`` ids or ``GROUP_DOCS`` documents, so no shuffle is
+needed, a task holds one group at a time, and a retried task makes the same sequences. A group has at most
+256 pieces a window, and a partition's sums are kept only from its first merge on. Each group pads at most
+about a window.
 
 Defined cases: null and empty texts have the end id alone; rows with a null id are packed; repeated rows
 are packed each; an empty table gives an empty result; other columns of the input are ignored.
@@ -31,45 +32,48 @@ WINDOW = 2048
 #: A remainder is cut so that small parts level what large ones leave uneven.
 SHARES = (0.9, 0.07, 0.03)
 GROUP = 1_000_000
+GROUP_DOCS = 250_000
 END_ID = 1
 _CACHE = 600_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
-    """The window of each size, by multiway differencing; windows are near equal."""
-    heap = []
-    for i, s in enumerate(np.sort(sizes)[::-1]):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = s
-        heap.append((-int(s), i, sums, [i]))
-    order = np.argsort(-sizes, kind="stable")
-    return _merge(heap, order, windows)
+    """The window of each size, by multiway differencing; windows are near equal.
 
+    A partial partition has a number: its place by size if it holds one piece, then counting on. Its sums go
+    from heaviest to lightest, less the lightest, so that the first is its imbalance.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    kind, small = np.int32 if sizes.sum() < 2**31 else np.int64, np.uint16 if windows <= 2**16 else np.uint32
+    heap = [(-int(s), i) for i, s in enumerate(sizes[order])]
+    merged: dict[int, np.ndarray] = {}
+    tree: list[tuple[int, int, np.ndarray]] = []
+
+    def sums_of(number: int) -> np.ndarray:
+        if number >= len(order):
+            return merged.pop(number)
+        one = np.zeros(windows, kind)
+        one[0] = sizes[order[number]]
+        return one
 
-def _merge(heap: list, order: np.ndarray, windows: int) -> np.ndarray:
-    """Each partial partition: its imbalance, a number, its sums from heaviest to lightest, and the
-    merges that made it."""
-    heapq.heapify(heap)
-    number = len(order)
-    tree: dict[int, tuple[int, int, np.ndarray]] = {}
     while len(heap) > 1:
-        _, a, x, _ = heapq.heappop(heap)
-        _, b, y, _ = heapq.heappop(heap)
-        sums = x + y[::-1]
+        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
+        sums = sums_of(a) + sums_of(b)[::-1]
         rank = np.argsort(-sums, kind="stable")
-        tree[number] = (a, b, rank)
+        number = len(order) + len(tree)
+        tree.append((a, b, rank.astype(small)))
         sums = sums[rank]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), number, sums - sums[-1], []))
-        number += 1
+        merged[number] = sums - sums[-1]
+        heapq.heappush(heap, (-int(merged[number][0]), number))
     out = np.zeros(len(order), np.int64)
     todo = [(heap[0][1], np.arange(windows))]
     while todo:
-        node, label = todo.pop()
-        if node < len(order):
-            out[order[node]] = label[0]
+        number, label = todo.pop()
+        if number < len(order):
+            out[order[number]] = label[0]
             continue
-        a, b, rank = tree[node]
+        a, b, rank = tree[number - len(order)]
         place = np.empty(windows, np.int64)
         place[rank] = label
         todo += [(a, place), (b, place[::-1])]
@@ -157,31 +161,49 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, parts)) + end, "<u4") for parts in split]
 
 
-def cut(length: int, window: int, shares: tuple[float, ...]) -> list[tuple[int, int]]:
-    """(start, length) of the full windows, then of the remainder's parts in the given shares."""
-    full = length // window * window
-    out = [(s, window) for s in range(0, full, window)]
-    ends = [full + int((length - full) * sum(shares[:i])) for i in range(1, len(shares))]
-    edges = [full, *ends, length]
-    return out + [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-
-
-def _packed(held: list[tuple[int | None, np.ndarray]], first: int, window: int, shares: tuple[float, ...]) -> tuple[pa.RecordBatch, int]:
-    rows = [(doc, start, length, ids[start : start + length].tobytes(), len(ids)) for doc, ids in held for start, length in cut(len(ids), window, shares)]
-    sizes = np.array([r[2] for r in rows], np.int64)
-    full = sizes == window
-    where = np.empty(len(rows), np.int64)
+def pieces(lengths: np.ndarray, window: int, shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length): the full windows of all documents, then their remainders' parts in the given shares."""
+    n = lengths // window
+    doc = np.repeat(np.arange(len(lengths)), n)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
+    rest = (lengths - n * window)[:, None]
+    edges = (n * window)[:, None] + np.hstack(((rest * np.concatenate(([0.0], np.cumsum(shares[:-1])))).astype(np.int64), rest))
+    part = np.diff(edges, axis=1)
+    d, k = np.nonzero(part)
+    return np.concatenate((doc, d)), np.concatenate((start, edges[d, k])), np.concatenate((np.full(len(doc), window), part[d, k]))
+
+
+def _dealt(sizes: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """The window of each piece that is shorter than one; pieces of under a 256th of it go together."""
+    least = max(1, window // 256)
+    short = sizes < least
+    item = np.empty(len(sizes), np.int64)
+    item[~short] = np.arange((~short).sum())
+    run = (np.cumsum(sizes[short]) - sizes[short]) // least
+    item[short] = np.unique(run, return_inverse=True)[1] + (~short).sum()
+    where, windows = fill(np.bincount(item, weights=sizes).astype(np.int64), window)
+    return where[item], windows
+
+
+def _packed(docs: list[int | None], held: list[np.ndarray], first: int, window: int, shares: tuple[float, ...]) -> tuple[pa.RecordBatch, int]:
+    lengths = np.fromiter(map(len, held), np.int64, len(held))
+    doc, start, size = pieces(lengths, window, shares)
+    full = size == window
+    where = np.empty(len(size), np.int64)
     where[full] = np.arange(full.sum())
-    small, extra = fill(sizes[~full], window)
-    where[~full] = small + full.sum()
+    where[~full] = _dealt(size[~full], window)[0] + full.sum()
     order = np.argsort(where, kind="stable")
-    before = np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
-    head = np.concatenate(([True], np.diff(where[order]) > 0))
+    doc, start, size, where = doc[order], start[order], size[order], where[order]
+    before = np.cumsum(size) - size
+    head = np.concatenate(([True], np.diff(where) > 0))
     offset = before - np.maximum.accumulate(np.where(head, before, 0))
-    _, dense = np.unique(where[order], return_inverse=True)
-    cols = list(zip(*(rows[i] for i in order), strict=True))
-    arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(dense + first, pa.int64()), pa.array(offset, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")]), first + int(dense.max()) + 1
+    sequence = np.cumsum(head) - 1
+    from_ = (np.cumsum(lengths) - lengths)[doc] + start
+    ids = np.concatenate(held)[np.repeat(from_ - before, size) + np.arange(int(lengths.sum()))].astype("<u4")
+    ends = np.concatenate((before, [lengths.sum()])) * 4
+    binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+    arrays = [pa.array(docs, pa.int64()).take(pa.array(doc)), *(pa.array(x.astype(np.int64)) for x in (start, size)), binary, *(pa.array(x.astype(np.int64)) for x in (lengths[doc], sequence + first, offset))]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")]), first + int(sequence[-1]) + 1
 
 
 def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, shares: tuple[float, ...] = SHARES, group: int = GROUP) -> DataFrame:
@@ -192,18 +214,19 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, shares: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, first, held, tokens = Encoder(tokenizer), TaskContext.get().partitionId() << 40, [], 0
+        encoder, first, owners, held, tokens = Encoder(tokenizer), TaskContext.get().partitionId() << 40, [], [], 0
         for b in slices(batches):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for at in range(0, len(ids), 256):
                 for doc, row in zip(ids[at : at + 256], encoder.encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    held.append((doc, row))
+                    owners.append(doc)
+                    held.append(row)
                     tokens += len(row)
-                    if tokens >= group:
-                        out, first = _packed(held, first, window, shares)
+                    if tokens >= group or len(held) >= GROUP_DOCS:
+                        out, first = _packed(owners, held, first, window, shares)
                         yield out
-                        held, tokens = [], 0
+                        owners, held, tokens = [], [], 0
         if held:
-            yield _packed(held, first, window, shares)[0]
+            yield _packed(owners, held, first, window, shares)[0]
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
