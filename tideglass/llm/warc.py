@@ -5,8 +5,8 @@ equal payload of at least ``least`` bytes the one of largest id is stored as a r
 as revisits that name it. Each capture's place is then indexed: reversed-host URL keys are sorted over
 the cluster into compressed blocks, and each index file has a sparse directory of its blocks' first
 keys. ``read`` finds captures again: requests are sorted by the same keys, each task looks up the index
-files' first keys, then binary-searches a file's directory, reads the block by range and the records by
-range, and follows revisits to the payload they name.
+files' first keys, then binary-searches a file's directory and reads the block by range. The places found are sorted by file
+and offset, and each task reads its stretch of the archives in ranges that hold neighbouring records.
 
 Files are written under names of their own by each task attempt, and only those that a finished task
 reports are listed, so lost executors and repeated tasks do no harm. Files are reached through Arrow's
@@ -25,6 +25,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,10 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, scratch_path
+from .words import slices
 
 LEAST = 1000
 BLOCK_LINES = 512
 FILE_BYTES = 256_000_000
+#: Captures of an index file; requests and bytes of archives that one task takes.
+INDEX_ROWS, TASK_ROWS, TASK_BYTES = 32_768, 16_384, 64_000_000
+#: Records are read in one range while it stays this long and they lie this close.
+RANGE_BYTES, GAP_BYTES = 4_000_000, 32_768
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _WHEN = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 _CAPTURE = "urlkey string, capture long, page_id long, file string, offset long, length long, digest string, type string, refers_to long"
@@ -133,7 +139,7 @@ def _write_records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
 
     store, root = _store(folder)
     part, n, out, name, at = TaskContext.get().partitionId(), 0, None, "", 0
-    for b in batches:
+    for b in slices(batches, 64):
         rows = []
         for r in b.to_pylist():
             if out is None or at >= FILE_BYTES:
@@ -173,7 +179,7 @@ def _write_index(batches: Iterator[pa.RecordBatch], folder: str, lines: int) ->
         directory.append((held[0][:3], at, len(data)))
         at, held = at + len(data), []
 
-    for b in batches:
+    for b in slices(batches):
         for r in b.to_pylist():
             if out is None:
                 out = store.open_output_stream(f"{root}/{name}.cdx.gz", compression=None)
@@ -191,9 +197,10 @@ def _write_index(batches: Iterator[pa.RecordBatch], folder: str, lines: int) ->
     yield pa.RecordBatch.from_pylist([{"urlkey": first[0], "page_id": first[1], "capture": first[2], "name": name}])
 
 
-def _sorted(df: DataFrame) -> DataFrame:
+def _sorted(df: DataFrame, rows: int) -> DataFrame:
+    """By key, about ``rows`` rows a task, whatever few bytes they have."""
     keys = ["urlkey", F.coalesce("page_id", F.lit(-1)), "capture"]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(max(1, math.ceil(df.count() / rows)), *keys).sortWithinPartitions(*keys)
 
 
 def write(pages: DataFrame, folder: str | None = None, *, least: int = LEAST, lines: int = BLOCK_LINES) -> Archive:
@@ -202,7 +209,7 @@ def write(pages: DataFrame, folder: str | None = None, *, least: int = LEAST, li
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     captures = materialise(_decided(pages, least).mapInArrow(lambda it: _write_records(it, folder), _CAPTURE), "captures")
-    index = _sorted(captures).mapInArrow(lambda it: _write_index(it, folder, lines), "urlkey string, page_id long, capture long, name string")
+    index = _sorted(captures, INDEX_ROWS).mapInArrow(lambda it: _write_index(it, folder, lines), "urlkey string, page_id long, capture long, name string")
     return Archive(folder, captures, materialise(index, "index"))
 
 
@@ -238,37 +245,64 @@ class _Finder:
             return f.read(n)
 
 
+def _fetched(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Records of places that come by file and offset."""
+    store, root = _store(folder)
+    name, f = "", None
+    for b in slices(batches, 512):
+        places, lo = b.to_pylist(), 0
+        while lo < len(places):
+            first, hi = places[lo], lo + 1
+            end = first["offset"] + first["length"]
+            while hi < len(places) and places[hi]["file"] == first["file"] and places[hi]["offset"] - end <= GAP_BYTES and places[hi]["offset"] + places[hi]["length"] - first["offset"] <= RANGE_BYTES:
+                end = max(end, places[hi]["offset"] + places[hi]["length"])
+                hi += 1
+            if first["file"] != name:
+                if f is not None:
+                    f.close()
+                name, f = first["file"], store.open_input_file(f"{root}/{first['file']}")
+            f.seek(first["offset"])
+            data, rows = f.read(end - first["offset"]), []
+            for p in places[lo:hi]:
+                at = p["offset"] - first["offset"]
+                fields, payload = parse(gzip.decompress(data[at : at + p["length"]]))
+                kind, target = fields["WARC-Type"], fields.get("X-Refers-To-Page")
+                digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of page {p['page_id']} does not match its digest")
+                rows.append({"page_id": p["page_id"], "digest": digest, "type": kind, "refers_to": int(target) if target else None, "payload": payload if kind == "response" else None})
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_READ)
+            lo = hi
+    if f is not None:
+        f.close()
+
+
 def read(archive: Archive, requests: DataFrame | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload: the captures that
+    """page_id, payload_digest, record_type, refers_to, payload: the captures that
     ``requests`` (urlkey, page_id, capture; by default all) name, found through the index.
 
-    The list of index files, one entry per file of one task's sorted share, is broadcast.
+    The list of index files, one entry per ``INDEX_ROWS`` captures, is broadcast.
     """
     requests = archive.captures.select("urlkey", "page_id", "capture") if requests is None else requests
     spark = requests.sparkSession
     firsts = sorted(((r["urlkey"], r["page_id"], r["capture"]), r["name"]) for r in archive.index.collect())
     shared, folder = spark.sparkContext.broadcast(firsts), archive.folder
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(folder, shared.value)
-        for b in batches:
-            asked = [(r["page_id"], finder.find(_key_line(r["urlkey"], r["page_id"], r["capture"]))) for r in b.to_pylist()]
-            by_place = sorted((x for x in asked if x[1] is not None), key=lambda x: x[1])
-            for lo in range(0, len(by_place), 512):
-                rows = []
-                for page, place in by_place[lo : lo + 512]:
-                    fields, payload = parse(gzip.decompress(finder.range(*place)))
-                    kind, target = fields["WARC-Type"], fields.get("X-Refers-To-Page")
-                    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of page {page} does not match its digest")
-                    rows.append({"page_id": page, "digest": digest, "type": kind, "refers_to": int(target) if target else None, "payload": payload if kind == "response" else None})
-                yield pa.RecordBatch.from_pylist(rows, _ARROW_READ)
-
-    got = _sorted(requests).mapInArrow(fetch, "page_id long, digest string, type string, refers_to long, payload binary")
+        for b in slices(batches):
+            found = [(r["page_id"], finder.find(_key_line(r["urlkey"], r["page_id"], r["capture"]))) for r in b.to_pylist()]
+            rows = [{"page_id": page, **dict(zip(("file", "offset", "length"), place, strict=True))} for page, place in found if place is not None]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_PLACE)
+
+    places = materialise(_sorted(requests, TASK_ROWS).mapInArrow(lookup, "page_id long, file string, offset long, length long"), "places")
+    total = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, math.ceil(total["n"] / TASK_ROWS), math.ceil(total["bytes"] / TASK_BYTES))
+    got = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(lambda it: _fetched(it, folder), "page_id long, digest string, type string, refers_to long, payload binary")
     return got.select("page_id", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "payload")
 
 
+_ARROW_PLACE = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 _ARROW_READ = pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
