@@ -86,3 +86,9 @@ def cash_flow_external(category: Column, amount: Column, boundary: Column) -> Co
 def redact(message: Column) -> Column:
     """Credentials in URLs and key=value pairs masked."""
     return F.regexp_replace(F.regexp_replace(message, r"(\w+://)[^/@\s]+@", "$1***@"), r"(?i)(password|token|secret)=\S+", "$1=***")
+
+
+def compare_decimals(left: Column, right: Column) -> Column:
+    """-1, 0 or 1 for two plain decimal texts, without floats; null if either is malformed or null."""
+    a, b = (F.when(x.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), x.try_cast("decimal(38,18)")) for x in (left, right))
+    return F.when(a.isNull() | b.isNull(), None).when(a < b, -1).when(a > b, 1).otherwise(0)

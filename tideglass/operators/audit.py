@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BROADCAST_ROWS = 100_000
+
 
 def run_trust(transitions: DataFrame) -> DataFrame:
     """The state of each run after its log of trust changes.
@@ -86,17 +88,29 @@ def leg_issues(fills: DataFrame, events: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce(tied, F.lit(False))).select("id", F.lit("SOURCE_LEGS_INCOMPLETE").alias("issue"))
 
 
-def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, latest: DataFrame) -> DataFrame:
+def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, latest: DataFrame, *, now: Column | None = None, issues: DataFrame | None = None) -> DataFrame:
     """Issues per coin, bucket and member that keep a bucket from being computed.
 
     ``buckets``: coin, bucket_end; ``progress``: wallet, coin, done_to, observed_to, has_gap; ``latest``: wallet,
-    coin, last_at, the newest event. A cohort is at most 200 members; a ``cohort`` column of ``members`` is kept.
+    coin, last_at, the newest event; ``issues``: open ones, wallet, coin (null: of all coins), since. A bucket that ends after
+    ``now`` is BUCKET_NOT_ENDED. A cohort is at most 200 members; a ``cohort`` column of ``members`` is kept. Members
+    are broadcast if they are ``BROADCAST_ROWS`` at most.
     """
     cohort = [c for c in members.columns if c == "cohort"]
-    if members.groupBy(*cohort).count().filter("count > 200").limit(1).count():
+    sizes = members.groupBy(*cohort).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (sizes["most"] or 0) > 200:
         raise ValueError("a cohort has at most 200 members")
-    rows = buckets.crossJoin(F.broadcast(members.select(*cohort, "wallet"))).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
+    own = members.select(*cohort, "wallet")
+    own = F.broadcast(own) if (sizes["all"] or 0) <= BROADCAST_ROWS else own
+    rows = buckets.crossJoin(own).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
+    opened = F.lit(False)
+    if issues is not None:
+        by_coin = issues.filter("coin is not null").groupBy("wallet", "coin").agg(F.min("since").alias("_coin_since"))
+        any_coin = issues.filter("coin is null").groupBy("wallet").agg(F.min("since").alias("_any_since"))
+        rows = rows.join(by_coin, ["wallet", "coin"], "left").join(any_coin, "wallet", "left")
+        opened = F.coalesce(F.least("_coin_since", "_any_since") < F.col("bucket_end"), F.lit(False))
     found = F.array_compact(F.array(
+        F.when(F.lit(False) if now is None else F.col("bucket_end") > now, "BUCKET_NOT_ENDED"), F.when(opened, "OPEN_ISSUE"),
         F.when(F.coalesce("has_gap", F.lit(False)), "SOURCE_GAP"), F.when(F.coalesce(F.col("observed_to") < F.col("bucket_end"), F.lit(True)), "SOURCE_NOT_OBSERVED"),
         F.when(F.col("done_to").isNull(), "MISSING_BOUNDARY").when(F.col("last_at") > F.col("done_to"), "NORMALIZATION_LAG"),
     ))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import bucket_start, semantic
+from ..scratch import materialise
 
 SEMANTICS = tuple(f"{d}_{k}" for d in ("LONG", "SHORT") for k in ("OPEN", "INCREASE", "REDUCE", "CLOSE"))
 BUCKET_MINUTES = 15
+MOST_MEMBERS, BROADCAST_ROWS = 200, 100_000
 
 
 def bucket_totals(events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> DataFrame:
@@ -43,12 +45,18 @@ def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKE
     """Per coin, bucket and cohort member: its weight split over buying and selling.
 
     A member counts once per bucket, half on each side if it did both; members without events count with 0.
-    Other columns of ``weights``, such as its cohort, are kept.
+    Other columns of ``weights``, such as its cohort, are kept. A cohort has at most ``MOST_MEMBERS`` members; the weights are
+    broadcast if they are ``BROADCAST_ROWS`` at most.
     """
+    weights = materialise(weights, "weights")
+    sizes = weights.groupBy(*(c for c in weights.columns if c == "cohort")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (sizes["most"] or 0) > MOST_MEMBERS:
+        raise ValueError(f"a cohort has at most {MOST_MEMBERS} members")
+    small = F.broadcast(weights) if (sizes["all"] or 0) <= BROADCAST_ROWS else weights
     buying = (F.col("direction") == "LONG") == F.col("event_type").isin("POSITION_OPEN", "POSITION_INCREASE")
     per = events.groupBy("coin", bucket_start(F.col("ts"), minutes).alias("bucket"), "wallet").agg(F.count_if(buying).alias("n_buy"), F.count_if(~buying).alias("n_sell"))
     buckets = per.select("coin", "bucket").distinct()
-    rows = buckets.crossJoin(F.broadcast(weights)).join(per, ["coin", "bucket", "wallet"], "left").fillna(0, ["n_buy", "n_sell"])
+    rows = buckets.crossJoin(small).join(per, ["coin", "bucket", "wallet"], "left").fillna(0, ["n_buy", "n_sell"])
     buy = F.when(F.col("n_buy") == 0, 0.0).when(F.col("n_sell") == 0, 1.0).otherwise(0.5)
     sell = F.when(F.col("n_sell") == 0, 0.0).when(F.col("n_buy") == 0, 1.0).otherwise(0.5)
     return rows.withColumns({"buy": F.col("weight") * buy, "sell": F.col("weight") * sell})
@@ -64,6 +72,21 @@ def signals(contributions: DataFrame, *, anchor: int = 2, digits: int = 9, basis
     return s.withColumn("confidence", F.bround(F.col("mass") * F.col("agreement") * F.col("breadth"), digits)).withColumn("state", F.when(F.col("mass") == 0, "NO_SIGNAL").otherwise("VALID"))
 
 
+def exact_confidence(contributions: DataFrame, *, anchor: int = 2, basis: Sequence[str] = ("coin",), units: int = 1_000_000_000) -> DataFrame:
+    """For receipts: strengths, net and confidence as decimals, the confidence to 18 places, half to even.
+
+    ``contributions`` has ``weight_units``, whole parts of ``units``. Mass times agreement is the larger strength, so the
+    confidence is that times the breadth n / (n + anchor).
+    """
+    weight = F.col("weight_units").cast("decimal(10,0)") / F.lit(units).cast("decimal(10,0)")
+    half = (weight / F.lit(2).cast("decimal(1,0)")).cast("decimal(21,19)")
+    buy = F.when(F.col("n_buy") == 0, 0).when(F.col("n_sell") == 0, 2).otherwise(1).cast("decimal(1,0)")
+    sell = F.when(F.col("n_sell") == 0, 0).when(F.col("n_buy") == 0, 2).otherwise(1).cast("decimal(1,0)")
+    s = contributions.groupBy(*basis, "bucket").agg(F.sum(half * buy).cast("decimal(21,19)").alias("buy_strength"), F.sum(half * sell).cast("decimal(21,19)").alias("sell_strength"), F.count_if(F.col("n_buy") + F.col("n_sell") > 0).cast("decimal(5,0)").alias("_n"))
+    share = F.greatest("buy_strength", "sell_strength") * F.col("_n") / (F.col("_n") + F.lit(anchor)).cast("decimal(5,0)")
+    return s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "confidence": F.bround(share, 18)}).drop("_n")
+
+
 def change_label(before: Column, now: Column) -> Column:
     return (
         F.when((before < 0) & (now > 0), "BULLISH_REVERSAL").when((before > 0) & (now < 0), "BEARISH_REVERSAL")
@@ -171,8 +194,8 @@ def causal_order(fills: DataFrame) -> DataFrame:
 
     Where a group ends follows from its positions alone, being started from once less than arrived at, so what
     it begins with is known from windows over one row per group and a task takes one group at a time. Adds
-    ``place`` and ``issue``: ORDERING_AMBIGUOUS if several orders fit, IMPOSSIBLE_TRANSITION if none does; the
-    key's later groups are then left without a place.
+    ``place`` and ``issue``: MISSING_BOUNDARY if nothing of a key's first group starts flat, ORDERING_AMBIGUOUS if several
+    orders fit, IMPOSSIBLE_TRANSITION if none does; the key's later groups are then left without a place.
     """
     key, group = ["wallet", "coin"], ["wallet", "coin", "ts"]
     rows = fills.select(*group, "id", "start_position", (F.col("start_position") + F.col("delta")).alias("_after"))
@@ -182,7 +205,7 @@ def causal_order(fills: DataFrame) -> DataFrame:
     groups = net.groupBy(*group).agg(F.sum("_starts").alias("_n"), F.max(own & (F.col("p") == 0)).alias("_flat"), F.min(F.when(own, F.col("p"))).alias("_least"), F.min(F.when(F.col("_net") < 0, F.col("p"))).alias("_last"))
     order = Window.partitionBy(*key).orderBy("ts")
     groups = groups.withColumn("_first", F.row_number().over(order) == 1)
-    begin = F.when(F.col("_flat"), F.col("_least") * 0).when(F.col("_n") == 1, F.col("_least"))
+    begin = F.when(F.col("_flat"), F.col("_least") * 0)
     end = F.coalesce("_last", F.when(F.col("_first"), begin))
     groups = groups.withColumn("_end", end).withColumn("_begin", F.when(F.col("_first"), begin).otherwise(F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
     rows = rows.join(groups.select(*group, "_n", "_begin"), group)
@@ -190,14 +213,14 @@ def causal_order(fills: DataFrame) -> DataFrame:
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         begin = pdf["_begin"].iloc[0]
-        path, issue = (None, "IMPOSSIBLE_TRANSITION") if pd.isna(begin) else only_chain(begin, pdf["start_position"].tolist(), pdf["_after"].tolist())
+        path, issue = (None, "MISSING_BOUNDARY") if pd.isna(begin) else only_chain(begin, pdf["start_position"].tolist(), pdf["_after"].tolist())
         place = [None] * len(pdf)
         for n, i in enumerate(path or ()):
             place[i] = n
         return pd.DataFrame({"wallet": pdf["wallet"], "coin": pdf["coin"], "id": pdf["id"], "ts": pdf["ts"], "place": pd.array(place, "Int32"), "issue": issue})
 
     fits = F.coalesce(F.col("start_position") == F.col("_begin"), F.lit(False))
-    lone = rows.filter("_n = 1").select("wallet", "coin", "id", "ts", F.when(fits, 0).alias("place"), F.when(~fits, "IMPOSSIBLE_TRANSITION").alias("issue"))
+    lone = rows.filter("_n = 1").select("wallet", "coin", "id", "ts", F.when(fits, 0).alias("place"), F.when(F.col("_begin").isNull(), "MISSING_BOUNDARY").when(~fits, "IMPOSSIBLE_TRANSITION").alias("issue"))
     several = rows.filter("_n > 1").groupBy(*group).applyInPandas(kernel, "wallet long, coin string, id long, ts timestamp_ntz, place int, issue string")
     lost = F.first("issue", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return lone.union(several).withColumn("issue", lost).withColumn("place", F.when(F.col("issue").isNull(), F.col("place")))

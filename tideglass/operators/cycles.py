@@ -1,8 +1,12 @@
 """Position cycles from executions, for all wallets and coins at once.
 
-Each execution carries its start position, so cycles are cut by window sums: no state crosses rows but a
-running count. Only the average entry price is a recurrence (closing leaves it as it was); it is folded
-over the legs of one cycle, so no array is longer than a cycle. Keys are (wallet, coin).
+Each execution carries its start position, so cycles are cut by running sums. Keys are (wallet, coin), and a key may
+hold most of all rows: rows are dealt by (wallet, coin, day) instead. Windows run within a day; what a day needs
+of those before it (has the history been flat, where did it end, did it jump, how many cycles have begun) comes
+from one row per key and day. The average entry price is a recurrence (closing leaves it as it was), but a linear one: the
+legs of a day are folded to a map of the price they begin with, and a cycle's days are then composed. No array is longer
+than a day's legs of a cycle, or a cycle's days. Executions without a time come first in their key; those without a wallet
+or coin take no part.
 """
 
 from __future__ import annotations
@@ -12,21 +16,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ("wallet", "coin")
+_BLOCK = (*KEYS, "_day")
 
 
 def _order(upto_current: bool = False):
-    w = Window.partitionBy(*KEYS).orderBy("ts", "id")
+    w = Window.partitionBy(*_BLOCK).orderBy("ts", "id")
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if upto_current else w
 
 
+def _earlier():
+    """The days of a key before the present one."""
+    return Window.partitionBy(*KEYS).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def duplicate_ids(fills: DataFrame) -> DataFrame:
     """Ids that occur more than once; such input is an error."""
     return fills.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _dated(fills: DataFrame) -> DataFrame:
+    """Adds ``_day``, ``after``, and ``_flat`` and ``_end``: was the key flat before this day, where did its last day end."""
+    rows = fills.withColumns({"_day": F.coalesce(F.col("ts").cast("date"), F.to_date(F.lit("0001-01-01"))), "after": F.col("start_position") + F.col("delta")})
+    days = rows.groupBy(*_BLOCK).agg(F.max(F.col("start_position") == 0).alias("_f"), F.max_by("after", F.struct("ts", "id")).alias("_a"))
+    days = days.select(*_BLOCK, F.coalesce(F.max("_f").over(_earlier()), F.lit(False)).alias("_flat"), F.last("_a").over(_earlier()).alias("_end"))
+    return rows.join(days, list(_BLOCK))
+
+
 def with_trust(fills: DataFrame) -> DataFrame:
     """Adds ``trusted``: from the first execution that starts flat. What precedes it has no known beginning."""
-    return fills.withColumn("trusted", F.max(F.col("start_position") == 0).over(_order(True)))
+    rows = _dated(fills)
+    return rows.withColumn("trusted", F.col("_flat") | F.max(F.col("start_position") == 0).over(_order(True))).select(*fills.columns, "trusted")
 
 
 def prefix_report(fills: DataFrame) -> DataFrame:
@@ -38,11 +57,19 @@ def prefix_report(fills: DataFrame) -> DataFrame:
 
 
 def with_continuity(fills: DataFrame) -> DataFrame:
-    """Trusted rows with ``after``, ``broken`` (here the position jumped) and ``kept`` (no jump so far)."""
-    rows = with_trust(fills).filter("trusted").withColumn("after", F.col("start_position") + F.col("delta"))
-    expected = F.coalesce(F.lag("after").over(_order()), F.lit(0))
-    rows = rows.withColumn("broken", F.col("start_position") != expected)
-    return rows.withColumn("kept", ~F.max("broken").over(_order(True)))
+    """Trusted rows with ``after``, ``broken`` (here the position jumped), ``kept`` (no jump so far), ``_discontinued`` (the key
+    jumps somewhere), ``_day`` and ``_opened`` (cycles begun up to here)."""
+    start = F.col("start_position")
+    flat = F.coalesce(F.max(start == 0).over(_order(True).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = _dated(fills).withColumn("_before", F.col("_flat") | flat).filter(F.col("_before") | (start == 0))
+    rows = rows.withColumn("broken", F.col("_before") & (start != F.coalesce(F.lag("after").over(_order()), F.col("_end"))))
+    rows = rows.withColumn("_jumped", F.max("broken").over(_order(True)))
+    opens = (~F.col("_jumped") & ((start == 0) | (F.signum("start_position") * F.signum("after") < 0))).cast("int")
+    rows = rows.withColumn("_open", opens)
+    days = rows.groupBy(*_BLOCK).agg(F.max("broken").alias("_b"), F.sum("_open").alias("_n"))
+    days = days.select(*_BLOCK, F.coalesce(F.max("_b").over(_earlier()), F.lit(False)).alias("_lost"), F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_begun"), F.max("_b").over(Window.partitionBy(*KEYS)).alias("_discontinued"))
+    rows = rows.join(days, list(_BLOCK)).withColumn("_opened", F.col("_begun") + F.sum("_open").over(_order(True)))
+    return rows.select(*fills.columns, "after", "broken", (~F.col("_lost") & ~F.col("_jumped")).alias("kept"), "_discontinued", "_day", "_opened")
 
 
 def legs(fills: DataFrame) -> DataFrame:
@@ -51,50 +78,62 @@ def legs(fills: DataFrame) -> DataFrame:
     An execution that flips the position closes one cycle and opens the next: the close leg has the whole
     official profit and its share of the fee. An opening leg's official profit does not count.
     """
-    rows = with_continuity(fills).withColumn("_discontinued", F.max("broken").over(Window.partitionBy(*KEYS))).filter("kept")
+    rows = with_continuity(fills).filter("kept")
     start, after, size = F.col("start_position"), F.col("after"), F.col("size")
     opens, flips = start == 0, F.signum("start_position") * F.signum("after") < 0
-    rows = rows.withColumn("_opened", F.sum((opens | flips).cast("int")).over(_order(True)))
     closing = (start != 0) & (F.signum("start_position") != F.signum("delta"))
     closed = F.least(F.abs(start), size)
-    close = F.struct(F.lit("CLOSE").alias("role"), (F.col("_opened") - flips.cast("int")).alias("cycle"), closed.alias("size"), (F.col("fee") * closed / size).alias("fee"), F.col("closed_pnl").alias("closed_pnl"))
+    close = F.struct(F.lit("CLOSE").alias("role"), (F.col("_opened") - flips.cast("int")).alias("cycle"), closed.alias("size"), F.abs(start).alias("_held"), (F.col("fee") * closed / size).alias("fee"), F.col("closed_pnl").alias("closed_pnl"))
     rest = F.when(flips, size - closed).otherwise(size)
-    open_ = F.struct(F.lit("OPEN").alias("role"), F.col("_opened").alias("cycle"), rest.alias("size"), F.when(flips, F.col("fee") - F.col("fee") * closed / size).otherwise(F.col("fee")).alias("fee"), (F.col("closed_pnl") * 0).alias("closed_pnl"))
+    open_ = F.struct(F.lit("OPEN").alias("role"), F.col("_opened").alias("cycle"), rest.alias("size"), F.when(flips, F.abs(start) * 0).otherwise(F.abs(start)).alias("_held"), F.when(flips, F.col("fee") - F.col("fee") * closed / size).otherwise(F.col("fee")).alias("fee"), (F.col("closed_pnl") * 0).alias("closed_pnl"))
     parts = F.when(flips, F.array(close, open_)).when(closing, F.array(close)).otherwise(F.array(open_))
-    out = rows.select(*KEYS, "id", "ts", "side", "price", "after", "_discontinued", (opens & (F.col("closed_pnl") != 0)).alias("unexpected_pnl"), F.posexplode(parts).alias("leg", "_p"))
-    return out.select(*KEYS, "id", "ts", "side", "price", "leg", "_p.*", F.when((F.col("_p.role") == "CLOSE") & (F.col("after") == 0) | (F.col("_p.role") == "CLOSE") & (F.signum("after") != F.when(F.col("side") == "SELL", 1).otherwise(-1)), F.lit(True)).otherwise(F.lit(False)).alias("ends"), "unexpected_pnl", "_discontinued")
+    out = rows.select(*KEYS, "id", "ts", "side", "price", "after", "_discontinued", "_day", (opens & (F.col("closed_pnl") != 0)).alias("unexpected_pnl"), F.posexplode(parts).alias("leg", "_p"))
+    return out.select(*KEYS, "id", "ts", "side", "price", "leg", "_p.*", F.when((F.col("_p.role") == "CLOSE") & (F.col("after") == 0) | (F.col("_p.role") == "CLOSE") & (F.signum("after") != F.when(F.col("side") == "SELL", 1).otherwise(-1)), F.lit(True)).otherwise(F.lit(False)).alias("ends"), "unexpected_pnl", "_discontinued", "_day")
 
 
 def _folded(sorted_legs: Column) -> Column:
-    """(open size, average entry price, recomputed profit) after all legs of a cycle."""
+    """What the legs of one day make of the average entry price e that they begin with: the price ``by`` x e + ``entry`` and
+    the recomputed profit ``gain`` - ``per`` x e."""
 
     def step(acc: Column, leg: Column) -> Column:
-        is_open = leg["role"] == "OPEN"
+        is_open, held = leg["role"] == "OPEN", leg["held"].cast("double")
         size, price = leg["size"].cast("double"), leg["price"].cast("double")
-        grown = acc["open"] + size
-        gain = F.when(leg["side"] == "SELL", price - acc["entry"]).otherwise(acc["entry"] - price) * size
+        grown = held + size
+        sign = F.when(leg["side"] == "SELL", 1.0).otherwise(-1.0)
         return F.struct(
-            F.when(is_open, grown).otherwise(acc["open"] - size).alias("open"),
-            F.when(is_open, (acc["open"] * acc["entry"] + size * price) / grown).otherwise(acc["entry"]).alias("entry"),
-            F.when(is_open, acc["gain"]).otherwise(acc["gain"] + gain).alias("gain"),
+            F.when(is_open, held / grown * acc["by"]).otherwise(acc["by"]).alias("by"),
+            F.when(is_open, (held * acc["entry"] + size * price) / grown).otherwise(acc["entry"]).alias("entry"),
+            F.when(is_open, acc["gain"]).otherwise(acc["gain"] + sign * (price - acc["entry"]) * size).alias("gain"),
+            F.when(is_open, acc["per"]).otherwise(acc["per"] + sign * acc["by"] * size).alias("per"),
         )
 
-    zero = F.struct(F.lit(0.0).alias("open"), F.lit(0.0).alias("entry"), F.lit(0.0).alias("gain"))
-    return F.aggregate(sorted_legs, zero, step)
+    one = F.struct(F.lit(1.0).alias("by"), F.lit(0.0).alias("entry"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("per"))
+    return F.aggregate(sorted_legs, one, step)
+
+
+def _composed(days: Column) -> Column:
+    """The entry price and recomputed profit of a cycle from its days' folds in order."""
+    zero = F.struct(F.lit(0.0).alias("entry"), F.lit(0.0).alias("gain"))
+    return F.aggregate(days, zero, lambda acc, d: F.struct((d["f"]["by"] * acc["entry"] + d["f"]["entry"]).alias("entry"), (acc["gain"] + d["f"]["gain"] - d["f"]["per"] * acc["entry"]).alias("gain")))
 
 
 def cycles(fills: DataFrame) -> DataFrame:
     """One row per cycle. The open cycle of a key whose position jumped is left out, its closed cycles stay."""
-    item = F.struct("ts", "id", "leg", "role", "side", "size", "price")
-    rows = legs(fills).groupBy(*KEYS, "cycle").agg(
+    item = F.struct("ts", "id", "leg", "role", "side", "size", "price", F.col("_held").alias("held"))
+    at, closing = F.struct("ts", "id", "leg"), F.col("role") == "CLOSE"
+    days = legs(fills).groupBy(*KEYS, "cycle", "_day").agg(
         F.array_sort(F.collect_list(item)).alias("_legs"), F.min("ts").alias("opened_at"), F.max(F.when(F.col("ends"), F.col("ts"))).alias("closed_at"),
-        F.min_by("side", F.struct("ts", "id", "leg")).alias("_first_side"), F.min_by("id", F.struct("ts", "id", "leg")).alias("opening_id"),
-        F.count_distinct("id").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("closed_pnl").alias("official_pnl"),
-        F.sum(F.when(F.col("role") == "OPEN", F.col("size"))).alias("entry_quantity"), F.coalesce(F.sum(F.when(F.col("role") == "CLOSE", F.col("size"))), F.lit(0)).alias("exit_quantity"),
-        (F.sum(F.when(F.col("role") == "CLOSE", F.col("size") * F.col("price"))) / F.sum(F.when(F.col("role") == "CLOSE", F.col("size")))).alias("exit_price"),
+        F.min(at).alias("_at"), F.min_by("side", at).alias("_side"), F.min_by("id", at).alias("_id"), F.count_distinct("id").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("closed_pnl").alias("official_pnl"),
+        F.sum(F.when(~closing, F.col("size"))).alias("_in"), F.sum(F.when(closing, F.col("size"))).alias("_out"), F.sum(F.when(closing, F.col("size") * F.col("price"))).alias("_paid"),
         F.max("unexpected_pnl").alias("unexpected_opening_pnl"), F.max("_discontinued").alias("_discontinued"),
+    ).withColumn("_f", _folded(F.col("_legs"))).drop("_legs")
+    rows = days.groupBy(*KEYS, "cycle").agg(
+        F.array_sort(F.collect_list(F.struct("_day", F.col("_f").alias("f")))).alias("_days"), F.min("opened_at").alias("opened_at"), F.max("closed_at").alias("closed_at"),
+        F.min_by("_side", "_at").alias("_first_side"), F.min_by("_id", "_at").alias("opening_id"), F.sum("n_fills").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("official_pnl").alias("official_pnl"),
+        F.sum("_in").alias("entry_quantity"), F.coalesce(F.sum("_out"), F.lit(0)).alias("exit_quantity"), (F.sum("_paid") / F.sum("_out")).alias("exit_price"),
+        F.max("unexpected_opening_pnl").alias("unexpected_opening_pnl"), F.max("_discontinued").alias("_discontinued"),
     )
-    rows = rows.withColumn("_f", _folded(F.col("_legs"))).filter(F.col("closed_at").isNotNull() | ~F.col("_discontinued"))
+    rows = rows.withColumn("_f", _composed(F.col("_days"))).filter(F.col("closed_at").isNotNull() | ~F.col("_discontinued"))
     return rows.select(
         *KEYS, "cycle", F.concat_ws(":", "coin", F.col("cycle").cast("string"), F.col("opening_id").cast("string")).alias("cycle_id"),
         F.when(F.col("_first_side") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.when(F.col("closed_at").isNull(), "OPEN").otherwise("CLOSED").alias("state"),
@@ -118,20 +157,18 @@ def allocate_funding(funding: DataFrame, cycles: DataFrame) -> DataFrame:
     """Each payment (wallet, coin, funding_id, ts, amount) with the one cycle it falls strictly inside.
 
     A payment at the very instant at which a cycle opens or closes is CYCLE_BOUNDARY_AMBIGUOUS, one in no
-    cycle NO_TRUSTED_CYCLE, one in several MULTIPLE_CYCLE_CANDIDATES. The cycles of a key that are open at
-    a time are at most one, so instead of a range join the payments and the cycles' ends are put into one
-    order per key: what matters is the cycle begun last and the events of the same instant.
+    cycle NO_TRUSTED_CYCLE, one in several MULTIPLE_CYCLE_CANDIDATES. Instead of a range join the payments and
+    the cycles' ends are put into one order per key: a running count of cycles begun less those ended tells how many are
+    open, and the running sum of their numbers, taken likewise, which one it is if there is one.
     """
-    opened = cycles.select(*KEYS, F.col("opened_at").alias("ts"), F.struct("cycle", "closed_at").alias("_c"), F.lit(1).alias("_edge"))
-    closed = cycles.filter("closed_at is not null").select(*KEYS, F.col("closed_at").alias("ts"), F.lit(1).alias("_edge"))
-    both = funding.withColumn("_edge", F.lit(0)).unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
-    instant = Window.partitionBy(*KEYS, "ts")
-    both = both.withColumn("_boundary", F.max("_edge").over(instant) == 1)
-    before = Window.partitionBy(*KEYS).orderBy("ts", F.desc("_edge"), "_c.cycle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_last", F.last("_c", ignorenulls=True).over(before)).filter("_edge = 0")
-    inside = F.col("_last").isNotNull() & (F.col("_last.closed_at").isNull() | (F.col("ts") < F.col("_last.closed_at")))
-    state = F.when(F.col("_boundary"), "CYCLE_BOUNDARY_AMBIGUOUS").when(F.coalesce(inside, F.lit(False)), "ALLOCATED").otherwise("NO_TRUSTED_CYCLE")
-    return both.withColumn("allocation", state).withColumn("cycle", F.when(F.col("allocation") == "ALLOCATED", F.col("_last.cycle"))).drop("_edge", "_c", "_boundary", "_last")
+    opened = cycles.select(*KEYS, F.col("opened_at").alias("ts"), F.col("cycle").cast("long").alias("_c"), F.lit(1).alias("_edge"))
+    closed = cycles.filter("closed_at is not null").select(*KEYS, F.col("closed_at").alias("ts"), (-F.col("cycle").cast("long")).alias("_c"), F.lit(-1).alias("_edge"))
+    both = funding.withColumns({"_edge": F.lit(0), "_c": F.lit(0).cast("long")}).unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
+    both = both.withColumn("_boundary", F.max(F.abs("_edge")).over(Window.partitionBy(*KEYS, "ts")) == 1)
+    before = Window.partitionBy(*KEYS).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"_open": F.sum("_edge").over(before), "_which": F.sum("_c").over(before)}).filter("_edge = 0")
+    state = F.when(F.col("_boundary"), "CYCLE_BOUNDARY_AMBIGUOUS").when(F.col("_open") == 1, "ALLOCATED").when(F.col("_open") > 1, "MULTIPLE_CYCLE_CANDIDATES").otherwise("NO_TRUSTED_CYCLE")
+    return both.withColumn("allocation", state).withColumn("cycle", F.when(F.col("allocation") == "ALLOCATED", F.col("_which"))).drop("_edge", "_c", "_boundary", "_open", "_which")
 
 
 def transitions(fills: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import cash_flow_category, cash_flow_external
+
 ANNUAL = 365.0
 
 
 def daily_nav(points: DataFrame, keys: Sequence[str], *, ts: str = "ts", tie: str = "id", nav: str = "nav") -> DataFrame:
-    """Per key and UTC day the last positive value; days without one carry NON_POSITIVE_NAV."""
-    at = F.struct(ts, tie)
-    days = points.groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(F.max_by(F.when(F.col(nav) > 0, F.col(nav)), F.when(F.col(nav) > 0, at)).alias("nav"), F.count(F.lit(1)).alias("n_points"))
+    """Per key and UTC day the last positive value and its time ``at``; days without one carry NON_POSITIVE_NAV."""
+    last = F.when(F.col(nav) > 0, F.struct(ts, tie))
+    days = points.groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(F.max_by(F.when(F.col(nav) > 0, F.col(nav)), last).alias("nav"), F.max(F.when(F.col(nav) > 0, F.col(ts))).alias("at"), F.count(F.lit(1)).alias("n_points"))
     return days.withColumn("error_code", F.when(F.col("nav").isNull(), "NON_POSITIVE_NAV"))
 
 
@@ -39,20 +41,60 @@ def split_at_flows(points: DataFrame, flows: DataFrame, keys: Sequence[str]) ->
 
     ``points``: ts, nav, regular values. ``flows``: flow_id, ts, before_nav, after_nav, amount. The base of the
     first period is the last regular value before the first flow; every flow closes a period and its
-    value after is the next base; the last period ends at the last regular value after the last flow.
+    value after is the next base; the last period ends at the last regular value after the last flow. Of regular values
+    of one instant the largest counts, of flows of one instant the smaller id comes first.
     """
+    at = F.struct("ts", "nav")
     edge = flows.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     around = points.join(edge, list(keys))
-    base = around.filter(F.col("ts") < F.col("_first")).groupBy(*keys).agg(F.max_by("nav", "ts").alias("_base"), F.max("ts").alias("_base_at"))
-    final = around.filter(F.col("ts") > F.col("_last")).groupBy(*keys).agg(F.max_by("nav", "ts").alias("_end"), F.max("ts").alias("_end_at"))
+    base = around.filter(F.col("ts") < F.col("_first")).groupBy(*keys).agg(F.max_by("nav", at).alias("_base"), F.max("ts").alias("_base_at"))
+    final = around.filter(F.col("ts") > F.col("_last")).groupBy(*keys).agg(F.max_by("nav", at).alias("_end"), F.max("ts").alias("_end_at"))
     order = Window.partitionBy(*keys).orderBy("ts", "flow_id")
     rows = flows.join(base, list(keys), "left").withColumns({"period_from": F.coalesce(F.lag("ts").over(order), F.col("_base_at")), "_from_nav": F.coalesce(F.lag("after_nav").over(order), F.col("_base"))})
-    closed = rows.select(*keys, "period_from", F.col("ts").alias("period_to"), (F.col("before_nav") / F.col("_from_nav") - 1).alias("value"), (F.col("after_nav") - F.col("before_nav") != F.col("amount")).alias("flow_mismatch"), F.when(F.col("_from_nav").isNull(), "MISSING_CASH_FLOW_BOUNDARY_NAV").alias("error_code"))
-    last = flows.groupBy(*keys).agg(F.max_by("after_nav", F.struct("ts", "flow_id")).alias("_nav"), F.max("ts").alias("_at")).join(final, list(keys), "left")
-    tail = last.select(*keys, F.col("_at").alias("period_from"), F.col("_end_at").alias("period_to"), (F.col("_end") / F.col("_nav") - 1).alias("value"), F.lit(False).alias("flow_mismatch"), F.when(F.col("_end").isNull(), "MISSING_CASH_FLOW_BOUNDARY_NAV").alias("error_code"))
+    missing = F.col("_from_nav").isNull() | F.col("before_nav").isNull() | F.col("after_nav").isNull() | F.col("amount").isNull()
+    rows = rows.withColumn("seq", F.row_number().over(order))
+    closed = rows.select(*keys, "seq", "period_from", F.col("ts").alias("period_to"), (F.col("before_nav") / F.col("_from_nav") - 1).alias("value"), (F.col("after_nav") - F.col("before_nav") != F.col("amount")).alias("flow_mismatch"), F.when(missing, "MISSING_CASH_FLOW_BOUNDARY_NAV").alias("error_code"))
+    last = flows.groupBy(*keys).agg((F.count(F.lit(1)) + 1).cast("int").alias("seq"), F.max_by("after_nav", F.struct("ts", "flow_id")).alias("_nav"), F.max("ts").alias("_at")).join(final, list(keys), "left")
+    tail = last.select(*keys, "seq", F.col("_at").alias("period_from"), F.col("_end_at").alias("period_to"), (F.col("_end") / F.col("_nav") - 1).alias("value"), F.lit(False).alias("flow_mismatch"), F.when(F.col("_end").isNull(), "MISSING_CASH_FLOW_BOUNDARY_NAV").alias("error_code"))
     return closed.unionByName(tail)
 
 
+def normalise_flows(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``flows`` (flow_id, ts, kind, amount, boundary) with ``category``, ``is_external`` and ``error_code``: an id that a key has
+    twice is DUPLICATE_EVENT, a flow that cannot be classed UNKNOWN_CASH_FLOW."""
+    rows = flows.withColumn("category", cash_flow_category(F.col("kind")))
+    rows = rows.withColumn("is_external", cash_flow_external(F.col("category"), F.col("amount"), F.col("boundary")))
+    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys, "flow_id")) > 1
+    return rows.withColumn("error_code", F.when(twice, "DUPLICATE_EVENT").when(F.col("is_external").isNull(), "UNKNOWN_CASH_FLOW"))
+
+
+def with_flow_values(flows: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``flows`` with ``before_nav`` and ``after_nav``: the first of ``values`` (flow_id, role, ts, nav) in the role FLOW_BEFORE
+    and FLOW_AFTER; null where there is none."""
+    def first(role: str):
+        return F.min_by(F.when(F.col("role") == role, F.col("nav")), F.when(F.col("role") == role, F.struct("ts", "nav")))
+
+    sides = values.groupBy(*keys, "flow_id").agg(first("FLOW_BEFORE").alias("before_nav"), first("FLOW_AFTER").alias("after_nav"))
+    return flows.join(sides, [*keys, "flow_id"], "left")
+
+
+def flow_periods(days: DataFrame, flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Return periods of the daily values ``days`` (at, nav), split at the external ones of ``flows`` (normalised, with values).
+
+    Flows outside a key's first and last day do not count. A key with a flow in error has that error in a period of
+    its own; keys without external flows have periods from day to day.
+    """
+    keys = list(keys)
+    ends = days.groupBy(*keys).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    own = flows.join(ends, keys).filter(F.col("ts").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+    external = own.filter("is_external")
+    split = split_at_flows(days.select(*keys, F.col("at").alias("ts"), "nav"), external, keys)
+    plain = period_returns(days.join(external.select(*keys).distinct(), keys, "left_anti"), keys, "at").withColumn("error_code", F.lit(None).cast("string"))
+    wrong = own.filter("error_code is not null").groupBy(*keys).agg(F.min("error_code").alias("error_code")).withColumns({"seq": F.lit(0), "value": F.lit(None).cast("double")})
+    columns = [*keys, "seq", "period_from", "period_to", "value", "error_code"]
+    return split.select(*columns).unionByName(plain.select(*columns)).unionByName(wrong, allowMissingColumns=True)
+
+
 def compounded(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: the product of 1 + value, less 1; NON_POSITIVE_NAV if a factor is not positive."""
     out = periods.groupBy(*keys).agg((F.product(1 + F.col("value")) - 1).alias("total_return"), F.min(1 + F.col("value")).alias("_least"), F.count(F.lit(1)).alias("n_periods"), F.min("period_from").alias("first_from"), F.max("period_to").alias("last_to"))

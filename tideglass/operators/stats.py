@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def losing_streak(closed: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ("closed_at", "cycle_id"), pnl: str = "net_pnl") -> DataFrame:
-    """Per key the longest run of losses: rows between two non-losses have equal running counts of non-losses."""
+def _runs(closed: DataFrame, keys: Sequence[str], order: Sequence[str], pnl: str) -> DataFrame:
+    """Adds ``_run``: rows between two non-losses have equal running counts of non-losses."""
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = closed.withColumn("_run", F.sum((F.col(pnl) >= 0).cast("int")).over(upto)).groupBy(*keys, "_run").agg(F.count_if(F.col(pnl) < 0).alias("_n"))
+    return closed.withColumn("_run", F.sum((F.col(pnl) >= 0).cast("int")).over(upto))
+
+
+def losing_streak(closed: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ("closed_at", "cycle_id"), pnl: str = "net_pnl") -> DataFrame:
+    """Per key the longest run of losses."""
+    runs = _runs(closed, keys, order, pnl).groupBy(*keys, "_run").agg(F.count_if(F.col(pnl) < 0).alias("_n"))
     return runs.groupBy(*keys).agg(F.max("_n").alias("max_losing_streak"))
 
 
-def trade_stats(closed: DataFrame, keys: Sequence[str], *, pnl: str = "net_pnl") -> DataFrame:
-    """Wins, losses, rates, averages, profit factor (null without losses) and the largest win's share of wins."""
+def trade_stats(closed: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ("closed_at", "cycle_id"), pnl: str = "net_pnl") -> DataFrame:
+    """Wins, losses, rates, averages, profit factor (null without losses), the largest win's share of wins and the longest
+    losing streak, in one pass: sums per run of losses, then per key."""
     p = F.col(pnl)
-    win, loss = F.sum(F.when(p > 0, p)), F.sum(F.when(p < 0, p))
-    sums = closed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_cycles"), F.count_if(p > 0).alias("n_wins"), F.count_if(p < 0).alias("n_losses"), F.count_if(p == 0).alias("n_even"),
-        (F.count_if(p > 0) / F.count(F.lit(1))).alias("win_rate"), F.avg(F.when(p > 0, p)).alias("average_win"), F.avg(F.when(p < 0, p)).alias("average_loss"),
-        (F.coalesce(win, F.lit(0.0)) / -loss).alias("profit_factor"), (F.max(F.when(p > 0, p)) / win).alias("top_trade_share"), F.sum(p).alias("total_pnl"),
+    runs = _runs(closed, keys, order, pnl).groupBy(*keys, "_run").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(p > 0).alias("_won"), F.count_if(p < 0).alias("_lost"), F.sum(F.when(p > 0, p)).alias("_gain"), F.sum(F.when(p < 0, p)).alias("_loss"), F.max(F.when(p > 0, p)).alias("_most"), F.sum(p).alias("_all"),
+    )
+    won, lost, n, gain, loss = (F.sum(c) for c in ("_won", "_lost", "_n", "_gain", "_loss"))
+    return runs.groupBy(*keys).agg(
+        n.alias("n_cycles"), won.alias("n_wins"), lost.alias("n_losses"), (n - won - lost).alias("n_even"), (won / n).alias("win_rate"), F.when(won > 0, gain / won).alias("average_win"), F.when(lost > 0, loss / lost).alias("average_loss"),
+        F.when(lost > 0, F.coalesce(gain, F.lit(0.0)) / -loss).alias("profit_factor"), F.when(won > 0, F.max("_most") / gain).alias("top_trade_share"), F.sum("_all").alias("total_pnl"), F.max("_lost").alias("max_losing_streak"),
     )
-    return sums.join(losing_streak(closed, keys, pnl=pnl), list(keys))
 
 
 def leverage(snapshots: DataFrame, keys: Sequence[str], *, notional: str = "notional", equity: str = "equity") -> DataFrame:

@@ -47,21 +47,10 @@ def version_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.newest_version(runs, ["wallet"], ["v3", "v2"])
 
 
-@add("run_id:l is_evaluable:b", """
-    WITH m AS (SELECT l_orderkey AS run_id, CASE l_linenumber WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS metric, l_returnflag <> 'R' AS ok, l_suppkey % 2 AS w FROM lineitem WHERE l_linenumber <= 3)
-    SELECT run_id, count(DISTINCT metric) FILTER (ok) = 3 AND count(DISTINCT w) = 1 AS is_evaluable FROM m GROUP BY run_id""")
-def evaluable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, day = F.col("l_linenumber"), F.to_date(F.lit("2024-01-01"))
-    m = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(
-        F.col("l_orderkey").alias("run_id"), F.when(n == 1, "a").when(n == 2, "b").otherwise("c").alias("metric"), F.when(F.col("l_returnflag") != "R", "AVAILABLE").otherwise("FAILED").alias("status"), F.lit("v3").alias("version"),
-        day.alias("period_from"), F.date_add(day, (F.col("l_suppkey") % 2).cast("int")).alias("period_to"), F.lit(1).alias("n_cycles"))
-    return audit.evaluable(m, ["a", "b", "c"], "v3")
-
-
 @add("run_id:l is_evaluable:b", """
     WITH m AS (SELECT l_orderkey AS run_id, CASE l_linenumber % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS metric, l_returnflag <> 'R' AS ok, l_suppkey % 2 AS w FROM lineitem)
     SELECT run_id, count(DISTINCT metric) FILTER (ok) = 3 AND count(DISTINCT w) = 1 AS is_evaluable FROM m GROUP BY run_id""")
-def whole_evaluable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line is a value of one of three metrics."""
     n, day = F.col("l_linenumber") % 3, F.to_date(F.lit("2024-01-01"))
     m = table(spark, sf_dir, "lineitem").select(
@@ -100,18 +89,6 @@ def leg_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.leg_issues(f, events)
 
 
-@add("coin:s bucket_end:t wallet:l issue:s", f"""
-    WITH {FILLS}, mb AS (SELECT DISTINCT wallet FROM f WHERE wallet <= 10), be AS (SELECT DISTINCT coin, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS bucket_end FROM f WHERE ts >= TIMESTAMP '2024-01-29'),
-    la AS (SELECT wallet, coin, max(ts) AS last_at FROM f GROUP BY ALL),
-    pg AS (SELECT wallet, coin, CASE WHEN wallet % 4 = 0 THEN NULL WHEN wallet % 3 = 0 THEN last_at - INTERVAL 1 HOUR ELSE last_at END AS done_to, last_at AS observed_to, wallet % 5 = 0 AS has_gap FROM la WHERE wallet <> 7),
-    jn AS (SELECT be.coin, be.bucket_end, mb.wallet, has_gap, observed_to, done_to, last_at FROM be CROSS JOIN mb LEFT JOIN pg ON pg.wallet = mb.wallet AND pg.coin = be.coin LEFT JOIN la ON la.wallet = mb.wallet AND la.coin = be.coin)
-    SELECT coin, bucket_end, wallet, 'SOURCE_GAP' AS issue FROM jn WHERE has_gap UNION ALL SELECT coin, bucket_end, wallet, 'SOURCE_NOT_OBSERVED' FROM jn WHERE coalesce(observed_to < bucket_end, TRUE)
-    UNION ALL SELECT coin, bucket_end, wallet, CASE WHEN done_to IS NULL THEN 'MISSING_BOUNDARY' ELSE 'NORMALIZATION_LAG' END FROM jn WHERE done_to IS NULL OR last_at > done_to""")
-def bucket_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fills(spark, sf_dir)
-    return _readiness(f, f.filter("wallet <= 10").select("wallet").distinct(), f.filter("ts >= timestamp_ntz'2024-01-29'"))
-
-
 def _readiness(f: DataFrame, members: DataFrame, required: DataFrame) -> DataFrame:
     w = F.col("wallet")
     last = f.groupBy("wallet", "coin").agg(F.max("ts").alias("last_at"))
@@ -128,7 +105,7 @@ def _readiness(f: DataFrame, members: DataFrame, required: DataFrame) -> DataFra
     jn AS (SELECT mb.cohort, be.coin, be.bucket_end, mb.wallet, has_gap, observed_to, done_to, last_at FROM be CROSS JOIN mb LEFT JOIN pg ON pg.wallet = mb.wallet AND pg.coin = be.coin LEFT JOIN la ON la.wallet = mb.wallet AND la.coin = be.coin)
     SELECT cohort, coin, bucket_end, wallet, 'SOURCE_GAP' AS issue FROM jn WHERE has_gap UNION ALL SELECT cohort, coin, bucket_end, wallet, 'SOURCE_NOT_OBSERVED' FROM jn WHERE coalesce(observed_to < bucket_end, TRUE)
     UNION ALL SELECT cohort, coin, bucket_end, wallet, CASE WHEN done_to IS NULL THEN 'MISSING_BOUNDARY' ELSE 'NORMALIZATION_LAG' END FROM jn WHERE done_to IS NULL OR last_at > done_to""")
-def whole_bucket_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bucket_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every wallet, in cohorts of ten, against every bucket."""
     f = fills(spark, sf_dir)
     return _readiness(f, f.select(F.floor(F.col("wallet") / 10).alias("cohort"), "wallet").distinct(), f)
@@ -175,3 +152,7 @@ def dated_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def position_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fills(spark, sf_dir).withColumn("dir", F.when(F.col("start_position") >= 0, "Open LONG").otherwise("Close Short"))
     return audit.position_relations(f, "dir")
+
+
+for _name in ("evaluable_runs", "bucket_readiness"):
+    REGISTRY.alias(f"whole_{_name}", _name)

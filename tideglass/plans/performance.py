@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..envelope import coverage_error, coverage_warnings, guarded
 from ..operators import cycles, returns, stats
+from ..scratch import materialise
 
 TRADE = ("win_rate", "profit_factor", "average_win", "average_loss", "top_trade_share", "max_losing_streak")
 RETURN = ("total_return", "annualised_return", "volatility", "sharpe", "sortino", "max_drawdown")
@@ -37,6 +39,26 @@ def return_lane(points: DataFrame) -> DataFrame:
     return long_form("return", rows.withColumn("error_code", F.coalesce("error_code", "_risk_error", F.lit("INSUFFICIENT_HISTORY"))), RETURN)
 
 
+def flow_return_lane(points: DataFrame, flows: DataFrame, values: DataFrame) -> DataFrame:
+    """The return lane where money moves: periods are split at external flows (wallet, flow_id, ts, kind, amount, boundary),
+    whose values before and after are in ``values`` (wallet, flow_id, role, ts, nav), and drawdown is that of the wealth
+    index. A flow that cannot be classed, or has no values, fails the whole lane of its wallet."""
+    key = ["wallet"]
+    days = materialise(returns.return_window(returns.daily_nav(points, key), key), "nav-days")
+    moved = materialise(returns.with_flow_values(returns.normalise_flows(flows, key), values, key), "flows")
+    periods = materialise(returns.flow_periods(days, moved, key), "periods")  # each is used several times below
+    wrong = periods.groupBy("wallet").agg(F.min(F.when(F.col("seq") == 0, F.col("error_code"))).alias("_flow"), F.min("error_code").alias("_any"))
+    good = periods.join(wrong.filter("_any is null").select("wallet"), "wallet", "left_semi")
+    spans = days.groupBy("wallet").agg(F.min("day").alias("first_from"), F.max("day").alias("last_to"))
+    annual = returns.annualised(returns.compounded(good, key).drop("first_from", "last_to").join(spans, "wallet"))
+    risks = returns.risk(good, key).withColumnRenamed("error_code", "_risk_error")
+    start = good.select("wallet").distinct().select("wallet", F.lit(0).alias("seq"), F.lit(1.0).alias("wealth"))
+    wealth = returns.wealth_index(good, key).select("wallet", "seq", "wealth").unionByName(start)
+    worst = returns.drawdown_series(wealth, key, at="seq", level="wealth").groupBy("wallet").agg(F.min("drawdown").alias("max_drawdown"))
+    rows = spans.select("wallet").join(wrong, "wallet", "left").join(worst, "wallet", "left").join(annual, "wallet", "left").join(risks, "wallet", "left")
+    return long_form("return", rows.withColumn("error_code", F.coalesce("_flow", "_any", "error_code", "_risk_error", F.lit("INSUFFICIENT_HISTORY"))), RETURN)
+
+
 def exposure_lane(fills: DataFrame) -> DataFrame:
     return long_form("exposure", stats.concentration(fills.withColumn("notional", F.col("price") * F.col("size")), ["wallet"], "coin"), EXPOSURE)
 
@@ -46,6 +68,22 @@ def performance(fills: DataFrame, points: DataFrame) -> DataFrame:
     return trade_lane(fills).unionByName(return_lane(points)).unionByName(exposure_lane(fills))
 
 
+def covered_performance(fills: DataFrame, points: DataFrame, flows: DataFrame, values: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The same with cash flows, and held against ``coverage`` (wallet, completeness, initial_state_known, explicit_gap).
+
+    A gap that only missing days of value cause counts as PARTIAL outside the return lane, whose own window ends at
+    it. Metrics of histories that do not suffice are null with the reason; those of partial ones carry a
+    PARTIAL_HISTORY warning. A wallet that ``coverage`` does not know is INSUFFICIENT_HISTORY.
+    """
+    metrics = trade_lane(fills).unionByName(flow_return_lane(points, flows, values)).unionByName(exposure_lane(fills))
+    rows = metrics.withColumnRenamed("error_code", "_own").join(coverage, "wallet", "left")
+    state = F.coalesce("completeness", F.lit("INSUFFICIENT_HISTORY"))
+    soft = F.when(F.col("lane") == "return", F.when(state == "COMPLETE", state).otherwise("PARTIAL")).when((state == "GAP_DETECTED") & ~F.coalesce("explicit_gap", F.lit(False)), "PARTIAL").otherwise(state)
+    rows = rows.withColumn("_state", soft).withColumn("warnings", F.concat_ws(",", coverage_warnings(F.col("_state"))))
+    known = (F.col("lane") == "return") | F.col("initial_state_known")
+    return guarded(rows, F.coalesce(coverage_error(F.col("_state"), known), F.col("_own")), "value").select("wallet", "lane", "metric", "value", "error_code", "warnings")
+
+
 def overview(metrics: DataFrame) -> DataFrame:
     """Per wallet: metrics and failures by lane, and INSUFFICIENT_DATA if nothing could be computed."""
     out = metrics.groupBy("wallet").agg(*(F.count_if((F.col("lane") == lane) & F.col("value").isNotNull()).alias(f"n_{lane}") for lane in ("trade", "return", "exposure")), F.count_if(F.col("error_code").isNotNull()).alias("n_failed"))

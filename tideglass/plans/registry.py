@@ -36,3 +36,9 @@ class Registry:
             return build
 
         return register
+
+    def alias(self, name: str, of: str) -> None:
+        """Registers ``of``, with its SQL, under a second name."""
+        self.queries[name] = self.queries[of]
+        if of in self.oracles:
+            self.oracles[name] = self.oracles[of]

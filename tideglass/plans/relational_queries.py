@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import relational as R
 from ..operators import selection as P
+from ..operators.evidence import lane_availability as lanes
 from ..sources.tables import fills, table
 from .registry import Registry
 
@@ -139,35 +140,6 @@ def latest_trusted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("wallet", "b.run_id", "b.state", F.when(F.col("b").isNull(), "NO_TRUSTED_RUN").alias("error_code"))
 
 
-@add("coin:s bucket:t", "SELECT event_type AS coin, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM events WHERE user_id % 2 = 0 UNION SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) FROM events WHERE user_id % 3 = 0")
-def union_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("bucket", S.bucket_start(F.col("ts"))).withColumnRenamed("event_type", "coin")
-    return e.filter("user_id % 2 = 0").select("coin", "bucket").union(e.filter("user_id % 3 = 0").select("coin", "bucket")).distinct()
-
-
-@add("hour:t state:s n_objects:l", """
-    WITH need AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS hour),
-    have AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE user_id % 25 = 0 GROUP BY 1)
-    SELECT hour, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'SELECTED' END AS state, coalesce(n, 0) AS n_objects FROM need LEFT JOIN have USING (hour)""")
-def landing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import landing_plan as plan
-
-    need = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30 23:00:00', interval 1 hour)")).alias("hour"))
-    have = table(spark, sf_dir, "events").filter("user_id % 25 = 0").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.lit(1).alias("bytes"))
-    return plan(have, need)
-
-
-@add("hour:t", """
-    SELECT hour FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS hour)
-    WHERE hour NOT IN (SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'error' AND user_id % 3 = 0)""")
-def missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30 23:00:00', interval 1 hour)")).alias("hour"))
-    have = table(spark, sf_dir, "events").filter("event_type = 'error' and user_id % 3 = 0").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
-    return R.missing(need, have, ["hour"])
-
-
-# --- the three above over the whole table, whose first and last event bound the hours ----------------------------
-
 _HOURS = "need AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM events)"
 
 
@@ -177,7 +149,7 @@ def _hours(e: DataFrame) -> DataFrame:
 
 
 @add("coin:s bucket:t", "SELECT event_type AS coin, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM events WHERE event_type IN ('purchase', 'signup') UNION SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) FROM events WHERE event_type NOT IN ('purchase', 'signup')")
-def whole_union_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def union_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buckets of deals and those of all other events."""
     e = table(spark, sf_dir, "events").withColumn("bucket", S.bucket_start(F.col("ts"))).withColumnRenamed("event_type", "coin")
     deals = F.col("coin").isin("purchase", "signup")
@@ -187,7 +159,7 @@ def whole_union_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("hour:t state:s n_objects:l", f"""
     WITH {_HOURS}, have AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1)
     SELECT hour, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'SELECTED' END AS state, coalesce(n, 0) AS n_objects FROM need LEFT JOIN have USING (hour)""")
-def whole_landing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import landing_plan as plan
 
     e = table(spark, sf_dir, "events")
@@ -195,7 +167,7 @@ def whole_landing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("hour:t", f"WITH {_HOURS} SELECT hour FROM need WHERE hour NOT IN (SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'error')")
-def whole_missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     have = e.filter("event_type = 'error'").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
     return R.missing(_hours(e), have, ["hour"])
@@ -308,9 +280,9 @@ def first_boundary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lane, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'AVAILABLE' WHEN bool_or(o_orderstatus = 'F') THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS status, min(o_orderdate) AS first_from, max(o_orderdate) AS last_to, count(*) AS n,
         array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS reasons FROM r GROUP BY lane""")
 def lane_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, ok = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus") == "F"
+    first = F.substring("o_orderpriority", 1, 1)
     rows = table(spark, sf_dir, "orders").withColumn("lane", F.when(first == "1", "trade").when(first == "2", "return").otherwise("exposure"))
-    return rows.groupBy("lane").agg(F.when(F.bool_and(ok), "AVAILABLE").when(F.bool_or(ok), "PARTIAL").otherwise("UNAVAILABLE").alias("status"), F.min("o_orderdate").alias("first_from"), F.max("o_orderdate").alias("last_to"), F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("o_orderstatus"))).alias("reasons"))
+    return lanes(rows, ["lane"], ok=F.col("o_orderstatus") == "F", start="o_orderdate", end="o_orderdate", reason="o_orderstatus")
 
 
 @add("o_custkey:l n_f:l n_o:l n_p:l", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1")
@@ -332,3 +304,7 @@ def cashflow_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, names)), (k % 8 + 1).cast("int")).alias("kind"), (F.col("o_totalprice") * sign).alias("amount"), boundary.alias("boundary"))
     rows = rows.withColumn("category", S.cash_flow_category(F.col("kind")))
     return rows.withColumn("is_external", S.cash_flow_external(F.col("category"), F.col("amount"), F.col("boundary")))
+
+
+for _name in ("union_buckets", "landing_plan", "missing_hours_anti"):
+    REGISTRY.alias(f"whole_{_name}", _name)

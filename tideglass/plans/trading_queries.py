@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket_start, semantic
 from ..operators import cohort, cycles, returns, selection, stats
+from ..scratch import materialise
 from ..sources.tables import fills, table
 from .registry import Registry
 from .relational_queries import FILLS
@@ -16,28 +17,21 @@ from .relational_queries import FILLS
 REGISTRY = Registry()
 add = REGISTRY.add
 
-#: The drill queries lose each execution whose id this divides, so that positions jump; their SQL has the same clause.
-LOST = 97
-_LOSS = " WHERE id % 97 <> 0"
-
 
 def both(columns: str, sql: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Registers a drill query under its name, and as ``whole_`` with its name over every execution, with SQL that loses none."""
+    """Registers a query under its name and, for those who asked for it by that name, as ``whole_`` with its name."""
 
     def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(spark, sf_dir, 0)
-
-        whole.__name__ = f"whole_{build.__name__}"
-        add(columns, sql.replace(_LOSS, ""))(whole)
-        return add(columns, sql)(build)
+        add(columns, sql)(build)
+        REGISTRY.alias(f"whole_{build.__name__}", build.__name__)
+        return build
 
     return register
 
 
 #: o: start positions moved by wallet % 3; k: trusted rows up to the first jump; g: legs; w: legs in order; r: the fold; c: cycles.
 TRUST = """
-    o AS (SELECT * REPLACE (start_position + wallet % 3 AS start_position) FROM f WHERE id % 97 <> 0),
+    o AS (SELECT * REPLACE (start_position + wallet % 3 AS start_position) FROM f),
     t AS (SELECT *, bool_or(start_position = 0) OVER (PARTITION BY wallet, coin ORDER BY ts, id) AS trusted FROM o),
     b AS (SELECT *, start_position + delta AS after, start_position <> coalesce(lag(start_position + delta) OVER (PARTITION BY wallet, coin ORDER BY ts, id), 0) AS broken FROM t WHERE trusted),
     k AS (SELECT *, NOT bool_or(broken) OVER (PARTITION BY wallet, coin ORDER BY ts, id) AS kept, bool_or(broken) OVER (PARTITION BY wallet, coin) AS discontinued FROM b)"""
@@ -71,12 +65,12 @@ CYCLES = f"""{LEGS},
 WITH_CYCLES = f"WITH RECURSIVE {FILLS}, {CYCLES}"
 
 
-def _fills(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return fills(spark, sf_dir, offset=True, drop_every=lost)
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(spark, sf_dir, offset=True)
 
 
-def _profits(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.profit(cycles.cycles(_fills(spark, sf_dir, lost)))
+def _profits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.profit(cycles.cycles(_fills(spark, sf_dir)))
 
 
 @add("wallet:l coin:s id:l start_position:l after:l", f"WITH {FILLS} SELECT wallet, coin, id, start_position, start_position + delta AS after FROM f")
@@ -85,33 +79,33 @@ def running_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @both("wallet:l coin:s n_skipped:l n_trusted:l first_at:t trusted_from:t", f"WITH {FILLS}, {TRUST} SELECT wallet, coin, count(*) FILTER (NOT trusted) AS n_skipped, count(*) FILTER (trusted) AS n_trusted, min(ts) AS first_at, min(ts) FILTER (trusted) AS trusted_from FROM t GROUP BY ALL")
-def trusted_prefix(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.prefix_report(_fills(spark, sf_dir, lost))
+def trusted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.prefix_report(_fills(spark, sf_dir))
 
 
 @both("wallet:l coin:s id:l leg:l role:s cycle:l size:l fee:r closed_pnl:l ends:b", f"WITH {FILLS}, {LEGS} SELECT * FROM g")
-def cycle_legs(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.legs(_fills(spark, sf_dir, lost))
+def cycle_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.legs(_fills(spark, sf_dir))
 
 
 @both("wallet:l coin:s cycle:l cycle_id:s side:s state:s opened_at:t closed_at:t n_fills:l entry_quantity:l exit_quantity:l", f"{WITH_CYCLES} SELECT *, CASE WHEN closed_at IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS state FROM c")
-def cycle_segments(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.cycles(_fills(spark, sf_dir, lost))
+def cycle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.cycles(_fills(spark, sf_dir))
 
 
 @both("wallet:l coin:s cycle:l entry_price:d", f"{WITH_CYCLES} SELECT wallet, coin, cycle, entry_price FROM c")
-def cycle_entry_price(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.cycles(_fills(spark, sf_dir, lost))
+def cycle_entry_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.cycles(_fills(spark, sf_dir))
 
 
 @both("wallet:l coin:s cycle:l fee:r official_pnl:l recomputed_pnl:r net_pnl:r closed_pnl_mismatch:b", f"{WITH_CYCLES} SELECT *, abs(official_pnl - recomputed_pnl) > 1e-9 AS closed_pnl_mismatch FROM p")
-def cycle_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return _profits(spark, sf_dir, lost)
+def cycle_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profits(spark, sf_dir)
 
 
 @both("wallet:l n:l official_pnl:l fee:r net_pnl:r recomputed_pnl:r", f"{WITH_CYCLES} SELECT wallet, count(*) AS n, sum(official_pnl) AS official_pnl, sum(fee) AS fee, sum(net_pnl) AS net_pnl, sum(recomputed_pnl) AS recomputed_pnl FROM p GROUP BY wallet")
-def aggregate_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return _profits(spark, sf_dir, lost).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in ("official_pnl", "fee", "net_pnl", "recomputed_pnl")))
+def aggregate_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profits(spark, sf_dir).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in ("official_pnl", "fee", "net_pnl", "recomputed_pnl")))
 
 
 def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +124,14 @@ _ALLOCATED = f"""{_FUNDING},
 
 @both("funding_id:l wallet:l coin:s allocation:s cycle:l", f"""{WITH_CYCLES}, {_ALLOCATED}
     SELECT funding_id, wallet, coin, CASE WHEN at_edge THEN 'CYCLE_BOUNDARY_AMBIGUOUS' WHEN cycle IS NULL THEN 'NO_TRUSTED_CYCLE' ELSE 'ALLOCATED' END AS allocation, CASE WHEN NOT coalesce(at_edge, FALSE) THEN cycle END AS cycle FROM m""")
-def funding_interval_join(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return cycles.allocate_funding(_funding(spark, sf_dir), cycles.cycles(_fills(spark, sf_dir, lost)))
+def funding_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.allocate_funding(_funding(spark, sf_dir), cycles.cycles(_fills(spark, sf_dir)))
 
 
 @both("wallet:l coin:s cycle:l funding:r net_pnl:r", f"""{WITH_CYCLES}, {_ALLOCATED}, s AS (SELECT wallet, coin, cycle, sum(amount) AS funding FROM m WHERE NOT coalesce(at_edge, FALSE) AND cycle IS NOT NULL GROUP BY ALL)
     SELECT p.wallet, p.coin, p.cycle, coalesce(funding, 0) AS funding, net_pnl + coalesce(funding, 0) AS net_pnl FROM p LEFT JOIN s ON s.wallet = p.wallet AND s.coin = p.coin AND s.cycle = p.cycle""")
-def cycle_funding_pnl(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    own = cycles.cycles(_fills(spark, sf_dir, lost))
+def cycle_funding_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialise(cycles.cycles(_fills(spark, sf_dir)), "cycles")
     return cycles.profit(own, cycles.allocate_funding(_funding(spark, sf_dir), own))
 
 
@@ -151,18 +145,18 @@ _STATS = f"""{_STREAK},
     v AS (SELECT x.*, y.max_losing_streak FROM x JOIN y ON x.wallet = y.wallet)"""
 
 
-def _stats(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return stats.trade_stats(_profits(spark, sf_dir, lost).filter("state = 'CLOSED'"), ["wallet"])
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.trade_stats(_profits(spark, sf_dir).filter("state = 'CLOSED'"), ["wallet"])
 
 
 @both("wallet:l n_cycles:l n_wins:l n_losses:l n_even:l win_rate:r average_win:r average_loss:r profit_factor:r top_trade_share:r total_pnl:r max_losing_streak:l", f"{WITH_CYCLES}, {_STATS} SELECT * FROM v")
-def trade_stats(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return _stats(spark, sf_dir, lost)
+def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir)
 
 
 @both("wallet:l max_losing_streak:l", f"{WITH_CYCLES}, {_STREAK} SELECT * FROM y")
-def losing_streak(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return stats.losing_streak(_profits(spark, sf_dir, lost).filter("state = 'CLOSED'"), ["wallet"])
+def losing_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.losing_streak(_profits(spark, sf_dir).filter("state = 'CLOSED'"), ["wallet"])
 
 
 @add("wallet:l coin:s id:l ordinal:l event_type:s direction:s quantity:l position_before:l position_after:l notional:r", f"""
@@ -194,18 +188,6 @@ def bucket_semantics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFram
     return cohort.bucket_cells(cycles.transitions(fills(spark, sf_dir)))
 
 
-@add("coin:s bucket:t state:s issues:s n_events:l n_wallets:l notional:r", f"""
-    WITH {FILLS}, {_EVENTS}, need AS (SELECT coin, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-08', INTERVAL 15 MINUTE)) AS bucket FROM (SELECT DISTINCT event_type AS coin FROM events)),
-    tot AS (SELECT coin, bucket, count(*) AS n_events, count(DISTINCT wallet) AS n_wallets, sum(notional) AS notional FROM eb GROUP BY ALL),
-    iss AS (SELECT coin, bucket, array_to_string(list_sort(list(DISTINCT issue)), ',') AS issues FROM (SELECT coin, bucket, 'LARGE_EVENT' AS issue FROM eb WHERE notional > 1200 UNION ALL SELECT coin, bucket, 'SOURCE_GAP' FROM eb WHERE id % 13 = 0) GROUP BY ALL)
-    SELECT need.coin, need.bucket, CASE WHEN issues IS NOT NULL THEN 'BLOCKED' WHEN n_events IS NULL THEN 'EMPTY' ELSE 'VALID' END AS state, coalesce(issues, '') AS issues, CASE WHEN issues IS NULL THEN coalesce(n_events, 0) END AS n_events,
-        CASE WHEN issues IS NULL THEN coalesce(n_wallets, 0) END AS n_wallets, CASE WHEN issues IS NULL THEN coalesce(notional, 0) END AS notional
-    FROM need LEFT JOIN tot ON tot.coin = need.coin AND tot.bucket = need.bucket LEFT JOIN iss ON iss.coin = need.coin AND iss.bucket = need.bucket""")
-def bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = table(spark, sf_dir, "events").select(F.col("event_type").alias("coin")).distinct().select("coin", F.explode(F.expr("sequence(timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-08', interval 15 minutes)")).alias("bucket"))
-    return _fail_closed(spark, sf_dir, need)
-
-
 def _fail_closed(spark: SparkSession, sf_dir: str, need: DataFrame) -> DataFrame:
     events = cycles.transitions(fills(spark, sf_dir))
     at = events.withColumn("bucket", bucket_start(F.col("ts")))
@@ -221,7 +203,7 @@ def _fail_closed(spark: SparkSession, sf_dir: str, need: DataFrame) -> DataFrame
     SELECT need.coin, need.bucket, CASE WHEN issues IS NOT NULL THEN 'BLOCKED' WHEN n_events IS NULL THEN 'EMPTY' ELSE 'VALID' END AS state, coalesce(issues, '') AS issues, CASE WHEN issues IS NULL THEN coalesce(n_events, 0) END AS n_events,
         CASE WHEN issues IS NULL THEN coalesce(n_wallets, 0) END AS n_wallets, CASE WHEN issues IS NULL THEN coalesce(notional, 0) END AS notional
     FROM need LEFT JOIN tot ON tot.coin = need.coin AND tot.bucket = need.bucket LEFT JOIN iss ON iss.coin = need.coin AND iss.bucket = need.bucket""")
-def whole_bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bucket from the first event to the last."""
     e = table(spark, sf_dir, "events")
     ends = e.agg(bucket_start(F.min("ts")).alias("lo"), bucket_start(F.max("ts")).alias("hi"))
@@ -229,26 +211,6 @@ def whole_bucket_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fail_closed(spark, sf_dir, need)
 
 
-_WEIGHTED = """
-    mem AS (SELECT wallet, (n_wins / n_cycles + coalesce(profit_factor, 0) / (coalesce(profit_factor, 0) + 1)) / 2 * (n_cycles / (n_cycles + 30)) * (1 - coalesce(top_trade_share, 1)) AS raw FROM v WHERE wallet <= 20),
-    un AS (SELECT *, raw / sum(raw) OVER () * 1000000000 AS x FROM mem),
-    fl AS (SELECT *, floor(x) AS fx FROM un),
-    wt AS (SELECT wallet, raw, CAST(fx + CASE WHEN row_number() OVER (ORDER BY round(x - fx, 6) DESC, wallet) <= 1000000000 - sum(fx) OVER () THEN 1 ELSE 0 END AS BIGINT) AS weight_units FROM fl),
-    wg AS (SELECT *, weight_units / 1000000000 AS weight FROM wt)"""
-
-
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cohort: wallets 1 to 20, weighted by their closed cycles."""
-    zero = F.lit(0.0)
-    raw = cohort.raw_weight(F.col("win_rate"), F.coalesce("profit_factor", zero), F.col("n_cycles"), F.coalesce("top_trade_share", F.lit(1.0)))
-    return cohort.normalised_weights(_stats(spark, sf_dir).filter("wallet <= 20").withColumn("raw", raw))
-
-
-@add("wallet:l raw:r weight_units:l", f"{WITH_CYCLES}, {_STATS}, {_WEIGHTED} SELECT * FROM wg")
-def wallet_weight_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir)
-
-
 _CONTRIB = f"""{_EVENTS},
     pe AS (SELECT coin, bucket, wallet, count(*) FILTER ((direction = 'LONG') = (event_type IN ('POSITION_OPEN', 'POSITION_INCREASE'))) AS n_buy, count(*) FILTER ((direction = 'LONG') <> (event_type IN ('POSITION_OPEN', 'POSITION_INCREASE'))) AS n_sell FROM eb GROUP BY ALL),
     bk AS (SELECT DISTINCT coin, bucket FROM pe),
@@ -257,44 +219,10 @@ _CONTRIB = f"""{_EVENTS},
     sg AS (SELECT *, buy_strength - sell_strength AS net_signal, buy_strength + sell_strength AS mass FROM (SELECT coin, bucket, round(sum(buy), 9) AS buy_strength, round(sum(sell), 9) AS sell_strength, count(*) FILTER (n_buy + n_sell > 0) AS n_wallets, count(*) FILTER (n_buy > 0 AND n_sell > 0) AS n_mixed FROM cn GROUP BY ALL))"""
 
 
-def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.contributions(_weights(spark, sf_dir).select("wallet", "weight"), cycles.transitions(fills(spark, sf_dir)))
-
-
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.signals(_contributions(spark, sf_dir))
-
-
-@add("coin:s bucket:t wallet:l n_buy:l n_sell:l buy:r sell:r", f"{WITH_CYCLES}, {_STATS}, {_WEIGHTED}, {_CONTRIB} SELECT * FROM cn")
-def wallet_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contributions(spark, sf_dir)
-
-
-@add("coin:s bucket:t buy_strength:r sell_strength:r net_signal:r n_wallets:l n_mixed:l confidence:r state:s", f"""{WITH_CYCLES}, {_STATS}, {_WEIGHTED}, {_CONTRIB}
-    SELECT *, mass * CASE WHEN mass = 0 THEN 0 ELSE greatest(buy_strength, sell_strength) / mass END * (n_wallets / (n_wallets + 2)) AS confidence, CASE WHEN mass = 0 THEN 'NO_SIGNAL' ELSE 'VALID' END AS state FROM sg""")
-def signal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir)
-
-
-@add("coin:s bucket:t event_type:s reason:s delta:r", f"""{WITH_CYCLES}, {_STATS}, {_WEIGHTED}, {_CONTRIB},
-    dc AS (SELECT b.coin, b.bucket, a.net_signal AS x, b.net_signal AS y FROM sg b JOIN sg a ON a.coin = b.coin AND a.bucket + INTERVAL 15 MINUTE = b.bucket),
-    lb AS (SELECT *, CASE WHEN x < 0 AND y > 0 THEN 'BULLISH_REVERSAL' WHEN x > 0 AND y < 0 THEN 'BEARISH_REVERSAL' WHEN x > 0 AND y > x THEN 'BUY_ACCELERATING' WHEN x > 0 AND y < x THEN 'BUY_WEAKENING'
-        WHEN x < 0 AND y < x THEN 'SELL_ACCELERATING' WHEN x < 0 AND y > x THEN 'SELL_WEAKENING' ELSE 'NONE' END AS event_type FROM dc)
-    SELECT coin, bucket, event_type, CASE WHEN event_type <> 'NONE' THEN 'EXACT_NET_TRANSITION' WHEN x = 0 AND y > 0 THEN 'DIRECTION_EMERGED_BUY' WHEN x = 0 AND y < 0 THEN 'DIRECTION_EMERGED_SELL' ELSE 'UNCHANGED_NET' END AS reason, y - x AS delta FROM lb""")
-def direction_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.direction_changes(_signals(spark, sf_dir))
-
-
-@add("measure:s value:r n:l", f"""{WITH_CYCLES}, {_STATS}, {_WEIGHTED}, {_CONTRIB}
-    SELECT measure, value, count(*) AS n FROM (SELECT 'net_signal' AS measure, round(net_signal, 1) AS value FROM sg UNION ALL SELECT 'mass', round(mass, 1) FROM sg UNION ALL SELECT 'n_wallets', n_wallets FROM sg) GROUP BY ALL""")
-def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distribution(_signals(spark, sf_dir))
-
-
-# --- the cohort queries over every wallet: cohorts of ten, each with its own weights and signals -----------------
+# --- cohorts of ten wallets, each with its own weights and signals --------------------------------------------
 
 _BASIS = ("cohort", "coin")
-_COHORTS = f"""{WITH_CYCLES.replace(_LOSS, "")}, {_STATS},
+_COHORTS = f"""{WITH_CYCLES}, {_STATS},
     mem AS (SELECT wallet // 10 AS cohort, wallet, (n_wins / n_cycles + coalesce(profit_factor, 0) / (coalesce(profit_factor, 0) + 1)) / 2 * (n_cycles / (n_cycles + 30)) * (1 - coalesce(top_trade_share, 1)) AS raw FROM v),
     un AS (SELECT *, CASE WHEN sum(raw) OVER h > 0 THEN raw / sum(raw) OVER h ELSE 1 / count(*) OVER h END * 1000000000 AS x FROM mem WINDOW h AS (PARTITION BY cohort)),
     fl AS (SELECT *, floor(x) AS fx FROM un),
@@ -306,7 +234,7 @@ _COHORT_SIGNALS = f"{_COHORTS}, {_CONTRIB.replace('wg.wallet,', 'wg.cohort, wg.w
 def _cohort_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     raw = cohort.raw_weight(F.col("win_rate"), F.coalesce("profit_factor", zero), F.col("n_cycles"), F.coalesce("top_trade_share", F.lit(1.0)))
-    members = _stats(spark, sf_dir, 0).withColumns({"raw": raw, "cohort": F.floor(F.col("wallet") / 10)})
+    members = _stats(spark, sf_dir).withColumns({"raw": raw, "cohort": F.floor(F.col("wallet") / 10)})
     return cohort.normalised_weights(members, cohort=("cohort",))
 
 
@@ -319,18 +247,18 @@ def _cohort_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("cohort:l wallet:l raw:r weight_units:l", f"{_COHORTS} SELECT * FROM wg")
-def whole_wallet_weight_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wallet_weight_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cohort_weights(spark, sf_dir)
 
 
 @add("cohort:l coin:s bucket:t wallet:l n_buy:l n_sell:l buy:r sell:r", f"{_COHORT_SIGNALS} SELECT * FROM cn")
-def whole_wallet_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wallet_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cohort_contributions(spark, sf_dir)
 
 
 @add("cohort:l coin:s bucket:t buy_strength:r sell_strength:r net_signal:r n_wallets:l n_mixed:l confidence:r state:s", f"""{_COHORT_SIGNALS}
     SELECT *, mass * CASE WHEN mass = 0 THEN 0 ELSE greatest(buy_strength, sell_strength) / mass END * (n_wallets / (n_wallets + 2)) AS confidence, CASE WHEN mass = 0 THEN 'NO_SIGNAL' ELSE 'VALID' END AS state FROM sg""")
-def whole_signal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cohort_signals(spark, sf_dir)
 
 
@@ -339,7 +267,7 @@ def whole_signal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     lb AS (SELECT *, CASE WHEN x < 0 AND y > 0 THEN 'BULLISH_REVERSAL' WHEN x > 0 AND y < 0 THEN 'BEARISH_REVERSAL' WHEN x > 0 AND y > x THEN 'BUY_ACCELERATING' WHEN x > 0 AND y < x THEN 'BUY_WEAKENING'
         WHEN x < 0 AND y < x THEN 'SELL_ACCELERATING' WHEN x < 0 AND y > x THEN 'SELL_WEAKENING' ELSE 'NONE' END AS event_type FROM dc)
     SELECT cohort, coin, bucket, event_type, CASE WHEN event_type <> 'NONE' THEN 'EXACT_NET_TRANSITION' WHEN x = 0 AND y > 0 THEN 'DIRECTION_EMERGED_BUY' WHEN x = 0 AND y < 0 THEN 'DIRECTION_EMERGED_SELL' ELSE 'UNCHANGED_NET' END AS reason, y - x AS delta FROM lb""")
-def whole_direction_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+def direction_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.direction_changes(_cohort_signals(spark, sf_dir), basis=_BASIS)
 
 
@@ -350,7 +278,7 @@ def _distribution(s: DataFrame) -> DataFrame:
 
 @add("measure:s value:r n:l", f"""{_COHORT_SIGNALS}
     SELECT measure, value, count(*) AS n FROM (SELECT 'net_signal' AS measure, round(net_signal, 1) AS value FROM sg UNION ALL SELECT 'mass', round(mass, 1) FROM sg UNION ALL SELECT 'n_wallets', n_wallets FROM sg) GROUP BY ALL""")
-def whole_signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distribution(_cohort_signals(spark, sf_dir))
 
 
@@ -363,9 +291,9 @@ def whole_signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s3 AS (SELECT *, CASE WHEN rv <> '' THEN 'REVIEW' WHEN ex <> '' THEN 'EXCLUDED' ELSE 'QUALIFIED' END AS st FROM s2),
     s4 AS (SELECT *, CASE WHEN st = 'QUALIFIED' THEN row_number() OVER (PARTITION BY st ORDER BY win_rate DESC, n_cycles DESC, profit_factor DESC, top_share, wallet) END AS rk FROM s3)
     SELECT wallet, CASE WHEN rk <= 20 THEN 'SELECTED' ELSE st END AS state, CASE WHEN rv <> '' THEN rv ELSE ex END AS reasons, CASE WHEN rk <= 20 THEN rk END AS rank FROM s4""")
-def selection_v2(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+def selection_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("wallet")
-    runs = _stats(spark, sf_dir, lost).select("wallet", (w % 13 != 0).alias("has_run"), (w % 7 != 0).alias("evaluable"), "n_cycles", "win_rate", "profit_factor", F.col("top_trade_share").alias("top_share"), "average_win", "average_loss", F.col("max_losing_streak").alias("losing_streak"), (w % 30 - 2).alias("age_hours"))
+    runs = _stats(spark, sf_dir).select("wallet", (w % 13 != 0).alias("has_run"), (w % 7 != 0).alias("evaluable"), "n_cycles", "win_rate", "profit_factor", F.col("top_trade_share").alias("top_share"), "average_win", "average_loss", F.col("max_losing_streak").alias("losing_streak"), (w % 30 - 2).alias("age_hours"))
     return selection.select_by_trades(runs, selection.TradePolicy(most=20, least_cycles=6, least_win_rate=0.4, least_profit_factor=0.5, most_top_share=0.8))
 
 
@@ -522,18 +450,18 @@ def causal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohorts of ten wallets over every execution, with decimal arithmetic."""
     text = {c: F.coalesce(F.round(c, 9), F.lit(0.0)).cast("decimal(38,9)").cast("string") for c in ("win_rate", "profit_factor", "top_trade_share")}
-    members = _stats(spark, sf_dir, 0).select(F.floor(F.col("wallet") / 10).alias("cohort"), F.col("wallet").cast("string").alias("wallet"), "n_cycles", *(v.alias(k) for k, v in text.items()))
+    members = _stats(spark, sf_dir).select(F.floor(F.col("wallet") / 10).alias("cohort"), F.col("wallet").cast("string").alias("wallet"), "n_cycles", *(v.alias(k) for k, v in text.items()))
     return cohort.exact_weights(members)
 
 
 # --- the whole plan, and streams -----------------------------------------------------------------------------
 
 
-def _performance(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .performance import performance
 
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").alias("id"), F.col("value").alias("nav"))
-    return performance(_fills(spark, sf_dir, lost), points)
+    return performance(_fills(spark, sf_dir), points)
 
 
 _PERFORMANCE = f"""{_STATS},
@@ -553,16 +481,16 @@ _PERFORMANCE = f"""{_STATS},
 
 
 @both("wallet:l lane:s metric:s value:r error_code:s", f"{WITH_CYCLES}, {_PERFORMANCE} SELECT *, CASE WHEN value IS NULL THEN CASE lane WHEN 'return' THEN 'INSUFFICIENT_HISTORY' ELSE 'METRIC_UNAVAILABLE' END END AS error_code FROM ml")
-def performance_metrics(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
-    return _performance(spark, sf_dir, lost)
+def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _performance(spark, sf_dir)
 
 
 @both("wallet:l n_trade:l n_return:l n_exposure:l n_failed:l status:s", f"""{WITH_CYCLES}, {_PERFORMANCE}
     SELECT wallet, count(value) FILTER (lane = 'trade') AS n_trade, count(value) FILTER (lane = 'return') AS n_return, count(value) FILTER (lane = 'exposure') AS n_exposure, count(*) - count(value) AS n_failed, 'SUCCEEDED' AS status FROM ml GROUP BY wallet""")
-def performance_overview(spark: SparkSession, sf_dir: str, lost: int = LOST) -> DataFrame:
+def performance_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .performance import overview
 
-    return overview(_performance(spark, sf_dir, lost))
+    return overview(_performance(spark, sf_dir))
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -605,3 +533,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, all_ = _landed(spark, sf_dir)
     done = streams.run_available(streams.session_stream(streams.as_fills(events)), "stream-sessions")
     return streams.late_sessions(done, streams.as_fills(all_))
+
+
+for _name in ("bucket_fail_closed", "wallet_weight_lr", "wallet_contribution", "signal_strength", "direction_change", "signal_distribution"):
+    REGISTRY.alias(f"whole_{_name}", _name)

@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fills(spark: SparkSession, sf_dir: str, *, offset: bool = False, drop_every: int = 0) -> DataFrame:
+def fills(spark: SparkSession, sf_dir: str, *, offset: bool = False) -> DataFrame:
     """wallet, coin, id, ts, side, size, price, delta, start_position, closed_pnl, fee. ``offset`` makes some
-    histories begin with an open position; ``drop_every`` loses rows, so positions jump."""
+    histories begin with an open position."""
     k = F.get_json_object("props", "$.k").cast("long")
     base = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("wallet"), F.col("event_type").alias("coin"), F.col("event_id").alias("id"), "ts",
@@ -44,8 +44,7 @@ def fills(spark: SparkSession, sf_dir: str, *, offset: bool = False, drop_every:
     base = base.withColumn("delta", signed_delta(F.col("side"), F.col("size"))).withColumn("fee", F.col("size") * F.lit(0.01))
     before = Window.partitionBy("wallet", "coin").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("delta").over(before), F.lit(0)) + (F.col("wallet") % 3 if offset else F.lit(0))
-    out = base.withColumn("start_position", start)
-    return out.filter(F.col("id") % drop_every != 0) if drop_every else out
+    return base.withColumn("start_position", start)
 
 
 def archive_lines(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -117,3 +117,22 @@ def run_available(stream: DataFrame, label: str, *, folder: str | None = None) -
     if query.exception() is not None:
         raise query.exception()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def candidate_table(fills: DataFrame, path: str) -> DataFrame:
+    """Trades, notional, times and repeated ids per wallet, kept up to date by a stream over all input that is there now.
+
+    Each micro-batch writes its own sums in its own folder, so that a batch that is tried again replaces what it wrote;
+    reading adds the batches up. Ids repeat within a batch only: put ``deduplicated`` before it where they do not.
+    """
+    spark = fills.sparkSession
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        once = batch.groupBy("wallet", "id").agg(F.count(F.lit(1)).alias("_n"), F.first(F.col("price") * F.col("size")).alias("_notional"), F.first("ts").alias("ts"))
+        sums = once.groupBy("wallet").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("_notional").alias("sum_notional"), F.max("_notional").alias("max_notional"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum(F.col("_n") - 1).alias("n_duplicates"))
+        sums.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    fills.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.parquet(f"{path}/rows")
+    adders = {"n_trades": F.sum, "sum_notional": F.sum, "max_notional": F.max, "first_seen": F.min, "last_seen": F.max, "n_duplicates": F.sum}
+    return parts.groupBy("wallet").agg(*(f(c).alias(c) for c, f in adders.items()))
