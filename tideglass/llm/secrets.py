@@ -50,6 +50,8 @@ _LETTER[list(string.ascii_letters.encode())] = True
 _ASSIGNED = re.compile(r"([A-Za-z_][\w.-]*)=+(.+)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]{2,}")
 _CUE = re.compile("token|secret|passw|pwd|passphrase|api.?key|access.?key|private.?key|bearer|credential", re.IGNORECASE)
+#: One of these is in every cue.
+_STEMS = ("token", "secret", "passw", "pwd", "passphrase", "key", "bearer", "credential")
 #: the rest of the cue's name, what leads to the value, and the value, in quotes or not
 _VALUE = re.compile(r"""[\w.-]*["'`\]]*(?:\s{0,3}(?::=|=>|=|:)\s{0,3}|\s{1,3}is\s{1,3}|\s)(?:"([^"\s]+)"|'([^'\s]+)'|`([^`\s]+)`|([^\s"'`]+))""")
 _NAME = re.compile(r"[\w.-]*\Z")
@@ -150,7 +152,9 @@ def _keys(text: str) -> list[tuple[int, int, str]]:
 
 def _led(text: str, keys: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Values behind cues that are not inside ``keys``, with the cue's whole name."""
-    out = []
+    low, out = text.lower(), []
+    if not any(stem in low for stem in _STEMS):
+        return out
     for cue in _CUE.finditer(text):
         found = _VALUE.match(text, cue.end())
         if found and not any(a <= cue.start() < b for a, b, _ in keys):
