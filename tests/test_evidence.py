@@ -1,5 +1,6 @@
 """Hand-computed cases of the evidence operators, flows, coverage, sinks and long keys."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -46,9 +47,9 @@ def by_hand(rows):
     return [*out, (entry, gain)] if size else out
 
 
-def test_cycles_over_many_days_match_one_after_the_other(spark):
-    import random
-
+@pytest.mark.parametrize("folded", [7, 4096])
+def test_cycles_over_many_days_match_one_after_the_other(spark, monkeypatch, folded):
+    monkeypatch.setattr(cycles, "FOLDED", folded)
     rng = random.Random(3)
     rows = walk([(rng.choice(["BUY", "BUY", "SELL"]) if i % 40 < 20 else rng.choice(["SELL", "SELL", "BUY"]), rng.randint(1, 4), rng.randint(50, 150)) for i in range(400)])
     got = cycles.cycles(as_fills(spark, rows)).orderBy("cycle").collect()

@@ -4,8 +4,8 @@ Each execution carries its start position, so cycles are cut by running sums. Ke
 hold most of all rows: rows are dealt by (wallet, coin, day) instead. Windows run within a day; what a day needs
 of those before it (has the history been flat, where did it end, did it jump, how many cycles have begun) comes
 from one row per key and day. The average entry price is a recurrence (closing leaves it as it was), but a linear one: the
-legs of a day are folded to a map of the price they begin with, and a cycle's days are then composed. No array is longer
-than a day's legs of a cycle, or a cycle's days. Executions without a time come first in their key; those without a wallet
+legs of a cycle that fall on ``FOLDED`` executions of a key in a row are folded to a map of the price they begin with, and a
+cycle's maps are then composed. No array is longer than that, or than a cycle has such stretches. Executions without a time come first in their key; those without a wallet
 or coin take no part.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ("wallet", "coin")
+#: Executions of a key whose legs are folded together.
+FOLDED = 4096
 _BLOCK = (*KEYS, "_day")
 
 
@@ -58,7 +60,7 @@ def prefix_report(fills: DataFrame) -> DataFrame:
 
 def with_continuity(fills: DataFrame) -> DataFrame:
     """Trusted rows with ``after``, ``broken`` (here the position jumped), ``kept`` (no jump so far), ``_discontinued`` (the key
-    jumps somewhere), ``_day`` and ``_opened`` (cycles begun up to here)."""
+    jumps somewhere), ``_stretch`` (its number in the key by ``FOLDED``) and ``_opened`` (cycles begun up to here)."""
     start = F.col("start_position")
     flat = F.coalesce(F.max(start == 0).over(_order(True).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = _dated(fills).withColumn("_before", F.col("_flat") | flat).filter(F.col("_before") | (start == 0))
@@ -66,10 +68,11 @@ def with_continuity(fills: DataFrame) -> DataFrame:
     rows = rows.withColumn("_jumped", F.max("broken").over(_order(True)))
     opens = (~F.col("_jumped") & ((start == 0) | (F.signum("start_position") * F.signum("after") < 0))).cast("int")
     rows = rows.withColumn("_open", opens)
-    days = rows.groupBy(*_BLOCK).agg(F.max("broken").alias("_b"), F.sum("_open").alias("_n"))
-    days = days.select(*_BLOCK, F.coalesce(F.max("_b").over(_earlier()), F.lit(False)).alias("_lost"), F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_begun"), F.max("_b").over(Window.partitionBy(*KEYS)).alias("_discontinued"))
+    days = rows.groupBy(*_BLOCK).agg(F.max("broken").alias("_b"), F.sum("_open").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    days = days.select(*_BLOCK, F.coalesce(F.sum("_rows").over(_earlier()), F.lit(0)).alias("_past"), F.coalesce(F.max("_b").over(_earlier()), F.lit(False)).alias("_lost"), F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_begun"), F.max("_b").over(Window.partitionBy(*KEYS)).alias("_discontinued"))
     rows = rows.join(days, list(_BLOCK)).withColumn("_opened", F.col("_begun") + F.sum("_open").over(_order(True)))
-    return rows.select(*fills.columns, "after", "broken", (~F.col("_lost") & ~F.col("_jumped")).alias("kept"), "_discontinued", "_day", "_opened")
+    stretch = F.floor((F.col("_past") + F.row_number().over(_order()) - 1) / FOLDED)
+    return rows.select(*fills.columns, "after", "broken", (~F.col("_lost") & ~F.col("_jumped")).alias("kept"), "_discontinued", stretch.alias("_stretch"), "_opened")
 
 
 def legs(fills: DataFrame) -> DataFrame:
@@ -87,12 +90,12 @@ def legs(fills: DataFrame) -> DataFrame:
     rest = F.when(flips, size - closed).otherwise(size)
     open_ = F.struct(F.lit("OPEN").alias("role"), F.col("_opened").alias("cycle"), rest.alias("size"), F.when(flips, F.abs(start) * 0).otherwise(F.abs(start)).alias("_held"), F.when(flips, F.col("fee") - F.col("fee") * closed / size).otherwise(F.col("fee")).alias("fee"), (F.col("closed_pnl") * 0).alias("closed_pnl"))
     parts = F.when(flips, F.array(close, open_)).when(closing, F.array(close)).otherwise(F.array(open_))
-    out = rows.select(*KEYS, "id", "ts", "side", "price", "after", "_discontinued", "_day", (opens & (F.col("closed_pnl") != 0)).alias("unexpected_pnl"), F.posexplode(parts).alias("leg", "_p"))
-    return out.select(*KEYS, "id", "ts", "side", "price", "leg", "_p.*", F.when((F.col("_p.role") == "CLOSE") & (F.col("after") == 0) | (F.col("_p.role") == "CLOSE") & (F.signum("after") != F.when(F.col("side") == "SELL", 1).otherwise(-1)), F.lit(True)).otherwise(F.lit(False)).alias("ends"), "unexpected_pnl", "_discontinued", "_day")
+    out = rows.select(*KEYS, "id", "ts", "side", "price", "after", "_discontinued", "_stretch", (opens & (F.col("closed_pnl") != 0)).alias("unexpected_pnl"), F.posexplode(parts).alias("leg", "_p"))
+    return out.select(*KEYS, "id", "ts", "side", "price", "leg", "_p.*", F.when((F.col("_p.role") == "CLOSE") & (F.col("after") == 0) | (F.col("_p.role") == "CLOSE") & (F.signum("after") != F.when(F.col("side") == "SELL", 1).otherwise(-1)), F.lit(True)).otherwise(F.lit(False)).alias("ends"), "unexpected_pnl", "_discontinued", "_stretch")
 
 
 def _folded(sorted_legs: Column) -> Column:
-    """What the legs of one day make of the average entry price e that they begin with: the price ``by`` x e + ``entry`` and
+    """What the legs of one stretch make of the average entry price e that they begin with: the price ``by`` x e + ``entry`` and
     the recomputed profit ``gain`` - ``per`` x e."""
 
     def step(acc: Column, leg: Column) -> Column:
@@ -111,29 +114,29 @@ def _folded(sorted_legs: Column) -> Column:
     return F.aggregate(sorted_legs, one, step)
 
 
-def _composed(days: Column) -> Column:
-    """The entry price and recomputed profit of a cycle from its days' folds in order."""
+def _composed(parts: Column) -> Column:
+    """The entry price and recomputed profit of a cycle from its stretches' folds in order."""
     zero = F.struct(F.lit(0.0).alias("entry"), F.lit(0.0).alias("gain"))
-    return F.aggregate(days, zero, lambda acc, d: F.struct((d["f"]["by"] * acc["entry"] + d["f"]["entry"]).alias("entry"), (acc["gain"] + d["f"]["gain"] - d["f"]["per"] * acc["entry"]).alias("gain")))
+    return F.aggregate(parts, zero, lambda acc, d: F.struct((d["f"]["by"] * acc["entry"] + d["f"]["entry"]).alias("entry"), (acc["gain"] + d["f"]["gain"] - d["f"]["per"] * acc["entry"]).alias("gain")))
 
 
 def cycles(fills: DataFrame) -> DataFrame:
     """One row per cycle. The open cycle of a key whose position jumped is left out, its closed cycles stay."""
     item = F.struct("ts", "id", "leg", "role", "side", "size", "price", F.col("_held").alias("held"))
     at, closing = F.struct("ts", "id", "leg"), F.col("role") == "CLOSE"
-    days = legs(fills).groupBy(*KEYS, "cycle", "_day").agg(
+    parts = legs(fills).groupBy(*KEYS, "cycle", "_stretch").agg(
         F.array_sort(F.collect_list(item)).alias("_legs"), F.min("ts").alias("opened_at"), F.max(F.when(F.col("ends"), F.col("ts"))).alias("closed_at"),
         F.min(at).alias("_at"), F.min_by("side", at).alias("_side"), F.min_by("id", at).alias("_id"), F.count_distinct("id").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("closed_pnl").alias("official_pnl"),
         F.sum(F.when(~closing, F.col("size"))).alias("_in"), F.sum(F.when(closing, F.col("size"))).alias("_out"), F.sum(F.when(closing, F.col("size") * F.col("price"))).alias("_paid"),
         F.max("unexpected_pnl").alias("unexpected_opening_pnl"), F.max("_discontinued").alias("_discontinued"),
     ).withColumn("_f", _folded(F.col("_legs"))).drop("_legs")
-    rows = days.groupBy(*KEYS, "cycle").agg(
-        F.array_sort(F.collect_list(F.struct("_day", F.col("_f").alias("f")))).alias("_days"), F.min("opened_at").alias("opened_at"), F.max("closed_at").alias("closed_at"),
+    rows = parts.groupBy(*KEYS, "cycle").agg(
+        F.array_sort(F.collect_list(F.struct("_stretch", F.col("_f").alias("f")))).alias("_parts"), F.min("opened_at").alias("opened_at"), F.max("closed_at").alias("closed_at"),
         F.min_by("_side", "_at").alias("_first_side"), F.min_by("_id", "_at").alias("opening_id"), F.sum("n_fills").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("official_pnl").alias("official_pnl"),
         F.sum("_in").alias("entry_quantity"), F.coalesce(F.sum("_out"), F.lit(0)).alias("exit_quantity"), (F.sum("_paid") / F.sum("_out")).alias("exit_price"),
         F.max("unexpected_opening_pnl").alias("unexpected_opening_pnl"), F.max("_discontinued").alias("_discontinued"),
     )
-    rows = rows.withColumn("_f", _composed(F.col("_days"))).filter(F.col("closed_at").isNotNull() | ~F.col("_discontinued"))
+    rows = rows.withColumn("_f", _composed(F.col("_parts"))).filter(F.col("closed_at").isNotNull() | ~F.col("_discontinued"))
     return rows.select(
         *KEYS, "cycle", F.concat_ws(":", "coin", F.col("cycle").cast("string"), F.col("opening_id").cast("string")).alias("cycle_id"),
         F.when(F.col("_first_side") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.when(F.col("closed_at").isNull(), "OPEN").otherwise("CLOSED").alias("state"),
