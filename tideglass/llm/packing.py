@@ -93,7 +93,7 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 
 #: str.split also cuts at these four; the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Where a letter may join a mark, or a special token may stand, capitals are left to the tokenizer.
 _AS_WRITTEN = re.compile("[\u0300-\u036f]|<\\|")
@@ -117,9 +117,11 @@ class Encoder:
     def _parts(text: str | None) -> list[str]:
         if not text:
             return []
-        if not _AS_WRITTEN.search(text):
+        if text.isascii():
+            text = text if "<|" in text else text.lower()
+        elif not _AS_WRITTEN.search(text):
             text = text.encode("utf-8", "replace").lower().decode()
-        if _ODD_SPACE.search(text):
+        if any(c in text for c in _ODD_SPACE):
             return _SPACE.split(text.strip(" \t\n\r\x0b\x0c"))
         return text.split()
 
