@@ -55,11 +55,17 @@ def fit_each(rows: DataFrame, fits: int, fit: Callable[[int, list[np.ndarray], p
     """``fit(number, feature rows, the other columns)`` for each number below ``fits``, each over all of the bounded
     ``rows`` and in a group, hence a task, of its own; nothing if there are no rows."""
 
+    keys: dict[int, int] = {}  # a key for each of ``fits`` partitions, so that no two fits meet in one
+    k = F.col("id").cast("int")
+    for r in rows.sparkSession.range(64 * fits).select(k.alias("k"), F.pmod(F.hash(k), F.lit(fits)).alias("p")).collect():
+        keys.setdefault(r["p"], r["k"])
+    number_of = {key: number for number, key in enumerate(keys.values())}
+
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["_fit"].iloc[0])
+        number = number_of[int(pdf["_fit"].iloc[0])]
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
         return pd.DataFrame({"number": [number], "model": [pickle.dumps(fit(number, list(pdf.pop("_f")), pdf))]})
 
-    dealt = rows.withColumn("_fit", F.explode(F.sequence(F.lit(0), F.lit(fits - 1)))).repartition(fits, "_fit")
+    dealt = rows.withColumn("_fit", F.explode(F.array(*map(F.lit, number_of)))).repartition(fits, "_fit")
     got = dealt.groupBy("_fit").applyInPandas(train, "number int, model binary").collect()
     return [pickle.loads(r["model"]) for r in sorted(got, key=lambda r: r["number"])]
