@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, packing, quality, secrets, sharding, toplists, toxicity, warc
+from ..scratch import materialise
+from . import alignment, decontaminate, filter_audit, jaccard, language, lattice, packing, quality, secrets, sharding, toplists, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +60,28 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", F.crc32(F.encode("candidate", "UTF-8")).alias("candidate_crc32"), "probability", "is_secret")
 
 
+def op11_hashed_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_cube_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.alignments(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    told = alignment.with_counts(materialise(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_lattice_likelihood, op3_nra_top_k, op4_toxicity_chain, op5_karmarkar_karp_packing,
-        op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality, op9_warc_two_level_index, op10_secret_forest,
+        op6_pigeonhole_decontamination, op7_hash_tree_shards, op8_ftrl_quality, op9_warc_two_level_index, op10_secret_forest, op11_hashed_naive_bayes, op12_cube_filter_audit,
+        op13_tokenizer_alignment,
     )
 }
 
@@ -102,4 +120,36 @@ ORACLES = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN last_page END AS refers_to
         FROM m""",
+    "op12_cube_filter_audit": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+                CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+            FROM w LEFT JOIN l USING (doc_id)),
+        g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+        o AS (
+            SELECT '' AS filter_order UNION ALL
+            SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+        s AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS c, '[' || left(filter_order, step) || ']' AS upto,
+                '[' || left(filter_order, step - 1) || ' ]' AS earlier, '[' || replace('ABCDE', filter_order[step], '') || ']' AS others
+            FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+        r AS (
+            SELECT part, filter_order, step, c,
+                CAST(coalesce(sum(n) FILTER (NOT regexp_matches(fails, upto)), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (contains(fails, c) AND NOT regexp_matches(fails, earlier)), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (contains(fails, c) AND regexp_matches(fails, earlier)), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (contains(fails, c) AND NOT regexp_matches(fails, others)), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (contains(fails, c) AND NOT regexp_matches(fails, earlier)), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(toxic) FILTER (contains(fails, c) AND NOT regexp_matches(fails, earlier)), 0) AS BIGINT) AS toxic_lost
+            FROM g, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+        FROM r""",
 }
