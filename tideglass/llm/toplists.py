@@ -2,12 +2,12 @@
 
 Vectors are quantised to integers. For each dimension a block of candidates has one list sorted by
 that component, made once; a query reads it from the top where its own component is positive and from the
-bottom where it is negative. Each round reads on in all lists until ``GROWTH`` times as many entries are read.
-Every candidate has a lower bound, the sum of what was read of it plus the least that unread entries can
-add, and an upper bound with the last read values instead. A candidate is set aside once its upper bound is below
-the k-th lower bound. A query stops when the candidates that may still qualify are at most one in ``RESOLVED``
-of the block (k at least), or when the lists are read; their final scores are then resolved in integers. The bounds
-of all queries that still read are kept together, as matrices.
+bottom where it is negative, and leaves it out where it is zero. Each round reads the next ``1 / ROUNDS`` of every list, entry by entry: an
+entry adds its product to its candidate's lower bound, which counts the list's last value for what is unread, and marks
+the list as read for that candidate. The upper bound counts the values read last for what is unread. A candidate is
+set aside once its upper bound is below the k-th lower bound. A query stops when at most ``FEW`` x k candidates are left, whose final
+scores are then resolved, or when the lists are read to their ends, where every lower bound is the score. ``endings`` tells
+how each query ended. Lower bounds are sums of integers below 2^53, hence exact.
 
 Queries are a stated set compared with all rows in blocks: candidates and queries are dealt into
 blocks of bounded size, each pair of blocks is one group of bounded size, and only k rows per query
@@ -22,6 +22,7 @@ with ranks of their own; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 8192
-GROWTH = 4
-RESOLVED = 32
-_BATCH = 256
-_OUT = "query_id long, _n long, vec_id long, score long"
+ROUNDS, LEAST_STEP = 32, 32
+FEW = 4
+_OUT = "query_id long, _n long, vec_id long, score long, read long, entries long, by_bound boolean"
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -43,81 +43,65 @@ def quantised(vector: str, scale: int = 256) -> Column:
     return F.when(ok, F.transform(v, lambda x: F.floor(x.cast("double") * scale)))
 
 
+@dataclass(frozen=True)
+class Answer:
+    """places and scores of a query's best candidates, list entries read of how many there are, and whether bounds ended the reading."""
+
+    places: np.ndarray
+    scores: np.ndarray
+    read: int
+    entries: int
+    by_bound: bool
+
+
 class Lists:
-    """The candidates of one block, one descending list per dimension: each candidate's place in it, and its values."""
+    """The candidates of one block, one descending list per dimension: candidates' places and values."""
 
     def __init__(self, cand: np.ndarray, ids: np.ndarray):
-        self.ids, self.cand = ids, cand.astype(float)  # integers of far fewer than 53 bits
+        self.ids, self.cand = ids, cand.astype(float)
         order = np.argsort(-cand, axis=0, kind="stable")
-        self.place = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(cand), dtype=np.int32)[:, None], axis=0)
-        self.value = np.take_along_axis(cand, order, axis=0).astype(np.float32)
-
-    def search(self, query: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each query the places and scores of its k best candidates."""
-        n, dims = self.cand.shape
-        most, least = self.value[0], self.value[-1]
-        up, down = np.maximum(query, 0).astype(np.float32), np.minimum(query, 0).astype(np.float32)
-        #: covers the rounding of the bounds, which are sums of 32-bit products
-        slack = 1 + 4 * dims * float(np.finfo(np.float32).eps) * (np.abs(query).sum(1) * float(np.abs(self.value).max(initial=0)))
-        over, under = (self.cand - least).astype(np.float32), (self.cand - most).astype(np.float32)
-        left: list[np.ndarray] = [np.zeros(0, np.int64)] * len(query)
-        active, alive = np.arange(len(query)), query_ids[:, None] != self.ids[None, :]
-        low = np.repeat((up @ least + down @ most)[:, None], n, axis=1)
-        done, depth = 0, min(n, max(4 * k, 64, n // 64))
-        while len(active) and depth < n:
-            u, d = up[active], down[active]
-            low += u @ (over * ((self.place >= done) & (self.place < depth))).T
-            low += d @ (under * ((self.place >= n - depth) & (self.place < n - done))).T
-            # what is unread counts with the last value read instead of the list's least
-            wide_up, wide_down = u * (self.value[depth - 1] - least), d * (self.value[n - depth] - most)
-            high = low + wide_up @ (self.place >= depth).T.astype(np.float32)
-            high += wide_down @ (self.place < n - depth).T.astype(np.float32)
-            if n > k:
-                known = np.where(query_ids[active][:, None] == self.ids[None, :], -np.inf, low)
-                alive &= high >= (np.partition(known, n - k, axis=1)[:, n - k] - slack[active])[:, None]
-            ends = alive.sum(1) <= max(k, n // RESOLVED)
-            for i in np.flatnonzero(ends):
-                left[active[i]] = np.flatnonzero(alive[i])
-            active, alive, low = active[~ends], alive[~ends], low[~ends]
-            done, depth = depth, depth * GROWTH
-        whole = dict(zip(active.tolist(), query[active].astype(float) @ self.cand.T, strict=True))
-        for i, row in zip(active, alive, strict=True):
-            left[i] = np.flatnonzero(row)
-        found = []
-        for i, places in enumerate(left):
-            score = whole[i][places] if i in whole else self.cand[places] @ query[i].astype(float)
-            if len(places) > k:  # ties at the k-th score stay
-                held = score >= np.partition(score, len(score) - k)[len(score) - k]
-                places, score = places[held], score[held]
-            best = np.lexsort((self.ids[places], -score))[:k]
-            found.append((places[best], score[best].astype(np.int64)))
-        return found
-
-
-def _numbered(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query: (place of the query, candidate id, score)."""
-    lists, numbers, ids, scores = Lists(cand, cand_ids), [], [], []
-    for at in range(0, len(query), _BATCH):
-        for i, (places, score) in enumerate(lists.search(query[at : at + _BATCH], query_ids[at : at + _BATCH], k), at):
-            numbers.append(np.full(len(places), i))
-            ids.append(cand_ids[places])
-            scores.append(score)
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (numbers, ids, scores))
-
-
-def search_block(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query id, candidate id, score) of one block, by sorted lists read in rounds."""
-    number, ids, scores = _numbered(cand, cand_ids, query, query_ids, k)
-    return query_ids[number], ids, scores
+        self.order, self.value = order.T.astype(np.int64), np.ascontiguousarray(np.take_along_axis(self.cand, order, axis=0).T)
+
+    def search(self, query: np.ndarray, own: int, k: int) -> Answer:
+        """The k best candidates but those of id ``own``."""
+        n, used = len(self.ids), np.flatnonzero(query)
+        q = query[used].astype(float)
+        lists = [(self.order[j], self.value[j]) if query[j] > 0 else (self.order[j][::-1], self.value[j][::-1]) for j in used]
+        least = q * np.array([v[-1] for _, v in lists]) if n else q
+        low, unread, rows = np.full(n, least.sum()), np.ones((len(used), n), np.float32), np.arange(len(used))[:, None]
+        left = np.flatnonzero(self.ids != own)
+        #: covers the rounding of the upper bounds, which are sums of 32-bit products
+        slack = 4 * len(used) * float(np.finfo(np.float32).eps) * float(np.abs(q).sum() * np.abs(self.value).max(initial=0))
+        depth, step = 0 if len(used) else n, max(LEAST_STEP, -(-n // ROUNDS))
+        while depth < n and len(left) > FEW * k:
+            done, depth = depth, min(n, depth + step)
+            at, value = (np.stack([x[i][done:depth] for x in lists]) for i in (0, 1))
+            low += np.bincount(at.ravel(), (q[:, None] * value - least[:, None]).ravel(), n)
+            unread[rows, at] = 0
+            known = low[left]
+            high = known + ((q * value[:, -1] - least).astype(np.float32) @ unread)[left] + slack
+            left = left[high >= np.partition(known, len(left) - k)[len(left) - k]]
+        by_bound = depth < n
+        score = self.cand[left] @ query.astype(float) if by_bound else low[left]
+        if len(left) > k:  # ties at the k-th score stay
+            held = score >= np.partition(score, len(score) - k)[len(score) - k]
+            left, score = left[held], score[held]
+        best = np.lexsort((self.ids[left], -score))[:k]
+        return Answer(left[best], score[best].astype(np.int64), depth * len(used), n * len(used), by_bound)
+
+
+def search_block(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> list[Answer]:
+    """The answer of one block to each query, from lists that are sorted once."""
+    lists = Lists(cand, cand_ids)
+    return [lists.search(q, i, k) for q, i in zip(query, query_ids.tolist(), strict=True)]
 
 
 def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best other rows by inner product of quantised vectors."""
+def _answers(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int, block: int) -> DataFrame:
+    """The k best of each query in each block, with what was read there."""
     rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q"))
     rows = rows.filter(F.col("_v").isNotNull()).withColumn("_dim", F.size("_v"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q")).first()
@@ -126,15 +110,30 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     rows = rows.withColumn("_n", F.monotonically_increasing_id())
     cands = rows.select("_dim", F.pmod(spread, F.lit(cand_blocks)).alias("_cb"), F.explode(_numbers(query_blocks)).alias("_qb"), F.lit(False).alias("_q"), "_n", "vec_id", "_v")
     asks = rows.filter("_q").select("_dim", F.explode(_numbers(cand_blocks)).alias("_cb"), F.pmod(spread, F.lit(query_blocks)).alias("_qb"), F.lit(True).alias("_q"), "_n", "vec_id", "_v")
+    names = [x.split()[0] for x in _OUT.split(", ")]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = pdf["_q"].to_numpy(bool)
         if not asked.any() or asked.all():
-            return pd.DataFrame({"query_id": [], "_n": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({c: pd.Series(dtype=bool if c == "by_bound" else "int64") for c in names})
         ids, numbers, vecs = pdf["vec_id"].to_numpy(np.int64), pdf["_n"].to_numpy(np.int64)[asked], np.stack(pdf["_v"].to_numpy()).astype(np.int64)
-        i, v, s = _numbered(vecs[~asked], ids[~asked], vecs[asked], ids[asked], k)
-        return pd.DataFrame({"query_id": ids[asked][i], "_n": numbers[i], "vec_id": v, "score": s})
+        found = search_block(vecs[~asked], ids[~asked], vecs[asked], ids[asked], k)
+        of = np.repeat(np.arange(len(found)), [len(a.places) for a in found])
+        told = {c: np.array([getattr(a, c) for a in found])[of] for c in ("read", "entries", "by_bound")}
+        places, scores = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([a.places for a in found], [a.scores for a in found]))
+        return pd.DataFrame({"query_id": ids[asked][of], "_n": numbers[of], "vec_id": ids[~asked][places], "score": scores, **told})[names]
+
+    return cands.unionByName(asks).groupBy("_dim", "_cb", "_qb").applyInPandas(kernel, _OUT)
 
-    best = cands.unionByName(asks).groupBy("_dim", "_cb", "_qb").applyInPandas(kernel, _OUT)
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best other rows by inner product of quantised vectors."""
+    best = _answers(vectors, is_query, k, id_col, vector_col, scale, block)
     order = Window.partitionBy("query_id", "_n").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def endings(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
+    """by_bound, n, share_read: searches of a query in a block that bounds ended, and those that read the lists to their ends."""
+    each = _answers(vectors, is_query, k, id_col, vector_col, scale, block).withColumn("_best", F.row_number().over(Window.partitionBy("_n", "query_id", "read", "entries", "by_bound").orderBy("vec_id")))
+    return each.filter("_best = 1").groupBy("by_bound").agg(F.count(F.lit(1)).alias("n"), (F.sum("read") / F.sum("entries")).alias("share_read"))
