@@ -3,11 +3,12 @@
 Words are those of ``words``; a text's set is its word 5-grams (a shorter text has one, of all its
 words). The forest has ``trees`` sorted prefix tries; a trie holds each set's minima under
 ``longest`` hash functions in order, a node of it is the run of paths that share a prefix, and sets in one node
-are neighbours. The join starts with the longest prefixes that meet a lone pair at the threshold as often as
-``target`` and shortens them one function at a time until the recall reaches ``target``. The
-recall is estimated from verified links: a link of similarity s is met with probability
-1 - (1 - s^depth)^trees, so each found link stands for 1 / that many; without links the probability at
-the threshold counts.
+are neighbours. The join starts with prefixes of all ``longest`` functions and shortens them one function at a time until the
+recall reaches ``target``, by three measures: a link of similarity s is met with probability 1 - (1 - s^depth)^trees, so
+each verified link stands for 1 / that many, and the links found over those they stand for must reach it; so must that
+probability for a lone pair at the threshold, whatever other links there are; and so must an audit: the sketches of
+``audited`` classes, half of them with neighbours, are compared with those of all classes, and of the pairs that
+reach the threshold those count as met whose classes are in one family.
 
 Steps: (1) minima per text, texts with equal words collapse to one class; (2) classes in one node
 are compared by the low 16 bits of all their minima, in blocks of bounded size, and joined into families
@@ -45,6 +46,8 @@ MARGIN = 5.5
 THRESHOLD, TARGET = 0.8, 0.9999
 #: Rows of a block where sketches (small) and where texts are compared.
 BLOCK, TEXT_BLOCK = 4096, 128
+#: Classes whose sketches are compared with all others after each prefix.
+AUDITED = 128
 
 
 def minima(flat: np.ndarray, offsets: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
@@ -151,9 +154,30 @@ def met(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray |
     return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
-def first_depth(threshold: float, target: float, trees: int, longest: int) -> int:
-    """The longest prefix at which a lone pair at the threshold is met with probability ``target``, else 1."""
-    return next((d for d in range(longest, 1, -1) if met(threshold, d, trees) >= target), 1)
+def audit(classes: DataFrame, family: DataFrame, threshold: float, size: int) -> tuple[int, int]:
+    """(pairs of a sampled and any other class whose sketches reach the threshold, those of them in one family). ``classes``: cid, sig;
+    ``family``: node, root. The sample has at most ``size`` classes, those of least hash, half of them with neighbours if there are."""
+    held = classes.select("cid", "sig").join(family.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    order = (F.xxhash64("cid"), F.col("cid"))
+    near = held.filter("root IS NOT NULL").orderBy(*order).limit(size // 2)
+    sample = near.unionByName(held.filter("root IS NULL").orderBy(*order).limit(size - size // 2)).collect()
+    if not sample:
+        return 0, 0
+    chosen = [(r["cid"], -1 if r["root"] is None else r["root"], np.frombuffer(r["sig"], "<u2")) for r in sample]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = met_ = 0
+        for b in slices(batches):
+            sketch = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(b.num_rows, -1)
+            cid, root = b.column("cid").to_numpy(), b.column("root").fill_null(-2).to_numpy()
+            for own, family_, sig in chosen:
+                like = ((sketch == sig).mean(1) >= threshold) & (cid != own)
+                pairs += int(like.sum())
+                met_ += int((like & (root == family_)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([met_])], ["pairs", "met"])
+
+    sums = held.mapInArrow(compare, "pairs long, met long").agg(F.sum("pairs"), F.sum("met")).first()
+    return sums[0] or 0, sums[1] or 0
 
 
 def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depths: int, trees: int) -> Iterator[pa.RecordBatch]:
@@ -189,14 +213,15 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float, depth
 @dataclass(frozen=True)
 class Found:
     """rows: per row of the input doc_id, r1, r2, n_grams and, if it has n-grams, _root (its component), _class and _n;
-    depth: the shortest prefix searched; recall: the estimated share of links met there."""
+    depth: the shortest prefix searched; recall: the least of the three measures there; recalls: it at each prefix from the longest on."""
 
     rows: DataFrame
     depth: int
     recall: float
+    recalls: tuple[float, ...]
 
 
-def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> Found:
+def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK, audited: int = AUDITED) -> Found:
     """The classes of ``docs``, and the recall that was reached; a warning tells if even prefixes of one function
     leave it below ``target`` (more ``trees`` then help)."""
     count = trees * longest
@@ -204,14 +229,15 @@ def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target:
     classes = signed.filter("n_grams > 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("r1", "r2")).alias("_row"), F.first("sig").alias("sig"))
     classes = materialise(classes.select("h1", "h2", "copies", "least_id", "_row.r1", "_row.r2", "sig", F.monotonically_increasing_id().alias("cid")), "classes")
     cut = threshold - MARGIN * (threshold * (1 - threshold) / count) ** 0.5
-    first = depth = first_depth(threshold, target, trees, longest)  # the recall of all links may rest on large families alone
+    depth = longest
     family = known = verified = None
+    recalls: list[float] = []
 
     def node(t: Column, length: int) -> Column:
         return F.xxhash64(t, F.substring(F.col("sig"), t * (2 * longest) + 1, F.lit(2 * length)))
 
     while True:
-        nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(node(t, depth).alias("label"), (F.col("cid") if family is None else node(t, depth + 1)).alias("child")))
+        nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(node(t, depth).alias("label"), (F.col("cid") if depth == longest else node(t, depth + 1)).alias("child")))
         paths = classes.select("cid", F.explode(nodes).alias("_p")).select("cid", "_p.*")
         shared = paths.groupBy("label").agg(F.count(F.lit(1)).alias("_size"), F.min("child").alias("_a"), F.max("child").alias("_b")).filter("_a <> _b").drop("_a", "_b")
         meet = block_pairs(paths.join(shared, "label").join(classes.select("cid", "sig"), "cid"), F.col("_size"), F.xxhash64("cid"), block)
@@ -224,12 +250,16 @@ def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target:
         texts = _with_row_keys(docs).drop("doc_id").join(members, ["r1", "r2"]).dropDuplicates(["cid"])
         pairs = block_pairs(texts.select("family", "_size", "cid", "copies", "text"), F.col("_size"), F.xxhash64("cid"), text_block)
         pairs = pairs.repartition("family", "_bi", "_bj").sortWithinPartitions("family", "_bi", "_bj")
-        new = pairs.mapInArrow(lambda it: _verified(it, n, threshold, first, trees), "a long, b long, links long, found double, stands array<double>")
+        new = pairs.mapInArrow(lambda it: _verified(it, n, threshold, longest, trees), "a long, b long, links long, found double, stands array<double>")
         if verified is not None:
             new = new.unionByName(verified.join(family.join(grown, "root").select(F.col("node").alias("a")), "a", "left_anti"))
         verified, known = materialise(new, "links"), sizes
         sums = verified.agg(F.sum("found").alias("found"), F.sum(F.col("stands")[depth - 1]).alias("stands")).first()
-        recall = sums["found"] / sums["stands"] if sums["found"] else float(met(threshold, depth, trees))
+        recall = min(sums["found"] / sums["stands"] if sums["found"] else 1.0, float(met(threshold, depth, trees)))
+        if recall >= target:  # the audit costs most, so it comes last
+            pairs, hit = audit(classes, family, threshold, audited)
+            recall = min(recall, hit / pairs if pairs else 1.0)
+        recalls.append(recall)
         if recall >= target or depth == 1:
             break
         depth -= 1
@@ -241,7 +271,7 @@ def search(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target:
     of = roots.join(named, "root").select(F.col("node").alias("cid"), "root", "class_id")
     told = classes.select("h1", "h2", "cid", "copies", "least_id").join(of, "cid", "left").join(links, "cid", "left")
     told = told.select("h1", "h2", F.coalesce("root", "cid").alias("_root"), F.coalesce("class_id", "least_id").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"))
-    return Found(signed.drop("sig").join(told, ["h1", "h2"], "left"), depth, recall)
+    return Found(signed.drop("sig").join(told, ["h1", "h2"], "left"), depth, recall, tuple(recalls))
 
 
 def join(docs: DataFrame, *, n: int = 5, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, longest: int = LONGEST, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
