@@ -1,7 +1,9 @@
 """Packing, WARC archives, secret scans and the pipeline."""
 
 import hashlib
+import heapq
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -34,6 +36,43 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode([None])[0].tolist() == [1]
 
 
+def test_letters_before_signs_equal_the_tokenizer():
+    """Letters that become a letter and a mark before every sign, all others before one."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    changed = [c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha() or len(c.lower()) > 1]
+    assert "İ" in changed and len(changed) > 20
+    parts = [f"a{c}{m}" for c in changed for m in packing._MARKS] + [f"{c}{m}b" for c in changed for m in packing._MARKS] + [f"{c}{packing._MARKS[i % len(packing._MARKS)]}" for i, c in enumerate(letters)]
+    texts = [" ".join(parts[at : at + 16]) for at in range(0, len(parts), 16)]
+    encoder = packing.Encoder(BPE)
+    for at in range(0, len(texts), 512):
+        held = texts[at : at + 512]
+        for text, ids, want in zip(held, encoder.encode(held), TOKENIZER.encode_batch_fast(held, add_special_tokens=False), strict=True):
+            assert ids.tolist() == [*want.ids, 1], text
+
+
+def plain_differencing(sizes, windows):
+    """Multiway differencing with lists of (sum, members) that are merged as written in the books; the sums, from the least."""
+    rows = [(0, i, [(s, [s])] + [(0, [])] * (windows - 1)) for i, s in enumerate(sorted(sizes, reverse=True))]
+    rows = [(-(parts[0][0] - parts[-1][0]), i, parts) for _, i, parts in rows]
+    heapq.heapify(rows)
+    number = len(rows)
+    while len(rows) > 1:
+        a, b = heapq.heappop(rows)[2], heapq.heappop(rows)[2]
+        parts = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, b[::-1], strict=True)), key=lambda p: -p[0])
+        parts = [(x - parts[-1][0], m) for x, m in parts]
+        heapq.heappush(rows, (-parts[0][0], number, parts))
+        number += 1
+    return sorted(sum(m) for _, m in rows[0][2])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_equals_a_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes, windows = rng.permutation(5000)[: 10 + 20 * seed] + 1, 2 + seed
+    got = np.bincount(packing.differencing(sizes, windows), weights=sizes, minlength=windows)
+    assert sorted(got.astype(int).tolist()) == plain_differencing(sizes.tolist(), windows)
+
+
 def test_differencing_is_a_partition_and_near_equal():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 1500, 400)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,11 @@ _AS_WRITTEN = re.compile("[\u0300-\u036f]|<\\|")
 _MARKS = ".,;:!?*&%$#|()"
 
 
+def _ends_in_letter(core: str) -> bool:
+    """Whether the tokenizer's form of ``core`` does. A few letters become a letter and a combining mark, which joins signs behind it."""
+    return core.isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha()
+
+
 class Encoder:
     """Ids of a lower-casing tokenizers file whose pre-tokenizer takes runs of letters, and of other signs, apart
     and drops white space. Parts between white space are looked up where they were seen before; new runs of
@@ -129,7 +135,7 @@ class Encoder:
         seen, letters, others, joined = self._seen, set(), set(), []
         for w in new:
             core = w.rstrip(_MARKS)
-            if core.isalpha():
+            if core.isalpha() and (len(core) == len(w) or _ends_in_letter(core)):
                 letters.add(core)
                 if len(core) < len(w):
                     others.add(w[len(core) :])
