@@ -35,15 +35,30 @@ def test_top_lists_match_brute_force(spark, n, block):
     assert sorted(map(tuple, got.collect())) == nearest(rows)
 
 
-def test_search_stops_early_and_is_exact():
+def test_bounds_end_the_reading_where_they_can():
     rng = np.random.default_rng(3)
     cand = rng.integers(-50, 50, (3000, 4))
-    cand[:40] += 400
+    cand[:12] += 400
     query = rng.integers(1, 50, (7, 4))
-    q, v, s = toplists.search_block(cand, np.arange(3000), query, np.arange(-7, 0), 5)
-    for i in range(7):
-        expected = np.sort(cand @ query[i])[::-1][:5]
-        assert s[q == i - 7].tolist() == expected.tolist()
+    for q, a in zip(query, toplists.search_block(cand, np.arange(3000), query, np.arange(-7, 0), 5), strict=True):
+        assert a.scores.tolist() == np.sort(cand @ q)[::-1][:5].tolist()
+        assert a.by_bound and a.read < a.entries / 20
+
+
+def test_lists_are_read_to_their_ends_where_bounds_cannot_end_it():
+    same = np.tile(np.array([[3, -2, 0, 5]]), (400, 1))
+    [a] = toplists.search_block(same, np.arange(400), np.array([[1, -1, 7, 2]]), np.array([-1]), 5)
+    assert not a.by_bound and a.read == a.entries == 4 * 400
+    assert a.places.tolist() == [0, 1, 2, 3, 4] and a.scores.tolist() == [15] * 5
+    [zero] = toplists.search_block(same, np.arange(400), np.zeros((1, 4), int), np.array([2]), 3)
+    assert zero.places.tolist() == [0, 1, 3] and zero.scores.tolist() == [0, 0, 0] and zero.read == 0
+
+
+def test_endings_of_the_vectors(spark, sf):
+    """Bounds end the reading of every query; nothing is scored that was not read but the few candidates left."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    told = {r["by_bound"]: (r["n"], r["share_read"]) for r in toplists.endings(vectors, F.col("vec_id") % 50 == 0).collect()}
+    assert told[True][0] == vectors.filter("vec_id % 50 = 0").count() and False not in told and told[True][1] <= 1
 
 
 def draws(doc_id, topology):
@@ -169,6 +184,27 @@ def test_edited_passages_are_found_as_by_brute_force(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id and r.doc_id >= 100} == {d for d, _ in docs[-60:]} - {d for d, _ in expected}
 
 
+def test_items_with_one_id_or_none_are_taken_in_parts_of_the_limit(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 12)) for i in [None] * 30 + [7] * 30] + [(8, sentence(rng, 200)), (8, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    parts = list(decontaminate._passes(items, 500))
+    assert sorted((r for p in parts for r in p), key=repr) == sorted(rows, key=repr)
+    assert len(parts) > 5 and all(len(p) == 1 or sum(len(t or "") for _, t in p) <= 500 for p in parts)
+    docs = documents(spark, [(100 + n, f"before {t} after") for n, (_, t) in enumerate(rows[:-1])])
+    found = sorted(((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items, limit=500).collect()), key=repr)
+    assert found == sorted(((100 + n, i) for n, (i, _) in enumerate(rows[:-1])), key=repr)
+
+
+def test_assigning_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, f"r{i}", i * 2, "x") for i in range(20)], "doc_id long, _region string, _rack long, _Region_ string")
+    got = sharding.assign(rows, "doc_id", sharding.Topology.even(10), "shard")
+    assert got.columns == [*rows.columns, "shard"]
+    assert sorted(map(tuple, got.drop("shard").collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError, match="_RACK"):
+        sharding.assign(rows, "doc_id", sharding.Topology.even(10), "_RACK")
+
+
 def test_no_items_and_no_documents(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(documents(spark, [(1, "a")]), bench).count() == 0

@@ -136,11 +136,16 @@ class ItemIndex:
 
 
 def _passes(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // limit))
-    keyed = items.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("_part"))
-    for p in range(parts):
-        yield [(r["item_id"], r["text"]) for r in keyed.filter(F.col("_part") == p).orderBy("item_id").collect()]
+    """The items in order, as many at a time as ``limit`` characters hold; a longer one comes alone."""
+    part, chars = [], 0
+    for r in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        n = len(r["text"] or "")
+        if part and chars + n > limit:
+            yield part
+            part, chars = [], 0
+        part.append((r["item_id"], r["text"]))
+        chars += n
+    yield part
 
 
 def matches(docs: DataFrame, items: DataFrame, *, rate: float = RATE, limit: int = LIMIT) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import materialise
+from .columns import fresh
 
 ROW_OVERHEAD = 16
 
@@ -68,14 +69,17 @@ def _descend(key: Column, level: str, weights: list[list[float]], parent: Column
 
 
 def assign(df: DataFrame, key: str, topology: Topology, out: str) -> DataFrame:
-    """df with the shard of each row's ``key`` in column ``out``."""
+    """df with the shard of each row's ``key`` in column ``out``; a name that ``df`` has already is an error, its other columns stay."""
+    if out.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"df has a column {out}")
+    region, rack = fresh(df, "_region", "_rack")
     region_w = [[sum(map(sum, region)) for region in topology.regions]]
     rack_w = [[sum(rack) for rack in region] for region in topology.regions]
     shard_w = [list(rack) for region in topology.regions for rack in region]
     k = F.col(key)
-    steps = df.withColumn("_region", _descend(k, "region", region_w, None))
-    steps = steps.withColumn("_rack", _descend(k, "rack", rack_w, F.col("_region")))
-    return steps.withColumn(out, _descend(k, "shard", shard_w, F.col("_rack"))).drop("_region", "_rack")
+    steps = df.withColumn(region, _descend(k, "region", region_w, None))
+    steps = steps.withColumn(rack, _descend(k, "rack", rack_w, F.col(region)))
+    return steps.withColumn(out, _descend(k, "shard", shard_w, F.col(rack))).drop(region, rack)
 
 
 def place(docs: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
