@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ class Aligner:
     def _encoded(self, part: str) -> tuple[list[int], list[int]] | None:
         """Ids of A and B; None unless both join to the blank and the part."""
         want = b" " + part.encode("utf-8", "replace")
-        a, b = self._a.encode(" " + part, add_special_tokens=False).ids, self._b.encode(part)
+        a, b = self._a.encode_batch_fast([" " + part], add_special_tokens=False)[0].ids, self._b.encode(part)
         same = b"".join(map(self._bytes_a.__getitem__, a)) == want and b"".join(map(self._bytes_b.__getitem__, b)) == want
         return (a, b) if same else None
 
@@ -111,9 +112,12 @@ class Aligner:
         stop_a, stop_b, stop_g = (np.searchsorted(x, ends, "right") for x in (np.cumsum(len_a), np.cumsum(len_b), cuts))
         stop_l = np.searchsorted(link_a, stop_a)
         counts = np.diff(np.stack((stop_a, stop_b, stop_g, stop_l), 1), axis=0, prepend=0)
-        from_a, from_b = ([0, *np.cumsum(np.bincount(g, minlength=len(cuts))).tolist()] for g in (group_a, group_b))
-        said_a, said_b = list(map(str, ids[0])), list(map(str, ids[1]))
-        said = [f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])}" for i, j, k, m in zip(from_a[:-1], from_a[1:], from_b[:-1], from_b[1:], strict=True)]
+        n_a, n_b = (np.bincount(g, minlength=len(cuts)) for g in (group_a, group_b))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        said = [f"{x}|{y}" for x, y in zip(a[first_a].tolist(), b[first_b].tolist(), strict=True)]  # right where a group has one of each
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            i, k = first_a[g], first_b[g]
+            said[g] = f"{','.join(map(str, ids[0][i : i + n_a[g]]))}|{','.join(map(str, ids[1][k : k + n_b[g]]))}"
         stops = [0, *stop_g.tolist()]
         return counts, [said[i] if j == i + 1 else ";".join(said[i:j]) for i, j in zip(stops[:-1], stops[1:], strict=True)], a[link_a] * self.span + b[link_b]
 
@@ -152,22 +156,23 @@ class Aligner:
         """(counts, groups as text) of each text; and of each text's distinct linked pairs the text, the pair as a * span + b
         and how often, by text and pair."""
         cut = [self.parts(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
         if self._chars > _KEPT_CHARS:
             self._forget()
-        new = [p for p in wanted if p not in self._seen]
+        flat = list(chain.from_iterable(cut))
+        numbers = list(map(self._seen.get, flat))
+        new = [i for i, x in enumerate(numbers) if x is None]
         if new:
-            self._learn(new)
-        get = self._seen.__getitem__
-        at = np.fromiter((get(p) for parts in cut for p in parts), np.int64, sum(map(len, cut)))
-        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+            self._learn(list(dict.fromkeys(map(flat.__getitem__, new))))
+            for i in new:
+                numbers[i] = self._seen[flat[i]]
+        ends = np.cumsum([0, *map(len, cut)])
+        at, doc = np.array(numbers, np.int64), np.repeat(np.arange(len(cut)), np.diff(ends))
         bad = np.zeros(len(cut), bool)
-        bad[np.searchsorted(ends, np.flatnonzero(self._counts[at, 0] < 0), "right")] = True
-        doc = np.repeat(np.arange(len(cut)), np.diff(ends, prepend=0))
+        bad[doc[self._counts[at, 0] < 0]] = True
+        said, bounds = list(map(self._groups.__getitem__, numbers)), ends.tolist()
+        groups = ["" if wrong else ";".join(said[i:j]) for i, j, wrong in zip(bounds[:-1], bounds[1:], bad.tolist(), strict=True)]
         at, doc = at[~bad[doc]], doc[~bad[doc]]
-        counts = np.zeros((len(cut), 4), np.int64)
-        np.add.at(counts, doc, self._counts[at])
-        groups = ["" if wrong or not parts else ";".join([self._groups[get(p)] for p in parts]) for parts, wrong in zip(cut, bad.tolist(), strict=True)]
+        counts = np.diff(np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(self._counts[at], axis=0)))[np.searchsorted(doc, np.arange(len(cut) + 1))], axis=0)
         n = self._counts[at, 3]
         pair = self._links[np.repeat(self._ends[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         keys = [np.repeat(doc, n) * (len(self._bytes_a) * self.span) + pair]
