@@ -128,6 +128,57 @@ def test_flows_and_coverage_through_the_whole_plan(spark):
         assert result.error_code is None and result.value == pytest.approx(0.21) and ("PARTIAL_HISTORY" in result.warnings) == (state != "COMPLETE")
 
 
+def _plan(spark, points, flows, values, fills):
+    wallets = sorted({p[0] for p in points} | {f[0] for f in fills})
+    return {
+        (r.wallet, r.metric): r
+        for r in covered_performance(
+            as_fills(spark, fills), spark.createDataFrame(points, "wallet long, ts timestamp_ntz, id long, nav double"),
+            spark.createDataFrame(flows, "wallet long, flow_id long, ts timestamp_ntz, kind string, amount double, boundary string"),
+            spark.createDataFrame(values, "wallet long, flow_id long, role string, ts timestamp_ntz, nav double"),
+            spark.createDataFrame([(w, "COMPLETE", True, False) for w in wallets], "wallet long, completeness string, initial_state_known boolean, explicit_gap boolean"),
+        ).collect()
+    }
+
+
+def test_one_bad_wallet_leaves_the_others_as_they_are(spark):
+    """Everything withdrawn, sizes of zero, repeated ids, no exposure: each is its wallet's error beside a good wallet."""
+    good = walk([("BUY", 1, 100), ("SELL", 1, 120)])
+    fills = [(w, *r[1:2], f"{w}:{r[2]}", *r[3:]) for w in (1, 2, 3, 4) for r in good]
+    columns = {"id": 2, "size": 5, "price": 6}
+    zero, twice = list(fills[2]), list(fills[4])
+    zero[columns["size"]] = 0.0
+    twice[columns["id"]] = fills[5][columns["id"]]
+    fills[2], fills[4] = tuple(zero), tuple(twice)
+    fills[6:] = [tuple(0.0 if i == columns["price"] else v for i, v in enumerate(f)) for f in fills[6:]]
+    points = [(w, T0 + timedelta(days=d), d, v) for w in (1, 5, 6, 7, 8) for d, v in ((0, 100.0), (1, 231.0))]
+    at = T0 + timedelta(hours=6)
+    flows, values = [], []
+    for w, before, after, before_at, after_at, amount in (
+        (1, 110.0, 210.0, at, at, 100.0), (5, 110.0, 0.0, at, at, -110.0), (6, 110.0, 210.0, at + timedelta(days=10), at, 100.0), (7, 110.0, 210.0, at, at, 99.0), (8, 110.0, 210.0, at, at - timedelta(hours=9), 100.0),
+    ):
+        flows.append((w, 7, at, "withdraw" if amount < 0 else "deposit", amount, None))
+        values += [(w, 7, "FLOW_BEFORE", before_at, before), (w, 7, "FLOW_AFTER", after_at, after)]
+    flows.append((5, 8, at, "deposit", 50.0, None))
+    values += [(5, 8, "FLOW_BEFORE", at, 0.0), (5, 8, "FLOW_AFTER", at, 50.0)]
+    got = _plan(spark, points, flows, values, fills)
+    assert (got[1, "total_return"].value, got[1, "total_return"].warnings, got[1, "win_rate"].value) == (pytest.approx(0.21), "", 0.0)
+    assert {w: got[w, "win_rate"].error_code for w in (2, 3, 4)} == {2: "INVALID_INPUT", 3: "DUPLICATE_EVENT", 4: "INVALID_INPUT"}
+    assert got[4, "hhi"].error_code == got[4, "largest_share"].error_code == "ZERO_DENOMINATOR" and got[1, "hhi"].value == 1
+    assert {w: got[w, "total_return"].error_code for w in (5, 6, 7, 8)} == {5: "NON_POSITIVE_NAV", 6: "DATA_ORDER_AMBIGUOUS", 7: None, 8: "DATA_ORDER_AMBIGUOUS"}
+    assert got[7, "total_return"].warnings == "CASH_FLOW_NAV_MISMATCH" and got[7, "total_return"].value == pytest.approx(0.21)
+
+
+def test_operators_do_not_divide_by_zero(spark):
+    rows = as_fills(spark, [tuple(0.0 if i in (5, 7) else v for i, v in enumerate(r)) for r in walk([("BUY", 1, 100), ("SELL", 1, 120)])])
+    assert cycles.cycles(rows).count() >= 0 and cycles.legs(rows).collect() is not None
+    periods = spark.createDataFrame([(1, 1, T0, T0, -1.0), (1, 2, T0, T0 + timedelta(days=1), 0.5), (2, 1, T0, T0 + timedelta(days=2), 0.1), (2, 2, T0 + timedelta(days=1), T0 + timedelta(days=3), 0.1), (3, 1, T0, T0, 0.1)], "key long, seq int, period_from timestamp_ntz, period_to timestamp_ntz, value double")
+    wealth = {(r.key, r.seq): (r.wealth, r.wealth_error) for r in returns.wealth_index(periods, ["key"]).collect()}
+    assert wealth == {(1, 1): (None, "NON_POSITIVE_NAV"), (1, 2): (None, "NON_POSITIVE_NAV"), (2, 1): (None, "DATA_ORDER_AMBIGUOUS"), (2, 2): (None, "DATA_ORDER_AMBIGUOUS"), (3, 1): (pytest.approx(1.1), None)}
+    totals = returns.annualised(returns.compounded(periods, ["key"])).collect()
+    assert {r.key: r.error_code for r in totals} == {1: "NON_POSITIVE_NAV", 2: "INSUFFICIENT_HISTORY", 3: "INSUFFICIENT_HISTORY"}
+
+
 def test_repeated_flows_are_an_error(spark):
     flows = spark.createDataFrame([(1, 7, T0, "deposit", 1.0, None)] * 2, "wallet long, flow_id long, ts timestamp_ntz, kind string, amount double, boundary string")
     assert {r.error_code for r in returns.normalise_flows(flows, ["wallet"]).collect()} == {"DUPLICATE_EVENT"}

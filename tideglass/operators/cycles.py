@@ -36,6 +36,15 @@ def duplicate_ids(fills: DataFrame) -> DataFrame:
     return fills.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def input_errors(fills: DataFrame) -> DataFrame:
+    """wallet, error_code: wallets whose executions cannot be used, DUPLICATE_EVENT if an id occurs twice, else INVALID_INPUT if a price or
+    a size is not positive or a start position is null. The operators below do not fail on such rows, but what they make of them means nothing."""
+    positive = F.coalesce((F.col("price") > 0) & (F.col("size") > 0) & F.col("start_position").isNotNull(), F.lit(False))
+    ids = fills.groupBy("wallet", "id").agg(F.count(F.lit(1)).alias("_n"), F.max(~positive).alias("_bad"))
+    found = ids.groupBy("wallet").agg((F.max("_n") > 1).alias("_twice"), F.max("_bad").alias("_bad")).filter("_twice OR _bad")
+    return found.select("wallet", F.when(F.col("_twice"), "DUPLICATE_EVENT").otherwise("INVALID_INPUT").alias("error_code"))
+
+
 def _dated(fills: DataFrame) -> DataFrame:
     """Adds ``_day``, ``after``, and ``_flat`` and ``_end``: was the key flat before this day, where did its last day end."""
     rows = fills.withColumns({"_day": F.coalesce(F.col("ts").cast("date"), F.to_date(F.lit("0001-01-01"))), "after": F.col("start_position") + F.col("delta")})
@@ -86,9 +95,9 @@ def legs(fills: DataFrame) -> DataFrame:
     opens, flips = start == 0, F.signum("start_position") * F.signum("after") < 0
     closing = (start != 0) & (F.signum("start_position") != F.signum("delta"))
     closed = F.least(F.abs(start), size)
-    close = F.struct(F.lit("CLOSE").alias("role"), (F.col("_opened") - flips.cast("int")).alias("cycle"), closed.alias("size"), F.abs(start).alias("_held"), (F.col("fee") * closed / size).alias("fee"), F.col("closed_pnl").alias("closed_pnl"))
+    close = F.struct(F.lit("CLOSE").alias("role"), (F.col("_opened") - flips.cast("int")).alias("cycle"), closed.alias("size"), F.abs(start).alias("_held"), F.try_divide(F.col("fee") * closed, size).alias("fee"), F.col("closed_pnl").alias("closed_pnl"))
     rest = F.when(flips, size - closed).otherwise(size)
-    open_ = F.struct(F.lit("OPEN").alias("role"), F.col("_opened").alias("cycle"), rest.alias("size"), F.when(flips, F.abs(start) * 0).otherwise(F.abs(start)).alias("_held"), F.when(flips, F.col("fee") - F.col("fee") * closed / size).otherwise(F.col("fee")).alias("fee"), (F.col("closed_pnl") * 0).alias("closed_pnl"))
+    open_ = F.struct(F.lit("OPEN").alias("role"), F.col("_opened").alias("cycle"), rest.alias("size"), F.when(flips, F.abs(start) * 0).otherwise(F.abs(start)).alias("_held"), F.when(flips, F.col("fee") - F.try_divide(F.col("fee") * closed, size)).otherwise(F.col("fee")).alias("fee"), (F.col("closed_pnl") * 0).alias("closed_pnl"))
     parts = F.when(flips, F.array(close, open_)).when(closing, F.array(close)).otherwise(F.array(open_))
     out = rows.select(*KEYS, "id", "ts", "side", "price", "after", "_discontinued", "_stretch", (opens & (F.col("closed_pnl") != 0)).alias("unexpected_pnl"), F.posexplode(parts).alias("leg", "_p"))
     return out.select(*KEYS, "id", "ts", "side", "price", "leg", "_p.*", F.when((F.col("_p.role") == "CLOSE") & (F.col("after") == 0) | (F.col("_p.role") == "CLOSE") & (F.signum("after") != F.when(F.col("side") == "SELL", 1).otherwise(-1)), F.lit(True)).otherwise(F.lit(False)).alias("ends"), "unexpected_pnl", "_discontinued", "_stretch")
@@ -104,8 +113,8 @@ def _folded(sorted_legs: Column) -> Column:
         grown = held + size
         sign = F.when(leg["side"] == "SELL", 1.0).otherwise(-1.0)
         return F.struct(
-            F.when(is_open, held / grown * acc["by"]).otherwise(acc["by"]).alias("by"),
-            F.when(is_open, (held * acc["entry"] + size * price) / grown).otherwise(acc["entry"]).alias("entry"),
+            F.when(is_open, F.try_divide(held, grown) * acc["by"]).otherwise(acc["by"]).alias("by"),
+            F.when(is_open, F.try_divide(held * acc["entry"] + size * price, grown)).otherwise(acc["entry"]).alias("entry"),
             F.when(is_open, acc["gain"]).otherwise(acc["gain"] + sign * (price - acc["entry"]) * size).alias("gain"),
             F.when(is_open, acc["per"]).otherwise(acc["per"] + sign * acc["by"] * size).alias("per"),
         )
@@ -133,7 +142,7 @@ def cycles(fills: DataFrame) -> DataFrame:
     rows = parts.groupBy(*KEYS, "cycle").agg(
         F.array_sort(F.collect_list(F.struct("_stretch", F.col("_f").alias("f")))).alias("_parts"), F.min("opened_at").alias("opened_at"), F.max("closed_at").alias("closed_at"),
         F.min_by("_side", "_at").alias("_first_side"), F.min_by("_id", "_at").alias("opening_id"), F.sum("n_fills").alias("n_fills"), F.sum("fee").alias("fee"), F.sum("official_pnl").alias("official_pnl"),
-        F.sum("_in").alias("entry_quantity"), F.coalesce(F.sum("_out"), F.lit(0)).alias("exit_quantity"), (F.sum("_paid") / F.sum("_out")).alias("exit_price"),
+        F.sum("_in").alias("entry_quantity"), F.coalesce(F.sum("_out"), F.lit(0)).alias("exit_quantity"), F.try_divide(F.sum("_paid"), F.sum("_out")).alias("exit_price"),
         F.max("unexpected_opening_pnl").alias("unexpected_opening_pnl"), F.max("_discontinued").alias("_discontinued"),
     )
     rows = rows.withColumn("_f", _composed(F.col("_parts"))).filter(F.col("closed_at").isNotNull() | ~F.col("_discontinued"))

@@ -470,58 +470,89 @@ def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- flows -------------------------------------------------------------------------------------------------
 
 _FLOW = """
-    fl AS (SELECT user_id AS wallet, event_id AS flow_id, ts, value AS before_nav, value + 5 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS after_nav, CASE WHEN event_type = 'purchase' THEN 'deposit' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = 6 THEN 'vault' ELSE 'reward' END AS kind FROM events WHERE event_type IN ('purchase', 'signup'))"""
+    fl0 AS (SELECT user_id AS wallet, event_id AS flow_id, date_trunc('hour', ts) AS ts, CAST(value AS DECIMAL(20,2)) AS before_nav, 5 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS moved, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_type IN ('purchase', 'signup')),
+    fl AS (SELECT *, after_at + CASE WHEN wallet % 11 = 5 AND flow_id % 16 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS before_at, kind IN ('deposit', 'withdrawal') AS ext FROM (
+        SELECT *, ts AS after_at, CASE WHEN event_type = 'signup' THEN CASE WHEN k = 6 THEN 'vault' ELSE 'reward' END WHEN wallet % 11 = 3 AND k % 25 = 0 THEN 'withdrawal' ELSE 'deposit' END AS kind,
+            CASE WHEN event_type = 'purchase' AND wallet % 11 = 3 AND k % 25 = 0 THEN -before_nav ELSE moved END AS amount,
+            CASE WHEN event_type = 'purchase' AND wallet % 11 = 3 AND k % 25 = 0 THEN 0 WHEN flow_id % 10 = 0 THEN before_nav + moved + 1 ELSE before_nav + moved END AS after_nav FROM fl0)),
+    pt AS (SELECT user_id AS wallet, ts, event_id AS id, CAST(value AS DECIMAL(20,2)) AS nav FROM events WHERE event_type NOT IN ('purchase', 'signup'))"""
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Values, flows and their values: purchases are deposits, signups rewards or unknown, all other events values."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    e = table(spark, sf_dir, "events").withColumn("amount", 5 + k % 20)
+    """Values, flows and their values: purchases are deposits, signups rewards or unknown, all other events values. Flows come at
+    full hours, so several at an instant; some wallets withdraw everything, some values before a flow are known ten days
+    after it, some values after it differ from what moved."""
+    k, w, i = F.get_json_object("props", "$.k").cast("long"), F.col("user_id"), F.col("event_id")
+    nav = F.col("value").cast("decimal(20,2)")
     moves = F.col("event_type").isin("purchase", "signup")
-    points = e.filter(~moves).select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").alias("id"), F.col("value").alias("nav"))
-    kind = F.when(F.col("event_type") == "purchase", "Deposit").when(k == 6, "vault").otherwise("reward")
-    flows = e.filter(moves).select(F.col("user_id").alias("wallet"), F.col("event_id").alias("flow_id"), "ts", kind.alias("kind"), F.col("amount").cast("double").alias("amount"), F.lit(None).cast("string").alias("boundary"))
-    sides = F.explode(F.array(F.struct(F.lit("FLOW_BEFORE").alias("role"), F.col("value").alias("nav")), F.struct(F.lit("FLOW_AFTER").alias("role"), (F.col("value") + F.col("amount")).alias("nav")))).alias("s")
-    values = e.filter(moves).select(F.col("user_id").alias("wallet"), F.col("event_id").alias("flow_id"), "ts", sides).select("wallet", "flow_id", "ts", "s.*")
-    return points, flows, values
-
-
-@add("wallet:l flow_id:l category:s is_external:b before_nav:r after_nav:r error_code:s", f"""WITH {_FLOW}
-    SELECT *, CASE kind WHEN 'vault' THEN 'unknown' ELSE kind END AS category, CASE kind WHEN 'deposit' THEN TRUE WHEN 'reward' THEN FALSE END AS is_external, CASE kind WHEN 'vault' THEN 'UNKNOWN_CASH_FLOW' END AS error_code FROM fl""")
+    points = table(spark, sf_dir, "events").filter(~moves).select(w.alias("wallet"), "ts", i.alias("id"), nav.alias("nav"))
+    all_ = (F.col("event_type") == "purchase") & (w % 11 == 3) & (k % 25 == 0)
+    e = table(spark, sf_dir, "events").filter(moves).withColumns({"nav": nav, "moved": (5 + k % 20).cast("decimal(20,2)"), "ts": F.date_trunc("hour", "ts").cast("timestamp_ntz")})
+    kind = F.when(F.col("event_type") == "signup", F.when(k == 6, "vault").otherwise("reward")).when(all_, "Withdraw").otherwise("Deposit")
+    flows = e.select(w.alias("wallet"), i.alias("flow_id"), "ts", kind.alias("kind"), F.when(all_, -F.col("nav")).otherwise(F.col("moved")).alias("amount"), F.lit(None).cast("string").alias("boundary"))
+    late = F.when((w % 11 == 5) & (i % 16 == 0), F.col("ts") + F.expr("interval 10 days")).otherwise(F.col("ts"))
+    after = F.when(all_, F.lit(0)).when(i % 10 == 0, F.col("nav") + F.col("moved") + 1).otherwise(F.col("nav") + F.col("moved")).cast("decimal(20,2)")
+    sides = F.explode(F.array(F.struct(F.lit("FLOW_BEFORE").alias("role"), late.alias("ts"), F.col("nav")), F.struct(F.lit("FLOW_AFTER").alias("role"), F.col("ts"), after.alias("nav")))).alias("s")
+    return points, flows, e.select(w.alias("wallet"), i.alias("flow_id"), sides).select("wallet", "flow_id", "s.*")
+
+
+@add("wallet:l flow_id:l category:s is_external:b before_nav:r before_at:t after_nav:r after_at:t error_code:s", f"""WITH {_FLOW}
+    SELECT *, CASE kind WHEN 'vault' THEN 'unknown' ELSE kind END AS category, CASE kind WHEN 'reward' THEN FALSE WHEN 'vault' THEN NULL ELSE TRUE END AS is_external, CASE kind WHEN 'vault' THEN 'UNKNOWN_CASH_FLOW' END AS error_code FROM fl""")
 def flow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, flows, values = _flows(spark, sf_dir)
     return returns.with_flow_values(returns.normalise_flows(flows, ["wallet"]), values, ["wallet"])
 
 
-_FLOW_RETURNS = f"""{_FLOW},
-    qn AS (SELECT user_id AS wallet, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) FILTER (value > 0) AS nav, max(ts) FILTER (value > 0) AS at_ FROM events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY ALL),
+#: pt: values; fl: flows; qd: days up to the first gap; qp: periods in order, each with its error; qw: a wallet's error; qq: metrics.
+_FLOW_RETURNS = """
+    qn AS (SELECT wallet, CAST(ts AS DATE) AS day, arg_max(nav, (ts, id)) FILTER (nav > 0) AS nav, max(ts) FILTER (nav > 0) AS at_ FROM pt GROUP BY ALL),
     qg AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY wallet ORDER BY day) > 1 THEN 1 ELSE 0 END AS gap FROM qn WHERE nav > 0),
     qd AS (SELECT * FROM (SELECT *, sum(gap) OVER (PARTITION BY wallet ORDER BY day) AS gaps FROM qg) WHERE gaps = 0),
     qe AS (SELECT wallet, min(at_) AS f, max(at_) AS l, max(day) - min(day) AS days FROM qd GROUP BY wallet),
-    qr AS (SELECT fl.* FROM fl JOIN qe ON qe.wallet = fl.wallet AND ts BETWEEN f AND l),
-    qx AS (SELECT wallet, min(ts) AS f, max(ts) AS l, arg_max(after_nav, (ts, flow_id)) AS last_after, count(*) AS n FROM qr WHERE kind = 'deposit' GROUP BY wallet),
-    qb AS (SELECT qx.wallet, arg_max(nav, (at_, nav)) FILTER (at_ < f) AS base, arg_max(nav, (at_, nav)) FILTER (at_ > l) AS fin FROM qx LEFT JOIN qd ON qd.wallet = qx.wallet GROUP BY qx.wallet),
+    qr AS (SELECT fd.* FROM (SELECT *, count(*) OVER (PARTITION BY wallet, flow_id) AS times FROM fl) fd JOIN qe ON qe.wallet = fd.wallet AND ts BETWEEN f AND l),
+    qx AS (SELECT wallet, min(ts) AS f, arg_max(after_at, (ts, flow_id)) AS l, arg_max(after_nav, (ts, flow_id)) AS last_after, count(*) AS n FROM qr WHERE ext GROUP BY wallet),
+    qb AS (SELECT qx.wallet, arg_max(nav, (at_, nav)) FILTER (at_ < f) AS base, max(at_) FILTER (at_ < f) AS base_at, arg_max(nav, (at_, nav)) FILTER (at_ > l) AS fin FROM qx LEFT JOIN qd ON qd.wallet = qx.wallet GROUP BY qx.wallet),
+    qo AS (SELECT qr.*, row_number() OVER w AS seq, CASE WHEN row_number() OVER w = 1 THEN base ELSE lag(after_nav) OVER w END AS from_nav, CASE WHEN row_number() OVER w = 1 THEN base_at ELSE lag(after_at) OVER w END AS from_at FROM qr JOIN qb ON qb.wallet = qr.wallet WHERE ext WINDOW w AS (PARTITION BY qr.wallet ORDER BY ts, flow_id)),
     qp AS (
-        SELECT qr.wallet, row_number() OVER w AS seq, before_nav / coalesce(lag(after_nav) OVER w, base) - 1 AS value, coalesce(lag(after_nav) OVER w, base) IS NULL AS missing FROM qr JOIN qb ON qb.wallet = qr.wallet WHERE kind = 'deposit' WINDOW w AS (PARTITION BY qr.wallet ORDER BY ts, flow_id)
-        UNION ALL SELECT qx.wallet, n + 1, fin / last_after - 1, fin IS NULL FROM qx JOIN qb ON qb.wallet = qx.wallet
-        UNION ALL SELECT * FROM (SELECT wallet, row_number() OVER (PARTITION BY wallet ORDER BY day) AS seq, nav / lag(nav) OVER (PARTITION BY wallet ORDER BY day) - 1 AS value, FALSE FROM qd WHERE wallet NOT IN (SELECT wallet FROM qx)) WHERE value IS NOT NULL),
-    qv AS (SELECT DISTINCT wallet AS vault FROM qr WHERE kind = 'vault'),
-    qi AS (SELECT DISTINCT wallet AS lacking FROM qp WHERE missing),
-    qw AS (SELECT qe.wallet, days, CASE WHEN vault IS NOT NULL THEN 'UNKNOWN_CASH_FLOW' WHEN lacking IS NOT NULL THEN 'MISSING_CASH_FLOW_BOUNDARY_NAV' END AS wrong FROM qe LEFT JOIN qv ON vault = qe.wallet LEFT JOIN qi ON lacking = qe.wallet),
-    qk AS (SELECT qp.wallet, seq, value, exp(sum(ln(1 + value)) OVER (PARTITION BY qp.wallet ORDER BY seq)) AS wealth FROM qp JOIN qw ON qw.wallet = qp.wallet WHERE wrong IS NULL),
+        SELECT wallet, seq, from_nav, before_nav AS to_nav, after_nav - before_nav <> amount AS mm, CASE WHEN from_nav <= 0 OR before_nav <= 0 OR after_nav <= 0 THEN 'NON_POSITIVE_NAV' WHEN from_nav IS NULL OR before_nav IS NULL OR after_nav IS NULL THEN 'MISSING_CASH_FLOW_BOUNDARY_NAV'
+            WHEN before_at < from_at OR after_at < before_at THEN 'DATA_ORDER_AMBIGUOUS' END AS code FROM qo
+        UNION ALL SELECT qx.wallet, n + 1, last_after, fin, FALSE, CASE WHEN last_after <= 0 OR fin <= 0 THEN 'NON_POSITIVE_NAV' WHEN fin IS NULL THEN 'MISSING_CASH_FLOW_BOUNDARY_NAV' END FROM qx JOIN qb ON qb.wallet = qx.wallet
+        UNION ALL SELECT * FROM (SELECT wallet, row_number() OVER (PARTITION BY wallet ORDER BY day) - 1 AS seq, lag(nav) OVER (PARTITION BY wallet ORDER BY day) AS from_nav, nav, FALSE, NULL FROM qd WHERE wallet NOT IN (SELECT wallet FROM qx)) WHERE from_nav IS NOT NULL),
+    qv AS (SELECT wallet AS vault, min(CASE WHEN times > 1 THEN 'DUPLICATE_EVENT' WHEN kind = 'vault' THEN 'UNKNOWN_CASH_FLOW' END) AS unfit FROM qr GROUP BY wallet),
+    qi AS (SELECT wallet AS lacking, arg_min(code, (CASE code WHEN 'NON_POSITIVE_NAV' THEN 0 ELSE 1 END, seq)) AS code FROM qp WHERE code IS NOT NULL GROUP BY wallet),
+    qw AS (SELECT qe.wallet, days, coalesce(unfit, code) AS wrong FROM qe LEFT JOIN qv ON vault = qe.wallet LEFT JOIN qi ON lacking = qe.wallet),
+    qk AS (SELECT *, exp(sum(ln(1 + value)) OVER (PARTITION BY wallet ORDER BY seq)) AS wealth FROM (SELECT qp.wallet, seq, mm, CAST(to_nav AS DOUBLE) / CAST(from_nav AS DOUBLE) - 1 AS value FROM qp JOIN qw ON qw.wallet = qp.wallet WHERE wrong IS NULL)),
     qm AS (SELECT wallet, min(wealth / greatest(1, peak) - 1) AS max_drawdown FROM (SELECT *, max(wealth) OVER (PARTITION BY wallet ORDER BY seq) AS peak FROM qk) GROUP BY wallet),
-    qs AS (SELECT wallet, exp(sum(ln(1 + value))) - 1 AS total_return, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, sqrt(sum(least(value, 0) * least(value, 0)) / count(*)) AS down FROM qk GROUP BY wallet),
-    qq AS (SELECT qw.wallet, wrong, total_return, CASE WHEN days >= 30 THEN pow(1 + total_return, 365.0 / days) - 1 END AS annualised_return, CASE WHEN n >= 30 THEN sd * sqrt(365) END AS volatility, CASE WHEN n >= 30 AND sd > 0 THEN mean / sd * sqrt(365) END AS sharpe,
+    qs AS (SELECT wallet, exp(sum(ln(1 + value))) - 1 AS total_return, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, sqrt(sum(least(value, 0) * least(value, 0)) / count(*)) AS down, bool_or(mm) AS mm FROM qk GROUP BY wallet),
+    qq AS (SELECT qw.wallet, wrong, coalesce(mm, FALSE) AS mm, total_return, CASE WHEN days >= 30 THEN pow(1 + total_return, 365.0 / days) - 1 END AS annualised_return, CASE WHEN n >= 30 THEN sd * sqrt(365) END AS volatility, CASE WHEN n >= 30 AND sd > 0 THEN mean / sd * sqrt(365) END AS sharpe,
         CASE WHEN n >= 30 AND down > 0 THEN mean / down * sqrt(365) END AS sortino, CASE WHEN max_drawdown IS NOT NULL THEN least(max_drawdown, 0) END AS max_drawdown FROM qw LEFT JOIN qs ON qs.wallet = qw.wallet LEFT JOIN qm ON qm.wallet = qw.wallet),
-    ql AS (SELECT wallet, 'return' AS lane, metric, value, CASE WHEN value IS NULL THEN coalesce(wrong, 'INSUFFICIENT_HISTORY') END AS own FROM qq UNPIVOT INCLUDE NULLS (value FOR metric IN (total_return, annualised_return, volatility, sharpe, sortino, max_drawdown)))"""
+    ql AS (SELECT wallet, 'return' AS lane, metric, value, mm, CASE WHEN value IS NULL THEN coalesce(wrong, 'INSUFFICIENT_HISTORY') END AS own FROM qq UNPIVOT INCLUDE NULLS (value FOR metric IN (total_return, annualised_return, volatility, sharpe, sortino, max_drawdown)))"""
+
+
+@add("wallet:l metric:s value:r error_code:s", f"""
+    WITH pt AS (SELECT l_linenumber % 3 AS wallet, l_shipdate AS ts, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey % 100000 AS id, CAST(l_extendedprice AS DECIMAL(18,2)) AS nav FROM lineitem WHERE l_quantity > 1),
+    fl AS (SELECT *, kind = 'deposit' AS ext FROM (SELECT l_linenumber % 3 AS wallet, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey % 100000 AS flow_id, l_shipdate AS ts, l_shipdate AS before_at, l_shipdate AS after_at, CASE WHEN l_returnflag = 'R' THEN 'reward' ELSE 'deposit' END AS kind,
+        CAST(30000 + l_suppkey AS DECIMAL(18,2)) AS before_nav, CAST(30000 + l_suppkey + 100 * l_linenumber AS DECIMAL(18,2)) AS after_nav, 100 * l_linenumber AS amount FROM lineitem WHERE l_quantity <= 1)),
+    {_FLOW_RETURNS} SELECT wallet, metric, value, own AS error_code FROM ql""")
+def long_flow_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of values and deposits, so that no metric lacks history: line numbers are wallets, lines of one piece flows."""
+    from .performance import flow_return_lane
+
+    n, money = F.col("l_linenumber"), "decimal(18,2)"
+    lines = table(spark, sf_dir, "lineitem").select((n % 3).alias("wallet"), (F.col("l_orderkey") * 1000000 + n * 100000 + F.col("l_partkey") % 100000).alias("id"), F.col("l_shipdate").alias("ts"), "l_quantity", "l_extendedprice", "l_returnflag", (30000 + F.col("l_suppkey")).cast(money).alias("_before"), (100 * n).cast(money).alias("amount"))
+    points = lines.filter("l_quantity > 1").select("wallet", "ts", "id", F.col("l_extendedprice").cast(money).alias("nav"))
+    moved = lines.filter("l_quantity <= 1").withColumnRenamed("id", "flow_id")
+    flows = moved.select("wallet", "flow_id", "ts", F.when(F.col("l_returnflag") == "R", "reward").otherwise("deposit").alias("kind"), "amount", F.lit(None).cast("string").alias("boundary"))
+    sides = F.explode(F.array(*(F.struct(F.lit(role).alias("role"), v.cast(money).alias("nav")) for role, v in (("FLOW_BEFORE", F.col("_before")), ("FLOW_AFTER", F.col("_before") + F.col("amount")))))).alias("s")
+    return flow_return_lane(points, flows, moved.select("wallet", "flow_id", "ts", sides).select("wallet", "flow_id", "ts", "s.*"))
 
 
-@add("wallet:l lane:s metric:s value:r error_code:s warnings:s", f"""{WITH_CYCLES}, {_PERFORMANCE}, {_FLOW_RETURNS},
-    al AS (SELECT wallet, lane, metric, value, CASE WHEN value IS NULL THEN 'METRIC_UNAVAILABLE' END AS own FROM ml WHERE lane <> 'return' UNION ALL SELECT wallet, lane, metric, value, own FROM ql),
+@add("wallet:l lane:s metric:s value:r error_code:s warnings:s", f"""{WITH_CYCLES}, {_PERFORMANCE}, {_FLOW}, {_FLOW_RETURNS},
+    al AS (SELECT wallet, lane, metric, value, FALSE AS mm, CASE WHEN value IS NULL THEN 'METRIC_UNAVAILABLE' END AS own FROM ml WHERE lane <> 'return' UNION ALL SELECT wallet, lane, metric, value, mm, own FROM ql),
     cv AS (SELECT *, CASE wallet % 6 WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'GAP_DETECTED' WHEN 3 THEN 'TRUNCATED' WHEN 4 THEN 'INSUFFICIENT_HISTORY' ELSE 'COMPLETE' END AS completeness FROM al),
     st AS (SELECT *, CASE WHEN lane = 'return' THEN CASE completeness WHEN 'COMPLETE' THEN 'COMPLETE' ELSE 'PARTIAL' END WHEN completeness = 'GAP_DETECTED' AND wallet % 4 <> 0 THEN 'PARTIAL' ELSE completeness END AS s FROM cv),
     er AS (SELECT *, coalesce(CASE WHEN s IN ('GAP_DETECTED', 'TRUNCATED', 'INSUFFICIENT_HISTORY') THEN s WHEN s = 'PARTIAL' AND lane <> 'return' AND wallet % 5 = 0 THEN 'MISSING_INITIAL_STATE' END, own) AS error_code FROM st)
-    SELECT wallet, lane, metric, CASE WHEN error_code IS NULL THEN value END AS value, error_code, CASE WHEN s = 'PARTIAL' THEN 'PARTIAL_HISTORY' ELSE '' END AS warnings FROM er""")
+    SELECT wallet, lane, metric, CASE WHEN error_code IS NULL THEN value END AS value, error_code, concat_ws(',', CASE WHEN s = 'PARTIAL' THEN 'PARTIAL_HISTORY' END, CASE WHEN mm AND value IS NOT NULL THEN 'CASH_FLOW_NAV_MISMATCH' END) AS warnings FROM er""")
 def covered_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan with flows and coverage."""
     from .performance import covered_performance as plan

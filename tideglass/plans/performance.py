@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..envelope import coverage_error, coverage_warnings, guarded
+from ..envelope import coverage_error, coverage_warnings, guarded, reasons
 from ..operators import cycles, returns, stats
 from ..scratch import materialise
 
@@ -24,9 +24,16 @@ def long_form(lane: str, rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return out.select("wallet", F.lit(lane).alias("lane"), "c.metric", "c.value", F.when(F.col("c.value").isNull(), F.coalesce("_error", F.lit("METRIC_UNAVAILABLE"))).alias("error_code"))
 
 
+def _failed(lane: str, errors: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The lane's metrics of wallets in error."""
+    return errors.select("wallet", F.lit(lane).alias("lane"), F.explode(F.array(*map(F.lit, metrics))).alias("metric"), F.lit(None).cast("double").alias("value"), "error_code")
+
+
 def trade_lane(fills: DataFrame) -> DataFrame:
-    closed = cycles.profit(cycles.cycles(fills)).filter("state = 'CLOSED'")
-    return long_form("trade", stats.trade_stats(closed, ["wallet"]), TRADE)
+    """Wallets whose executions cannot be used have their error in every metric; they leave those of others as they are."""
+    errors = materialise(cycles.input_errors(fills), "fill-errors")
+    closed = cycles.profit(cycles.cycles(fills.join(errors, "wallet", "left_anti"))).filter("state = 'CLOSED'")
+    return long_form("trade", stats.trade_stats(closed, ["wallet"]), TRADE).unionByName(_failed("trade", errors, TRADE))
 
 
 def return_lane(points: DataFrame) -> DataFrame:
@@ -39,32 +46,32 @@ def return_lane(points: DataFrame) -> DataFrame:
     return long_form("return", rows.withColumn("error_code", F.coalesce("error_code", "_risk_error", F.lit("INSUFFICIENT_HISTORY"))), RETURN)
 
 
-def flow_return_lane(points: DataFrame, flows: DataFrame, values: DataFrame) -> DataFrame:
-    """The return lane where money moves: periods are split at external flows (wallet, flow_id, ts, kind, amount, boundary),
-    whose values before and after are in ``values`` (wallet, flow_id, role, ts, nav), and drawdown is that of the wealth
-    index. A flow that cannot be classed, or has no values, fails the whole lane of its wallet."""
+def flow_return_facts(points: DataFrame, flows: DataFrame, values: DataFrame) -> DataFrame:
+    """The return metrics of each wallet where money moves, with ``error_code`` and ``flow_mismatch``: periods are split at external flows
+    (wallet, flow_id, ts, kind, amount, boundary), whose values before and after are in ``values`` (wallet, flow_id, role, ts, nav), and
+    drawdown is that of the wealth index. A flow that cannot be classed, or whose values are absent, out of order or
+    not positive, fails all of its wallet's metrics, and no other wallet's."""
     key = ["wallet"]
     days = materialise(returns.return_window(returns.daily_nav(points, key), key), "nav-days")
     moved = materialise(returns.with_flow_values(returns.normalise_flows(flows, key), values, key), "flows")
-    periods = materialise(returns.flow_periods(days, moved, key), "periods")  # each is used several times below
-    wrong = periods.groupBy("wallet").agg(F.min(F.when(F.col("seq") == 0, F.col("error_code"))).alias("_flow"), F.min("error_code").alias("_any"))
-    good = periods.join(wrong.filter("_any is null").select("wallet"), "wallet", "left_semi")
+    facts = returns.period_facts(returns.flow_periods(days, moved, key), key).withColumnRenamed("error_code", "_own")
     spans = days.groupBy("wallet").agg(F.min("day").alias("first_from"), F.max("day").alias("last_to"))
-    annual = returns.annualised(returns.compounded(good, key).drop("first_from", "last_to").join(spans, "wallet"))
-    risks = returns.risk(good, key).withColumnRenamed("error_code", "_risk_error")
-    start = good.select("wallet").distinct().select("wallet", F.lit(0).alias("seq"), F.lit(1.0).alias("wealth"))
-    wealth = returns.wealth_index(good, key).select("wallet", "seq", "wealth").unionByName(start)
-    worst = returns.drawdown_series(wealth, key, at="seq", level="wealth").groupBy("wallet").agg(F.min("drawdown").alias("max_drawdown"))
-    rows = spans.select("wallet").join(wrong, "wallet", "left").join(worst, "wallet", "left").join(annual, "wallet", "left").join(risks, "wallet", "left")
-    return long_form("return", rows.withColumn("error_code", F.coalesce("_flow", "_any", "error_code", "_risk_error", F.lit("INSUFFICIENT_HISTORY"))), RETURN)
+    rows = returns.annualised(spans.join(facts, "wallet", "left").withColumn("error_code", F.col("_own")))
+    return rows.withColumn("error_code", F.coalesce("_own", "error_code", F.lit("INSUFFICIENT_HISTORY")))
+
+
+def flow_return_lane(points: DataFrame, flows: DataFrame, values: DataFrame) -> DataFrame:
+    """``flow_return_facts`` with a row per metric."""
+    return long_form("return", flow_return_facts(points, flows, values), RETURN)
 
 
 def exposure_lane(fills: DataFrame) -> DataFrame:
     return long_form("exposure", stats.concentration(fills.withColumn("notional", F.col("price") * F.col("size")), ["wallet"], "coin"), EXPOSURE)
 
 
-def performance(fills: DataFrame, points: DataFrame) -> DataFrame:
-    """All metrics of all wallets; a wallet without one is simply absent from that lane."""
+def flowless_performance(fills: DataFrame, points: DataFrame) -> DataFrame:
+    """All metrics of wallets that money neither enters nor leaves: a deposit would count as profit here, ``covered_performance`` is
+    for those. A wallet without a metric is simply absent from that lane."""
     return trade_lane(fills).unionByName(return_lane(points)).unionByName(exposure_lane(fills))
 
 
@@ -73,13 +80,16 @@ def covered_performance(fills: DataFrame, points: DataFrame, flows: DataFrame, v
 
     A gap that only missing days of value cause counts as PARTIAL outside the return lane, whose own window ends at
     it. Metrics of histories that do not suffice are null with the reason; those of partial ones carry a
-    PARTIAL_HISTORY warning. A wallet that ``coverage`` does not know is INSUFFICIENT_HISTORY.
+    PARTIAL_HISTORY warning, returns of wallets a flow of which does not equal the change of value it made a
+    CASH_FLOW_NAV_MISMATCH one. A wallet that ``coverage`` does not know is INSUFFICIENT_HISTORY.
     """
-    metrics = trade_lane(fills).unionByName(flow_return_lane(points, flows, values)).unionByName(exposure_lane(fills))
-    rows = metrics.withColumnRenamed("error_code", "_own").join(coverage, "wallet", "left")
+    facts = materialise(flow_return_facts(points, flows, values), "return-facts")
+    metrics = trade_lane(fills).unionByName(long_form("return", facts, RETURN)).unionByName(exposure_lane(fills))
+    rows = metrics.withColumnRenamed("error_code", "_own").join(coverage, "wallet", "left").join(facts.filter("flow_mismatch").select("wallet", "flow_mismatch"), "wallet", "left")
     state = F.coalesce("completeness", F.lit("INSUFFICIENT_HISTORY"))
     soft = F.when(F.col("lane") == "return", F.when(state == "COMPLETE", state).otherwise("PARTIAL")).when((state == "GAP_DETECTED") & ~F.coalesce("explicit_gap", F.lit(False)), "PARTIAL").otherwise(state)
-    rows = rows.withColumn("_state", soft).withColumn("warnings", F.concat_ws(",", coverage_warnings(F.col("_state"))))
+    mismatch = (F.col("lane") == "return") & F.coalesce("flow_mismatch", F.lit(False)) & F.col("value").isNotNull()
+    rows = rows.withColumn("_state", soft).withColumn("warnings", F.concat_ws(",", F.concat(coverage_warnings(F.col("_state")), reasons((mismatch, "CASH_FLOW_NAV_MISMATCH")))))
     known = (F.col("lane") == "return") | F.col("initial_state_known")
     return guarded(rows, F.coalesce(coverage_error(F.col("_state"), known), F.col("_own")), "value").select("wallet", "lane", "metric", "value", "error_code", "warnings")
 

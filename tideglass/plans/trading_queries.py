@@ -458,10 +458,10 @@ def exact_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .performance import performance
+    from .performance import flowless_performance
 
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").alias("id"), F.col("value").alias("nav"))
-    return performance(_fills(spark, sf_dir), points)
+    return flowless_performance(_fills(spark, sf_dir), points)
 
 
 _PERFORMANCE = f"""{_STATS},
