@@ -115,11 +115,12 @@ def test_sorted_lists_stop_queries_singly():
     cand[:30] = cand[:30] * 5
     query = np.vstack((rng.integers(-40, 40, (300, 6)), np.zeros((2, 6), np.int64)))
     ids = rng.permutation(6000)
-    q, v, s = toplists.search_block(cand, ids, query, np.arange(10_000, 10_302), 5)
+    found = toplists.search_block(cand, ids, query, np.arange(10_000, 10_302), 5)
     score = query @ cand.T
-    for i in range(302):
+    for i, a in enumerate(found):
         order = np.lexsort((ids, -score[i]))[:5]
-        assert v[q == 10_000 + i].tolist() == ids[order].tolist() and s[q == 10_000 + i].tolist() == score[i][order].tolist()
+        assert a.places.tolist() == order.tolist() and a.scores.tolist() == score[i][order].tolist()
+    assert len({a.read for a in found}) > 2
 
 
 def test_sample_counts_ids_that_have_a_document(spark):

@@ -5,7 +5,8 @@ that component, made once; a query reads it from the top where its own component
 bottom where it is negative, and leaves it out where it is zero. Each round reads the next ``1 / ROUNDS`` of every list, entry by entry: an
 entry adds its product to its candidate's lower bound, which counts the list's last value for what is unread, and marks
 the list as read for that candidate. The upper bound counts the values read last for what is unread. A candidate is
-set aside once its upper bound is below the k-th lower bound. A query stops when at most ``FEW`` x k candidates are left, whose final
+set aside once its upper bound is below the k-th lower bound; bounds that set nothing aside are compared less often, every
+fourth round at least. A query stops when at most ``FEW`` x k candidates are left, whose final
 scores are then resolved, or when the lists are read to their ends, where every lower bound is the score. ``endings`` tells
 how each query ended. Lower bounds are sums of integers below 2^53, hence exact.
 
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 8192
-ROUNDS, LEAST_STEP = 32, 32
+ROUNDS, LEAST_STEP = 20, 32
 FEW = 4
+_BATCH = 64
 _OUT = "query_id long, _n long, vec_id long, score long, read long, entries long, by_bound boolean"
 
 
@@ -60,40 +62,67 @@ class Lists:
     def __init__(self, cand: np.ndarray, ids: np.ndarray):
         self.ids, self.cand = ids, cand.astype(float)
         order = np.argsort(-cand, axis=0, kind="stable")
-        self.order, self.value = order.T.astype(np.int64), np.ascontiguousarray(np.take_along_axis(self.cand, order, axis=0).T)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> Answer:
-        """The k best candidates but those of id ``own``."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        q = query[used].astype(float)
-        lists = [(self.order[j], self.value[j]) if query[j] > 0 else (self.order[j][::-1], self.value[j][::-1]) for j in used]
-        least = q * np.array([v[-1] for _, v in lists]) if n else q
-        low, unread, rows = np.full(n, least.sum()), np.ones((len(used), n), np.float32), np.arange(len(used))[:, None]
-        left = np.flatnonzero(self.ids != own)
+        self.order, self.value = np.ascontiguousarray(order.T), np.ascontiguousarray(np.take_along_axis(self.cand, order, axis=0).T)
+
+    def search(self, query: np.ndarray, own: np.ndarray, k: int) -> list[Answer]:
+        """The k best candidates of each query but those of its ``own`` id. The queries read the lists together, each from its own
+        end, and stop singly."""
+        (dims, n), q = self.value.shape, query.astype(float)
+        alive = own[:, None] != self.ids[None, :]
+        if not n or not np.any(query):
+            return [self._answer(query[i], np.flatnonzero(alive[i]), None, k, 0, False) for i in range(len(query))]
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        over, under = self.value - self.value[:, -1:], self.value - self.value[:, :1]  # an entry's value beyond its list's other end
+        low = np.repeat((up @ self.value[:, -1] + down @ self.value[:, 0])[:, None], n, axis=1)
+        unread_top, unread_end, rows = np.ones((dims, n), np.float32), np.ones((dims, n), np.float32), np.arange(dims)[:, None]
         #: covers the rounding of the upper bounds, which are sums of 32-bit products
-        slack = 4 * len(used) * float(np.finfo(np.float32).eps) * float(np.abs(q).sum() * np.abs(self.value).max(initial=0))
-        depth, step = 0 if len(used) else n, max(LEAST_STEP, -(-n // ROUNDS))
-        while depth < n and len(left) > FEW * k:
-            done, depth = depth, min(n, depth + step)
-            at, value = (np.stack([x[i][done:depth] for x in lists]) for i in (0, 1))
-            low += np.bincount(at.ravel(), (q[:, None] * value - least[:, None]).ravel(), n)
-            unread[rows, at] = 0
-            known = low[left]
-            high = known + ((q * value[:, -1] - least).astype(np.float32) @ unread)[left] + slack
-            left = left[high >= np.partition(known, len(left) - k)[len(left) - k]]
-        by_bound = depth < n
-        score = self.cand[left] @ query.astype(float) if by_bound else low[left]
+        slack = 8 * dims * float(np.finfo(np.float32).eps) * np.abs(q).sum(1) * float(np.abs(self.value).max(initial=0))
+        out: list[Answer | None] = [None] * len(query)
+        active, depth, step, wait, every = np.arange(len(query)), 0, max(LEAST_STEP, -(-n // ROUNDS)), 0, 1
+        while len(active):
+            counts = alive.sum(1)
+            for i in np.flatnonzero((counts <= FEW * k) | (depth >= n)).tolist():
+                out[active[i]] = self._answer(query[active[i]], np.flatnonzero(alive[i]), low[i], k, depth, depth < n)
+            stay = np.flatnonzero((counts > FEW * k) & (depth < n))
+            if len(stay) < len(active):
+                active, low, alive, up, down, slack = active[stay], low[stay], alive[stay], up[stay], down[stay], slack[stay]
+            if not len(active):
+                break
+            was, tops, ends = alive.sum(), [np.flatnonzero(x) for x in up], [np.flatnonzero(x) for x in down]
+            while depth < n:
+                done, depth = depth, min(n, depth + step)
+                first, last = self.order[:, done:depth], self.order[:, n - depth : n - done]
+                gain, gain_end = over[:, done:depth], under[:, n - depth : n - done]
+                for i, (t, e) in enumerate(zip(tops, ends, strict=True)):
+                    at = np.concatenate((first[t].ravel(), last[e].ravel()))
+                    low[i] += np.bincount(at, np.concatenate(((gain[t] * up[i, t, None]).ravel(), (gain_end[e] * down[i, e, None]).ravel())), n)
+                unread_top[rows, first] = 0
+                unread_end[rows, last] = 0
+                wait += 1
+                if wait >= every:
+                    break
+            wait = 0
+            if depth < n:
+                high = low + (up * over[:, depth - 1]).astype(np.float32) @ unread_top + (down * under[:, n - depth]).astype(np.float32) @ unread_end
+                if n > k:
+                    alive &= high >= np.partition(np.where(alive, low, -np.inf), n - k)[:, n - k, None] - slack[:, None]
+                every = 1 if alive.sum() < 0.9 * was else min(4, 2 * every)  # bounds that set nothing aside are looked at less often
+        return out
+
+    def _answer(self, query: np.ndarray, left: np.ndarray, low: np.ndarray | None, k: int, depth: int, by_bound: bool) -> Answer:
+        """The final scores of the candidates left: resolved if few are, else their lower bounds, which are the scores at the lists' ends."""
+        score = self.cand[left] @ query.astype(float) if by_bound or low is None else low[left]
         if len(left) > k:  # ties at the k-th score stay
             held = score >= np.partition(score, len(score) - k)[len(score) - k]
             left, score = left[held], score[held]
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return Answer(left[best], score[best].astype(np.int64), depth * len(used), n * len(used), by_bound)
+        best, lists = np.lexsort((self.ids[left], -score))[:k], int(np.count_nonzero(query))
+        return Answer(left[best], score[best].astype(np.int64), depth * lists, len(self.ids) * lists, by_bound)
 
 
 def search_block(cand: np.ndarray, cand_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, k: int) -> list[Answer]:
     """The answer of one block to each query, from lists that are sorted once."""
     lists = Lists(cand, cand_ids)
-    return [lists.search(q, i, k) for q, i in zip(query, query_ids.tolist(), strict=True)]
+    return [a for at in range(0, len(query), _BATCH) for a in lists.search(query[at : at + _BATCH], query_ids[at : at + _BATCH], k)]
 
 
 def _numbers(n: int) -> Column:
