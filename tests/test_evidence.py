@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,12 +185,33 @@ def test_repeated_flows_are_an_error(spark):
     assert {r.error_code for r in returns.normalise_flows(flows, ["wallet"]).collect()} == {"DUPLICATE_EVENT"}
 
 
-def test_cohorts_are_bounded(spark):
+def test_oversized_cohorts_are_told_and_leave_the_others(spark):
     events = spark.createDataFrame([(1, "BTC", T0, "LONG", "POSITION_OPEN", 1.0)], "wallet long, coin string, ts timestamp_ntz, direction string, event_type string, notional double")
-    with pytest.raises(ValueError):
-        cohort.contributions(spark.range(201).select(F.col("id").alias("wallet"), F.lit(0.1).alias("weight")), events)
+    large = spark.range(201).select(F.col("id").alias("wallet"), F.lit(0.1).alias("weight"))
+    assert cohort.contributions(large, events).count() == 0
+    assert [tuple(r) for r in cohort.oversized(large).collect()] == [(201, "TOO_MANY_MEMBERS")]
     two = spark.range(400).select((F.col("id") % 2).alias("cohort"), F.col("id").alias("wallet"), F.lit(0.1).alias("weight"))
-    assert cohort.contributions(two, events).count() == 400
+    three = two.unionByName(large.withColumn("cohort", F.lit(7).cast("long")))
+    assert cohort.contributions(two, events).count() == 400 == cohort.contributions(three, events).count()
+    assert [{tuple(r) for r in rows.collect()} for rows in (lambda p, f: (p.select("cohort", "wallet"), f.select("cohort", "coin")))(*cohort.participations(three, events))] == [{(1, 1)}, {(0, "BTC"), (1, "BTC")}]
+    assert [tuple(r) for r in cohort.oversized(three).collect()] == [(7, 201, "TOO_MANY_MEMBERS")]
+    texts = three.select("cohort", F.col("wallet").cast("string").alias("wallet"), *(F.lit("0.5").alias(c) for c in ("win_rate", "profit_factor", "top_trade_share")), F.lit(5).alias("n_cycles"))
+    exact = cohort.exact_weights(texts).collect()
+    assert len(exact) == 401 and [(r.cohort, r.error_code) for r in exact if r.error_code] == [(7, "TOO_MANY_MEMBERS")]
+    assert sum(Decimal(r.weight) for r in exact if r.cohort == 1) == 1
+
+
+def test_signals_of_participations_equal_those_of_contributions(spark):
+    rng = random.Random(3)
+    events = spark.createDataFrame([(rng.randrange(12), rng.choice(["BTC", "ETH"]), T0 + timedelta(minutes=7 * rng.randrange(40)), rng.choice(["LONG", "SHORT"]), rng.choice(["POSITION_OPEN", "POSITION_CLOSE"]), 1.0) for _ in range(150)], "wallet long, coin string, ts timestamp_ntz, direction string, event_type string, notional double")
+    weights = spark.range(10).select((F.col("id") % 3).alias("cohort"), F.col("id").alias("wallet"), (F.col("id") / 10).alias("weight"))
+    basis = ("cohort", "coin")
+    whole, few = cohort.signals(cohort.contributions(weights, events), basis=basis), cohort.signals(*cohort.participations(weights, events), basis=basis)
+    columns = sorted(whole.columns)
+    rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in s.select(*columns).collect()) for s in (whole, few)]
+    assert rows[0] == rows[1]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_buckets_that_have_not_ended_or_have_open_issues(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 100_000
+from .cohort import bounded_members
 
 
 def run_trust(transitions: DataFrame) -> DataFrame:
@@ -93,24 +93,27 @@ def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, lates
 
     ``buckets``: coin, bucket_end; ``progress``: wallet, coin, done_to, observed_to, has_gap; ``latest``: wallet,
     coin, last_at, the newest event; ``issues``: open ones, wallet, coin (null: of all coins), since. A bucket that ends after
-    ``now`` is BUCKET_NOT_ENDED. A cohort is at most 200 members; a ``cohort`` column of ``members`` is kept. Members
-    are broadcast if they are ``BROADCAST_ROWS`` at most.
+    ``now`` is BUCKET_NOT_ENDED. A ``cohort`` column of ``members`` is kept; oversized cohorts (``cohort.oversized``) are left out.
+
+    A member's issues with a coin begin at some instant, so only buckets that end after it are made rows, from the
+    coin's sorted list of bucket ends; buckets without an issue are never paired with members.
     """
-    cohort = [c for c in members.columns if c == "cohort"]
-    sizes = members.groupBy(*cohort).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
-    if (sizes["most"] or 0) > 200:
-        raise ValueError("a cohort has at most 200 members")
-    own = members.select(*cohort, "wallet")
-    own = F.broadcast(own) if (sizes["all"] or 0) <= BROADCAST_ROWS else own
-    rows = buckets.crossJoin(own).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
-    opened = F.lit(False)
+    members = bounded_members(members)
+    ends = buckets.groupBy("coin").agg(F.sort_array(F.collect_set("bucket_end")).alias("_ends"))
+    rows = members.withColumn("coin", F.explode(ends.agg(F.collect_list("coin")).scalar())).join(progress, ["wallet", "coin"], "left").join(latest, ["wallet", "coin"], "left")
+    cohort, since = [c for c in members.columns if c == "cohort"], F.lit(None).cast("timestamp_ntz")
     if issues is not None:
         by_coin = issues.filter("coin is not null").groupBy("wallet", "coin").agg(F.min("since").alias("_coin_since"))
         any_coin = issues.filter("coin is null").groupBy("wallet").agg(F.min("since").alias("_any_since"))
         rows = rows.join(by_coin, ["wallet", "coin"], "left").join(any_coin, "wallet", "left")
-        opened = F.coalesce(F.least("_coin_since", "_any_since") < F.col("bucket_end"), F.lit(False))
+        since = F.least("_coin_since", "_any_since")
+    now = F.lit(None).cast("timestamp_ntz") if now is None else now
+    always = F.coalesce("has_gap", F.lit(False)) | F.col("observed_to").isNull() | F.col("done_to").isNull() | F.coalesce(F.col("last_at") > F.col("done_to"), F.lit(False))
+    rows = rows.withColumns({"_since": since, "_now": now}).withColumn("_after", F.least("observed_to", "_since", "_now")).withColumn("_always", always).join(ends, "coin")
+    wrong = F.when(F.col("_always"), F.col("_ends")).otherwise(F.filter("_ends", lambda e: e > F.col("_after")))
+    rows = rows.withColumn("bucket_end", F.explode(wrong))
     found = F.array_compact(F.array(
-        F.when(F.lit(False) if now is None else F.col("bucket_end") > now, "BUCKET_NOT_ENDED"), F.when(opened, "OPEN_ISSUE"),
+        F.when(F.col("bucket_end") > F.col("_now"), "BUCKET_NOT_ENDED"), F.when(F.col("_since") < F.col("bucket_end"), "OPEN_ISSUE"),
         F.when(F.coalesce("has_gap", F.lit(False)), "SOURCE_GAP"), F.when(F.coalesce(F.col("observed_to") < F.col("bucket_end"), F.lit(True)), "SOURCE_NOT_OBSERVED"),
         F.when(F.col("done_to").isNull(), "MISSING_BOUNDARY").when(F.col("last_at") > F.col("done_to"), "NORMALIZATION_LAG"),
     ))

@@ -16,7 +16,7 @@ from ..scratch import materialise
 
 SEMANTICS = tuple(f"{d}_{k}" for d in ("LONG", "SHORT") for k in ("OPEN", "INCREASE", "REDUCE", "CLOSE"))
 BUCKET_MINUTES = 15
-MOST_MEMBERS, BROADCAST_ROWS = 200, 100_000
+MOST_MEMBERS = 200
 
 
 def bucket_totals(events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> DataFrame:
@@ -41,48 +41,99 @@ def fail_closed(required: DataFrame, totals: DataFrame, issues: DataFrame, keys:
     return rows.withColumn("state", state).withColumns(values).withColumn("issues", F.concat_ws(",", "issues"))
 
 
-def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> DataFrame:
-    """Per coin, bucket and cohort member: its weight split over buying and selling.
+def oversized(members: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+    """Cohorts (all of ``members`` are one without such a column) of more than ``most`` members: n_members and error_code TOO_MANY_MEMBERS.
+    The operators leave such cohorts out and compute the others."""
+    sizes = members.groupBy(*_cohort_of(members)).agg(F.count(F.lit(1)).alias("n_members")).filter(F.col("n_members") > most)
+    return sizes.withColumn("error_code", F.lit("TOO_MANY_MEMBERS"))
 
-    A member counts once per bucket, half on each side if it did both; members without events count with 0.
-    Other columns of ``weights``, such as its cohort, are kept. A cohort has at most ``MOST_MEMBERS`` members; the weights are
-    broadcast if they are ``BROADCAST_ROWS`` at most.
-    """
-    weights = materialise(weights, "weights")
-    sizes = weights.groupBy(*(c for c in weights.columns if c == "cohort")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-    if (sizes["most"] or 0) > MOST_MEMBERS:
-        raise ValueError(f"a cohort has at most {MOST_MEMBERS} members")
-    small = F.broadcast(weights) if (sizes["all"] or 0) <= BROADCAST_ROWS else weights
+
+def _cohort_of(members: DataFrame) -> list[str]:
+    return [c for c in members.columns if c == "cohort"]
+
+
+def bounded_members(members: DataFrame) -> DataFrame:
+    """The members of cohorts that are not oversized, written down."""
+    members = materialise(members, "members")
+    cohort = _cohort_of(members)
+    if cohort:
+        return members.join(oversized(members), cohort, "left_anti")
+    return members.limit(0) if members.limit(MOST_MEMBERS + 1).count() > MOST_MEMBERS else members
+
+
+def _sides(events: DataFrame, minutes: int) -> DataFrame:
+    """Per coin, bucket and wallet the events that buy and that sell."""
     buying = (F.col("direction") == "LONG") == F.col("event_type").isin("POSITION_OPEN", "POSITION_INCREASE")
-    per = events.groupBy("coin", bucket_start(F.col("ts"), minutes).alias("bucket"), "wallet").agg(F.count_if(buying).alias("n_buy"), F.count_if(~buying).alias("n_sell"))
-    buckets = per.select("coin", "bucket").distinct()
-    rows = buckets.crossJoin(small).join(per, ["coin", "bucket", "wallet"], "left").fillna(0, ["n_buy", "n_sell"])
+    return events.groupBy("coin", bucket_start(F.col("ts"), minutes).alias("bucket"), "wallet").agg(F.count_if(buying).alias("n_buy"), F.count_if(~buying).alias("n_sell"))
+
+
+def _with_strengths(rows: DataFrame) -> DataFrame:
     buy = F.when(F.col("n_buy") == 0, 0.0).when(F.col("n_sell") == 0, 1.0).otherwise(0.5)
     sell = F.when(F.col("n_sell") == 0, 0.0).when(F.col("n_buy") == 0, 1.0).otherwise(0.5)
     return rows.withColumns({"buy": F.col("weight") * buy, "sell": F.col("weight") * sell})
 
 
-def signals(contributions: DataFrame, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
-    """Strengths, net, mass, agreement, breadth and confidence of each bucket on its basis."""
+def _frames(weights: DataFrame, sides: DataFrame) -> DataFrame:
+    """Each bucket with each cohort: the rows that signals have. The list of cohorts is a value of the plan, 8 bytes each."""
+    buckets = sides.select("coin", "bucket").distinct()
+    cohort = _cohort_of(weights)
+    return buckets.withColumn("cohort", F.explode(weights.agg(F.collect_set("cohort")).scalar())) if cohort else buckets
+
+
+def participations(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """Per coin, bucket and cohort member that took part its weight split over buying and selling, half on each side if it did both;
+    and the frames of ``signals``: per coin, bucket and cohort a row, whether any member took part or not.
+
+    Events meet weights by wallet; members that took no part make no rows. Oversized cohorts are left out.
+    """
+    weights, sides = bounded_members(weights), materialise(_sides(events, minutes), "sides")
+    return _with_strengths(sides.join(weights, "wallet")), _frames(weights, sides)
+
+
+def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> DataFrame:
+    """``participations`` with a row for every member of a cohort in every bucket, as receipts list them: members without events count with 0.
+    Other columns of ``weights``, such as its cohort, are kept. For signals take ``participations``, which is far smaller."""
+    weights, sides = bounded_members(weights), materialise(_sides(events, minutes), "sides")
+    cohort = _cohort_of(weights) or ["_one"]
+    members = weights if "_one" not in cohort else weights.withColumn("_one", F.lit(0))
+    frames = _frames(weights, sides)
+    rows = (frames if "_one" not in cohort else frames.withColumn("_one", F.lit(0))).join(members, cohort).drop("_one")
+    return _with_strengths(rows.join(sides, ["coin", "bucket", "wallet"], "left").fillna(0, ["n_buy", "n_sell"]))
+
+
+def _framed(sums: DataFrame, frames: DataFrame | None, basis: Sequence[str]) -> DataFrame:
+    """The sums of every frame, zeros where there are none."""
+    if frames is None:
+        return sums
+    own = [c for c in sums.columns if c not in (*basis, "bucket")]
+    rows = frames.join(sums, [*basis, "bucket"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType)) for c in own})
+
+
+def signals(parts: DataFrame, frames: DataFrame | None = None, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
+    """Strengths, net, mass, agreement, breadth and confidence of each bucket on its basis, from ``participations``, or from
+    ``contributions``, which needs no frames."""
     took = (F.col("n_buy") + F.col("n_sell")) > 0
-    s = contributions.groupBy(*basis, "bucket").agg(F.sum("buy").alias("buy_strength"), F.sum("sell").alias("sell_strength"), F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
+    s = parts.groupBy(*basis, "bucket").agg(F.sum("buy").alias("buy_strength"), F.sum("sell").alias("sell_strength"), F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
+    s = _framed(s, frames, basis)
     s = s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "mass": F.col("buy_strength") + F.col("sell_strength")})
     agreement = F.when(F.col("mass") == 0, 0.0).otherwise(F.greatest("buy_strength", "sell_strength") / F.col("mass"))
     s = s.withColumns({"agreement": agreement, "breadth": F.col("n_wallets") / (F.col("n_wallets") + anchor)})
     return s.withColumn("confidence", F.bround(F.col("mass") * F.col("agreement") * F.col("breadth"), digits)).withColumn("state", F.when(F.col("mass") == 0, "NO_SIGNAL").otherwise("VALID"))
 
 
-def exact_confidence(contributions: DataFrame, *, anchor: int = 2, basis: Sequence[str] = ("coin",), units: int = 1_000_000_000) -> DataFrame:
+def exact_confidence(parts: DataFrame, frames: DataFrame | None = None, *, anchor: int = 2, basis: Sequence[str] = ("coin",), units: int = 1_000_000_000) -> DataFrame:
     """For receipts: strengths, net and confidence as decimals, the confidence to 18 places, half to even.
 
-    ``contributions`` has ``weight_units``, whole parts of ``units``. Mass times agreement is the larger strength, so the
+    ``parts``, of ``participations`` or ``contributions``, has ``weight_units``, whole parts of ``units``. Mass times agreement is the larger strength, so the
     confidence is that times the breadth n / (n + anchor).
     """
     weight = F.col("weight_units").cast("decimal(10,0)") / F.lit(units).cast("decimal(10,0)")
     half = (weight / F.lit(2).cast("decimal(1,0)")).cast("decimal(21,19)")
     buy = F.when(F.col("n_buy") == 0, 0).when(F.col("n_sell") == 0, 2).otherwise(1).cast("decimal(1,0)")
     sell = F.when(F.col("n_sell") == 0, 0).when(F.col("n_buy") == 0, 2).otherwise(1).cast("decimal(1,0)")
-    s = contributions.groupBy(*basis, "bucket").agg(F.sum(half * buy).cast("decimal(21,19)").alias("buy_strength"), F.sum(half * sell).cast("decimal(21,19)").alias("sell_strength"), F.count_if(F.col("n_buy") + F.col("n_sell") > 0).cast("decimal(5,0)").alias("_n"))
+    s = parts.groupBy(*basis, "bucket").agg(F.sum(half * buy).cast("decimal(21,19)").alias("buy_strength"), F.sum(half * sell).cast("decimal(21,19)").alias("sell_strength"), F.count_if(F.col("n_buy") + F.col("n_sell") > 0).cast("decimal(5,0)").alias("_n"))
+    s = _framed(s, frames, basis)
     share = F.greatest("buy_strength", "sell_strength") * F.col("_n") / (F.col("_n") + F.lit(anchor)).cast("decimal(5,0)")
     return s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "confidence": F.bround(share, 18)}).drop("_n")
 
@@ -126,14 +177,13 @@ def normalised_weights(members: DataFrame, *, raw: str = "raw", member: str = "w
 def exact_weights(members: DataFrame, cohort: str = "cohort") -> DataFrame:
     """The same with decimals of 80 digits and 18 places for receipts: cohort, wallet, raw_weight, weight as text.
 
-    A cohort has at most 200 members by its definition, so each group is small; metrics come as text.
+    A cohort has at most 200 members by its definition, so each group is small; a larger one is one row with ``error_code``. Metrics come as text.
     """
+    large = oversized(members.withColumnRenamed(cohort, "cohort")).select(F.col("cohort").alias(cohort), "error_code")
     ctx = Context(prec=80, rounding=ROUND_HALF_EVEN)
     unit = Decimal(10) ** 18
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > 200:
-            raise ValueError("a cohort has at most 200 members")
         pdf = pdf.sort_values("wallet").reset_index(drop=True)
         raw = []
         for r in pdf.itertuples():
@@ -151,7 +201,8 @@ def exact_weights(members: DataFrame, cohort: str = "cohort") -> DataFrame:
         return pd.DataFrame({cohort: pdf[cohort], "wallet": pdf["wallet"], "raw_weight": [format(x.normalize(ctx), "f") for x in raw], "weight": text})
 
     kind = members.schema[cohort].dataType.simpleString()
-    return members.groupBy(cohort).applyInPandas(kernel, f"{cohort} {kind}, wallet string, raw_weight string, weight string")
+    told = members.join(large, cohort, "left_anti").groupBy(cohort).applyInPandas(kernel, f"{cohort} {kind}, wallet string, raw_weight string, weight string")
+    return told.unionByName(large, allowMissingColumns=True)
 
 
 def only_chain(begin: float, start: Sequence[float], after: Sequence[float]) -> tuple[list[int] | None, str | None]:

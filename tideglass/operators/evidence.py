@@ -131,15 +131,16 @@ def identity_issues(events: DataFrame, fills: DataFrame, *, tolerance: float = 1
 def provenance_issues(events: DataFrame, runs: DataFrame, scopes: DataFrame, performance: DataFrame, *, version: str, most_scopes: int = 200) -> DataFrame:
     """GENERATION_PROVENANCE for events (event_id, run_id, wallet, coin) whose normalisation run (run_id, wallet, coin) or that
     run's first selection scope of the wallet (run_id, wallet, scope_id, performance_id) does not lead to a trusted,
-    succeeded performance run (performance_id, wallet, status, version, trust_state) of the wallet."""
-    if scopes.groupBy("run_id").count().filter(F.col("count") > most_scopes).limit(1).count():
-        raise ValueError(f"a run has at most {most_scopes} scopes")
+    succeeded performance run (performance_id, wallet, status, version, trust_state) of the wallet. Events of a run with more
+    than ``most_scopes`` scopes are TOO_MANY_SCOPES."""
+    large = scopes.groupBy("run_id").agg(F.count(F.lit(1)).alias("_scopes")).filter(F.col("_scopes") > most_scopes)
     first = scopes.filter("performance_id is not null").groupBy("run_id", "wallet").agg(F.min_by("performance_id", "scope_id").alias("performance_id"))
     r = runs.select("run_id", F.col("wallet").alias("_run_wallet"), F.col("coin").alias("_run_coin"))
     p = performance.select("performance_id", F.col("wallet").alias("_of"), "status", "version", "trust_state")
-    rows = events.join(r, "run_id", "left").join(first, ["run_id", "wallet"], "left").join(p, "performance_id", "left")
+    rows = events.join(r, "run_id", "left").join(first, ["run_id", "wallet"], "left").join(p, "performance_id", "left").join(large, "run_id", "left")
     ok = (F.col("_run_wallet") == F.col("wallet")) & (F.col("_run_coin") == F.col("coin")) & (F.col("_of") == F.col("wallet")) & (F.col("status") == "SUCCEEDED") & (F.col("version") == version) & (F.col("trust_state") == "TRUSTED")
-    return rows.filter(~F.coalesce(ok, F.lit(False))).select("event_id", F.lit("GENERATION_PROVENANCE").alias("issue"))
+    issue = F.when(F.col("_scopes").isNotNull(), "TOO_MANY_SCOPES").when(~F.coalesce(ok, F.lit(False)), "GENERATION_PROVENANCE")
+    return rows.withColumn("issue", issue).filter("issue IS NOT NULL").select("event_id", "issue")
 
 
 def located_issues(issues: DataFrame, wallets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -373,7 +373,7 @@ def state_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of the eighteenth place, as text."""
     weights = _cohort_weights(spark, sf_dir).select("cohort", "wallet", "weight", "weight_units")
-    exact = cohort.exact_confidence(cohort.contributions(weights, cycles.transitions(fills(spark, sf_dir))), basis=("cohort", "coin"))
+    exact = cohort.exact_confidence(*cohort.participations(weights, cycles.transitions(fills(spark, sf_dir))), basis=("cohort", "coin"))
     return exact.withColumn("confidence_units", (F.col("confidence") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)").cast("string"))
 
 

@@ -243,7 +243,8 @@ def _cohort_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cohort_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.signals(_cohort_contributions(spark, sf_dir), basis=_BASIS)
+    parts = cohort.participations(_cohort_weights(spark, sf_dir).select("cohort", "wallet", "weight"), cycles.transitions(fills(spark, sf_dir)))
+    return cohort.signals(*parts, basis=_BASIS)
 
 
 @add("cohort:l wallet:l raw:r weight_units:l", f"{_COHORTS} SELECT * FROM wg")
