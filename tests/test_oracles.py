@@ -3,10 +3,10 @@
 import pytest
 from compare import agree, connect
 
-from tideglass.plans import audit_queries, evidence_queries, relational_queries, trading_queries
+from tideglass.plans import audit_queries, evidence_queries, exact_queries, relational_queries, trading_queries
 
-QUERIES = relational_queries.REGISTRY.queries | trading_queries.REGISTRY.queries | audit_queries.REGISTRY.queries | evidence_queries.REGISTRY.queries
-ORACLES = relational_queries.REGISTRY.oracles | trading_queries.REGISTRY.oracles | audit_queries.REGISTRY.oracles | evidence_queries.REGISTRY.oracles
+QUERIES = relational_queries.REGISTRY.queries | trading_queries.REGISTRY.queries | audit_queries.REGISTRY.queries | evidence_queries.REGISTRY.queries | exact_queries.REGISTRY.queries
+ORACLES = relational_queries.REGISTRY.oracles | trading_queries.REGISTRY.oracles | audit_queries.REGISTRY.oracles | evidence_queries.REGISTRY.oracles | exact_queries.REGISTRY.oracles
 
 
 @pytest.fixture(scope="module")
