@@ -256,12 +256,90 @@ def test_values_of_one_instant_have_a_fixed_order(spark):
     assert [r.value for r in got] == pytest.approx([0.1, 0.1])
 
 
-def test_repeated_ids_of_a_batch_are_counted(spark, tmp_path):
-    rows = spark.createDataFrame([(1, i % 4, T0 + timedelta(minutes=i), 2.0, 3) for i in range(6)], "wallet long, id long, ts timestamp, price double, size long")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    [r] = streams.candidate_table(stream, f"file://{tmp_path}/out").collect()
-    assert (r.n_trades, r.sum_notional, r.n_duplicates) == (4, 24.0, 2)
+def _arrive(spark, rows, folder, n):
+    spark.createDataFrame(rows, "wallet long, id long, ts timestamp, price double, size long, coin string, side string").coalesce(1).write.parquet(f"{folder}/batch-{n}")
+
+
+def _landing(spark, folder, per_batch=1):
+    schema = "wallet long, id long, ts timestamp, price double, size long, coin string, side string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{folder}/batch-*")
+
+
+def test_repeated_trades_count_once_in_any_batch(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i % 5, i, T0 + timedelta(hours=7 * i), float(1 + i % 9), 3, f"c{i % 40}", "BUY") for i in range(400)]
+    for n in range(8):
+        own = rows[n * 50 : n * 50 + 50]
+        again = rng.sample(rows[: n * 50], min(n * 50, 20)) + own[:3]
+        _arrive(spark, own + again, tmp_path / "in", n)
+    repeats = sum(min(n * 50, 20) + 3 for n in range(8))
+    out = f"file://{tmp_path}/out"
+    for _ in range(2):  # a second run finds nothing new
+        got = {r.wallet: r for r in streams.candidate_table(_landing(spark, tmp_path / "in"), out, compacted=3, remembered=400).collect()}
+        assert sum(r.n_trades for r in got.values()) == 400 and sum(r.n_duplicates for r in got.values()) == repeats
+    for w, r in got.items():
+        own = [x for x in rows if x[0] == w]
+        assert (r.n_trades, r.sum_notional, r.max_notional) == (80, sum(x[3] * 3 for x in own), max(x[3] * 3 for x in own))
+        assert (r.first_seen, r.last_seen, r.n_days, r.n_coins) == (own[0][2], own[-1][2], len({x[2].date() for x in own}), len({x[5] for x in own}))
+        assert abs(r.n_hours / len({x[2] for x in own}) - 1) < 0.03
+    kept = {p.name for p in (tmp_path / "out" / "rows").iterdir()} | {p.name for p in (tmp_path / "out" / "whole").iterdir()}
+    assert kept == {"batch=6", "batch=7", "upto=5"}  # six batches are one folder, two follow it
+
+
+def test_sketches_of_batches_estimate_large_counts(spark, tmp_path):
+    for n in range(4):
+        _arrive(spark, [(1, n * 3000 + i, T0 + timedelta(seconds=i), 1.0, 1, f"coin{(n * 2000 + i) % 9000}", "BUY") for i in range(3000)], tmp_path / "in", n)
+    [r] = streams.candidate_table(_landing(spark, tmp_path / "in"), f"file://{tmp_path}/out", compacted=2).collect()
+    assert r.n_trades == 12000 and abs(r.n_coins / 9000 - 1) < 0.03
+
+
+def test_a_late_row_makes_a_second_revision(spark, tmp_path):
+    rows = [(1, i, T0 + timedelta(minutes=4 * i), 2.0, 1, "BTC", "BUY") for i in range(40)]
+    path = f"file://{tmp_path}/table"
+
+    def told():
+        return {(r.bucket, r.revision): (r.n_events, r.fingerprint) for r in streams.revision_table(_landing(spark, tmp_path / "in"), path).collect()}
+
+    _arrive(spark, rows, tmp_path / "in", 0)
+    first = told()
+    assert {k[1] for k in first} == {1} and told() == first
+    _arrive(spark, [(1, 99, T0 + timedelta(minutes=5), 7.0, 1, "BTC", "BUY")], tmp_path / "in", 1)
+    second = told()
+    assert {k: v for k, v in second.items() if k in first} == first
+    [(at, number)] = set(second) - set(first)
+    assert (at, number) == (T0, 2) and second[at, 2][0] == first[at, 1][0] + 1
+    revisions = spark.read.parquet(f"{path}/revisions").select("coin", "bucket", "revision", "fingerprint")
+    asked = spark.createDataFrame([("BTC", b, v[1]) for (b, _), v in first.items()], "coin string, bucket timestamp, fingerprint string")
+    states = {r.bucket: r.state for r in sinks.bucket_state(sinks.current_revision(revisions, ["coin", "bucket"]), asked, ["coin", "bucket"]).collect()}
+    assert {b for b, state in states.items() if state == "STALE"} == {T0} and set(states.values()) == {"STALE", "CURRENT"}
+
+
+def test_rewind_touches_the_late_keys_blocks_and_days_only(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(w, c, i, T0 + timedelta(hours=5 * i, minutes=w), rng.choice([-2, -1, 1, 3])) for w in range(12) for c in ("BTC", "ETH") for i in range(30)]
+    late = [(3, "ETH", 900, T0 + timedelta(days=3, hours=1), 50), (3, "ETH", 901, T0 + timedelta(days=4), -7), (5, "BTC", 902, T0 - timedelta(days=1), 9)]
+
+    def placed(r):
+        at, out = {}, []
+        for w, c, i, ts, d in sorted(r, key=lambda x: (x[3], x[2])):
+            out.append((w, c, i, ts, d, at.get((w, c), 0)))
+            at[w, c] = at.get((w, c), 0) + d
+        return out
+
+    path = f"file://{tmp_path}/t"
+    fill = "wallet long, coin string, id long, ts timestamp_ntz, delta long"
+    streams.write_positions(spark.createDataFrame(placed(rows), fill + ", start_position long"), path, blocks=8)
+    was = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").glob("block=*/day=*")}
+    all_ = spark.createDataFrame(rows + late, fill)
+    done = streams.rewind_positions(path, all_, spark.createDataFrame(late, fill), blocks=8).collect()
+    got = spark.read.parquet(f"{path}/rows").select("wallet", "coin", "id", "ts", "delta", "start_position").collect()
+    assert sorted(map(tuple, got)) == sorted(placed(rows + late))
+    touched = {(r.block, r.day) for r in done}
+    blocks = {r.block: r.since for r in streams._blocked(spark.createDataFrame(late, fill), 8).groupBy("block").agg(F.min("day").alias("since")).collect()}
+    assert {b for b, _ in touched} == set(blocks) and all(d >= blocks[b] for b, d in touched) and len(blocks) == 2
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").glob("block=*/day=*")}
+    assert {p for p in was if now[p] == was[p]} and all((int(p.parent.name[6:]), datetime.fromisoformat(p.name[4:]).date()) in touched for p in was if now[p] != was[p])
+    assert streams.rewind_positions(path, all_, spark.createDataFrame([], fill), blocks=8).count() == 0
 
 
 def test_decimal_texts_compare_without_floats(spark):

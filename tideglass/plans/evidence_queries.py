@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import cohort, cycles, returns
@@ -456,15 +457,51 @@ def connection_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.connection_gaps(table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"), kind.alias("kind")), ["user_id"])
 
 
-@add("wallet:l n_trades:l sum_notional:r max_notional:r first_seen:t last_seen:t n_duplicates:l", f"""
-    WITH {FILLS} SELECT wallet, count(*) AS n_trades, sum(price * size) AS sum_notional, max(price * size) AS max_notional, min(ts) AS first_seen, max(ts) AS last_seen, 0 AS n_duplicates FROM f GROUP BY wallet""")
+@add("wallet:l n_trades:l sum_notional:r max_notional:r first_seen:t last_seen:t n_duplicates:l n_coins:l n_days:l", f"""
+    WITH {FILLS} SELECT wallet, count(*) AS n_trades, sum(price * size) AS sum_notional, max(price * size) AS max_notional, min(ts) AS first_seen, max(ts) AS last_seen, count(*) FILTER (id % 9 = 0) + count(*) FILTER (id % 36 = 0) AS n_duplicates,
+        count(DISTINCT coin) AS n_coins, count(DISTINCT CAST(ts AS DATE)) AS n_days FROM f GROUP BY wallet""")
 def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates' sums, kept up to date batch by batch."""
+    """The candidates' sums, kept up to date batch by batch: every ninth trade comes again in a later batch, every 36th also in its own."""
     from ..streaming import streams
-    from .trading_queries import _landed
 
-    events, _ = _landed(spark, sf_dir)
-    return streams.candidate_table(streams.as_fills(events), scratch_path(spark, "candidates"))
+    e, landing, i = table(spark, sf_dir, "events"), scratch_path(spark, "landing"), F.col("event_id")
+    for n, part in enumerate((e.unionByName(e.filter(i % 36 == 0)), e.filter(i % 9 == 0))):
+        part.write.parquet(f"{landing}/part={n}")
+    files = streams.event_stream(spark, f"{landing}/part=[0-9]", e.schema, files_per_batch=8)
+    return streams.candidate_table(streams.as_fills(files), scratch_path(spark, "candidates"))
+
+
+@add("coin:s bucket:t revision:l n_events:l notional:r is_current:b", f"""
+    WITH {FILLS}, b AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, id % 10 = 0 AS late FROM f),
+    s AS (SELECT coin, bucket, count(*) FILTER (NOT late) AS n0, sum(price * size) FILTER (NOT late) AS s0, count(*) AS n1, sum(price * size) AS s1, bool_or(late) AS late FROM b GROUP BY ALL)
+    SELECT coin, bucket, 1 AS revision, n0 AS n_events, s0 AS notional, NOT late AS is_current FROM s WHERE n0 > 0
+    UNION ALL SELECT coin, bucket, CASE WHEN n0 > 0 THEN 2 ELSE 1 END, n1, s1, TRUE FROM s WHERE late""")
+def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions of buckets from a stream that is stopped and gets its late rows afterwards: every tenth row comes in the second run."""
+    from ..streaming import streams
+
+    e, root, i = table(spark, sf_dir, "events"), scratch_path(spark, "revisions"), F.col("event_id")
+    for n, part in enumerate((e.filter(i % 10 != 0), e.filter(i % 10 == 0))):
+        part.write.parquet(f"{root}/landing/part={n}")
+        files = streams.event_stream(spark, f"{root}/landing/part=[0-9]", e.schema, files_per_batch=10_000)
+        rows = streams.as_fills(files).withColumn("price", F.col("price").cast("decimal(20,2)"))
+        told = streams.revision_table(rows, f"{root}/table", kept="60 days")
+    newest = F.max("revision").over(Window.partitionBy("coin", "bucket"))
+    return told.withColumn("is_current", F.col("revision") == newest)
+
+
+@add("wallet:l coin:s id:l start_position:l", f"WITH {FILLS} SELECT wallet, coin, id, start_position FROM f")
+def rewound_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions placed without the rows of some keys' later days, which then come late: only those keys go back, to those days."""
+    from ..streaming import streams
+
+    path, i = scratch_path(spark, "positions"), F.col("id")
+    f = fills(spark, sf_dir).select("wallet", "coin", "id", "ts", "delta")
+    late = (F.col("wallet") % 10 == 3) & (i % 4 == 0) & (F.col("ts") >= _ts("2024-01-20"))
+    before = Window.partitionBy("wallet", "coin").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    streams.write_positions(f.filter(~late).withColumn("start_position", F.coalesce(F.sum("delta").over(before), F.lit(0))), path, blocks=8)
+    streams.rewind_positions(path, f, f.filter(late), blocks=8)
+    return spark.read.parquet(f"{path}/rows")
 
 
 # --- flows -------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket_start, semantic
 from ..operators import cohort, cycles, returns, selection, stats
-from ..scratch import materialise
+from ..scratch import materialise, scratch_path
 from ..sources.tables import fills, table
 from .registry import Registry
 from .relational_queries import FILLS
@@ -512,7 +512,8 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, all_ = _landed(spark, sf_dir)
     fills_ = streams.as_fills(streams.deduplicated(events, ["event_id"]))
     done = streams.run_available(streams.bucket_stream(fills_, watermarked=True), "stream-buckets")
-    return streams.late_buckets(done, streams.as_fills(all_.dropDuplicates(["event_id"])))
+    late = streams.log_late(streams.as_fills(_landed(spark, sf_dir)[0]), scratch_path(spark, "late-buckets"), ["coin"])
+    return streams.late_buckets(done, streams.as_fills(all_.dropDuplicates(["event_id"])), late)
 
 
 @add("wallet:l coin:s id:l start_position:l is_late:b", f"WITH {FILLS} SELECT wallet, coin, id, start_position, FALSE AS is_late FROM f")
@@ -533,7 +534,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events, all_ = _landed(spark, sf_dir)
     done = streams.run_available(streams.session_stream(streams.as_fills(events)), "stream-sessions")
-    return streams.late_sessions(done, streams.as_fills(all_))
+    late = streams.log_late(streams.as_fills(_landed(spark, sf_dir)[0]), scratch_path(spark, "late-sessions"), ["wallet"])
+    return streams.late_sessions(done, streams.as_fills(all_), late)
 
 
 for _name in ("bucket_fail_closed", "wallet_weight_lr", "wallet_contribution", "signal_strength", "direction_change", "signal_distribution"):
