@@ -22,6 +22,8 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ from pyspark.sql import DataFrame
 
 from .words import slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 WINDOW = 2048
 #: A remainder is cut so that small parts level what large ones leave uneven.
 SHARES = (0.9, 0.07, 0.03)
@@ -101,6 +106,10 @@ _AS_WRITTEN = re.compile("[\u0300-\u036f]|<\\|")
 _MARKS = ".,;:!?*&%$#|()"
 
 
+#: Words of ASCII and other letters, some long, by which the two ways of a tokenizer are compared.
+_PROBE = "the a ing question abcdefghijklmnopqrstuvwxyz élève ßtraße ñandú день 中文 zzzzzzzzzzzzzzzzzzzz"
+
+
 def _ends_in_letter(core: str) -> bool:
     """Whether the tokenizer's form of ``core`` does. A few letters become a letter and a combining mark, which joins signs behind it."""
     return core.isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha()
@@ -113,12 +122,24 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence as Normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+        from tokenizers.pre_tokenizers import Sequence as PreTokenizers
 
         self._tokenizer, self._seen = Tokenizer.from_file(path), {}
+        #: the same for words of letters that are as the normaliser would have them, which it need not go through
+        self._plain = Tokenizer.from_file(path)
+        self._plain.normalizer, self._plain.pre_tokenizer = Normalizers([]), PreTokenizers([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self._ids(self._plain, _PROBE) != self._ids(self._tokenizer, _PROBE):
+            self._plain = self._tokenizer
         vocab = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     @staticmethod
     def _parts(text: str | None) -> list[str]:
         if not text:
@@ -132,20 +153,24 @@ class Encoder:
         return text.split()
 
     def _learn(self, new: set[str]) -> None:
-        seen, letters, others, joined = self._seen, set(), set(), []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and (len(core) == len(w) or _ends_in_letter(core)):
-                letters.add(core)
-                if len(core) < len(w):
-                    others.add(w[len(core) :])
-                    joined.append((w, core, w[len(core) :]))
+        seen = self._seen
+        rest = [w for w in new if not w.isalpha()]
+        letters, others, joined = new.difference(rest), set(), []
+        for w, core in zip(rest, [w.rstrip(_MARKS) for w in rest], strict=True):
+            if core.isalpha() and len(core) < len(w) and _ends_in_letter(core):
+                joined.append((w, core, w[len(core) :]))
             else:
                 others.add(w)
+        letters.update([core for _, core, _ in joined])
+        others.update([mark for _, _, mark in joined])
         todo = [w for w in letters if w not in seen]
+        if self._plain is not self._tokenizer:
+            kept = [w for w in todo if w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+            others.update(set(todo).difference(kept) if len(kept) < len(todo) else ())
+            todo = kept
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
-            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._ids(self._plain, " ".join(part)), "<u4")
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(part):
                 raw, at_byte = ids.tobytes(), (ends * 4).tolist()
@@ -160,13 +185,18 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self._parts(t) for t in texts]
-        words = set().union(*split)
-        new = words.difference(self._seen)
-        if len(self._seen) + len(new) > _CACHE:
-            self._seen, new = {}, words
-        self._learn(new)
-        get, end = self._seen.__getitem__, np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, parts)) + end, "<u4") for parts in split]
+        flat = list(chain.from_iterable(split))
+        found = list(map(self._seen.get, flat))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        words = set(map(flat.__getitem__, new))
+        if len(self._seen) + len(words) > _CACHE:
+            self._seen, new, words = {}, range(len(flat)), set(flat)
+        if words:
+            self._learn(words)
+            for i in new:
+                found[i] = self._seen[flat[i]]
+        ends, end = [0, *accumulate(map(len, split))], np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join(found[a:b]) + end, "<u4") for a, b in pairwise(ends)]
 
 
 def pieces(lengths: np.ndarray, window: int, shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
