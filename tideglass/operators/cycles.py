@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import by_day
+
 KEYS = ("wallet", "coin")
 #: Executions of a key whose legs are folded together.
 FOLDED = 4096
@@ -170,17 +172,19 @@ def allocate_funding(funding: DataFrame, cycles: DataFrame) -> DataFrame:
 
     A payment at the very instant at which a cycle opens or closes is CYCLE_BOUNDARY_AMBIGUOUS, one in no
     cycle NO_TRUSTED_CYCLE, one in several MULTIPLE_CYCLE_CANDIDATES. Instead of a range join the payments and
-    the cycles' ends are put into one order per key: a running count of cycles begun less those ended tells how many are
+    the cycles' ends are put into one order per key and day, with the sums of the days before: a running count of cycles begun less those ended tells how many are
     open, and the running sum of their numbers, taken likewise, which one it is if there is one.
     """
     opened = cycles.select(*KEYS, F.col("opened_at").alias("ts"), F.col("cycle").cast("long").alias("_c"), F.lit(1).alias("_edge"))
     closed = cycles.filter("closed_at is not null").select(*KEYS, F.col("closed_at").alias("ts"), (-F.col("cycle").cast("long")).alias("_c"), F.lit(-1).alias("_edge"))
     both = funding.withColumns({"_edge": F.lit(0), "_c": F.lit(0).cast("long")}).unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
-    both = both.withColumn("_boundary", F.max(F.abs("_edge")).over(Window.partitionBy(*KEYS, "ts")) == 1)
-    before = Window.partitionBy(*KEYS).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"_open": F.sum("_edge").over(before), "_which": F.sum("_c").over(before)}).filter("_edge = 0")
+    both = by_day(both, KEYS, "ts", "_day", {"_e": F.sum("_edge"), "_s": F.sum("_c")}, {"_open_before": F.coalesce(F.sum("_e").over(_earlier()), F.lit(0)), "_which_before": F.coalesce(F.sum("_s").over(_earlier()), F.lit(0))})
+    day = Window.partitionBy(*_BLOCK).orderBy("ts")
+    before = day.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_boundary", F.max(F.abs("_edge")).over(day.rangeBetween(Window.currentRow, Window.currentRow)) == 1)
+    both = both.withColumns({"_open": F.col("_open_before") + F.sum("_edge").over(before), "_which": F.col("_which_before") + F.sum("_c").over(before)}).filter("_edge = 0")
     state = F.when(F.col("_boundary"), "CYCLE_BOUNDARY_AMBIGUOUS").when(F.col("_open") == 1, "ALLOCATED").when(F.col("_open") > 1, "MULTIPLE_CYCLE_CANDIDATES").otherwise("NO_TRUSTED_CYCLE")
-    return both.withColumn("allocation", state).withColumn("cycle", F.when(F.col("allocation") == "ALLOCATED", F.col("_which"))).drop("_edge", "_c", "_boundary", "_open", "_which")
+    return both.withColumn("allocation", state).withColumn("cycle", F.when(F.col("allocation") == "ALLOCATED", F.col("_which"))).drop("_edge", "_c", "_boundary", "_open", "_which", "_day", "_open_before", "_which_before")
 
 
 def transitions(fills: DataFrame) -> DataFrame:

@@ -118,13 +118,14 @@ def distinct_warnings(warnings: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- identity of events ------------------------------------------------------------------------------------
 
 
-def identity_issues(events: DataFrame, fills: DataFrame, *, tolerance: float = 1e-9) -> DataFrame:
+def identity_issues(events: DataFrame, fills: DataFrame) -> DataFrame:
     """SOURCE_IDENTITY for events (event_id, source_id, wallet, ts, price, size, quantity, notional) whose execution is absent
-    or differs in wallet, time, price or size, or whose notional is not quantity times price."""
+    or differs in wallet, time, price or size, or whose notional is not quantity times price. Money is compared exactly, so it is to be
+    decimals; of doubles the product in doubles must be met."""
     own = fills.select(F.col("id").alias("source_id"), *(F.col(c).alias(f"_{c}") for c in ("wallet", "ts", "price", "size")))
     rows = events.join(own, "source_id", "left")
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in ("wallet", "ts", "price", "size")])
-    same = same & (F.abs(F.abs(F.col("quantity")) * F.col("price") - F.col("notional")) <= tolerance * (1 + F.abs("notional")))
+    same = same & (F.abs(F.col("quantity")) * F.col("price") == F.col("notional"))
     return rows.filter(~F.coalesce(same, F.lit(False))).select("event_id", F.lit("SOURCE_IDENTITY").alias("issue"))
 
 

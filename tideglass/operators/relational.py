@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -40,29 +40,50 @@ def append_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) ->
     return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
 
 
+def by_day(rows: DataFrame, keys: Sequence[str], time: str, day: str, facts: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """``rows`` with a column ``day`` of ``time`` and the columns ``carried``, windows over one row per key and day that holds ``facts``, aggregates
+    of the day. So what a day needs of others is known without all rows of a key in one task; null keys are a key, null times a first day."""
+    rows = rows.withColumn(day, F.coalesce(F.col(time).cast("date"), F.to_date(F.lit("0001-01-01"))))
+    days = rows.groupBy(*keys, day).agg(*(v.alias(n) for n, v in facts.items()))
+    days = days.select(*(F.col(k).alias(f"_own_{k}") for k in (*keys, day)), *(v.alias(n) for n, v in carried.items()))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in (*keys, day)))
+    return rows.join(days, same).drop(*(f"_own_{k}" for k in (*keys, day)))
+
+
+def _days_of(keys: Sequence[str], day: str) -> WindowSpec:
+    """The order of a key's days inside ``by_day``, before its own columns have been renamed."""
+    return Window.partitionBy(*keys).orderBy(day)
+
+
 def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie: str, values: Sequence[str]) -> DataFrame:
     """Backward as-of join, strict: each left row with the values of the last right row of its keys before it.
 
-    Both sides are put into one stream per key and the last seen right row is carried along, so nothing
-    is multiplied: one shuffle and one sort, whatever the number of matches.
+    Both sides are put into one stream per key and day, and the last seen right row is carried along, from day to day too, so nothing
+    is multiplied and no key needs all its rows in one task.
     """
     picked = F.struct(F.lit(1).alias("_hit"), *(F.col(v).alias(v) for v in values))
     l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0), "_tie": F.lit(None).cast(right.schema[tie].dataType)})
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), picked.alias("_match"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_seen", F.last("_match", ignorenulls=True).over(order)).filter("_side = 0")
+    earlier = _days_of(keys, "_day").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("_side") == 1, F.struct("_t", "_tie"))
+    both = by_day(both, keys, "_t", "_day", {"_m": F.max_by("_match", at)}, {"_carried": F.last("_m", ignorenulls=True).over(earlier)})
+    order = Window.partitionBy(*keys, "_day").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_seen", F.coalesce(F.last("_match", ignorenulls=True).over(order), F.col("_carried"))).filter("_side = 0")
     return seen.select(*left.columns, *(F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values))
 
 
 def first_after(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie: str, values: Sequence[str]) -> DataFrame:
-    """Forward as-of join, strict: each left row with the values of the first right row of its keys after it."""
+    """Forward as-of join, strict: each left row with the values of the first right row of its keys after it; by days as ``last_before``."""
     picked = F.struct(F.lit(1).alias("_hit"), *(F.col(v).alias(v) for v in values))
     l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_tie": F.lit(None).cast(right.schema[tie].dataType)})
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), picked.alias("_match"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = both.withColumn("_seen", F.first("_match", ignorenulls=True).over(order)).filter("_side = 1")
+    later = _days_of(keys, "_day").rowsBetween(1, Window.unboundedFollowing)
+    at = F.when(F.col("_side") == 0, F.struct("_t", "_tie"))
+    both = by_day(both, keys, "_t", "_day", {"_m": F.min_by("_match", at)}, {"_carried": F.first("_m", ignorenulls=True).over(later)})
+    order = Window.partitionBy(*keys, "_day").orderBy("_t", "_side", "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = both.withColumn("_seen", F.coalesce(F.first("_match", ignorenulls=True).over(order), F.col("_carried"))).filter("_side = 1")
     return seen.select(*left.columns, *(F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values))
 
 

@@ -82,7 +82,10 @@ def completeness_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.completeness(asked, f.filter(w % 31 != 0), days, cursors, issues)
 
 
-@add("id:l issue:s", f"WITH {FILLS} SELECT id, 'SOURCE_LEGS_INCOMPLETE' AS issue FROM f WHERE id % 37 = 0 OR (id % 41 = 0 AND sign(start_position) * sign(start_position + delta) < 0)")
+@add("id:l issue:s", f"""WITH {FILLS}, a AS (SELECT *, start_position AS s, start_position + delta AS e, sign(start_position) * sign(start_position + delta) < 0 AS flips FROM f),
+    tr AS (SELECT id, 0 AS ordinal, CASE WHEN flips THEN abs(s) ELSE abs(e - s) END AS q, s AS pb, CASE WHEN flips THEN 0 ELSE e END AS pa FROM a UNION ALL SELECT id, 1, abs(e), 0, e FROM a WHERE flips),
+    g AS (SELECT id, count(*) AS n, count(DISTINCT ordinal) AS nd, max(ordinal) AS mo, sum(q) AS q, arg_min(pb, ordinal) AS pb, arg_max(pa, ordinal) AS pa FROM tr WHERE id % 37 <> 0 AND NOT (id % 41 = 0 AND ordinal = 1) GROUP BY id)
+    SELECT a.id, 'SOURCE_LEGS_INCOMPLETE' AS issue FROM a LEFT JOIN g ON g.id = a.id WHERE NOT coalesce(n = CASE WHEN flips THEN 2 ELSE 1 END AND nd = n AND mo = n - 1 AND q = size AND pb = s AND pa = e AND size > 0, FALSE)""")
 def leg_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fills(spark, sf_dir)
     events = cycles.transitions(f).filter("id % 37 <> 0 and not (id % 41 = 0 and ordinal = 1)")

@@ -89,6 +89,24 @@ def archive_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fill(archive_lines(lines).filter("corrupt is null"))
 
 
+@add("wallet:s coin:s id:s hour:t", """
+    SELECT '0x' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS wallet, event_type AS coin, '0x' || lpad(CAST(user_id AS VARCHAR), 4, '0') || ':' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || ':' || event_type || ':' || CAST(event_id AS VARCHAR) AS id, date_trunc('hour', ts) AS hour
+    FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'""")
+def archive_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of an archive of one object an hour, read by the archive source, which opens those hours alone."""
+    from ..sources import archive
+
+    k, root = F.get_json_object("props", "$.k").cast("long"), scratch_path(spark, "archive")
+    row = F.struct(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.concat(F.lit("0X"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("user"), F.col("event_type").alias("coin"), F.when(k % 2 == 0, "B").otherwise("A").alias("side"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("px"), (1 + k % 3).cast("string").alias("sz"), F.lit("0").alias("startPosition"), F.lit("0").alias("closedPnl"), F.lit("0.1").alias("fee"), F.col("event_id").alias("tid"),
+    )
+    lines = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMdd").alias("day"), F.hour("ts").alias("hour"), F.to_json(row).alias("value"))
+    archive.write_hours(lines, root)
+    days = archive.executions(spark, root).filter("hour >= timestamp_ntz'2024-01-10 00:00:00' AND hour < timestamp_ntz'2024-01-12 00:00:00' AND corrupt IS NULL")
+    return map_fill(days).select("wallet", "coin", "id", F.date_trunc("hour", "ts").alias("hour"))
+
+
 @add("requests:l gib:r cost:r", """
     WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) * 1000000 AS bytes FROM events GROUP BY 1)
     SELECT count(*) AS requests, coalesce(sum(CAST(bytes AS BIGINT)), 0) / pow(1024, 3) AS gib, count(*) * 0.01 + coalesce(sum(CAST(bytes AS BIGINT)), 0) / pow(1024, 3) * 0.09 AS cost FROM h WHERE n >= 1""")
@@ -99,7 +117,12 @@ def transfer_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("event_id:l error_code:s", """
-    SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'CORRUPT' WHEN event_id % 7 = 0 THEN 'MISSING:hash' WHEN event_id % 5 = 0 THEN 'BAD_DECIMAL:px' WHEN event_id % 3 = 0 THEN 'BAD_VALUE:side' END AS error_code FROM events""")
+    WITH j AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '{' ELSE '' END || to_json(struct_pack(coin := event_type, hash := CASE WHEN event_id % 7 <> 0 THEN 'h' END, px := CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(value AS VARCHAR) END,
+        side := CASE WHEN event_id % 3 = 0 THEN 'C' ELSE 'A' END, sz := '1', tid := CAST(event_id AS VARCHAR), "time" := event_id, users := ['a', 'b'], more := 1)) AS line FROM events),
+    v AS (SELECT event_id, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS doc FROM j),
+    t AS (SELECT event_id, ok, doc, unnest(['coin', 'hash', 'px', 'side', 'sz', 'tid', 'time', 'users']) AS field FROM v),
+    m AS (SELECT event_id, ok, min(field) FILTER (ok AND coalesce(json_extract_string(doc, '$.' || field), '') = '') AS missing, any_value(json_extract_string(doc, '$.px')) AS px, any_value(json_extract_string(doc, '$.sz')) AS sz, any_value(json_extract_string(doc, '$.side')) AS side FROM t GROUP BY ALL)
+    SELECT event_id, CASE WHEN NOT ok THEN 'CORRUPT' WHEN missing IS NOT NULL THEN 'MISSING:' || missing WHEN NOT regexp_matches(px, '^-?[0-9]+(\\.[0-9]+)?$') THEN 'BAD_DECIMAL:px' WHEN NOT regexp_matches(sz, '^-?[0-9]+(\\.[0-9]+)?$') THEN 'BAD_DECIMAL:sz' WHEN side NOT IN ('A', 'B') THEN 'BAD_VALUE:side' END AS error_code FROM m""")
 def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market trades of which some lack a field or hold a bad value, and some lines that are no records."""
     i = F.col("event_id")
@@ -155,7 +178,9 @@ def position_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappers.positions(o)
 
 
-@add("p_partkey:l error_code:s", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'MISSING_TOKEN' END AS error_code FROM part WHERE NOT (p_size % 3 = 0 AND p_size % 2 = 0)")
+@add("p_partkey:l error_code:s", """
+    WITH r AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size END AS token, CASE WHEN p_size % 2 = 0 THEN '0.0' ELSE '2' END AS total, '0' AS hold, CASE WHEN p_size % 2 = 0 THEN '0.0' ELSE '2' END AS entry_notional FROM part)
+    SELECT p_partkey, CASE WHEN token IS NULL THEN 'MISSING_TOKEN' END AS error_code FROM r WHERE token IS NOT NULL OR CAST(total AS DECIMAL(18,4)) <> 0 OR CAST(hold AS DECIMAL(18,4)) <> 0 OR CAST(entry_notional AS DECIMAL(18,4)) <> 0""")
 def balance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.when(F.col("p_size") % 2 == 0, "0.0").otherwise("2")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("coin"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("token"), zero.alias("total"), F.lit("0").alias("hold"), zero.alias("entry_notional"))
@@ -234,12 +259,17 @@ def warning_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity ----------------------------------------------------------------------------------------------
 
 
-@add("event_id:l issue:s", f"WITH {FILLS} SELECT id AS event_id, 'SOURCE_IDENTITY' AS issue FROM f WHERE id % 29 = 0 OR id % 31 = 0 OR id % 37 = 0")
+@add("event_id:l issue:s", f"""WITH {FILLS}, fd AS (SELECT * REPLACE (CAST(price AS DECIMAL(20,2)) AS price) FROM f),
+    ev AS (SELECT id AS event_id, CASE WHEN id % 31 = 0 THEN -1 - id ELSE id END AS source_id, wallet, ts, size, delta AS quantity, price + CASE WHEN id % 29 = 0 THEN 1 ELSE 0 END AS price,
+        (price + CASE WHEN id % 29 = 0 THEN 1 ELSE 0 END) * size + CASE WHEN id % 37 = 0 THEN 0.01 ELSE 0 END AS notional FROM fd)
+    SELECT event_id, 'SOURCE_IDENTITY' AS issue FROM ev LEFT JOIN fd ON fd.id = ev.source_id
+    WHERE NOT coalesce(fd.wallet = ev.wallet AND fd.ts = ev.ts AND fd.price = ev.price AND fd.size = ev.size AND abs(quantity) * ev.price = notional, FALSE)""")
 def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some events name another price, an execution that is not there, or another notional."""
-    f, i = fills(spark, sf_dir), F.col("id")
-    price = F.when(i % 29 == 0, F.col("price") + 1).otherwise(F.col("price"))
-    events = f.select(i.alias("event_id"), F.when(i % 31 == 0, -1 - i).otherwise(i).alias("source_id"), "wallet", "ts", price.alias("price"), "size", F.col("delta").alias("quantity"), (price * F.col("size") + F.when(i % 37 == 0, 1).otherwise(0)).alias("notional"))
+    """Some events name another price, an execution that is not there, or a notional that is a cent off."""
+    f, i, money = fills(spark, sf_dir).withColumn("price", F.col("price").cast("decimal(20,2)")), F.col("id"), "decimal(38,2)"
+    price = F.when(i % 29 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(20,2)")
+    notional = (price * F.col("size")).cast(money) + F.when(i % 37 == 0, F.lit("0.01").cast("decimal(3,2)")).otherwise(F.lit(0).cast("decimal(3,2)"))
+    events = f.select(i.alias("event_id"), F.when(i % 31 == 0, -1 - i).otherwise(i).alias("source_id"), "wallet", "ts", price.alias("price"), "size", F.col("delta").alias("quantity"), notional.cast(money).alias("notional"))
     return E.identity_issues(events, f)
 
 
@@ -359,7 +389,10 @@ def continuity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.continuity_report(b, b.withColumn("event_type", kind))
 
 
-@add("n_before:l n_after:l is_unchanged:b", "SELECT (SELECT count(*) FROM customer) AS n_before, (SELECT count(*) FROM customer) AS n_after, FALSE AS is_unchanged")
+@add("n_before:l n_after:l is_unchanged:b", """
+    WITH b AS (SELECT concat_ws('|', c_custkey, c_name, c_acctbal) AS line FROM customer), a AS (SELECT concat_ws('|', c_custkey, CASE WHEN c_custkey = 7 THEN 'x' ELSE c_name END, c_acctbal) AS line FROM customer),
+    hb AS (SELECT count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM b), ha AS (SELECT count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM a)
+    SELECT hb.n AS n_before, ha.n AS n_after, hb.n = ha.n AND hb.h = ha.h AS is_unchanged FROM hb, ha""")
 def state_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One customer's name is another after."""
     c = table(spark, sf_dir, "customer")
@@ -626,7 +659,11 @@ def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/results").join(done, "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("c_custkey:l state:s", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'UNEXPECTED' WHEN c_custkey % 3 = 0 THEN 'CONFLICT' WHEN c_custkey % 2 = 0 THEN 'STORED' ELSE 'NEW' END AS state FROM customer")
+@add("c_custkey:l state:s", """
+    WITH r AS (SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS bytes FROM customer),
+    n AS (SELECT c_custkey, bytes, sha256(bytes) AS receipt_id, CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE sha256(bytes) END AS expected FROM r),
+    stored AS (SELECT receipt_id, CASE WHEN c_custkey % 3 = 0 THEN 'other bytes' ELSE bytes END AS payload FROM n WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0)
+    SELECT c_custkey, CASE WHEN n.receipt_id <> expected THEN 'UNEXPECTED' WHEN payload IS NULL THEN 'NEW' WHEN payload = bytes THEN 'STORED' ELSE 'CONFLICT' END AS state FROM n LEFT JOIN stored ON stored.receipt_id = n.receipt_id""")
 def receipt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -645,8 +682,10 @@ def ignored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("coin:s bucket:t revision:l state:s", f"""
-    WITH {FILLS}, b AS (SELECT coin, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS n, max(id) AS last FROM f GROUP BY ALL)
-    SELECT coin, bucket, CASE WHEN last % 5 <> 0 THEN 1 + last % 3 END AS revision, CASE WHEN last % 5 = 0 THEN 'MISSING' WHEN last % 3 = 0 THEN 'STALE' ELSE 'CURRENT' END AS state FROM b""")
+    WITH {FILLS}, b AS (SELECT coin, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS n, max(id) AS last FROM f GROUP BY ALL),
+    old AS (SELECT coin, bucket, unnest(generate_series(1, 1 + last % 3)) AS revision, CASE WHEN last % 3 = 0 THEN n - 1 ELSE n END AS fingerprint FROM b WHERE last % 5 <> 0),
+    cur AS (SELECT coin, bucket, max(revision) AS revision, arg_max(fingerprint, revision) AS fingerprint FROM old GROUP BY ALL)
+    SELECT b.coin, b.bucket, revision, CASE WHEN fingerprint IS NULL THEN 'MISSING' WHEN fingerprint <> n THEN 'STALE' ELSE 'CURRENT' END AS state FROM b LEFT JOIN cur ON cur.coin = b.coin AND cur.bucket = b.bucket""")
 def bucket_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets whose last revision was made from fewer events are stale."""
     b = fills(spark, sf_dir).groupBy("coin", S.bucket_start(F.col("ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
