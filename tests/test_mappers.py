@@ -55,3 +55,45 @@ def test_landing_cost_receipts_and_retention(spark):
     assert sorted((x.wallet, x.coin) for x in sinks.replace_positions(s).collect()) == [(1, "ETH"), (2, "BTC")]
     log = spark.createDataFrame([("f", 1, "OPEN"), ("f", 2, "RESOLVED"), ("f", 3, "OPEN")], "fingerprint string, at long, state string")
     assert audit.issue_state(log).first().n_opened == 2
+
+
+def test_records_ids_times_and_members(spark):
+    import json
+
+    from tideglass.sources import records
+
+    fill = {"closedPnl": "0", "coin": "BTC", "crossed": True, "dir": "Open", "fee": "0.1", "feeToken": "USDC", "hash": "h", "oid": 5, "px": "1.5", "side": "B", "startPosition": "0", "sz": "2", "tid": 7, "time": 1_704_067_200_000}
+    cases = [
+        ("fill", fill, None), ("fill", fill | {"oid": "1.5"}, "BAD_ID:oid"), ("fill", fill | {"tid": "-1"}, "BAD_ID:tid"), ("fill", fill | {"tid": "99999999999999999999"}, "BAD_ID:tid"), ("fill", fill | {"time": -1}, "BAD_TIME:time"),
+        ("fill", fill | {"time": 8_640_000_000_000_001}, "BAD_TIME:time"), ("stream_fills", {"fills": [fill, fill], "user": "0x1"}, None), ("stream_fills", {"fills": [], "user": "0x1"}, None), ("stream_fills", {"fills": [fill, fill | {"px": "x"}], "user": "0x1"}, "BAD_MEMBER:fills"),
+        ("stream_fills", {"fills": [fill, None], "user": "0x1"}, "BAD_MEMBER:fills"), ("stream_fills", {"fills": [{k: v for k, v in fill.items() if k != "hash"}], "user": "0x1"}, "BAD_MEMBER:fills"), ("spot_state", {"balances": [{"coin": "X", "entryNtl": "0", "hold": "0", "total": "1e3"}]}, None),
+        ("spot_state", {"balances": [{"coin": "X", "entryNtl": "0", "hold": "", "total": "1"}]}, "BAD_MEMBER:balances"),
+        ("clearinghouse_state", {"assetPositions": [{"type": "oneWay", "position": {"coin": "X"}}], "crossMaintenanceMarginUsed": "0", "crossMarginSummary": {"accountValue": "1"}, "marginSummary": {"accountValue": "1"}, "withdrawable": "0"}, "BAD_MEMBER:assetPositions"),
+    ]
+    for kind, row, want in cases:
+        [got] = records.parse(spark.createDataFrame([(json.dumps(row),)], "value string"), kind).collect()
+        assert got.error_code == want, (kind, row)
+
+
+def test_days_of_several_scopes_and_ages(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from tideglass.functions import scalar as S
+    from tideglass.operators import returns
+
+    at = [datetime(2024, 1, d, 12) for d in (1, 2, 3)]
+    rows = [(1, at[0], 0, 5.0, "a"), (1, at[1], 1, 6.0, "a"), (2, at[0], 2, 5.0, "a"), (2, at[1], 3, 6.0, "b"), (3, at[0], 4, 0.0, "a")]
+    days = returns.daily_nav(spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, nav double, scope string"), ["k"], scope="scope").orderBy("k", "day").collect()
+    assert [(r.k, r.nav, r.error_code) for r in days] == [(1, 5.0, None), (1, 6.0, None), (2, None, "MIXED_SCOPE"), (2, None, "MIXED_SCOPE"), (3, None, "NON_POSITIVE_NAV")]
+    ages = spark.createDataFrame([(at[0], at[1]), (at[2], at[1]), (None, at[0])], "a timestamp_ntz, b timestamp_ntz").select(S.age_hours(F.col("a"), F.col("b")).alias("h")).collect()
+    assert [r.h for r in ages] == [24.0, -24.0, None]
+
+
+def test_every_kind_of_record_has_a_schema_that_reads(spark):
+    from tideglass.sources import records
+
+    for kind in records.SCHEMAS:
+        [r] = records.parse(spark.createDataFrame([("{",)], "value string"), kind).collect()
+        assert r.error_code == "CORRUPT", kind

@@ -47,6 +47,11 @@ def days_between(start: Column, end: Column) -> Column:
     return (F.unix_millis(utc(end)) - F.unix_millis(utc(start))) / F.lit(float(DAY_MS))
 
 
+def age_hours(at: Column, now: Column) -> Column:
+    """Hours from ``at`` to ``now``, negative if it is still to come; null if either is."""
+    return (F.unix_millis(utc(now)) - F.unix_millis(utc(at))) / F.lit(3_600_000.0)
+
+
 def bucket_start(ts: Column, minutes: int = 15) -> Column:
     """The start of the half-open UTC bucket that holds ``ts``, in ts's type. 24 hours are a whole number of buckets."""
     second = F.hour(ts) * 3600 + F.minute(ts) * 60

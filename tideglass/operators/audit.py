@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cohort import bounded_members
+from .relational import day_gaps
 
 
 def run_trust(transitions: DataFrame) -> DataFrame:
@@ -120,6 +121,16 @@ def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, lates
     return rows.select(*cohort, "coin", "bucket_end", "wallet", F.explode(found).alias("issue"))
 
 
+def history_report(rejected: DataFrame, days: DataFrame, flows: DataFrame, keys: Sequence[str] = ("wallet",)) -> DataFrame:
+    """Per key that any table has: n_rejected (rows of ``rejected``), n_gaps (places where the next of ``days``' days is missing), n_unknown_flows (of
+    normalised ``flows``, those that cannot be classed), and is_clean: none of them."""
+    gaps = day_gaps(days, keys, "day").select(*keys, F.lit(0).alias("_r"), F.col("n_gaps").alias("_g"), F.lit(0).alias("_u"))
+    lost = rejected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")).select(*keys, "_r", F.lit(0).alias("_g"), F.lit(0).alias("_u"))
+    odd = flows.groupBy(*keys).agg(F.count_if(F.col("is_external").isNull()).alias("_u")).select(*keys, F.lit(0).alias("_r"), F.lit(0).alias("_g"), "_u")
+    out = gaps.unionByName(lost).unionByName(odd).groupBy(*keys).agg(F.sum("_r").alias("n_rejected"), F.sum("_g").alias("n_gaps"), F.sum("_u").alias("n_unknown_flows"))
+    return out.withColumn("is_clean", F.col("n_rejected") + F.col("n_gaps") + F.col("n_unknown_flows") == 0)
+
+
 def calculation_range(facts: Sequence[DataFrame], fallback: DataFrame) -> DataFrame:
     """Per wallet the first and last time over several fact tables (wallet, ts), else ``fallback`` (wallet, since)."""
     spans = [f.groupBy("wallet").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")) for f in facts]

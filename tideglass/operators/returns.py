@@ -13,11 +13,21 @@ from ..functions.scalar import cash_flow_category, cash_flow_external
 ANNUAL = 365.0
 
 
-def daily_nav(points: DataFrame, keys: Sequence[str], *, ts: str = "ts", tie: str = "id", nav: str = "nav") -> DataFrame:
-    """Per key and UTC day the last positive value and its time ``at``; days without one carry NON_POSITIVE_NAV."""
+def daily_nav(points: DataFrame, keys: Sequence[str], *, ts: str = "ts", tie: str = "id", nav: str = "nav", scope: str | None = None) -> DataFrame:
+    """Per key and UTC day the last positive value and its time ``at``; days without one carry NON_POSITIVE_NAV. With a column ``scope``, of what the
+    values are of, all days of a key that has several are MIXED_SCOPE and have no value."""
     last = F.when(F.col(nav) > 0, F.struct(ts, tie))
-    days = points.groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(F.max_by(F.when(F.col(nav) > 0, F.col(nav)), last).alias("nav"), F.max(F.when(F.col(nav) > 0, F.col(ts))).alias("at"), F.count(F.lit(1)).alias("n_points"))
-    return days.withColumn("error_code", F.when(F.col("nav").isNull(), "NON_POSITIVE_NAV"))
+    facts = {"nav": F.max_by(F.when(F.col(nav) > 0, F.col(nav)), last), "at": F.max(F.when(F.col(nav) > 0, F.col(ts))), "n_points": F.count(F.lit(1))}
+    if scope is not None:
+        facts |= {"_least": F.min(scope), "_most": F.max(scope)}
+    days = points.groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(*(v.alias(c) for c, v in facts.items()))
+    code = F.when(F.col("nav").isNull(), "NON_POSITIVE_NAV")
+    if scope is None:
+        return days.withColumn("error_code", code)
+    whole = Window.partitionBy(*keys)
+    mixed = F.min("_least").over(whole) != F.max("_most").over(whole)
+    days = days.withColumn("error_code", F.when(mixed, "MIXED_SCOPE").otherwise(code)).drop("_least", "_most")
+    return days.withColumns({c: F.when(F.coalesce(F.col("error_code") != "MIXED_SCOPE", F.lit(True)), F.col(c)) for c in ("nav", "at")})
 
 
 def return_window(days: DataFrame, keys: Sequence[str]) -> DataFrame:

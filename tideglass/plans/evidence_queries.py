@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..operators import cohort, cycles, returns
+from ..operators import audit, cohort, cycles, returns, snapshots
 from ..operators import evidence as E
 from ..scratch import scratch_path
 from ..sources import mappers, records, sinks
@@ -389,6 +389,53 @@ def continuity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.continuity_report(b, b.withColumn("event_type", kind))
 
 
+def _tenths(sql: str) -> str:
+    """SQL of the text of a whole number of two thousand millionths."""
+    return f"CASE WHEN {sql} = 0 THEN '0' WHEN {sql} = 2000000000 THEN '1' ELSE rtrim('0.' || lpad(CAST({sql} * 5 AS VARCHAR), 10, '0'), '0') END"
+
+
+_SIGNAL_TEXTS = f"""{_COHORT_SIGNALS},
+    un2 AS (SELECT cn.cohort, cn.coin, cn.bucket, CAST(sum(weight_units * CASE WHEN n_buy = 0 THEN 0 WHEN n_sell = 0 THEN 2 ELSE 1 END) AS BIGINT) AS b, CAST(sum(weight_units * CASE WHEN n_sell = 0 THEN 0 WHEN n_buy = 0 THEN 2 ELSE 1 END) AS BIGINT) AS s, count(*) FILTER (n_buy + n_sell > 0) AS n
+        FROM cn JOIN wt ON wt.wallet = cn.wallet GROUP BY ALL),
+    tx AS (SELECT *, sha256(cohort || '|' || coin || '|' || epoch(bucket)::BIGINT) AS signal_id, (cohort * 7 + epoch(bucket)::BIGINT // 900) AS k, lag(bucket) OVER w AS pb, lag(b) OVER w AS b0, lag(s) OVER w AS s0, lag(n) OVER w AS n0, lag(sha256(cohort || '|' || coin || '|' || epoch(bucket)::BIGINT)) OVER w AS id0,
+        lag(cohort * 7 + epoch(bucket)::BIGINT // 900) OVER w AS k0 FROM un2 WINDOW w AS (PARTITION BY cohort, coin ORDER BY bucket)),
+    er AS (SELECT *, CASE WHEN b0 + s0 = 0 THEN 'SIGNAL_NOT_VALID' WHEN k0 % 23 = 0 THEN 'UNSUPPORTED_VERSION' WHEN k0 % 17 = 0 THEN 'INVALID_DECIMAL' WHEN k0 % 19 = 0 OR n0 < 1 THEN 'INCONSISTENT_SIGNAL' WHEN b + s = 0 THEN 'SIGNAL_NOT_VALID' WHEN k % 23 = 0 THEN 'UNSUPPORTED_VERSION'
+        WHEN k % 17 = 0 THEN 'INVALID_DECIMAL' WHEN k % 19 = 0 OR n < 1 THEN 'INCONSISTENT_SIGNAL' WHEN (k % 29 = 0) <> (k0 % 29 = 0) THEN 'INCOMPATIBLE_selection_id' WHEN pb + INTERVAL 15 MINUTE <> bucket THEN 'NON_ADJACENT_BUCKETS' END AS code, b0 - s0 AS x, b - s AS y FROM tx WHERE pb IS NOT NULL)"""
+
+
+@add("cohort:l coin:s bucket:t error_code:s event_type:s reason:s delta:s change_id:s", f"""{_SIGNAL_TEXTS},
+    lb AS (SELECT *, CASE WHEN x < 0 AND y > 0 THEN 'BULLISH_REVERSAL' WHEN x > 0 AND y < 0 THEN 'BEARISH_REVERSAL' WHEN x > 0 AND y > x THEN 'BUY_ACCELERATING' WHEN x > 0 AND y < x THEN 'BUY_WEAKENING' WHEN x < 0 AND y < x THEN 'SELL_ACCELERATING' WHEN x < 0 AND y > x THEN 'SELL_WEAKENING' ELSE 'NONE' END AS label FROM er)
+    SELECT cohort, coin, bucket, code AS error_code, CASE WHEN code IS NULL THEN label END AS event_type,
+        CASE WHEN code IS NULL THEN CASE WHEN label <> 'NONE' THEN 'EXACT_NET_TRANSITION' WHEN x = 0 AND y > 0 THEN 'DIRECTION_EMERGED_BUY' WHEN x = 0 AND y < 0 THEN 'DIRECTION_EMERGED_SELL' ELSE 'UNCHANGED_NET' END END AS reason,
+        CASE WHEN code IS NULL THEN CASE WHEN y < x THEN '-' ELSE '' END || CASE WHEN abs(y - x) > 2000000000 THEN rtrim('1.' || lpad(CAST((abs(y - x) - 2000000000) * 5 AS VARCHAR), 10, '0'), '0') ELSE {_tenths("abs(y - x)")} END END AS delta, CASE WHEN code IS NULL THEN sha256(id0 || chr(0) || signal_id) END AS change_id FROM lb""")
+def checked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signal and the one before it on the same cohort and coin, some of either kind with faults, as exact texts."""
+    weights = _cohort_weights(spark, sf_dir).select("cohort", "wallet", "weight", "weight_units")
+    parts, frames = cohort.participations(weights, cycles.transitions(fills(spark, sf_dir)))
+    buy, sell = F.when(F.col("n_buy") == 0, 0).when(F.col("n_sell") == 0, 2).otherwise(1), F.when(F.col("n_sell") == 0, 0).when(F.col("n_buy") == 0, 2).otherwise(1)
+    sums = parts.groupBy("cohort", "coin", "bucket").agg(F.sum(F.col("weight_units") * buy).alias("_b"), F.sum(F.col("weight_units") * sell).alias("_s"), F.count(F.lit(1)).alias("n_wallets"))
+    rows = frames.join(sums, ["cohort", "coin", "bucket"], "left").fillna(0, ["_b", "_s", "n_wallets"])
+    number = F.unix_timestamp(F.col("bucket").cast("timestamp"))
+    k = F.col("cohort") * 7 + F.floor(number / 900)
+
+    def units(n: Column) -> Column:
+        part = F.regexp_replace(F.concat(F.lit("0."), F.lpad((F.abs(n) * 5).cast("string"), 10, "0")), r"\.?0+$", "")
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.when(F.abs(n) == 2_000_000_000, "1").otherwise(part))
+
+    name = F.sha2(F.concat_ws("|", "cohort", "coin", number.cast("string")), 256)
+    fixed = {c: F.sha2(F.concat(F.lit(c), F.col("cohort").cast("string")), 256) for c in ("cohort_fingerprint", "weight_id", "revision_id", "aggregation_fingerprint")}
+    texts = {
+        "signal_id": name, "input_fingerprint": name, "bucket_end": F.col("bucket") + F.expr("interval 15 minutes"), "signal_version": F.lit(snapshots.SIGNAL), "status": F.when(F.col("_b") + F.col("_s") == 0, "NO_SIGNAL").otherwise("VALID"),
+        "selection_id": F.col("cohort") + F.when(k % 29 == 0, 1).otherwise(0), **fixed, "weight_fingerprint": fixed["weight_id"], "weight_version": F.when(k % 23 == 0, "other").otherwise(snapshots.WEIGHT), "aggregation_version": F.lit(snapshots.AGGREGATION), "behavior_version": F.lit(snapshots.BEHAVIOR),
+        "buy_strength": units(F.col("_b")), "sell_strength": units(F.col("_s")), "net_signal": F.concat(units(F.col("_b") - F.col("_s")), F.when(k % 17 == 0, "x").otherwise("")), "mass": units(F.col("_b") + F.col("_s")), "confidence": F.lit("0.5"), "n_wallets": F.when(k % 19 == 0, 0).otherwise(F.col("n_wallets")),
+    }
+    signals = rows.withColumns(texts).drop("_b", "_s")
+    own = [c for c in signals.columns if c not in ("cohort",)]
+    order = Window.partitionBy("cohort", "coin").orderBy("bucket")
+    pairs = signals.select("cohort", *(F.col(c).alias(f"current_{c}") for c in own), *(F.lag(c).over(order).alias(f"previous_{c}") for c in own)).filter("previous_bucket IS NOT NULL")
+    return snapshots.checked_changes(pairs).withColumnsRenamed({"current_coin": "coin", "current_bucket": "bucket"})
+
+
 @add("n_before:l n_after:l is_unchanged:b", """
     WITH b AS (SELECT concat_ws('|', c_custkey, c_name, c_acctbal) AS line FROM customer), a AS (SELECT concat_ws('|', c_custkey, CASE WHEN c_custkey = 7 THEN 'x' ELSE c_name END, c_acctbal) AS line FROM customer),
     hb AS (SELECT count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM b), ha AS (SELECT count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM a)
@@ -573,6 +620,17 @@ def flow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.with_flow_values(returns.normalise_flows(flows, ["wallet"]), values, ["wallet"])
 
 
+@add("wallet:l n_rejected:l n_gaps:l n_unknown_flows:l is_clean:b", f"""WITH {FILLS}, {_FLOW},
+    d AS (SELECT wallet, day, day - lag(day) OVER (PARTITION BY wallet ORDER BY day) > 1 AS gap FROM (SELECT DISTINCT wallet, CAST(ts AS DATE) AS day FROM pt)),
+    u AS (SELECT wallet, count(*) AS n_rejected, 0 AS n_gaps, 0 AS n_unknown FROM f WHERE closed_pnl < 0 AND size = 3 GROUP BY wallet UNION ALL SELECT wallet, 0, count(*) FILTER (gap), 0 FROM d GROUP BY wallet UNION ALL SELECT wallet, 0, 0, count(*) FILTER (kind = 'vault') FROM fl GROUP BY wallet)
+    SELECT wallet, sum(n_rejected) AS n_rejected, sum(n_gaps) AS n_gaps, sum(n_unknown) AS n_unknown_flows, sum(n_rejected) + sum(n_gaps) + sum(n_unknown) = 0 AS is_clean FROM u GROUP BY wallet""")
+def history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected executions, missing days of value and flows that cannot be classed, per wallet."""
+    points, flows, _ = _flows(spark, sf_dir)
+    rejected = fills(spark, sf_dir).filter("closed_pnl < 0 AND size = 3")
+    return audit.history_report(rejected, points.select("wallet", F.col("ts").cast("date").alias("day")), returns.normalise_flows(flows, ["wallet"]))
+
+
 #: pt: values; fl: flows; qd: days up to the first gap; qp: periods in order, each with its error; qw: a wallet's error; qq: metrics.
 _FLOW_RETURNS = """
     qn AS (SELECT wallet, CAST(ts AS DATE) AS day, arg_max(nav, (ts, id)) FILTER (nav > 0) AS nav, max(ts) FILTER (nav > 0) AS at_ FROM pt GROUP BY ALL),

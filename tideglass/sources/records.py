@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,8 @@ _FUNDING = "coin STRING, fundingRate STRING, szi STRING, time BIGINT, usdc STRIN
 
 
 def _struct(fields: str) -> str:
-    return f"STRUCT<{fields.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT').replace(' BOOLEAN', ': BOOLEAN').replace(' STRUCT', ': STRUCT').replace(' ARRAY', ': ARRAY')}>"
+    """The fields as those of a struct, whose names have colons; structs among them have theirs already."""
+    return f"STRUCT<{re.sub(r'(\w+) (?=STRING|BIGINT|BOOLEAN|STRUCT|ARRAY)', r'\1: ', fields)}>"
 
 
 SCHEMAS: dict[str, str] = {
@@ -82,23 +85,51 @@ DECIMALS: dict[str, tuple[str, ...]] = {
     "market_trade": ("px", "sz"),
 }
 ALLOWED: dict[str, dict[str, tuple[str, ...]]] = {"fill": {"side": ("A", "B")}, "order": {"side": ("A", "B")}, "market_trade": {"side": ("A", "B")}, "funding_payment": {"delta.type": ("funding",)}}
+# Fields that are whole numbers from 0 to 2^63 - 1, and times in milliseconds within what a date can be.
+IDS: dict[str, tuple[str, ...]] = {"fill": ("oid", "tid"), "order": ("oid",), "historical_order": ("order.oid",), "market_trade": ("tid",), "rate_limit": ("nRequestsCap", "nRequestsUsed")}
+TIMES: dict[str, tuple[str, ...]] = {"fill": ("time",), "clearinghouse_state": ("time",), "funding_payment": ("time",), "stream_funding": ("time",), "ledger_update": ("time",), "order": ("timestamp",), "historical_order": ("statusTimestamp", "order.timestamp"), "market_trade": ("time",)}
+LATEST_MS = 8_640_000_000_000_000
+# Lists of a record whose members are records: the list, the members' kind, and where in a member that record is.
+MEMBERS: dict[str, tuple[tuple[str, str, str | None], ...]] = {
+    "clearinghouse_state": (("assetPositions", "position", "position"),), "spot_state": (("balances", "spot_balance", None),), "stream_fills": (("fills", "fill", None),),
+    "stream_fundings": (("fundings", "stream_funding", None),), "stream_ledger": (("nonFundingLedgerUpdates", "ledger_update", None),), "stream_orders": (("orders", "order", None),),
+}
+
+
+def _field(row: Column, path: str) -> Column:
+    return reduce(lambda at, name: at.getField(name), path.split("."), row)
+
+
+def _rules(row: Column, kind: str) -> list[tuple[Column, str]]:
+    """What can be wrong with the fields of a record of a kind, in order."""
+    whole = r"^(0|[1-9][0-9]*)$"
+    rules = [(_field(row, f).isNull() | (_field(row, f).cast("string") == ""), f"MISSING:{f}") for f in REQUIRED[kind]]
+    rules += [(~_field(row, f).rlike(LENIENT_DECIMAL), f"BAD_DECIMAL:{f}") for f in DECIMALS.get(kind, ())]
+    rules += [(~_field(row, f).rlike(whole) | _field(row, f).try_cast("long").isNull() & _field(row, f).isNotNull(), f"BAD_ID:{f}") for f in IDS.get(kind, ())]
+    rules += [(~_field(row, f).between(0, LATEST_MS), f"BAD_TIME:{f}") for f in TIMES.get(kind, ())]
+    return rules + [(~_field(row, f).isin(*values), f"BAD_VALUE:{f}") for f, values in ALLOWED.get(kind, {}).items()]
 
 
 def _first(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for bad, code in rules))
 
 
+def _unsound(kind: str, inside: str | None) -> Callable[[Column], Column]:
+    """Whether a member of a list is no sound record of the kind."""
+    return lambda m: m.isNull() | _first(*_rules(m.getField(inside) if inside else m, kind)).isNotNull()
+
+
 def parse(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
-    """All columns of ``lines``, ``row`` of the record's fields, and ``error_code``: null, CORRUPT, MISSING:field, BAD_DECIMAL:field or
-    BAD_VALUE:field, the first that holds. Fields that the schema does not know are let pass."""
+    """All columns of ``lines``, ``row`` of the record's fields, and ``error_code``: null, CORRUPT, MISSING:field, BAD_DECIMAL:field, BAD_ID:field,
+    BAD_TIME:field, BAD_VALUE:field or BAD_MEMBER:list (a member lacks a field or has a bad one), the first that holds. Fields that the
+    schema does not know are let pass."""
     fields = SCHEMAS[kind]
     top = [f.split(" ", 1)[0] for f in _top(fields)]
     out = lines.withColumn("row", F.from_json(column, f"{fields}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}))
-    required = REQUIRED[kind]
-    rules = [(F.col("row").isNull() | F.col("row._corrupt").isNotNull() | reduce(lambda a, b: a & b, [F.col(f"row.{f}").isNull() for f in top]), "CORRUPT")]
-    rules += [(F.col(f"row.{f}").isNull() | (F.col(f"row.{f}").cast("string") == ""), f"MISSING:{f}") for f in required]
-    rules += [(~F.col(f"row.{f}").rlike(LENIENT_DECIMAL), f"BAD_DECIMAL:{f}") for f in DECIMALS.get(kind, ())]
-    rules += [(~F.col(f"row.{f}").isin(*values), f"BAD_VALUE:{f}") for f, values in ALLOWED.get(kind, {}).items()]
+    row = F.col("row")
+    rules = [(row.isNull() | F.col("row._corrupt").isNotNull() | reduce(lambda a, b: a & b, [F.col(f"row.{f}").isNull() for f in top]), "CORRUPT"), *_rules(row, kind)]
+    for name, member, inside in MEMBERS.get(kind, ()):
+        rules.append((F.exists(row.getField(name), _unsound(member, inside)), f"BAD_MEMBER:{name}"))
     return out.withColumn("error_code", _first(*rules)).withColumn("row", F.struct(*(F.col(f"row.{f}").alias(f) for f in top)))
 
 
