@@ -7,7 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 from tideglass.operators import cohort
-from tideglass.plans import audit_queries, relational_queries, trading_queries
+from tideglass.plans import audit_queries, exact_queries, relational_queries, trading_queries
 from tideglass.streaming import streams
 
 T0 = datetime(2024, 1, 1)
@@ -47,6 +47,26 @@ def test_every_wallet_is_in_a_cohort(spark, tmp_path):
     assert {r.cohort for r in q["whole_signal_strength"](spark, d).collect()} == {0, 1, 2}
 
 
+def test_members_without_events_have_zeros_in_every_bucket(spark, tmp_path):
+    d = events(spark, tmp_path, [(3 * (i % 9 + 1), "view", (i // 9) * 5 % 6) for i in range(360)])
+    with_all = trading_queries.REGISTRY.queries["wallet_contribution"](spark, d)
+    rows = with_all.collect()
+    buckets = {(r.coin, r.bucket) for r in rows}
+    assert len(rows) == len(buckets) * len({r.wallet for r in rows}) == len({(r.coin, r.bucket, r.wallet) for r in rows})
+    none = [r for r in rows if r.n_buy + r.n_sell == 0]
+    assert none and {(r.n_buy, r.n_sell, r.buy, r.sell) for r in none} == {(0, 0, 0.0, 0.0)}
+
+
+def test_frames_list_what_is_missing(spark):
+    """The rows without events are made from lists of buckets, not by a join over all of them."""
+    lists = spark.createDataFrame([("a", [T0, T0 + timedelta(minutes=15)]), ("b", [T0])], "coin string, _buckets array<timestamp_ntz>")
+    frames = cohort.Frames(spark.createDataFrame([(w, c) for w in (1, 2) for c in "ab"], "wallet long, coin string"), lists)
+    held = spark.createDataFrame([(1, "a", T0), (2, "b", T0)], "wallet long, coin string, bucket timestamp_ntz")
+    got = {(r.wallet, r.coin, (r.bucket - T0).seconds // 60) for r in frames.missing(held, ["wallet", "coin"]).collect()}
+    assert got == {(1, "a", 15), (1, "b", 0), (2, "a", 0), (2, "a", 15)}
+    assert len(frames.select("bucket").collect()) == 6
+
+
 def test_required_hours_and_buckets_come_from_the_table(spark, tmp_path):
     d = events(spark, tmp_path, [(i % 30, ("view", "error")[i % 2], i) for i in range(60)])
     hours = relational_queries.REGISTRY.queries["whole_landing_plan"](spark, d).collect()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_EVEN, Context, Decimal
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,16 +74,54 @@ def _with_strengths(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"buy": F.col("weight") * buy, "sell": F.col("weight") * sell})
 
 
-def _frames(weights: DataFrame, sides: DataFrame) -> DataFrame:
-    """Each bucket with each cohort: the rows that signals have. The list of cohorts is a value of the plan, 8 bytes each."""
-    buckets = sides.select("coin", "bucket").distinct()
-    cohort = _cohort_of(weights)
-    return buckets.withColumn("cohort", F.explode(weights.agg(F.collect_set("cohort")).scalar())) if cohort else buckets
+class Frames(NamedTuple):
+    """Every row of ``keys`` with every bucket of its coin: the rows that signals have, not written out. The buckets of all coins are broadcast,
+    8 bytes each, so what is missing in a table is made by the tasks that hold its keys, without a shuffle of the frames."""
 
+    keys: DataFrame
+    #: coin, _buckets: its buckets in order.
+    buckets: DataFrame
 
-def participations(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> tuple[DataFrame, DataFrame]:
+    def select(self, *columns: str) -> DataFrame:
+        return self._spread(self.keys, F.col("_buckets")).select(*columns)
+
+    def missing(self, held: DataFrame, basis: Sequence[str]) -> DataFrame:
+        """The frames that ``held`` (basis, bucket) lacks; ``basis`` names a row of ``keys``."""
+        own = held.groupBy(*basis).agg(F.collect_set("bucket").alias("_held"))
+        # by number, since each of these few rows becomes as many as its coin has buckets: they are not put together for being small
+        tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = self.keys.join(own, list(basis), "left").repartition(tasks, *basis)
+        return self._spread(rows, F.array_except("_buckets", F.coalesce("_held", F.array().cast(own.schema["_held"].dataType))))
+
+    def consecutive(self, sums: DataFrame, basis: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """Each frame but a coin's first with the one before it in the coin's list. First those of which ``sums`` (basis, bucket and numbers) has either: its
+        columns, the same with ``previous_`` before their names, and ``previous_bucket``, zeros where it lacks one. Then basis and bucket of those of which it has neither."""
+        own, place, rest = [c for c in sums.columns if c not in (*basis, "bucket")], [*basis, "bucket"], F.size("_buckets") - 1
+        steps = F.broadcast(self.buckets.select("coin", F.explode(F.arrays_zip(F.slice("_buckets", 1, rest).alias("b"), F.slice("_buckets", 2, rest).alias("c"))).alias("_s")).select("coin", F.col("_s.b").alias("previous_bucket"), F.col("_s.c").alias("bucket")))
+        before = sums.withColumnsRenamed({c: f"previous_{c}" for c in ("bucket", *own)}).join(steps, ["coin", "previous_bucket"]).drop("previous_bucket")
+        both = sums.unionByName(before, allowMissingColumns=True).groupBy(*place).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for o in own for c in (o, f"previous_{o}")))
+        both = materialise(both.join(steps, ["coin", "bucket"]), "pairs")
+        later = self.buckets.withColumn("_buckets", F.slice("_buckets", 2, rest))
+        return both, Frames(self.keys, later).missing(both, basis)
+
+    def _spread(self, rows: DataFrame, buckets: Column) -> DataFrame:
+        return rows.join(F.broadcast(self.buckets), "coin").select(*self.keys.columns, F.explode(buckets).alias("bucket"))
+
+
+def _bucket_lists(sides: DataFrame) -> DataFrame:
+    return sides.select("coin", "bucket").distinct().groupBy("coin").agg(F.sort_array(F.collect_list("bucket")).alias("_buckets"))
+
+
+def _frames(weights: DataFrame, sides: DataFrame) -> Frames:
+    """Each bucket with each cohort."""
+    lists, cohort = _bucket_lists(sides), _cohort_of(weights)
+    coins = lists.select("coin")
+    return Frames(weights.select(*cohort).distinct().crossJoin(F.broadcast(coins)) if cohort else coins, lists)
+
+
+def participations(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> tuple[DataFrame, Frames]:
     """Per coin, bucket and cohort member that took part its weight split over buying and selling, half on each side if it did both;
-    and the frames of ``signals``: per coin, bucket and cohort a row, whether any member took part or not.
+    and the frames of ``signals``: each coin, bucket and cohort, whether any member took part or not.
 
     Events meet weights by wallet; members that took no part make no rows. Oversized cohorts are left out.
     """
@@ -94,35 +133,40 @@ def contributions(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKE
     """``participations`` with a row for every member of a cohort in every bucket, as receipts list them: members without events count with 0.
     Other columns of ``weights``, such as its cohort, are kept. For signals take ``participations``, which is far smaller."""
     weights, sides = bounded_members(weights), materialise(_sides(events, minutes), "sides")
-    cohort = _cohort_of(weights) or ["_one"]
-    members = weights if "_one" not in cohort else weights.withColumn("_one", F.lit(0))
-    frames = _frames(weights, sides)
-    rows = (frames if "_one" not in cohort else frames.withColumn("_one", F.lit(0))).join(members, cohort).drop("_one")
-    return _with_strengths(rows.join(sides, ["coin", "bucket", "wallet"], "left").fillna(0, ["n_buy", "n_sell"]))
+    lists, basis = _bucket_lists(sides), [*_cohort_of(weights), "wallet", "coin"]
+    took = materialise(sides.join(weights, "wallet"), "took-part")
+    rest = Frames(weights.crossJoin(F.broadcast(lists.select("coin"))), lists).missing(took, basis)
+    none = F.lit(0).cast("long")
+    return _with_strengths(took).unionByName(_with_strengths(rest.withColumns({"n_buy": none, "n_sell": none})))
 
 
-def _framed(sums: DataFrame, frames: DataFrame | None, basis: Sequence[str]) -> DataFrame:
-    """The sums of every frame, zeros where there are none."""
+def _framed(sums: DataFrame, frames: Frames | None, basis: Sequence[str], told: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``told`` of the sums of every frame, zeros where there are none; those are constants of the plan."""
     if frames is None:
-        return sums
+        return told(sums)
+    sums = materialise(sums, "sums")
     own = [c for c in sums.columns if c not in (*basis, "bucket")]
-    rows = frames.join(sums, [*basis, "bucket"], "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType)) for c in own})
+    rest = frames.missing(sums, basis).select(*basis, "bucket", *(F.lit(0).cast(sums.schema[c].dataType).alias(c) for c in own))
+    return told(sums).unionByName(told(rest))
 
 
-def signals(parts: DataFrame, frames: DataFrame | None = None, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
-    """Strengths, net, mass, agreement, breadth and confidence of each bucket on its basis, from ``participations``, or from
-    ``contributions``, which needs no frames."""
+def signals(parts: DataFrame, frames: Frames | None = None, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
+    """Strengths, net, mass, agreement, breadth and
+    confidence of each bucket on its basis, from ``participations``, or from ``contributions``, which needs no frames."""
     took = (F.col("n_buy") + F.col("n_sell")) > 0
-    s = parts.groupBy(*basis, "bucket").agg(F.sum("buy").alias("buy_strength"), F.sum("sell").alias("sell_strength"), F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
-    s = _framed(s, frames, basis)
-    s = s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "mass": F.col("buy_strength") + F.col("sell_strength")})
-    agreement = F.when(F.col("mass") == 0, 0.0).otherwise(F.greatest("buy_strength", "sell_strength") / F.col("mass"))
-    s = s.withColumns({"agreement": agreement, "breadth": F.col("n_wallets") / (F.col("n_wallets") + anchor)})
-    return s.withColumn("confidence", F.bround(F.col("mass") * F.col("agreement") * F.col("breadth"), digits)).withColumn("state", F.when(F.col("mass") == 0, "NO_SIGNAL").otherwise("VALID"))
+    strengths = (F.sum(c).alias(f"{c}_strength") for c in ("buy", "sell"))
+    sums = parts.groupBy(*basis, "bucket").agg(*strengths, F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
+
+    def told(s: DataFrame) -> DataFrame:
+        s = s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "mass": F.col("buy_strength") + F.col("sell_strength")})
+        agreement = F.when(F.col("mass") == 0, 0.0).otherwise(F.greatest("buy_strength", "sell_strength") / F.col("mass"))
+        s = s.withColumns({"agreement": agreement, "breadth": F.col("n_wallets") / (F.col("n_wallets") + anchor)})
+        return s.withColumn("confidence", F.bround(F.col("mass") * F.col("agreement") * F.col("breadth"), digits)).withColumn("state", F.when(F.col("mass") == 0, "NO_SIGNAL").otherwise("VALID"))
+
+    return _framed(sums, frames, basis, told)
 
 
-def exact_confidence(parts: DataFrame, frames: DataFrame | None = None, *, anchor: int = 2, basis: Sequence[str] = ("coin",), units: int = 1_000_000_000) -> DataFrame:
+def exact_confidence(parts: DataFrame, frames: Frames | None = None, *, anchor: int = 2, basis: Sequence[str] = ("coin",), units: int = 1_000_000_000) -> DataFrame:
     """For receipts: strengths, net and confidence as decimals, the confidence to 18 places, half to even.
 
     ``parts``, of ``participations`` or ``contributions``, has ``weight_units``, whole parts of ``units``. Mass times agreement is the larger strength, so the
@@ -132,10 +176,9 @@ def exact_confidence(parts: DataFrame, frames: DataFrame | None = None, *, ancho
     half = (weight / F.lit(2).cast("decimal(1,0)")).cast("decimal(21,19)")
     buy = F.when(F.col("n_buy") == 0, 0).when(F.col("n_sell") == 0, 2).otherwise(1).cast("decimal(1,0)")
     sell = F.when(F.col("n_sell") == 0, 0).when(F.col("n_buy") == 0, 2).otherwise(1).cast("decimal(1,0)")
-    s = parts.groupBy(*basis, "bucket").agg(F.sum(half * buy).cast("decimal(21,19)").alias("buy_strength"), F.sum(half * sell).cast("decimal(21,19)").alias("sell_strength"), F.count_if(F.col("n_buy") + F.col("n_sell") > 0).cast("decimal(5,0)").alias("_n"))
-    s = _framed(s, frames, basis)
+    sums = parts.groupBy(*basis, "bucket").agg(F.sum(half * buy).cast("decimal(21,19)").alias("buy_strength"), F.sum(half * sell).cast("decimal(21,19)").alias("sell_strength"), F.count_if(F.col("n_buy") + F.col("n_sell") > 0).cast("decimal(5,0)").alias("_n"))
     share = F.greatest("buy_strength", "sell_strength") * F.col("_n") / (F.col("_n") + F.lit(anchor)).cast("decimal(5,0)")
-    return s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "confidence": F.bround(share, 18)}).drop("_n")
+    return _framed(sums, frames, basis, lambda s: s.withColumns({"net_signal": F.col("buy_strength") - F.col("sell_strength"), "confidence": F.bround(share, 18)}).drop("_n"))
 
 
 def change_label(before: Column, now: Column) -> Column:
