@@ -233,3 +233,10 @@ def test_paging_and_bounds(spark):
     assert [r.k for r in relational.keyset_page(df, ["k"], [3], 2).collect()] == [4, 5, 6]
     with pytest.raises(ValueError):
         relational.bounded(df, 9)
+
+
+def test_a_free_execution_counts_where_it_is_allowed(spark):
+    rows = [("BUY", 1, 0), ("SELL", 1, 120, 20)]
+    assert [r.error_code for r in cycles.input_errors(fills(spark, rows)).collect()] == ["INVALID_INPUT"]
+    assert cycles.input_errors(fills(spark, rows), free=True).count() == 0
+    assert cycles.input_errors(fills(spark, [("BUY", 1, -1)]), free=True).count() == 1

@@ -38,10 +38,11 @@ def duplicate_ids(fills: DataFrame) -> DataFrame:
     return fills.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def input_errors(fills: DataFrame) -> DataFrame:
+def input_errors(fills: DataFrame, *, free: bool = False) -> DataFrame:
     """wallet, error_code: wallets whose executions cannot be used, DUPLICATE_EVENT if an id occurs twice, else INVALID_INPUT if a price or
-    a size is not positive or a start position is null. The operators below do not fail on such rows, but what they make of them means nothing."""
-    positive = F.coalesce((F.col("price") > 0) & (F.col("size") > 0) & F.col("start_position").isNotNull(), F.lit(False))
+    a size is not positive or a start position is null; ``free`` allows prices of zero. The operators below do not fail on such rows, but what they make of them means nothing."""
+    priced = F.col("price") >= 0 if free else F.col("price") > 0
+    positive = F.coalesce(priced & (F.col("size") > 0) & F.col("start_position").isNotNull(), F.lit(False))
     ids = fills.groupBy("wallet", "id").agg(F.count(F.lit(1)).alias("_n"), F.max(~positive).alias("_bad"))
     found = ids.groupBy("wallet").agg((F.max("_n") > 1).alias("_twice"), F.max("_bad").alias("_bad")).filter("_twice OR _bad")
     return found.select("wallet", F.when(F.col("_twice"), "DUPLICATE_EVENT").otherwise("INVALID_INPUT").alias("error_code"))

@@ -29,9 +29,9 @@ def _failed(lane: str, errors: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return errors.select("wallet", F.lit(lane).alias("lane"), F.explode(F.array(*map(F.lit, metrics))).alias("metric"), F.lit(None).cast("double").alias("value"), "error_code")
 
 
-def trade_lane(fills: DataFrame) -> DataFrame:
-    """Wallets whose executions cannot be used have their error in every metric; they leave those of others as they are."""
-    errors = materialise(cycles.input_errors(fills), "fill-errors")
+def trade_lane(fills: DataFrame, *, free: bool = False) -> DataFrame:
+    """``free`` as in ``cycles.input_errors``. Wallets whose executions cannot be used have their error in every metric; they leave those of others as they are."""
+    errors = materialise(cycles.input_errors(fills, free=free), "fill-errors")
     closed = cycles.profit(cycles.cycles(fills.join(errors, "wallet", "left_anti"))).filter("state = 'CLOSED'")
     return long_form("trade", stats.trade_stats(closed, ["wallet"]), TRADE).unionByName(_failed("trade", errors, TRADE))
 
@@ -69,13 +69,13 @@ def exposure_lane(fills: DataFrame) -> DataFrame:
     return long_form("exposure", stats.concentration(fills.withColumn("notional", F.col("price") * F.col("size")), ["wallet"], "coin"), EXPOSURE)
 
 
-def flowless_performance(fills: DataFrame, points: DataFrame) -> DataFrame:
+def flowless_performance(fills: DataFrame, points: DataFrame, *, free: bool = False) -> DataFrame:
     """All metrics of wallets that money neither enters nor leaves: a deposit would count as profit here, ``covered_performance`` is
     for those. A wallet without a metric is simply absent from that lane."""
-    return trade_lane(fills).unionByName(return_lane(points)).unionByName(exposure_lane(fills))
+    return trade_lane(fills, free=free).unionByName(return_lane(points)).unionByName(exposure_lane(fills))
 
 
-def covered_performance(fills: DataFrame, points: DataFrame, flows: DataFrame, values: DataFrame, coverage: DataFrame) -> DataFrame:
+def covered_performance(fills: DataFrame, points: DataFrame, flows: DataFrame, values: DataFrame, coverage: DataFrame, *, free: bool = False) -> DataFrame:
     """The same with cash flows, and held against ``coverage`` (wallet, completeness, initial_state_known, explicit_gap).
 
     A gap that only missing days of value cause counts as PARTIAL outside the return lane, whose own window ends at
@@ -84,7 +84,7 @@ def covered_performance(fills: DataFrame, points: DataFrame, flows: DataFrame, v
     CASH_FLOW_NAV_MISMATCH one. A wallet that ``coverage`` does not know is INSUFFICIENT_HISTORY.
     """
     facts = materialise(flow_return_facts(points, flows, values), "return-facts")
-    metrics = trade_lane(fills).unionByName(long_form("return", facts, RETURN)).unionByName(exposure_lane(fills))
+    metrics = trade_lane(fills, free=free).unionByName(long_form("return", facts, RETURN)).unionByName(exposure_lane(fills))
     rows = metrics.withColumnRenamed("error_code", "_own").join(coverage, "wallet", "left").join(facts.filter("flow_mismatch").select("wallet", "flow_mismatch"), "wallet", "left")
     state = F.coalesce("completeness", F.lit("INSUFFICIENT_HISTORY"))
     soft = F.when(F.col("lane") == "return", F.when(state == "COMPLETE", state).otherwise("PARTIAL")).when((state == "GAP_DETECTED") & ~F.coalesce("explicit_gap", F.lit(False)), "PARTIAL").otherwise(state)
