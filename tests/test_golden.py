@@ -240,3 +240,10 @@ def test_a_free_execution_counts_where_it_is_allowed(spark):
     assert [r.error_code for r in cycles.input_errors(fills(spark, rows)).collect()] == ["INVALID_INPUT"]
     assert cycles.input_errors(fills(spark, rows), free=True).count() == 0
     assert cycles.input_errors(fills(spark, [("BUY", 1, -1)]), free=True).count() == 1
+
+
+def test_equal_strengths_in_another_order_are_no_change(spark):
+    rows = [("BTC", T0, w, 1, 0, x, 0.0) for w, x in enumerate((0.1, 0.2))] + [("BTC", T0 + timedelta(minutes=15), 7, 1, 0, 0.3, 0.0)]
+    parts = spark.createDataFrame(rows, "coin string, bucket timestamp_ntz, wallet long, n_buy long, n_sell long, buy double, sell double")
+    [change] = cohort.direction_changes(cohort.signals(parts)).collect()
+    assert (change.event_type, change.reason, change.delta) == ("NONE", "UNCHANGED_NET", 0.0)

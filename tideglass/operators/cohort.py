@@ -151,10 +151,10 @@ def _framed(sums: DataFrame, frames: Frames | None, basis: Sequence[str], told:
 
 
 def signals(parts: DataFrame, frames: Frames | None = None, *, anchor: int = 2, digits: int = 9, basis: Sequence[str] = ("coin",)) -> DataFrame:
-    """Strengths, net, mass, agreement, breadth and
+    """Strengths (to ``digits`` places, so that equal sums are equal in whatever order they were added), net, mass, agreement, breadth and
     confidence of each bucket on its basis, from ``participations``, or from ``contributions``, which needs no frames."""
     took = (F.col("n_buy") + F.col("n_sell")) > 0
-    strengths = (F.sum(c).alias(f"{c}_strength") for c in ("buy", "sell"))
+    strengths = (F.round(F.sum(c), digits).alias(f"{c}_strength") for c in ("buy", "sell"))
     sums = parts.groupBy(*basis, "bucket").agg(*strengths, F.count_if(took).alias("n_wallets"), F.count_if((F.col("n_buy") > 0) & (F.col("n_sell") == 0)).alias("n_buy_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") == 0)).alias("n_sell_only"), F.count_if((F.col("n_sell") > 0) & (F.col("n_buy") > 0)).alias("n_mixed"))
 
     def told(s: DataFrame) -> DataFrame:
