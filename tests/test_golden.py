@@ -247,3 +247,10 @@ def test_equal_strengths_in_another_order_are_no_change(spark):
     parts = spark.createDataFrame(rows, "coin string, bucket timestamp_ntz, wallet long, n_buy long, n_sell long, buy double, sell double")
     [change] = cohort.direction_changes(cohort.signals(parts)).collect()
     assert (change.event_type, change.reason, change.delta) == ("NONE", "UNCHANGED_NET", 0.0)
+
+
+def test_equal_ratios_are_ranked_by_wallet(spark):
+    factor = {2: 0.1 + 0.2 + 0.6, 1: 0.9 - 1e-16}
+    runs = spark.createDataFrame([(w, True, True, 9, 0.5, f + 1, 0.5, 1.0, -1.0, 1, 1) for w, f in factor.items()], "wallet long, has_run boolean, evaluable boolean, n_cycles long, win_rate double, profit_factor double, top_share double, average_win double, average_loss double, losing_streak long, age_hours long")
+    told = selection.select_by_trades(runs, selection.TradePolicy(most=20, least_cycles=6, least_win_rate=0.4, least_profit_factor=0.5, most_top_share=0.8))
+    assert {r.wallet: r.rank for r in told.collect()} == {1: 1, 2: 2}
