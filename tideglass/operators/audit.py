@@ -96,8 +96,8 @@ def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, lates
     coin, last_at, the newest event; ``issues``: open ones, wallet, coin (null: of all coins), since. A bucket that ends after
     ``now`` is BUCKET_NOT_ENDED. A ``cohort`` column of ``members`` is kept; oversized cohorts (``cohort.oversized``) are left out.
 
-    A member's issues with a coin begin at some instant, so only buckets that end after it are made rows, from the
-    coin's sorted list of bucket ends; buckets without an issue are never paired with members.
+    A member's issues with a coin each begin at some instant, so an issue becomes the buckets that end after it, from the
+    coin's list of bucket ends, which is broadcast (8 bytes a coin and bucket); nothing of the size of the result is shuffled.
     """
     members = bounded_members(members)
     ends = buckets.groupBy("coin").agg(F.sort_array(F.collect_set("bucket_end")).alias("_ends"))
@@ -108,17 +108,22 @@ def readiness(members: DataFrame, buckets: DataFrame, progress: DataFrame, lates
         any_coin = issues.filter("coin is null").groupBy("wallet").agg(F.min("since").alias("_any_since"))
         rows = rows.join(by_coin, ["wallet", "coin"], "left").join(any_coin, "wallet", "left")
         since = F.least("_coin_since", "_any_since")
+    first = F.lit("0001-01-01").cast("timestamp_ntz")
     now = F.lit(None).cast("timestamp_ntz") if now is None else now
-    always = F.coalesce("has_gap", F.lit(False)) | F.col("observed_to").isNull() | F.col("done_to").isNull() | F.coalesce(F.col("last_at") > F.col("done_to"), F.lit(False))
-    rows = rows.withColumns({"_since": since, "_now": now}).withColumn("_after", F.least("observed_to", "_since", "_now")).withColumn("_always", always).join(ends, "coin")
-    wrong = F.when(F.col("_always"), F.col("_ends")).otherwise(F.filter("_ends", lambda e: e > F.col("_after")))
-    rows = rows.withColumn("bucket_end", F.explode(wrong))
+    lag = F.when(F.col("done_to").isNull(), "MISSING_BOUNDARY").when(F.col("last_at") > F.col("done_to"), "NORMALIZATION_LAG")
+
+    def issue(code: Column, after: Column) -> Column:
+        return F.when(code.isNotNull() & after.isNotNull(), F.struct(code.alias("issue"), after.alias("after")))
+
     found = F.array_compact(F.array(
-        F.when(F.col("bucket_end") > F.col("_now"), "BUCKET_NOT_ENDED"), F.when(F.col("_since") < F.col("bucket_end"), "OPEN_ISSUE"),
-        F.when(F.coalesce("has_gap", F.lit(False)), "SOURCE_GAP"), F.when(F.coalesce(F.col("observed_to") < F.col("bucket_end"), F.lit(True)), "SOURCE_NOT_OBSERVED"),
-        F.when(F.col("done_to").isNull(), "MISSING_BOUNDARY").when(F.col("last_at") > F.col("done_to"), "NORMALIZATION_LAG"),
+        issue(F.lit("BUCKET_NOT_ENDED"), now), issue(F.lit("OPEN_ISSUE"), since), issue(F.when(F.coalesce("has_gap", F.lit(False)), "SOURCE_GAP"), first),
+        issue(F.lit("SOURCE_NOT_OBSERVED"), F.coalesce("observed_to", first)), issue(lag, first),
     ))
-    return rows.select(*cohort, "coin", "bucket_end", "wallet", F.explode(found).alias("issue"))
+    # by number, since each of these few rows becomes as many as its coin has buckets: they are not put together for being small
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*cohort, "coin", "wallet", F.explode(found).alias("_i")).repartition(tasks, "wallet", "coin")
+    rows = rows.join(F.broadcast(ends), "coin").select(*cohort, "coin", F.explode("_ends").alias("bucket_end"), "wallet", F.col("_i.issue").alias("issue"), F.col("_i.after").alias("_after"))
+    return rows.filter(F.col("bucket_end") > F.col("_after")).drop("_after")
 
 
 def history_report(rejected: DataFrame, days: DataFrame, flows: DataFrame, keys: Sequence[str] = ("wallet",)) -> DataFrame:
