@@ -155,3 +155,13 @@ def test_amounts_of_zero_are_amended_to_an_amount(spark, tmp_path):
     rows = exact_queries.REGISTRY.queries["event_issues"](spark, str(tmp_path))
     assert [r.issue for r in rows.collect() if r.subject == "134"] == []
     assert rows.filter("issue = 'CONFLICTING_DUPLICATE'").count() > 0
+
+
+def test_positions_do_not_call_python_for_each_key(spark, tmp_path, monkeypatch):
+    """Ninety keys in two blocks, over several batches."""
+    monkeypatch.setattr(streams, "POSITION_BLOCKS", 2)
+    d = events(spark, tmp_path, [(i * 7 % 45, ("view", "error")[i % 2], i) for i in range(270)], files=3)
+    one = streams.event_stream
+    monkeypatch.setattr(streams, "event_stream", lambda *a: one(*a, files_per_batch=1))
+    got = {r.id: r.start_position for r in trading_queries.REGISTRY.queries["stream_positions"](spark, d).collect()}
+    assert got == {r.id: r.start_position for r in trading_queries.REGISTRY.queries["running_position"](spark, d).collect()}

@@ -52,28 +52,39 @@ def session_stream(fills: DataFrame, *, gap: str = "30 minutes", delay: str = DE
     return out.select("wallet", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
+#: Fixed value: groups that the keys of ``position_stream`` are dealt to, each a call into Python and a state a batch.
+POSITION_BLOCKS = 1024
+
+
 def position_stream(fills: DataFrame) -> DataFrame:
     """Each execution with its start position from keyed state (position, last time and id), or marked late.
 
-    State per (wallet, coin) is three values. Rows of a micro-batch are taken in (ts, id) order; a row before
+    State per (wallet, coin) is three values; keys are dealt to ``POSITION_BLOCKS`` blocks, whose keys' values lie side by side in one
+    state, so calls into Python do not grow with the keys. Rows of a micro-batch are taken in (ts, id) order; a row before
     what its key has seen is marked late and leaves the state as it was: ``late_positions`` recomputes the
     keys of late rows in batch, since appended output cannot be taken back.
     """
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, last, last_id = state.get if state.exists else (0, -(2**63), -(2**63))
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        starts, late = [], []
-        for ts, id_, delta in zip(rows["ts"].astype("int64") // 1000, rows["id"], rows["delta"], strict=True):
-            late.append((ts, id_) < (last, last_id))
-            starts.append(position)
-            if not late[-1]:
-                position, last, last_id = position + int(delta), ts, id_
-        state.update((int(position), int(last), int(last_id)))
-        yield pd.DataFrame({"wallet": key[0], "coin": key[1], "id": rows["id"], "ts": rows["ts"], "start_position": starts, "delta": rows["delta"], "is_late": late})
-
-    return fills.select("wallet", "coin", "id", "ts", "delta").groupBy("wallet", "coin").applyInPandasWithState(
-        step, "wallet long, coin string, id long, ts timestamp, start_position long, delta long, is_late boolean", "position long, last long, last_id long", "append", GroupStateTimeout.NoTimeout)
+    key = ["wallet", "coin"]
+
+    def step(_: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame(dict(zip((*key, "position", "last", "last_id"), state.get if state.exists else ([], [], [], [], []), strict=True)))
+        kept = kept.astype({"wallet": "int64", "coin": "object", "position": "int64", "last": "int64", "last_id": "int64"})
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"], ignore_index=True)
+        was = rows[key].merge(kept, "left", key)
+        at, new = rows["ts"].astype("int64") // 1000, was["position"].isna()
+        first, first_id, base = (was[c].astype("Int64").fillna(0).astype("int64") for c in ("last", "last_id", "position"))
+        late = ~new & ((at < first) | ((at == first) & (rows["id"] < first_id)))
+        delta = rows["delta"].where(~late, 0).astype("int64")
+        after = base + delta.groupby([rows["wallet"], rows["coin"]]).cumsum()
+        told = pd.DataFrame({"wallet": rows["wallet"], "coin": rows["coin"], "position": after, "last": at, "last_id": rows["id"]})[~late]
+        kept = pd.concat([kept, told]).drop_duplicates(key, keep="last")
+        state.update(tuple(kept[c].tolist() for c in (*key, "position", "last", "last_id")))
+        yield pd.DataFrame({"wallet": rows["wallet"], "coin": rows["coin"], "id": rows["id"], "ts": rows["ts"], "start_position": after - delta, "delta": rows["delta"], "is_late": late})
+
+    rows = fills.select(*key, "id", "ts", "delta").withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(POSITION_BLOCKS)))
+    return rows.groupBy("_block").applyInPandasWithState(
+        step, "wallet long, coin string, id long, ts timestamp, start_position long, delta long, is_late boolean",
+        "wallets array<long>, coins array<string>, positions array<long>, lasts array<long>, last_ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _closed(rows: DataFrame, end: Column, fills: DataFrame, delay: str) -> DataFrame:
