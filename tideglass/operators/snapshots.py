@@ -27,14 +27,16 @@ EVENT_AMOUNT = r"^(0|[1-9][0-9]{0,19})(\.[0-9]{1,18})?$"
 HASH = r"^[0-9a-f]{64}$"
 
 
-def ordered_digest(rows: DataFrame, keys: Sequence[str], order: str, content: Column) -> DataFrame:
-    """``keys``, n_rows, digest: of each key's rows in the order of the hexadecimal fingerprint in column ``order``, equal rows counted each."""
+def ordered_digest(rows: DataFrame, keys: Sequence[str], order: str, content: Column, *, hashed: bool = False) -> DataFrame:
+    """``keys``, n_rows, digest: of each key's rows in the order of the hexadecimal fingerprint in column ``order``, equal rows counted each. ``hashed``
+    says that ``content`` is the SHA-256 of what is meant."""
     keys = list(keys)
+    told = content if hashed else F.sha2(content, 256)
 
     def level(df: DataFrame, by: list[str], line: Column) -> DataFrame:
         return df.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("_d"))
 
-    lines = rows.select(*keys, F.substring(order, 1, CHUNK).alias("_chunk"), F.concat_ws(":", F.coalesce(F.col(order), F.lit("")), F.sha2(content, 256)).alias("_line"), F.lit(1).cast("long").alias("_n"))
+    lines = rows.select(*keys, F.substring(order, 1, CHUNK).alias("_chunk"), F.concat_ws(":", F.coalesce(F.col(order), F.lit("")), told).alias("_line"), F.lit(1).cast("long").alias("_n"))
     chunks = level(lines, [*keys, "_chunk"], F.col("_line")).withColumn("_group", F.substring("_chunk", 1, GROUP))
     groups = level(chunks, [*keys, "_group"], F.concat_ws(":", F.coalesce("_chunk", F.lit("")), "_d"))
     whole = level(groups, keys, F.concat_ws(":", F.coalesce("_group", F.lit("")), "_d"))
@@ -80,19 +82,22 @@ def event_issues(events: DataFrame, members: DataFrame) -> DataFrame:
     INVALID_DECIMAL, INVALID_TIMESTAMP, INCONSISTENT_PROVENANCE, INVALID_IDENTITY and INVALID_SEMANTIC of an event id, CONFLICTING_DUPLICATE of a fingerprint
     that two different events of a bucket have. ``members``: cohort, wallet.
     """
-    known = events.join(members.select("cohort", "wallet", F.lit(True).alias("_member")).distinct(), ["cohort", "wallet"], "left")
-
     def no(ok: Column) -> Column:
         return ~F.coalesce(ok, F.lit(False))
 
     runs = F.col("selection_id").isNotNull() & F.col("performance_id").isNotNull() & F.col("run_id").isNotNull()
+    sound = ~no((F.col("version") == BEHAVIOR) & runs)
     codes = reasons(
         (no(F.col("notional").rlike(EVENT_AMOUNT)), "INVALID_DECIMAL"), (no(bucket_start(F.col("ts"), MINUTES) == F.col("bucket")), "INVALID_TIMESTAMP"),
-        (no((F.col("version") == BEHAVIOR) & F.col("_member") & runs), "INCONSISTENT_PROVENANCE"), (no(F.col("ordinal").isin(0, 1) & (F.col("fingerprint") == event_identity())), "INVALID_IDENTITY"),
+        (~sound, "INCONSISTENT_PROVENANCE"), (no(F.col("ordinal").isin(0, 1) & (F.col("fingerprint") == event_identity())), "INVALID_IDENTITY"),
         (no(semantic(F.col("direction"), F.col("event_type")).isNotNull() & F.col("event_type").startswith("POSITION_")), "INVALID_SEMANTIC"),
     )
     place = ["cohort", "coin", "bucket"]
-    own = known.select(*place, F.explode(codes).alias("issue"), F.col("id").cast("string").alias("subject"))
+    told = events.select(*place, F.col("id").cast("string").alias("subject"), codes.alias("_codes"))
+    # of other wallets' events only the place and the id are sought
+    listed = members.select("cohort", "wallet").distinct()
+    foreign = events.filter(sound).select(*place, "wallet", F.col("id").cast("string").alias("subject")).join(listed, ["cohort", "wallet"], "left_anti")
+    own = told.select(*place, F.explode("_codes").alias("issue"), "subject").unionByName(foreign.select(*place, F.lit("INCONSISTENT_PROVENANCE").alias("issue"), "subject"))
     twice = events.groupBy(*place, "fingerprint").agg((F.min(F.sha2(_content(), 256)) != F.max(F.sha2(_content(), 256))).alias("_differ")).filter("_differ")
     return own.unionByName(twice.select(*place, F.lit("CONFLICTING_DUPLICATE").alias("issue"), F.col("fingerprint").alias("subject")))
 
@@ -106,8 +111,9 @@ def snapshots(events: DataFrame, members: DataFrame) -> DataFrame:
     place = ["cohort", "coin", "bucket"]
     scope = members.select("cohort", "wallet").distinct()
     scope = ordered_digest(scope.withColumn("_w", F.sha2(F.col("wallet").cast("string"), 256)), ["cohort"], "_w", F.col("wallet").cast("string")).select("cohort", F.col("digest").alias("_scope"))
-    distinct = events.select(*place, "fingerprint", _content().alias("_c")).distinct()
-    held = ordered_digest(distinct, place, "fingerprint", F.col("_c"))
+    # hashes, not contents, are shuffled
+    distinct = events.select(*place, "fingerprint", F.sha2(_content(), 256).alias("_c")).distinct()
+    held = ordered_digest(distinct, place, "fingerprint", F.col("_c"), hashed=True)
     found = event_issues(events, members).distinct().withColumn("_line", F.concat_ws(":", "issue", "subject")).withColumn("_k", F.sha2("_line", 256))
     wrong = ordered_digest(found, place, "_k", F.col("_line")).select(*place, F.col("digest").alias("_wrong")).join(found.groupBy(*place).agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues")), place)
     rows = held.join(wrong, place, "left").join(scope, "cohort", "left")
