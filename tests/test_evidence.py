@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import scalar as S
 from tideglass.operators import audit, cohort, cycles, evidence, returns
+from tideglass.plans import evidence_queries
 from tideglass.plans.performance import covered_performance
 from tideglass.sources import sinks
 from tideglass.streaming import streams
@@ -351,3 +352,27 @@ def test_decimal_texts_compare_without_floats(spark):
 def test_duplicate_ids_are_told(spark):
     rows = walk([("BUY", 1, 100), ("SELL", 1, 110)])
     assert [(r.id, r.n) for r in cycles.duplicate_ids(as_fills(spark, [*rows, rows[1]])).collect()] == [("00001", 2)]
+
+
+def test_provenance_needs_the_whole_chain_of_the_wallet(spark):
+    runs = [(1, 7, "BTC"), (2, 7, "BTC"), (3, 8, "ETH"), (4, 9, "BTC"), (5, 7, "BTC"), (6, 7, "BTC"), (7, 7, "BTC")]
+    scopes = [(1, 7, 2, 40), (1, 7, 1, 50), (1, 7, 0, None), (2, 8, 1, 50), (3, 8, 1, 60), (4, 9, 1, 50), (5, 7, 1, 99), (6, 7, 1, None), *((7, 7, i, 50) for i in range(3)), *((8, 7, i, 50) for i in range(4))]
+    done = [(50, 7, "SUCCEEDED", "v3", "TRUSTED"), (40, 7, "FAILED", "v3", "TRUSTED"), (60, 8, "SUCCEEDED", "v2", "TRUSTED")]
+    cases = {  # (run, wallet, coin): issue; the first scope of run 1 with a performance run is number 1
+        (1, 7, "BTC"): None, (1, 7, "ETH"): "G", (1, 8, "BTC"): "G", (1, None, "BTC"): "G", (1, 7, None): "G", (None, 7, "BTC"): "G", (2, 7, "BTC"): "G", (3, 8, "ETH"): "G",
+        (4, 9, "BTC"): "G", (5, 7, "BTC"): "G", (6, 7, "BTC"): "G", (7, 7, "BTC"): None, (8, 7, "BTC"): "T", (9, 7, "BTC"): "G",
+    }
+    frames = (
+        spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "event_id long, run_id long, wallet long, coin string"), spark.createDataFrame(runs, "run_id long, wallet long, coin string"),
+        spark.createDataFrame(scopes, "run_id long, wallet long, scope_id long, performance_id long"), spark.createDataFrame(done, "performance_id long, wallet long, status string, version string, trust_state string"),
+    )
+    got = {r.event_id: r.issue[0] for r in evidence.provenance_issues(*frames, version="v3", most_scopes=3).collect()}
+    assert got == {i: v for i, v in enumerate(cases.values()) if v}
+
+
+def test_provenance_sends_no_list_of_runs_to_every_executor(spark, sf):
+    """Only runs with too many scopes, of which there are few, may be broadcast."""
+    plan = evidence_queries.REGISTRY.queries["event_provenance"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [plan[i + 1] for i, line in enumerate(plan) if "BroadcastExchange" in line]
+    assert all("_scopes" in line and "> 200" in line for line in sent)
+    assert sum("SortMergeJoin" in line for line in plan) + len(sent) == sum("Join" in line for line in plan) == 4
