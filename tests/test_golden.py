@@ -254,3 +254,12 @@ def test_equal_ratios_are_ranked_by_wallet(spark):
     runs = spark.createDataFrame([(w, True, True, 9, 0.5, f + 1, 0.5, 1.0, -1.0, 1, 1) for w, f in factor.items()], "wallet long, has_run boolean, evaluable boolean, n_cycles long, win_rate double, profit_factor double, top_share double, average_win double, average_loss double, losing_streak long, age_hours long")
     told = selection.select_by_trades(runs, selection.TradePolicy(most=20, least_cycles=6, least_win_rate=0.4, least_profit_factor=0.5, most_top_share=0.8))
     assert {r.wallet: r.rank for r in told.collect()} == {1: 1, 2: 2}
+
+
+def test_large_equal_ratios_are_ranked_by_wallet(spark):
+    most = {1: (603.77 + 369.08 + 319.84) / 0.3, 2: (319.84 + 369.08 + 603.77) / 0.3}
+    factor = {**most, 3: 8.0, 4: 8.0 + 1e-9, 5: 0.0}
+    assert most[1] < most[2]
+    runs = spark.createDataFrame([(w, True, True, 9, 0.5, f, 0.5, 1.0, -1.0, 1, 1) for w, f in factor.items()], "wallet long, has_run boolean, evaluable boolean, n_cycles long, win_rate double, profit_factor double, top_share double, average_win double, average_loss double, losing_streak long, age_hours long")
+    told = selection.select_by_trades(runs, selection.TradePolicy(most=20, least_cycles=6, least_win_rate=0.4, least_profit_factor=0.0, most_top_share=0.8))
+    assert {r.wallet: r.rank for r in told.collect()} == {1: 1, 2: 2, 4: 3, 3: 4, 5: 5}

@@ -96,7 +96,9 @@ def select_by_trades(runs: DataFrame, policy: TradePolicy) -> DataFrame:
         (missing, "REQUIRED_METRIC_MISSING"), (~missing & ~valid, "REQUIRED_METRIC_INVALID"), (stale, "DATA_STALE"),
     ))
     excluded = reasons((F.col("win_rate") < policy.least_win_rate, "WIN_RATE_BELOW_MINIMUM"), (F.col("profit_factor") < policy.least_profit_factor, "PROFIT_FACTOR_BELOW_MINIMUM"), (F.col("top_share") > policy.most_top_share, "PROFIT_TOO_CONCENTRATED"))
-    return _ranked(runs, review, excluded, [F.desc("win_rate"), F.desc("n_cycles"), F.desc(F.round("profit_factor", 12)), F.round("top_share", 12), F.col("wallet")], policy.most)
+    # ratios are equal if they differ by the order of their sums alone, which is in proportion to them: so their logarithms are rounded
+    factor, share = (F.round(F.ln(c), 12) for c in ("profit_factor", "top_share"))
+    return _ranked(runs, review, excluded, [F.desc("win_rate"), F.desc("n_cycles"), F.desc(factor), share, F.col("wallet")], policy.most)
 
 
 def with_overrides(selected: DataFrame, overrides: DataFrame, *, include: bool = True) -> DataFrame:
