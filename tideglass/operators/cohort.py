@@ -115,8 +115,9 @@ def _bucket_lists(sides: DataFrame) -> DataFrame:
 def _frames(weights: DataFrame, sides: DataFrame) -> Frames:
     """Each bucket with each cohort."""
     lists, cohort = _bucket_lists(sides), _cohort_of(weights)
-    coins = lists.select("coin")
-    return Frames(weights.select(*cohort).distinct().crossJoin(F.broadcast(coins)) if cohort else coins, lists)
+    if not cohort:
+        return Frames(lists.select("coin"), lists)
+    return Frames(weights.select(*cohort).distinct().withColumn("coin", F.explode(lists.agg(F.collect_list("coin")).scalar())), lists)
 
 
 def participations(weights: DataFrame, events: DataFrame, *, minutes: int = BUCKET_MINUTES) -> tuple[DataFrame, Frames]:
